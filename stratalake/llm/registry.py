@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from stratalake.llm import language_id
+from stratalake.llm import bpe, decontaminate, language_id
 
 QUERIES = {
     "op1_language_id": language_id.query,
+    "op7_bpe": bpe.query,
+    "op9_decontaminate": decontaminate.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
