@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from stratalake.llm import bpe, decontaminate, language_id
+from stratalake.llm import bpe, decontaminate, language_id, quality
 
 QUERIES = {
     "op1_language_id": language_id.query,
+    "op6_quality": quality.query,
     "op7_bpe": bpe.query,
     "op9_decontaminate": decontaminate.query,
 }
