@@ -1,6 +1,6 @@
 """Quality rules as weak supervision, in DataFrame operations only.
 
-Each rule votes good (+1), votes bad (-1) or abstains (0). A two-class model with one accuracy and one vote rate per rule is fitted by
+Each rule votes good (+1), votes bad (-1) or abstains (0). A two-class model with two accuracies per rule is fitted by
 expectation-maximisation on the histogram of vote patterns, which has at most 3^rules rows whatever the corpus, so it may be
 collected; each document then gets the posterior probability of its pattern.
 
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from stratalake.llm.common import SPACES, table, written
 
+SYMBOLS = "#*$%&|<>"
 KEEP_AT = 0.5
-ROUNDS = 50
+ROUNDS = 30
 PRIOR_GOOD = 0.8  # starting share of good documents
 BASE_COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
@@ -51,13 +52,14 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
             *keep,
             "n_words",
             F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
-            (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+            (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             covered.cast("long").alias("n_repeat_words"),
             F.size(lines).cast("long").alias("n_lines"),
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct_words"),
             (F.length("_t") - F.length(F.translate("_t", ".!?,", ""))).cast("long").alias("n_stops"),
             (F.length("_t") - F.length(F.translate("_t", "0123456789", ""))).cast("long").alias("n_digits"),
+            sum((F.instr("_t", c) > 0).cast("int") for c in SYMBOLS).alias("n_symbol_kinds"),
         )
         .withColumn("base_failed", (n < 50) | (100 * F.col("n_repeat_words") > 50 * n))
     )
@@ -72,6 +74,8 @@ RULES: dict[str, Callable[[], Column]] = {
     "length": lambda: vote(F.col("n_words") < 20, F.col("n_words") >= 80),
     "word_length": lambda: vote((F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 12 * F.col("n_words")), F.col("word_chars").between(3 * F.col("n_words"), 9 * F.col("n_words"))),
     "symbols": lambda: vote(100 * F.col("n_symbols") > 10 * F.col("n_words"), 100 * F.col("n_symbols") <= F.col("n_words")),
+    "symbol_share": lambda: vote(100 * F.col("n_symbols") > 5 * F.col("word_chars"), 200 * F.col("n_symbols") <= F.col("word_chars")),
+    "symbol_kinds": lambda: vote(F.col("n_symbol_kinds") >= 4, F.col("n_symbol_kinds") <= 1),
     "lines": lambda: vote(100 * F.col("n_dup_lines") > 30 * F.col("n_lines"), F.col("n_dup_lines") == 0),
     "repeats": lambda: vote(100 * F.col("n_repeat_words") > 20 * F.col("n_words"), 100 * F.col("n_repeat_words") <= 5 * F.col("n_words")),
     "variety": lambda: vote(100 * F.col("n_distinct_words") < 20 * F.col("n_words"), 100 * F.col("n_distinct_words") >= 35 * F.col("n_words")),
@@ -80,27 +84,36 @@ RULES: dict[str, Callable[[], Column]] = {
 }
 
 
-def posteriors(histogram: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[list[float], list[float], float]:
+def posteriors(histogram: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[list[float], list[tuple[float, float]], float]:
     """Expectation-maximisation over (votes, count): (posterior of good for each pattern, rule accuracies, share of good).
 
-    A rule that votes is right with its own accuracy, held between 0.55 and 0.99: rules are taken to be better than chance,
-    which also fixes which of the two classes is the good one. Abstaining says nothing.
+    A rule that votes is right with one accuracy on good documents and another on bad ones, so a rule that says good of
+    nearly everything weighs little when it does. Their sum is held above 1: rules are taken to be better than chance, which
+    also fixes which of the two classes is the good one. Abstaining says nothing. The start takes a document without a bad vote as
+    likely good.
     """
     n_rules = len(histogram[0][0]) if histogram else 0
-    accuracy, share, good = [0.8] * n_rules, PRIOR_GOOD, []
+    good = [0.95 if min(v) >= 0 else 0.3 for v, _ in histogram]
+    accuracy, share = [(0.8, 0.5)] * n_rules, PRIOR_GOOD
     for _ in range(rounds):
+        total = sum(c for _, c in histogram)
+        share = min(0.99, max(0.01, sum(g * c for g, (_, c) in zip(good, histogram, strict=True)) / total)) if total else share
+        for r in range(n_rules):
+            cells = {(k, v): 0.0 for k in (0, 1) for v in (-1, 1)}
+            for g, (votes, c) in zip(good, histogram, strict=True):
+                if votes[r]:
+                    cells[1, votes[r]] += g * c
+                    cells[0, votes[r]] += (1 - g) * c
+            of_good = (cells[1, 1] + 4) / (cells[1, 1] + cells[1, -1] + 5)
+            of_bad = (cells[0, -1] + 1) / (cells[0, 1] + cells[0, -1] + 2)
+            of_good = min(0.999, max(0.02, of_good))
+            accuracy[r] = (of_good, min(0.999, max(1.02 - of_good, of_bad)))
         good = []
         for votes, _ in histogram:
             odds = math.log(share / (1 - share))
-            for v, a in zip(votes, accuracy, strict=True):
-                odds += v * math.log(a / (1 - a))
-            good.append(1 / (1 + math.exp(-odds)))
-        total = sum(c for _, c in histogram)
-        share = min(0.99, max(0.01, sum(g * c for g, (_, c) in zip(good, histogram, strict=True)) / total))
-        for r in range(n_rules):
-            right = sum((g if v[r] > 0 else 1 - g) * c for g, (v, c) in zip(good, histogram, strict=True) if v[r])
-            cast = sum(c for v, c in histogram if v[r])
-            accuracy[r] = min(0.99, max(0.55, (right + 4) / (cast + 5)))
+            for v, (g, b) in zip(votes, accuracy, strict=True):
+                odds += math.log(g / (1 - b)) if v > 0 else math.log((1 - g) / b) if v < 0 else 0.0
+            good.append(1 / (1 + math.exp(-max(-700.0, min(700.0, odds)))))
     return good, accuracy, share
 
 
