@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from stratalake.llm import bpe, decontaminate, language_id, quality
+from stratalake.llm import bpe, decontaminate, html_text, language_id, quality, warc
 
 QUERIES = {
     "op1_language_id": language_id.query,
+    "op3_warc": warc.query,
     "op6_quality": quality.query,
     "op7_bpe": bpe.query,
     "op9_decontaminate": decontaminate.query,
+    "op10_html_text": html_text.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
