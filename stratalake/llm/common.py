@@ -163,10 +163,10 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     if n == 0:
         return np.zeros(0, U64)
     if n < width:
-        out = U64(0x1234567 + n)
+        out = np.array([0x1234567 + n], U64)
         for i in range(n):
-            out = mix64(out * _ODD[15] + words[i : i + 1])[0]
-        return np.array([out], U64)
+            out = mix64(out * _ODD[15] + words[i : i + 1])
+        return out
     total = words[: n - width + 1] * _ODD[0]
     for i in range(1, width):
         total = total + words[i : n - width + 1 + i] * _ODD[i]
