@@ -116,7 +116,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _hash_block(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_block(data: np.ndarray, offsets: np.ndarray, tag=None) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, rows = word_bounds(data, offsets)
     if not len(starts):
         return np.zeros(0, U64), rows
@@ -128,15 +128,17 @@ def _hash_block(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     powers[1:] = U64(0x9E3779B97F4A7C15)
     powers = np.multiply.accumulate(powers)
     values = (data[place + np.repeat(starts, lengths)].astype(U64) + U64(1)) * powers[place]
-    return mix64(np.add.reduceat(values, first)), rows
+    hashes = mix64(np.add.reduceat(values, first))
+    return hashes if tag is None else (hashes & ~U64(15)) | tag(data, starts, ends), rows
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, tag=None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all lower-cased words of the rows, and row offsets into them. A text far longer than a slice is
-    hashed in pieces cut at white space, so the working memory follows the longest word, not the text."""
+    hashed in pieces cut at white space, so the working memory follows the longest word, not the text. tag, a function of (bytes,
+    starts, ends), gives a number below 16 to put in the last four bits of each word's hash."""
     data, offsets = raw_bytes(texts)
     if len(data) <= 4 * SLICE_BYTES or len(texts) > 1:
-        return _hash_block(lowered(data), offsets)
+        return _hash_block(lowered(data), offsets, tag)
     found, lo, n = [], 0, len(data)
     while lo < n:
         hi = min(n, lo + SLICE_BYTES)
@@ -148,7 +150,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 break
             hi += len(tail)
         piece = lowered(data[lo:hi])
-        found.append(_hash_block(piece, np.array([0, len(piece)]))[0])
+        found.append(_hash_block(piece, np.array([0, len(piece)]), tag)[0])
         lo = hi
     words = np.concatenate(found)
     return words, np.array([0, len(words)])

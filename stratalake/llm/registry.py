@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from stratalake.llm import bpe, decontaminate, html_text, language_id, near_dedup, quality, substring_dedup, warc
+from stratalake.llm import bpe, decontaminate, html_text, language_id, language_model, near_dedup, quality, substring_dedup, warc
 
 QUERIES = {
     "op1_language_id": language_id.query,
+    "op2_language_model": language_model.query,
     "op3_warc": warc.query,
     "op4_substring_dedup": substring_dedup.query,
     "op5_near_dedup": near_dedup.query,
