@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratalake.llm import bpe, decontaminate, html_text, language_id, language_model, near_dedup, quality, substring_dedup, warc
+from stratalake.llm import bpe, decontaminate, html_text, language_id, language_model, near_dedup, quality, quotes, substring_dedup, warc
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -12,8 +12,11 @@ QUERIES = {
     "op5_near_dedup": near_dedup.query,
     "op6_quality": quality.query,
     "op7_bpe": bpe.query,
+    "op8_quotes": quotes.query,
     "op9_decontaminate": decontaminate.query,
     "op10_html_text": html_text.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_quotes": quotes.SQL,
+}
