@@ -1,19 +1,28 @@
-"""The corpus pipeline: documents go through STAGES, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: documents go through STAGES, each written as Parquet and read again as the next one's input.
+
+Each stage is a function of (spark, docs, sf_dir). All but the last return the columns of documents; the last returns doc_id, n_tokens and ids.
+SQL can't express the stages; their tests compare them with brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalake.llm import common, language_id
+from stratalake.llm import bpe, common, decontaminate, language_id, near_dedup, substring_dedup
 
 STAGES = [
     ("language_id", language_id.stage),
+    ("near_dedup", near_dedup.stage),
+    ("substring_dedup", substring_dedup.stage),
+    ("decontaminate", decontaminate.stage),
+    ("bpe", bpe.stage),
 ]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the last stage returns for the documents of sf_dir."""
     docs = common.table(spark, sf_dir, "documents")
     for name, function in STAGES:
         docs = common.written(function(spark, docs, sf_dir), name)
