@@ -6,8 +6,8 @@ similarity reaches the threshold falls below the chosen miss probability; surviv
 
 Which pairs are compared. First each set with the least one of each of its buckets: as many pairs as bucket rows, whatever the size of
 the bucket. Links between sets already connected can't change a component, so what remains are the buckets that
-still hold several components, and in these all pairs across components are compared, in blocks of BLOCK x BLOCK within tasks; only pairs
-that survive leave a task. No pair of a bucket that could join two components is left out.
+still hold several components, and in these all pairs across components are compared, in blocks of BLOCK x BLOCK within tasks, full
+sets included; only links leave a task. No pair of a bucket that could join two components is left out.
 
 Defined cases: null or empty texts, and those without words, have no shingle, link with nothing and are their own component; a text with
 fewer words than a shingle has its whole sequence as its one shingle; repeated rows and copies share a component; a row with a
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from stratalake.llm.common import U64, components, many_partitions, mix64, shingles, table, text_slices, word_hashes, written
 
-BLOCK = 512
+BLOCK = 256
 BROADCAST_IDS = 500_000  # ids are broadcast up to this number (8 MB), joined by a shuffle beyond
 
 
@@ -107,20 +107,25 @@ def _matrix(column: pa.Array, hashes: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), hashes)
 
 
+def band_keys(sigs: np.ndarray, plan: Plan) -> np.ndarray:
+    """Bucket keys, bands x signatures."""
+    sigs, out = sigs.astype(U64), []
+    for b in range(plan.bands):
+        key = np.full(len(sigs), U64(b + 1))
+        for r in range(plan.rows):
+            key = mix64(key * U64(0x9E3779B97F4A7C15) + sigs[:, b * plan.rows + r])
+        out.append(key.view(np.int64))
+    return np.stack(out)
+
+
 def _bands(plan: Plan):
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                sigs = _matrix(part.column("sig"), plan.hashes).astype(U64)
-                keys = []
-                for b in range(plan.bands):
-                    key = np.full(len(sigs), U64(b + 1))
-                    for r in range(plan.rows):
-                        key = mix64(key * U64(0x9E3779B97F4A7C15) + sigs[:, b * plan.rows + r])
-                    keys.append(key.view(np.int64))
+                keys = band_keys(_matrix(part.column("sig"), plan.hashes), plan)
                 n = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.concat_arrays([part.column("id")] * plan.bands) if n else part.column("id")], names=["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.concat_arrays([part.column("id")] * plan.bands) if n else part.column("id")], names=["key", "id"])
 
     return run
 
@@ -179,56 +184,77 @@ def with_ids(docs: DataFrame, column: str, ids: DataFrame, how: str) -> DataFram
     return docs.join(F.broadcast(ids) if few else ids, F.col(column) == F.col("id"), how)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, unique: DataFrame, plan: Plan, name: str) -> DataFrame:
-    """The pairs (a, b) of set ids whose full sets reach the threshold. Sets are made again from the texts of the documents involved."""
-    involved = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(unique.select("id", "fp1", "fp2"), "id"), name + "-involved")
+def full_sets(ids: DataFrame, docs: DataFrame, unique: DataFrame, plan: Plan, name: str) -> DataFrame:
+    """(id, values) of the sets with the given ids, made again from the texts of the documents that carry them."""
+    involved = written(ids.join(unique.select("id", "fp1", "fp2"), "id"), name + "-involved")
     sets = with_ids(docs.select("doc_id", "text"), "doc_id", involved.select("id"), "left_semi").mapInArrow(_sets(plan.width), "doc_id long, fp1 long, fp2 long, values binary")
     sets = sets.join(involved, (sets["doc_id"] == involved["id"]) & (sets["fp1"] == involved["fp1"]) & (sets["fp2"] == involved["fp2"]), "left_semi")
-    sets = written(sets.select(F.col("doc_id").alias("id"), "values"), name + "-sets").dropDuplicates(["id"])
+    return written(sets.select(F.col("doc_id").alias("id"), "values").dropDuplicates(["id"]), name + "-sets")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, unique: DataFrame, plan: Plan, name: str) -> DataFrame:
+    """The pairs (a, b) of set ids whose full sets reach the threshold."""
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, unique, plan, name)
     left, right = sets.select(F.col("id").alias("a"), F.col("values").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("values").alias("set_b"))
     return written(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(plan.percent), "a long, b long"), name + "-links")
 
 
 def _cross(plan: Plan):
-    """Pairs across components of the rows of each (key, i, j) that may reach the threshold; rows come sorted by these."""
+    """Links across components among the rows of each (key, i, j), confirmed on full sets; rows come sorted by these. A pair that shares
+    several buckets is compared in that of its first band; components that a link joins count as one from then on."""
     least = least_matches(plan)
 
-    def pairs(rows):
-        ids, comps, blocks, sigs = rows
-        i_rows = np.flatnonzero(blocks[:, 0] == blocks[:, 2])
-        j_rows = np.flatnonzero(blocks[:, 1] == blocks[:, 2])
+    def links(rows):
+        key, ids, comps, blocks, sigs, sets = rows
+        comps = comps.copy()
+        firsts, seconds = np.flatnonzero(blocks[:, 0] == blocks[:, 2]), np.flatnonzero(blocks[:, 1] == blocks[:, 2])
         same = blocks[0, 0] == blocks[0, 1]
-        a_out, b_out = [], []
-        for x in i_rows:
-            others = j_rows[j_rows > x] if same else j_rows
+        for x in firsts:
+            others = seconds[seconds > x] if same else seconds
             others = others[comps[others] != comps[x]]
             if len(others):
-                live = others[alike(np.broadcast_to(sigs[x], (len(others), plan.hashes)), sigs[others], least, plan.step)]
-                a_out.append(np.maximum(ids[live], ids[x]))
-                b_out.append(np.minimum(ids[live], ids[x]))
-        return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else None
+                others = others[alike(np.broadcast_to(sigs[x], (len(others), plan.hashes)), sigs[others], least, plan.step)]
+            if not len(others):
+                continue
+            band = (sigs[others] == sigs[x]).reshape(len(others), plan.bands, plan.rows).all(axis=2).argmax(axis=1)
+            others = others[band_keys(sigs[x : x + 1], plan)[band, 0] == key]
+            if not len(others):
+                continue
+            values, sizes = np.concatenate([sets[y] for y in others]), np.array([len(sets[y]) for y in others])
+            at = np.minimum(np.searchsorted(sets[x], values), len(sets[x]) - 1)
+            both = np.add.reduceat((sets[x][at] == values).astype(np.int64), np.cumsum(sizes) - sizes)
+            for y in others[100 * both >= plan.percent * (len(sets[x]) + sizes - both)]:
+                if comps[y] != comps[x]:
+                    comps[comps == comps[y]] = comps[x]
+                    yield int(max(ids[x], ids[y])), int(min(ids[x], ids[y]))
+
+    def out(found):
+        cols = list(zip(*found, strict=True)) or [[], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
     def run(batches):
-        held, last = None, None
+        held, last = [], None  # rows of one (key, i, j), gathered until the next begins
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            arrays = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component")]
-            blocks = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "block")], axis=1)
-            rows = [*arrays, blocks, _matrix(batch.column("sig"), plan.hashes), batch.column("key").to_numpy(zero_copy_only=False)]
-            if held is not None:
-                rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
-            key = np.stack([rows[4], rows[2][:, 0], rows[2][:, 1]], axis=1)
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(key)]
-            for lo, hi in zip(cuts[:-2], cuts[1:-1], strict=False):
-                found = pairs([r[lo:hi] for r in rows[:4]])
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
-            held = [r[cuts[-2] :] for r in rows]
-        if held is not None:
-            found = pairs(held[:4])
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
+            lo = 0
+            while lo < len(keys):
+                hi = lo
+                while hi < len(keys) and keys[hi] == keys[lo]:
+                    hi += 1
+                if keys[lo] != last:
+                    if held:
+                        yield out(links(group(last, held)))
+                    held, last = [], keys[lo]
+                held.append(batch.slice(lo, hi - lo))
+                lo = hi
+        if held:
+            yield out(links(group(last, held)))
+
+    def group(key, parts):
+        num = lambda c: np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts])
+        sigs = np.concatenate([_matrix(p.column("sig"), plan.hashes) for p in parts])
+        sets = [np.frombuffer(x.as_buffer(), U64) for p in parts for x in p.column("values")]
+        return np.int64(key[0]), num("id"), num("component"), np.stack([num("i"), num("j"), num("block")], axis=1), sigs, sets
 
     return run
 
@@ -254,12 +280,12 @@ def classes(docs: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
         part = F.ceil(F.col("size") / BLOCK).cast("int")
         spread = members.join(mixed, "key").withColumn("parts", part).withColumn("block", F.pmod(F.xxhash64("id"), part).cast("int"))
         spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        spread = spread.select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sigs, "id")
-        rest = spread.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross(plan), "a long, b long").distinct()
-        rest = written(rest.join(likely, ["a", "b"], "left_anti"), "rest")
+        spread = spread.select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        sets = full_sets(members.join(mixed, "key", "left_semi").select("id").distinct(), docs, unique, plan, "rest")
+        spread = spread.join(sigs.join(sets, "id"), "id").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        rest = written(spread.mapInArrow(_cross(plan), "a long, b long").distinct(), "rest")
         if not rest.isEmpty():
-            links = links.unionByName(confirm(rest, docs, unique, plan, "rest"))
-            labels = components(links, "all")
+            labels = components(links.unionByName(rest), "all")
     named = unique.select("fp1", "fp2", "id").join(labels, "id", "left").select("fp1", "fp2", F.coalesce("component", "id").alias("component"))
     out = features.select("doc_id", "n", "fp1", "fp2").join(named, ["fp1", "fp2"], "left")
     return out.select("doc_id", "n", "fp1", "fp2", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component"))
