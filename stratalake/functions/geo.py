@@ -13,33 +13,36 @@ NUMBER = r"-?\d+(?:\.\d+)?"
 AXIS, FLATTENING, SCALE = 6378137.0, 1 / 298.257223563, 0.9996
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def great_circle_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Haversine distance in metres between points in degrees."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * EARTH_M * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def vertices(wkt: Column) -> Column:
     """array<struct<x,y>> of the vertices of a WKT text; the closing vertex of a ring of more than two is dropped; empty if none."""
     numbers = F.transform(F.regexp_extract_all(F.coalesce(wkt, F.lit("")), F.lit("(" + NUMBER + ")"), F.lit(1)), lambda x: x.cast("double"))
-    pairs = F.transform(F.filter(numbers, lambda _, i: i % 2 == 0), lambda x, i: F.struct(x.alias("x"), F.get(numbers, i * 2 + 1).alias("y")))
-    pairs = F.filter(pairs, lambda p: p["y"].isNotNull())
-    closed = (F.size(pairs) > 2) & (F.get(pairs, F.lit(0)) == F.get(pairs, F.size(pairs) - 1))
-    return F.when(closed, F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0)))).otherwise(pairs)
+    paired = lambda n: F.transform(F.filter(n, lambda _, i: i % 2 == 0), lambda x, i: F.struct(x.alias("x"), F.get(n, i * 2 + 1).alias("y")))
+    whole = let(numbers, lambda n: F.filter(paired(n), lambda p: p["y"].isNotNull()))
+    closed = lambda v: (F.size(v) > 2) & (F.get(v, F.lit(0)) == F.get(v, F.size(v) - 1))
+    return let(whole, lambda v: F.when(closed(v), F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0)))).otherwise(v))
 
 
 def centre(wkt: Column) -> Column:
     """struct<x,y> of the mean vertex, null if the text has none."""
-    v = vertices(wkt)
-    mean = lambda name: F.aggregate(v, F.lit(0.0), lambda a, p: a + p[name]) / F.size(v)
-    return F.when(F.size(v) > 0, F.struct(mean("x").alias("x"), mean("y").alias("y")))
+    mean = lambda v, name: F.aggregate(v, F.lit(0.0), lambda a, p: a + p[name]) / F.size(v)
+    return let(vertices(wkt), lambda v: F.when(F.size(v) > 0, F.struct(mean(v, "x").alias("x"), mean(v, "y").alias("y"))))
 
 
 def wkt_distance_m(a: Column, b: Column) -> Column:
     """Metres between the centres of two WKT texts, null if either has no vertex."""
-    p, q = centre(a), centre(b)
-    return great_circle_m(p["x"], p["y"], q["x"], q["y"])
+    return let(centre(a), lambda p: let(centre(b), lambda q: great_circle_m(p["x"], p["y"], q["x"], q["y"])))
 
 
 def point(lon: Column, lat: Column, digits: int | None = None) -> Column:
@@ -85,17 +88,26 @@ def utm_inverse(east: Column, north: Column, zone: Column, south: Column) -> Col
     y = F.when(south, north - 1e7).otherwise(north)
     mu = y / (SCALE * AXIS * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
     series = {2: 3 * e1 / 2 - 27 * e1**3 / 32, 4: 21 * e1**2 / 16 - 55 * e1**4 / 32, 6: 151 * e1**3 / 96, 8: 1097 * e1**4 / 512}
-    foot = mu
-    for k, a in series.items():
-        foot = foot + a * F.sin(k * mu)
-    sin2, tan2, c = F.pow(F.sin(foot), 2), F.pow(F.tan(foot), 2), ep2 * F.pow(F.cos(foot), 2)
-    across = AXIS / F.sqrt(1 - e2 * sin2)
-    along = AXIS * (1 - e2) / F.pow(1 - e2 * sin2, 1.5)
-    d = (east - 5e5) / (across * SCALE)
-    powers = {n: F.pow(d, n) for n in (2, 3, 4, 5, 6)}
-    lat = foot - across * F.tan(foot) / along * (powers[2] / 2 - (5 + 3 * tan2 + 10 * c - 4 * c * c - 9 * ep2) * powers[4] / 24 + (61 + 90 * tan2 + 298 * c + 45 * tan2 * tan2 - 252 * ep2 - 3 * c * c) * powers[6] / 720)
-    lon = (d - (1 + 2 * tan2 + c) * powers[3] / 6 + (5 - 2 * c + 28 * tan2 - 3 * c * c + 8 * ep2 + 24 * tan2 * tan2) * powers[5] / 120) / F.cos(foot)
-    return F.struct((F.degrees(lon) + zone * 6 - 183).alias("x"), F.degrees(lat).alias("y"))
+    def of_mu(mu: Column) -> Column:
+        foot = mu
+        for k, a in series.items():
+            foot = foot + a * F.sin(k * mu)
+        return let(foot, of_foot)
+
+    def of_foot(foot: Column) -> Column:
+        sin2 = F.pow(F.sin(foot), 2)
+        d = (east - 5e5) * F.sqrt(1 - e2 * sin2) / (AXIS * SCALE)
+        # The radii of curvature across and along the meridian are in the ratio that follows.
+        ratio = (1 - e2 * sin2) / (1 - e2)
+        return let(F.struct(foot.alias("foot"), d.alias("d"), ratio.alias("ratio"), F.pow(F.tan(foot), 2).alias("t"), (ep2 * F.pow(F.cos(foot), 2)).alias("c")), of_parts)
+
+    def of_parts(p: Column) -> Column:
+        d, t, c = p["d"], p["t"], p["c"]
+        lat = p["foot"] - p["ratio"] * F.tan(p["foot"]) * (F.pow(d, 2) / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) * F.pow(d, 4) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c) * F.pow(d, 6) / 720)
+        lon = (d - (1 + 2 * t + c) * F.pow(d, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t) * F.pow(d, 5) / 120) / F.cos(p["foot"])
+        return F.struct((F.degrees(lon) + zone * 6 - 183).alias("x"), F.degrees(lat).alias("y"))
+
+    return let(mu, of_mu)
 
 
 def decametric_point(text: Column, area_wkt: Column, reach_km: float = 150) -> Column:
@@ -103,15 +115,16 @@ def decametric_point(text: Column, area_wkt: Column, reach_km: float = 150) -> C
     the lost million-metre digit: of the ten candidates the nearest to its centre counts, null if it is beyond reach_km."""
     pattern = r"(\d{5})\s*-\s*(\d{5})"
     shown = F.coalesce(text, F.lit(""))
-    east = F.regexp_extract(shown, pattern, 1).try_cast("double") * 10 + 5
-    north = F.regexp_extract(shown, pattern, 2).try_cast("double") * 10 + 5
-    mid = centre(area_wkt)
-    zone = F.floor((mid["x"] + 180) / 6) + 1
-
-    def candidate(i: Column) -> Column:
-        p = utm_inverse(east, north + i * 1e6, zone, mid["y"] < 0)
-        km = 111.195 * F.hypot(p["y"] - mid["y"], (p["x"] - mid["x"]) * F.cos(F.radians(mid["y"])))
-        return F.struct(km.alias("km"), p["x"].alias("x"), p["y"].alias("y"))
-
-    best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(9)), candidate))
-    return F.when(east.isNotNull() & north.isNotNull() & mid.isNotNull() & (best["km"] <= reach_km), F.format_string("POINT(%.6f %.6f)", best["x"], best["y"]))
+    read = lambda g: F.regexp_extract(shown, pattern, g).try_cast("double") * 10 + 5
+
+    def of_known(k: Column) -> Column:
+        def candidate(i: Column) -> Column:
+            place = utm_inverse(k["east"], k["north"] + i * 1e6, F.floor((k["x"] + 180) / 6) + 1, k["y"] < 0)
+            km = lambda p: 111.195 * F.hypot(p["y"] - k["y"], (p["x"] - k["x"]) * F.cos(F.radians(k["y"])))
+            return let(place, lambda p: F.struct(km(p).alias("km"), p["x"].alias("x"), p["y"].alias("y")))
+
+        best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(9)), candidate))
+        usable = k["east"].isNotNull() & k["north"].isNotNull() & k["x"].isNotNull()
+        return F.when(usable, let(best, lambda p: F.when(p["km"] <= reach_km, F.format_string("POINT(%.6f %.6f)", p["x"], p["y"]))))
+
+    return let(centre(area_wkt), lambda m: let(F.struct(read(1).alias("east"), read(2).alias("north"), m["x"].alias("x"), m["y"].alias("y")), of_known))
