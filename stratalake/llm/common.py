@@ -201,8 +201,12 @@ def components(links: DataFrame, name: str) -> DataFrame:
     raise RuntimeError("components did not settle in 63 rounds")
 
 
-def rows_from(name_types: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, name_types, strict=True)], names=[n for n, _ in name_types])
+def shielded(docs: DataFrame, needed: list[str]):
+    """(docs with every column but those needed under a name of ours, function that gives a frame with these columns back its own
+    names and order), so that no column of the input clashes with an operator's."""
+    inside = [c if c in needed else f"_shield{i}" for i, c in enumerate(docs.columns)]
+    outside = docs.columns
+    return docs.toDF(*inside), lambda df: df.select(*inside).toDF(*outside)
 
 
 def extended(path: str) -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalake.llm.common import U64, held_out, mix64, table, text_slices
+from stratalake.llm.common import U64, held_out, mix64, shielded, table, text_slices
 
 N_BUCKETS = 1 << 15
 MAX_CELLS = 1 << 23  # languages x buckets of the broadcast matrix: 64 MB of doubles at most
@@ -155,6 +155,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is recognised: those that are `und` or fall below MIN_SCORE go. The columns stay as they
     are, but a null lang is filled with the prediction."""
     model = fit(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"), 4)))
-    columns = docs.columns
-    out = predict(docs, model, columns).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+    plain, restored = shielded(docs, ["doc_id", "text", "lang"])
+    out = predict(plain, model, plain.columns).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    return restored(out.withColumn("lang", F.coalesce("lang", "lang_pred")))

@@ -9,6 +9,8 @@ the bucket. Links between sets already connected can't change a component, so wh
 still hold several components, and in these all pairs across components are compared, in blocks of BLOCK x BLOCK within tasks, full
 sets included; only links leave a task. No pair of a bucket that could join two components is left out.
 
+Sets have ids of their own, so rows that share a doc_id but not a text are told apart.
+
 Defined cases: null or empty texts, and those without words, have no shingle, link with nothing and are their own component; a text with
 fewer words than a shingle has its whole sequence as its one shingle; repeated rows and copies share a component; a row with a
 null doc_id is linked with nothing, has a null component and is kept; an empty table gives an empty result; other columns are ignored.
@@ -180,16 +182,17 @@ def _sets(width: int):
 
 def with_ids(docs: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
     """docs joined (left_semi or left_anti) with the column `id` of ids, which is broadcast where it is small enough."""
+    ids = ids.select(F.col("id").alias("_with_id"))
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, F.col(column) == F.col("id"), how)
+    return docs.join(F.broadcast(ids) if few else ids, F.col(column) == F.col("_with_id"), how)
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, unique: DataFrame, plan: Plan, name: str) -> DataFrame:
     """(id, values) of the sets with the given ids, made again from the texts of the documents that carry them."""
-    involved = written(ids.join(unique.select("id", "fp1", "fp2"), "id"), name + "-involved")
-    sets = with_ids(docs.select("doc_id", "text"), "doc_id", involved.select("id"), "left_semi").mapInArrow(_sets(plan.width), "doc_id long, fp1 long, fp2 long, values binary")
-    sets = sets.join(involved, (sets["doc_id"] == involved["id"]) & (sets["fp1"] == involved["fp1"]) & (sets["fp2"] == involved["fp2"]), "left_semi")
-    return written(sets.select(F.col("doc_id").alias("id"), "values").dropDuplicates(["id"]), name + "-sets")
+    involved = written(ids.join(unique.select("id", "doc", "fp1", "fp2"), "id"), name + "-involved")
+    sets = with_ids(docs.select("doc_id", "text"), "doc_id", involved.select(F.col("doc").alias("id")).distinct(), "left_semi").mapInArrow(_sets(plan.width), "doc_id long, fp1 long, fp2 long, values binary")
+    sets = sets.withColumnRenamed("doc_id", "doc").join(involved, ["doc", "fp1", "fp2"]).select("id", "values")
+    return written(sets.dropDuplicates(["id"]), name + "-sets")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, unique: DataFrame, plan: Plan, name: str) -> DataFrame:
@@ -264,7 +267,7 @@ def classes(docs: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = many_partitions(docs.sparkSession)
     features = written(docs.mapInArrow(_features(plan), "doc_id long, n long, fp1 long, fp2 long, sig binary"), "features")
-    unique = written(features.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "unique")
+    unique = written(features.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id()), "unique")
     bands = written(unique.select("id", "sig").mapInArrow(_bands(plan), "key long, id long"), "bands")
     buckets = bands.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b < most").select("key", "b")
     stars = written(bands.join(buckets, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "stars")
@@ -286,7 +289,9 @@ def classes(docs: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
         rest = written(spread.mapInArrow(_cross(plan), "a long, b long").distinct(), "rest")
         if not rest.isEmpty():
             labels = components(links.unionByName(rest), "all")
-    named = unique.select("fp1", "fp2", "id").join(labels, "id", "left").select("fp1", "fp2", F.coalesce("component", "id").alias("component"))
+    linked = unique.select("id", "doc").join(labels, "id")
+    least = linked.join(linked.groupBy("component").agg(F.min("doc").alias("least")), "component").select("id", "least")
+    named = unique.select("fp1", "fp2", "id", "doc").join(least, "id", "left").select("fp1", "fp2", F.coalesce("least", "doc").alias("component"))
     out = features.select("doc_id", "n", "fp1", "fp2").join(named, ["fp1", "fp2"], "left")
     return out.select("doc_id", "n", "fp1", "fp2", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component"))
 
@@ -303,4 +308,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id")), "repeated")
     if repeated.isEmpty():
         return out
-    return with_ids(out, "doc_id", repeated, "left_anti").unionByName(with_ids(out, "doc_id", repeated, "left_semi").dropDuplicates(["doc_id"]))
+    return with_ids(out, "doc_id", repeated, "left_anti").unionByName(with_ids(out, "doc_id", repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, shingle FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS reached FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.reached = e.a),
+m AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id IS NOT DISTINCT FROM m.component_id AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.id = d.doc_id
+"""

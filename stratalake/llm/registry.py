@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": warc.SQL,
+    "op5_near_dedup": near_dedup.SQL,
     "op8_quotes": quotes.SQL,
 }

@@ -304,3 +304,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archives(table(spark, sf_dir, "pages"), path)
     found = read_archives(spark, path)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS h, row_number() OVER () AS uid FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST, uid) AS place, max(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+ array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), '') AS payload_digest,
+ CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN first_id END AS refers_to FROM r
+"""
