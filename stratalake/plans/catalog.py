@@ -435,6 +435,32 @@ def geojson_wkt(spark, d):
     return load(spark, d, "customer").select("c_custkey", geo.geojson_wkt(shown).alias("wkt"))
 
 
+def _utm_sql() -> str:
+    """The inverse transverse Mercator series of geo.utm_inverse, step by step, for zone 23 south."""
+    e2 = geo.FLATTENING * (2 - geo.FLATTENING)
+    ep2, e1 = e2 / (1 - e2), (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5)
+    unit = geo.SCALE * geo.AXIS * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256)
+    a2, a4, a6, a8 = 3 * e1 / 2 - 27 * e1**3 / 32, 21 * e1**2 / 16 - 55 * e1**4 / 32, 151 * e1**3 / 96, 1097 * e1**4 / 512
+    return f"""
+WITH r AS (SELECT c_custkey, 30000 + c_custkey * 37 % 40000 AS e5, c_custkey * 7919 % 100000 AS n5 FROM customer),
+c AS (SELECT c_custkey, CAST(e5 * 10 + 5 AS DOUBLE) AS e, (CAST(n5 * 10 + 5 + i * 1000000 AS DOUBLE) - 1e7) / CAST({unit!r} AS DOUBLE) AS mu FROM r CROSS JOIN range(10) t(i)),
+f AS (SELECT c_custkey, e, mu + {a2!r}::DOUBLE * sin(2 * mu) + {a4!r}::DOUBLE * sin(4 * mu) + {a6!r}::DOUBLE * sin(6 * mu) + {a8!r}::DOUBLE * sin(8 * mu) AS p FROM c),
+g AS (SELECT c_custkey, p, (e - 5e5) * sqrt(1 - {e2!r}::DOUBLE * power(sin(p), 2)) / ({geo.AXIS!r}::DOUBLE * {geo.SCALE!r}::DOUBLE) AS d, (1 - {e2!r}::DOUBLE * power(sin(p), 2)) / (1 - {e2!r}::DOUBLE) AS q, power(tan(p), 2) AS t, {ep2!r}::DOUBLE * power(cos(p), 2) AS k FROM f),
+h AS (SELECT c_custkey, degrees(p - q * tan(p) * (power(d, 2) / 2 - (5 + 3 * t + 10 * k - 4 * k * k - 9 * {ep2!r}::DOUBLE) * power(d, 4) / 24 + (61 + 90 * t + 298 * k + 45 * t * t - 252 * {ep2!r}::DOUBLE - 3 * k * k) * power(d, 6) / 720)) AS lat,
+ degrees((d - (1 + 2 * t + k) * power(d, 3) / 6 + (5 - 2 * k + 28 * t - 3 * k * k + 8 * {ep2!r}::DOUBLE + 24 * t * t) * power(d, 5) / 120) / cos(p)) + 23 * 6 - 183 AS lon FROM g),
+m AS (SELECT *, 111.195::DOUBLE * sqrt(power(lat + 22.7, 2) + power((lon + 45) * cos(radians(-22.7)), 2)) AS km FROM h),
+b AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY km) AS r FROM m)
+SELECT c_custkey, CASE WHEN km <= 150 THEN printf('POINT(%.6f %.6f)', lon, lat) END AS wkt FROM b WHERE r = 1"""
+
+
+@query(_utm_sql())
+def utm_point(spark, d):
+    k = F.col("c_custkey")
+    shown = F.format_string("%05d-%05d", 30000 + k * 37 % 40000, k * 7919 % 100000)
+    area = F.lit("POLYGON((-45.3 -22.9, -44.7 -22.9, -44.7 -22.5, -45.3 -22.5, -45.3 -22.9))")
+    return load(spark, d, "customer").select("c_custkey", geo.decametric_point(shown, area).alias("wkt"))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{\"extra\":\"' || event_type || '\"}' END AS rest FROM events")
 def leftover_json(spark, d):
     cells = F.create_map(F.lit("id"), F.col("event_id").cast("string"), F.lit("extra"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")))
