@@ -63,7 +63,9 @@ def many_partitions(spark: SparkSession) -> int:
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
     """Cuts a batch into runs of rows with at most `most` bytes of text, one row at least; nulls become empty."""
-    texts = pc.fill_null(batch.column(column), "")
+    texts = batch.column(column)
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     lo, n = 0, len(sizes)

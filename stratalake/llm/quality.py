@@ -76,8 +76,9 @@ RULES: dict[str, Callable[[], Column]] = {
     "symbols": lambda: vote(100 * F.col("n_symbols") > 10 * F.col("n_words"), 100 * F.col("n_symbols") <= F.col("n_words")),
     "symbol_share": lambda: vote(100 * F.col("n_symbols") > 5 * F.col("word_chars"), 200 * F.col("n_symbols") <= F.col("word_chars")),
     "symbol_kinds": lambda: vote(F.col("n_symbol_kinds") >= 4, F.col("n_symbol_kinds") <= 1),
-    "lines": lambda: vote(100 * F.col("n_dup_lines") > 30 * F.col("n_lines"), F.col("n_dup_lines") == 0),
-    "repeats": lambda: vote(100 * F.col("n_repeat_words") > 20 * F.col("n_words"), 100 * F.col("n_repeat_words") <= 5 * F.col("n_words")),
+    # One line said twice in a short text is no evidence, so a bad vote takes three.
+    "lines": lambda: vote((F.col("n_dup_lines") >= 3) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines")), F.col("n_dup_lines") == 0),
+    "repeats": lambda: vote(100 * F.col("n_repeat_words") > 35 * F.col("n_words"), 100 * F.col("n_repeat_words") <= 10 * F.col("n_words")),
     "variety": lambda: vote(100 * F.col("n_distinct_words") < 20 * F.col("n_words"), 100 * F.col("n_distinct_words") >= 35 * F.col("n_words")),
     "stops": lambda: vote(100 * F.col("n_stops") < F.col("n_words"), 100 * F.col("n_stops") >= 5 * F.col("n_words")),
     "digits": lambda: vote(F.col("n_digits") > F.col("n_words"), 10 * F.col("n_digits") <= F.col("n_words")),
