@@ -52,6 +52,23 @@ TABLES: dict[str, dict[str, str]] = {
     },
 }
 
+#: what tables and columns hold; kept with the tables
+COMMENTS: dict[str, dict[str, str]] = {
+    "event": {
+        "": "what all sources have in common: one row an observation", "event_id": "digest of source, record and time in UTC", "source_record_code": "the record's own identity at its source",
+        "geometry_wkt": "WKT, longitude first", "latency_seconds": "from occurrence to arrival", "model_name": "models that inferred values, the last first", "recipe_hash": "digest of the rules that made the row", "revision_code": "recipe and its revision",
+    },
+    "unit_status": {"": "one row for each unit line of a periodic report", "extra_json": "columns that the form didn't foresee", "form_version": "V1 with all declared headers, else V2"},
+    "control_measure": {"": "what only drawn measures have"},
+    "extraction": {"": "one reading of a file or record by a tool", "origin_extraction_id": "the reading that this one read", "is_inferred": "Y if a model guessed"},
+    "extraction_setting": {"": "parameters and prompt behind a setting's code", "content_hash": "a code stands for one content"},
+    "view_terrain_threat": {"": "terrain, people, threat and its activity by place", "event_ids": "the events behind the row"},
+    "view_data_problems": {"": "what came broken and what did not come"},
+    "view_planning_inputs": {"": "what there is for planning, by phase and factor"},
+    "view_current_picture": {"": "the latest state; the clock is the newest event of the operation"},
+    "view_indicators": {"": "series by unit and by day with trends", "is_current": "Y on the last period of a series"},
+}
+
 SOURCES = {"c2a": "C2_A", "c2b": "C2_B", "relper": "STATUS", "fogos": "FIRES", "voz": "VOICE"}
 
 #: canonical value -> synonyms

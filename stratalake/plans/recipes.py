@@ -347,8 +347,14 @@ def columns_of(recipe: Recipe, model) -> list[dict]:
 
 
 def create_tables(spark: SparkSession, store: TableStore, model) -> None:
+    comments = getattr(model, "COMMENTS", {})
     for name, columns in model.TABLES.items():
-        store.create(name, spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in columns.items())).schema)
+        schema = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in columns.items())).schema
+        known = comments.get(name, {})
+        for f in schema:
+            if f.name in known:
+                f.metadata = {"comment": known[f.name]}
+        store.create(name, schema, known.get("", ""))
 
 
 def run(spark: SparkSession, store: TableStore, name: str, model) -> dict:

@@ -181,6 +181,14 @@ def test_store_versions(spark, tmp_path):
     assert s.read("x").count() == 3
 
 
+def test_comments_stay(spark, tmp_path):
+    s = TableStore(spark, f"file://{tmp_path}/t")
+    recipes.create_tables(spark, s, model)
+    s.overwrite("event", s.read("event"))
+    found = {c: text for c, _, text in s.describe("event")}
+    assert found[""].startswith("what all sources") and found["geometry_wkt"] == "WKT, longitude first" and set(found) - {""} == set(model.TABLES["event"])
+
+
 def test_seed(spark, tmp_path):
     (tmp_path / "u.csv").write_text("# comment\nUNIDADE_COD,N\nA,1\nB,\nC,x\n")
     schema = spark.createDataFrame([], "unit_code string, n int, other string").schema
