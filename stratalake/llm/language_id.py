@@ -148,7 +148,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(marked, model, ["doc_id", "held_out"])
 
 
-MIN_SCORE = 0.5
+MIN_SCORE = 0.3
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
