@@ -45,6 +45,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> bool:
+    """Deletes all intermediates under scratch(), once no frame made from them is needed any more; whether there were any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/stratalake")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
