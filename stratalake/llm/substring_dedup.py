@@ -164,10 +164,7 @@ def _arrays(batches):
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingles(words[rows[i] : rows[i + 1]], WIDTH).astype(np.uint32).tobytes() for i in range(len(texts))], pa.binary())], names=["id", "values"])
 
 
-DENSE = 88  # share of matches, in percent, of a stretch that can reach a Jaccard similarity of PERCENT: 2 s / (1 + s), rounded down
-
-
-def dense_stretches(mask: np.ndarray, percent: int = DENSE) -> list[tuple[int, int]]:
+def dense_stretches(mask: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """The longest stretches [i, j] that begin and end with a match and whose share of matches is at least percent, none inside another."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
     begins, ends = edges[::2], edges[1::2]
@@ -181,6 +178,60 @@ def dense_stretches(mask: np.ndarray, percent: int = DENSE) -> list[tuple[int, i
     return list(zip(begins[fresh].tolist(), (ends[last[fresh]] - 1).tolist(), strict=True))
 
 
+def _before(values: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The place of each value's last occurrence before it, or -1; order sorts them stably."""
+    out = np.full(len(values), -1)
+    same = np.flatnonzero(values[order[1:]] == values[order[:-1]])
+    out[order[same + 1]] = order[same]
+    return out
+
+
+class _Similar:
+    """Similarity of stretches of a to what they match in b."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, known: np.ndarray, order: np.ndarray, least: int, percent: int):
+        self.a, self.b, self.known, self.order, self.least, self.percent = a, b, known, order, least, percent
+        self.before: tuple[np.ndarray, np.ndarray] | None = None
+
+    def whole(self, mask: np.ndarray, where: np.ndarray, i: int, j: int):
+        places = where[i : j + 1][mask[i : j + 1]]
+        lo, hi = int(places.min()), int(places.max())
+        p, q = np.unique(self.a[i : j + 1]), np.unique(self.b[lo : hi + 1])
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        union = len(p) + len(q) - both
+        if 100 * both >= self.percent * union and (hi - lo + 1) * 100 >= self.least * self.percent:
+            return i, j, lo, hi, both / union
+        return None
+
+    def within(self, mask: np.ndarray, where: np.ndarray, i: int, j: int) -> list:
+        """The stretches of [i, j], from the begin of a run to the end of one, that are similar enough, none inside another. A dense stretch that isn't
+        may hold some: for each begin the ends are tried, from the last on, whose sizes allow it if all that b holds anywhere is shared."""
+        if found := self.whole(mask, where, i, j):
+            return [found]
+        if self.before is None:
+            self.before = _before(self.a, np.argsort(self.a, kind="stable")), _before(self.b, self.order)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], mask[i : j + 1].astype(np.int8), [0]])))
+        ends, out, reach = edges[1::2] + i - 1, [], -1
+        for x in (edges[::2] + i).tolist():
+            stops = ends[ends >= max(x + self.least - 1, reach + 1)]
+            if not len(stops):
+                continue
+            m, w, new = mask[x : j + 1], where[x : j + 1], self.before[0][x : j + 1] < x
+            lo = np.minimum.accumulate(np.where(m, w, len(self.b)))[stops - x]
+            hi = np.maximum.accumulate(np.where(m, w, -1))[stops - x]
+            in_a, shared = np.cumsum(new)[stops - x], np.cumsum(new & self.known[x : j + 1])[stops - x]
+            in_b = np.zeros(len(stops), np.int64)
+            for v in np.unique(lo).tolist():
+                own = lo == v
+                in_b[own] = np.cumsum(self.before[1][v : int(hi[own].max()) + 1] < v)[hi[own] - v]
+            for y in stops[100 * shared >= self.percent * (in_a + in_b - shared)][::-1].tolist():
+                if found := self.whole(mask, where, x, y):
+                    out.append(found)
+                    reach = y
+                    break
+        return out
+
+
 GAP = 16  # shingles by which neighbouring diagonals of one passage differ at most
 
 
@@ -188,13 +239,15 @@ def passages(a: np.ndarray, b: np.ndarray, least: int = LEAST, percent: int = PE
     """(first and last shingle in a, first and last in b, similarity) of the near-duplicate passages of two shingle sequences.
 
     Matches lie on diagonals. Runs of `least` matches on one diagonal are exact passages; dense stretches of matches in a band of
-    diagonals are passages where their sets are similar enough. Passages inside another one are left out."""
+    diagonals hold passages where their sets are similar enough. At a similarity of s both sides hold s of their shingles in common, whichever has words
+    inserted, so a share of `percent` is sought and the sets decide. Passages inside another one are left out."""
     if len(a) < least or len(b) * 100 < least * percent:
         return []
     order = np.argsort(b, kind="stable")
     ranked = b[order]
     at = np.minimum(np.searchsorted(ranked, a), len(ranked) - 1)
-    hits = np.flatnonzero(ranked[at] == a)
+    known = ranked[at] == a
+    hits = np.flatnonzero(known)
     if len(hits) * 100 < least * percent:
         return []
     shift = order[at[hits]] - hits
@@ -211,6 +264,7 @@ def passages(a: np.ndarray, b: np.ndarray, least: int = LEAST, percent: int = PE
         for i, j in zip((edges[::2] + lo).tolist(), (edges[1::2] + lo - 1).tolist(), strict=True):
             if j - i + 1 >= least:
                 found.append((i, j, i + s, j + s, 1.0))
+    similar = _Similar(a, b, known, order, least, percent)
     bands = np.cumsum(np.concatenate([[0], np.diff(values) > GAP]))
     band = bands[np.searchsorted(values, shift)]
     for k in range(int(bands[-1]) + 1):
@@ -220,16 +274,9 @@ def passages(a: np.ndarray, b: np.ndarray, least: int = LEAST, percent: int = PE
         mask, where = np.zeros(len(a), bool), np.zeros(len(a), np.int64)
         mask[hits[own]] = True
         where[hits[own]] = (hits + shift)[own]
-        for i, j in dense_stretches(mask):
-            if j - i + 1 < least:
-                continue
-            places = where[i : j + 1][mask[i : j + 1]]
-            lo, hi = int(places.min()), int(places.max())
-            p, q = np.unique(a[i : j + 1]), np.unique(b[lo : hi + 1])
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            union = len(p) + len(q) - both
-            if 100 * both >= percent * union and (hi - lo + 1) * 100 >= least * percent:
-                found.append((i, j, lo, hi, both / union))
+        for i, j in dense_stretches(mask, percent):
+            if j - i + 1 >= least:
+                found += similar.within(mask, where, i, j)
     found.sort(key=lambda x: (x[0], -x[1], -x[4]))
     out: list = []
     for x in found:

@@ -111,3 +111,34 @@ def test_blocks_lose_nothing(spark, frame, folder, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 2)
     monkeypatch.setattr(S, "PAIRS", 3)
     assert {r.doc_id for r in S.query(spark, sf).collect()} == repeated(rows)
+
+
+def shingled(k, n, inserted=0):
+    values = list(range(1000 * k, 1000 * k + n))
+    # A word inserted mid-way replaces WIDTH - 1 shingles by as many, and one more for each word.
+    half = n // 2
+    return np.array(values if not inserted else values[:half] + [10**6 + i for i in range(inserted + 4)] + values[half + 4 :], np.uint32)
+
+
+def test_insertions_on_either_side_near_the_threshold():
+    for n, inserted in ((60, 5), (76, 8)):
+        plain, longer = shingled(1, n), shingled(1, n, inserted)
+        similarity = (n - 4) / (n + inserted + 4)
+        assert similarity >= 0.8
+        for a, b in ((plain, longer), (longer, plain)):
+            ((i, j, lo, hi, s),) = S.passages(a, b)
+            assert (i, j, lo, hi) == (0, len(a) - 1, 0, len(b) - 1) and abs(s - similarity) < 1e-9
+        assert not S.passages(longer[:40], plain) and not S.passages(shingled(1, n, 20), plain)
+
+
+def test_a_passage_inside_a_dense_stretch_is_found():
+    # 60 shingles with one replaced word, then stretches of matches too thin for the similarity though the whole is dense enough.
+    plain = shingled(2, 130)
+    other = plain.copy()
+    for k in (28, 62, 74, 86, 98, 110):
+        other[k : k + 5] = np.arange(5) + 10**6 + 10 * k
+    got = S.passages(other, plain)
+    assert got and max(j - i + 1 for i, j, *_ in got) >= 60
+    for i, j, lo, hi, s in got:
+        p, q = set(other[i : j + 1].tolist()), set(plain[lo : hi + 1].tolist())
+        assert s == len(p & q) / len(p | q) >= 0.8
