@@ -187,18 +187,24 @@ def _before(values: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 class _Similar:
-    """Similarity of stretches of a to what they match in b."""
+    """Similarity of stretches of a to what they match in b: first has the first place in b of each value of a that b holds (known)."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, known: np.ndarray, order: np.ndarray, least: int, percent: int):
-        self.a, self.b, self.known, self.order, self.least, self.percent = a, b, known, order, least, percent
-        self.before: tuple[np.ndarray, np.ndarray] | None = None
+    def __init__(self, a: np.ndarray, b: np.ndarray, known: np.ndarray, first: np.ndarray, order: np.ndarray, least: int, percent: int):
+        self.a, self.b, self.known, self.first, self.least, self.percent = a, b, known, first, least, percent
+        self.before = _before(a, np.argsort(a, kind="stable")), _before(b, order)
 
     def whole(self, mask: np.ndarray, where: np.ndarray, i: int, j: int):
         places = where[i : j + 1][mask[i : j + 1]]
         lo, hi = int(places.min()), int(places.max())
-        p, q = np.unique(self.a[i : j + 1]), np.unique(self.b[lo : hi + 1])
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        union = len(p) + len(q) - both
+        new = np.flatnonzero(self.before[0][i : j + 1] < i) + i
+        one, two = len(new), int(np.count_nonzero(self.before[1][lo : hi + 1] < lo))
+        new = new[self.known[new]]
+        first = self.first[new]
+        both = int(np.count_nonzero((first >= lo) & (first <= hi)))
+        early = new[first < lo]  # those may occur again from lo on
+        if len(early):
+            both += int(np.count_nonzero(np.isin(self.a[early], self.b[lo : hi + 1])))
+        union = one + two - both
         if 100 * both >= self.percent * union and (hi - lo + 1) * 100 >= self.least * self.percent:
             return i, j, lo, hi, both / union
         return None
@@ -208,8 +214,6 @@ class _Similar:
         may hold some: for each begin the ends are tried, from the last on, whose sizes allow it if all that b holds anywhere is shared."""
         if found := self.whole(mask, where, i, j):
             return [found]
-        if self.before is None:
-            self.before = _before(self.a, np.argsort(self.a, kind="stable")), _before(self.b, self.order)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], mask[i : j + 1].astype(np.int8), [0]])))
         ends, out, reach = edges[1::2] + i - 1, [], -1
         for x in (edges[::2] + i).tolist():
@@ -264,7 +268,7 @@ def passages(a: np.ndarray, b: np.ndarray, least: int = LEAST, percent: int = PE
         for i, j in zip((edges[::2] + lo).tolist(), (edges[1::2] + lo - 1).tolist(), strict=True):
             if j - i + 1 >= least:
                 found.append((i, j, i + s, j + s, 1.0))
-    similar = _Similar(a, b, known, order, least, percent)
+    similar = None
     bands = np.cumsum(np.concatenate([[0], np.diff(values) > GAP]))
     band = bands[np.searchsorted(values, shift)]
     for k in range(int(bands[-1]) + 1):
@@ -276,6 +280,7 @@ def passages(a: np.ndarray, b: np.ndarray, least: int = LEAST, percent: int = PE
         where[hits[own]] = (hits + shift)[own]
         for i, j in dense_stretches(mask, percent):
             if j - i + 1 >= least:
+                similar = similar or _Similar(a, b, known, order[at], order, least, percent)
                 found += similar.within(mask, where, i, j)
     found.sort(key=lambda x: (x[0], -x[1], -x[4]))
     out: list = []
@@ -298,93 +303,86 @@ def _verify(batches):
         yield _link_batch(rows)
 
 
-PAIRS = 40_000  # pairs of windows compared at a time
+PAIRS = 400_000  # shared shingles of pairs of windows looked at at a time
+SHINGLES = 300_000
+FIRST = 64  # least rows of a group that each is compared with first, which settles most
 
 
-def _laid(data: np.ndarray, offsets: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The stretches of the rows as rows of a grid, their centres in its middle column."""
-    side = LEAST - 1
-    sizes = np.diff(offsets)
-    grid = np.zeros(len(sizes) * (2 * side + 1), np.uint32)
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)
-    grid[np.repeat(np.arange(len(sizes)) * (2 * side + 1) + side - centres, sizes) + place] = data
-    return grid.reshape(len(sizes), 2 * side + 1)
+def _holds_dense(known: np.ndarray, least: int = LEAST, percent: int = PERCENT) -> bool:
+    """Whether some stretch of `least` or more places begins and ends with a match and has a share of `percent` of matches."""
+    if len(known) < least:
+        return False
+    score = np.concatenate([[0], np.cumsum(np.where(known, 100 - percent, -percent))])
+    begin = np.minimum.accumulate(np.where(known, score[:-1], 100 * len(known)))
+    return bool((known[least - 1 :] & (score[least:] >= begin[: len(known) - least + 1])).any())
 
 
-def shared_links(groups: np.ndarray, ids: np.ndarray, at: np.ndarray, opens: np.ndarray, alone: np.ndarray, own: np.ndarray, c1: np.ndarray, c2: np.ndarray, data: np.ndarray, offsets: np.ndarray):
+def shared_links(groups: np.ndarray, ids: np.ndarray, at: np.ndarray, opens: np.ndarray, alone: np.ndarray, own: np.ndarray, data: np.ndarray, offsets: np.ndarray):
     """For each open row, the passages that it shares with the least lesser row of its group that shares any. Rows come by group; alone: whether
     rows of the group's blocks meet all others, or those of the other block (own) only.
 
-    Stretches are laid side by side by their first and by their last centres. Those that have a run beside a centre in common, and _agree(), are looked
-    at in full, from the least document on, until one holds a passage."""
-    grids = [_laid(data, offsets, c - at) for c in (c1, c2)]
-    rows, keys = _beside(grids, groups)
-    order = np.lexsort((ids[rows], keys))
-    rows, keys = rows[order], keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, len(keys)))
-    first, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
-    settled: set[int] = set()
-    # First the least row that looks alike, which settles most; then, for what is left, all lesser ones.
-    for most in (1, None):
-        asked = np.flatnonzero(opens[rows] & (size > 1))
-        if settled:
-            asked = asked[~np.isin(rows[asked], np.fromiter(settled, np.int64))]
-        width = np.minimum(size[asked], most or len(rows))
-        ends = np.cumsum(width)
-        lo = 0
-        while lo < len(asked):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
-            own_rows, own_width = asked[lo:hi], width[lo:hi]
-            lo = hi
-            x = np.repeat(rows[own_rows], own_width)
-            y = rows[np.arange(len(x)) - np.repeat(np.cumsum(own_width) - own_width, own_width) + np.repeat(first[own_rows], own_width)]
-            good = (ids[y] < ids[x]) & (alone[x] | (own[x] != own[y]))
-            pair = np.unique(x[good] * len(ids) + y[good])
-            x, y = pair // len(ids), pair % len(ids)
-            good = np.any([_agree(g, x, y) for g in grids], axis=0)
-            x, y = x[good], y[good]
-            for k in np.lexsort((ids[y], x)).tolist():
-                i, j = int(x[k]), int(y[k])
+    An index from shingles to the rows of a group that hold them gives the places of a row that each other one matches. passages() finds none
+    unless PERCENT of a stretch of LEAST places or more match, its ends among them, so only pairs without such a stretch are left out; the others are looked at in full, from the
+    least document on, until one holds a passage."""
+    n = len(ids)
+    order = np.lexsort((ids, groups))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    begins = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if n else np.zeros(0, np.int64)
+    first = np.repeat(begins, np.diff(np.append(begins, n)))  # groups keep their places in order
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    # (group, shingle) as one number: groups have few rows, so their numbers and the shingles fit.
+    code = (groups[row].astype(U64) << U64(32)) | data.astype(U64)
+    by = np.argsort(code, kind="stable")
+    code[by] = np.cumsum(np.concatenate([[0], code[by][1:] != code[by][:-1]])) if len(code) else code
+    code = code.view(np.int64)
+    index = np.sort(code * n + rank[row])  # by shingle, then by rank, equal ones of a row once
+    index = index[np.concatenate([[True], index[1:] != index[:-1]])] if len(index) else index
+    left = np.flatnonzero(opens & (rank > first))
+    for lower, upper in ((0, FIRST), (FIRST, None)):
+        left = left[rank[left] - first[left] > lower]
+        settled: set[int] = set()
+        sizes = np.diff(offsets)[left]
+        place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(offsets[left], sizes)
+        own_row = row[place]
+        begin = np.searchsorted(index, code[place] * n + first[own_row] + lower)
+        stop = rank[own_row] if upper is None else np.minimum(rank[own_row], first[own_row] + upper)
+        many = np.searchsorted(index, code[place] * n + stop) - begin
+        ends = np.cumsum(sizes)  # the places of each row left end here
+        total = np.concatenate([[0], np.cumsum(many)])[ends] if len(left) else np.zeros(0, np.int64)
+        k = 0
+        while k < len(left):
+            until = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + PAIRS, side="right")))
+            span = slice(int(ends[k - 1]) if k else 0, int(ends[until - 1]))
+            width = many[span]
+            spot = np.repeat(np.arange(span.start, span.stop), width)
+            y = index[np.arange(len(spot)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(begin[span], width)] % n
+            x = own_row[spot]
+            y_row = order[y]
+            good = (ids[y_row] < ids[x]) & (alone[x] | (own[x] != own[y_row]))
+            x, y, spot = x[good], y[good], spot[good]
+            pair = x * n + y
+            by = np.argsort(pair, kind="stable")
+            pair, inner = pair[by], (place[spot] - offsets[x])[by]
+            begins = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+            stops = np.append(begins[1:], len(pair))
+            near = np.flatnonzero((stops - begins) * 100 >= LEAST * PERCENT)
+            begins, stops = begins[near], stops[near]
+            for low, high, i, other in zip(begins.tolist(), stops.tolist(), (pair[begins] // n).tolist(), (pair[begins] % n).tolist(), strict=True):
                 if i in settled:
                     continue
+                known = np.zeros(int(offsets[i + 1] - offsets[i]), bool)
+                known[inner[low:high]] = True
+                if not _holds_dense(known):
+                    continue
+                j = int(order[other])
                 found = passages(data[offsets[i] : offsets[i + 1]], data[offsets[j] : offsets[j + 1]])
                 if found:
                     settled.add(i)
                 for p, q, r, t, similarity in found:
                     yield int(ids[i]), int(ids[j]), int(at[i]) + p, int(at[i]) + q + WIDTH, int(at[j]) + r, int(at[j]) + t + WIDTH, similarity
-
-
-def _agree(grid: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether rows x and y agree in AGREE of the places of some stretch of LEAST or more that begins and ends with one in which they do."""
-    same = (grid[x] == grid[y]) & (grid[x] != 0)
-    good = same.sum(axis=1) >= LEAST * AGREE
-    near = np.flatnonzero(good)
-    match = same[near]
-    total = np.cumsum(np.pad(match.astype(np.float32) - np.float32(AGREE), ((0, 0), (1, 0))), axis=1)
-    begin = np.minimum.accumulate(np.where(match, total[:, :-1], np.float32(np.inf)), axis=1)
-    end = np.where(match, total[:, 1:], np.float32(-np.inf))
-    good[near] = (end[:, LEAST - 1 :] - begin[:, : end.shape[1] - LEAST + 1]).max(axis=1, initial=-1) >= -1e-3
-    return good
-
-
-AGREE = 0.885
-RUN = 18  # shingles beside a centre that two rows have in common to be compared
-
-
-def _beside(grids: list[np.ndarray], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, keys): a key of each row's group and of the RUN shingles before, and those after, either centre. A passage of the least length that holds a
-    centre has RUN shingles or more on one side of it, so rows that share one share a key; rows that only share a line don't."""
-    side = LEAST - 1
-    powers = np.multiply.accumulate(np.full(RUN, U64(0x9E3779B97F4A7C15)))
-    rows, keys = [], []
-    for n, grid in enumerate(grids):
-        for k, part in enumerate((grid[:, side - RUN : side], grid[:, side + 1 : side + 1 + RUN])):
-            full = np.flatnonzero((part != 0).all(axis=1))
-            hashes = (part[full].astype(U64) * powers).sum(axis=1, dtype=U64)
-            rows.append(full)
-            keys.append(mix64(hashes + U64(2 * n + k + 1)) ^ mix64(groups[full].astype(U64) + U64(7)))
-    return np.concatenate(rows), np.concatenate(keys)
+            k = until
+        left = left[~np.isin(left, np.fromiter(settled, np.int64, len(settled)))]
 
 
 def _cross(batches):
@@ -395,7 +393,15 @@ def _cross(batches):
         keys = [num(c) for c in ("key", "i", "j")]
         groups = np.cumsum(np.concatenate([[0], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
         data, offsets = raw_bytes(batch.column("near"))
-        return _link_batch(list(shared_links(groups, num("id"), num("at").astype(np.int64), num("open"), keys[1] == keys[2], num("block"), num("c1").astype(np.int64), num("c2").astype(np.int64), data.view(np.uint32), offsets // 4)))
+        data, offsets = data.view(np.uint32), offsets // 4
+        columns = [groups, num("id"), num("at").astype(np.int64), num("open"), keys[1] == keys[2], num("block")]
+        begins = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+        links, lo = [], 0
+        # Groups at a time of SHINGLES, or a larger one.
+        for hi in np.append(begins[1:], batch.num_rows)[np.append(offsets[begins[1:]] // SHINGLES != offsets[begins[:-1]] // SHINGLES, True)].tolist():
+            links += shared_links(*(c[lo:hi] for c in columns), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            lo = hi
+        return _link_batch(links)
 
     held: list = []
     for batch in batches:
@@ -466,13 +472,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     if not rest.isEmpty():
         ids = written(rest.select("id").distinct(), "open-ids")
         arrays = with_ids(docs.withColumnRenamed("id", "doc"), "doc", ids, "left_semi").withColumnRenamed("doc", "id").mapInArrow(_arrays, "id long, values binary").dropDuplicates(["id"])
-        # A shared passage holds both centres, so it holds a stretch of the least length between these bounds, or of the first's side.
-        lo, hi = F.greatest("l", F.least("c1", F.col("c2") - (LEAST - 1))), F.least("r", F.col("c1") + (LEAST - 1))
+        # A near passage holds both centres, and the whole of its window may be needed to see that it is one.
         parts = F.ceil(F.col("size") / BLOCK).cast("int")
-        spread = rest.withColumn("at", lo).withColumn("upto", hi).withColumn("c2", F.least("c2", "upto")).join(arrays, "id")
-        spread = spread.select("key", "id", "open", "at", "c1", "c2", _slice(F.col("values"), F.col("at"), F.col("upto")).alias("near"), parts.alias("parts"))
+        spread = rest.join(arrays, "id").select("key", "id", "open", F.col("l").alias("at"), _slice(F.col("values"), F.col("l"), F.col("r")).alias("near"), parts.alias("parts"))
         spread = spread.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        spread = spread.select("key", "id", "open", "at", "c1", "c2", "near", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        spread = spread.select("key", "id", "open", "at", "near", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         found = spread.repartition(many_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross, LINK)
         links = links.unionByName(written(found.distinct(), "cross"))
     return links.distinct()

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from llm_data import prose
 
 from stratalake.llm import substring_dedup as S
@@ -142,3 +143,38 @@ def test_a_passage_inside_a_dense_stretch_is_found():
     for i, j, lo, hi, s in got:
         p, q = set(other[i : j + 1].tolist()), set(plain[lo : hi + 1].tolist())
         assert s == len(p & q) / len(p | q) >= 0.8
+
+
+def test_near_passages_that_the_least_document_of_a_key_lacks(spark, frame, folder):
+    # 42 of 62 words stand in a lesser document too, too few for a passage, so most keys of the two near copies have it as their least document.
+    rows, values = [], {}
+    for k in range(60):
+        line = prose(9000 + k, 42)
+        near = (prose(9100 + k, 10) + " " + line + " " + prose(9200 + k, 10)).split()
+        other = list(near)
+        if k % 3 == 0:
+            other[30] = "edited"
+        elif k % 3 == 1:
+            other.insert(31, "inserted")
+        else:
+            del other[31]
+        texts = [prose(9300 + k, 60) + " " + line + " " + prose(9400 + k, 60), " ".join(near) + " " + prose(9500 + k, 40), prose(9600 + k, 40) + " " + " ".join(other)]
+        rows += [(10 * k + i, t, "en") for i, t in enumerate(texts)]
+    for i, t, _ in rows:
+        ((_, v, _),) = S._slices([pa.RecordBatch.from_pydict({"doc_id": [i], "text": [t]})])
+        values[i] = v
+    keys = {i: set(S.joint_windows(v, np.array([0, len(v)]))[0].tolist()) for i, v in values.items()}
+    small = {i: v.astype(np.uint32) for i, v in values.items()}
+    want = {(a, b) for k in range(60) for a, b in ((10 * k + 2, 10 * k + 1),) if keys[a] & keys[b] and S.passages(small[a], small[b])}
+    assert len(want) > 30
+    found = {(r.doc_id, r.match_doc_id) for r in S.query(spark, folder(documents=frame(rows))).collect()}
+    assert want == found
+
+
+def test_only_pairs_without_a_dense_stretch_are_left_out():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        known = rng.random(int(rng.integers(40, 90))) < rng.uniform(0.6, 0.95)
+        m = known.astype(int)
+        want = any(m[i] and m[j - 1] and 100 * m[i:j].sum() >= 80 * (j - i) for i in range(len(m)) for j in range(i + S.LEAST, len(m) + 1))
+        assert S._holds_dense(known) == want
