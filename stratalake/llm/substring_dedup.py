@@ -10,8 +10,8 @@ least document of the key; a window that this leaves unexplained is compared wit
 linked with the least that shares a passage, so no repeat that shares a key is left out and links grow with windows, not with pairs. Verification finds the stretches of a text whose shingles the other holds on one diagonal, and
 keeps those with LEAST_WORDS words and a Jaccard similarity of PERCENT or more.
 
-With FUNCTIONS = ((0, 1), (2, 3)) an exact repeat always shares a key; a passage at similarity s does with probability 1 - (1 - s^2)^2
-for each of its windows.
+With the six pairs of FUNCTIONS an exact repeat always shares a key; a passage at similarity s does with probability 1 - (1 - s^2)^6
+if it has one window for each pair: 0.2 % are missed at s = 0.8.
 
 Defined cases: null, empty and short texts have no window and no row; repeats within one document, and rows with a null doc_id, are left
 alone; rows that repeat a doc_id with the same text count once; a passage stays in the least document that holds it; an empty table gives an empty result;
@@ -31,7 +31,7 @@ from stratalake.llm.near_dedup import with_ids
 WIDTH = 5
 LEAST_WORDS = 50
 PERCENT = 80
-FUNCTIONS = ((0, 1), (2, 3))
+FUNCTIONS = ((0, 1), (2, 3), (4, 5), (6, 7), (8, 9), (10, 11))
 BLOCK = 4096
 BITS = 1 << 25
 LEAST = LEAST_WORDS - WIDTH + 1  # shingles in the shortest passage

@@ -178,3 +178,16 @@ def test_only_pairs_without_a_dense_stretch_are_left_out():
         m = known.astype(int)
         want = any(m[i] and m[j - 1] and 100 * m[i:j].sum() >= 80 * (j - i) for i in range(len(m)) for j in range(i + S.LEAST, len(m) + 1))
         assert S._holds_dense(known) == want
+
+
+def test_keys_of_the_least_near_passage():
+    # One replaced word in the middle of 50 words: 41 of 51 shingles shared, a similarity of 0.80 in one window.
+    rng = np.random.default_rng(7)
+    shared = 0
+    for _ in range(600):
+        a = rng.integers(1, 2**62, S.LEAST).astype(np.uint64)
+        b = a.copy()
+        b[20:25] = rng.integers(1, 2**62, 5).astype(np.uint64)
+        one, two = (set(S.joint_windows(x, np.array([0, len(x)]))[0].tolist()) for x in (a, b))
+        shared += bool(one & two)
+    assert shared >= 0.985 * 600
