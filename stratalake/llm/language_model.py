@@ -4,10 +4,10 @@ Tokens are lower-cased words and one end of text. The commonest VOCABULARY of th
 tokens fall into classes by their form (letters beyond ASCII, final punctuation, length). The model gives a token's class from hashed
 n-gram and skip features of the three tokens before it, then a vocabulary token within its class from the same features; another
 token has its add-one share of its class's count. It is trained by rounds of gradient steps: tasks start from the broadcast weights, step
-through their share of a sample of training texts, and their updates are averaged.
+through their share of all training texts, and their updates are averaged.
 
 Counts of tokens cover all training texts. Tokens with a share of 1 / HEAD of them or more, of which there can be no more than HEAD, are
-broadcast; the others meet the texts that hold them in a join by token. The gradient steps use about TRAIN_TEXTS training texts, those with the least hashes of doc_id.
+broadcast; the others meet the texts that hold them in a join by token.
 
 Defined cases: a null text is empty and consists of its end; a null doc_id counts as an empty one, which is trained on; repeated rows
 count and are scored as often as they occur; without any training text N and V are 0, so the base score is 0, and the classes are equally
@@ -25,7 +25,8 @@ from stratalake.llm.common import U64, held_out, mix64, table, text_slices, word
 
 VOCABULARY, PER_CLASS, FORMS = 1024, 32, 12
 HEAD = 1 << 20
-TRAIN_TEXTS = 12_000
+TASK_TEXTS = 8192  # training texts of a task, about
+PARTS = 64  # pieces in which the tasks' updates are averaged
 TASKS, ROUNDS, RATE = 8, 2, 0.15
 CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 10
 N_FEATURES = 5
@@ -185,15 +186,25 @@ def _train_task(shared):
                 toks, rows = tokens(texts)
                 model.train(toks, rows, squares)
                 seen += len(toks)
-        moved = [model.by_class - start[0], model.by_word - start[1]]
+        moved = np.concatenate([(model.by_class - start[0]).ravel(), (model.by_word - start[1]).ravel()])
         model.by_class, model.by_word = start
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([moved[0].tobytes()], pa.binary()), pa.array([moved[1].tobytes()], pa.binary())], names=["seen", "by_class", "by_word"])
+            pieces = [x.tobytes() for x in np.array_split(moved, PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([seen] * PARTS, pa.int64()), pa.array(pieces, pa.binary())], names=["part", "seen", "moved"])
 
     return run
 
 
-def fit(training: DataFrame, counts: DataFrame, train_texts: int = TRAIN_TEXTS) -> tuple[Model, int, int, tuple[np.ndarray, np.ndarray]]:
+def _mean(group: pa.Table) -> pa.Table:
+    """The mean of the tasks' updates of one part, weighted by the tokens that they saw."""
+    seen = group.column("seen").to_numpy()
+    total = 0.0
+    for n, x in zip(seen, group.column("moved"), strict=True):
+        total = total + np.frombuffer(x.as_buffer(), np.float32) * np.float32(n / seen.sum())
+    return pa.table([pa.array([group.column("part")[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "moved"])
+
+
+def fit(training: DataFrame, counts: DataFrame) -> tuple[Model, int, int, tuple[np.ndarray, np.ndarray]]:
     """(model, N, V, (hashes, counts) of the common tokens by hash). counts must be written: it is read several times."""
     spark = training.sparkSession
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -212,18 +223,16 @@ def fit(training: DataFrame, counts: DataFrame, train_texts: int = TRAIN_TEXTS)
     texts = training.count()
     if not texts:
         return model, n, v, head
-    share = min(1.0, train_texts / texts)
-    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1_000_000))
-    sample = written((training if share == 1 else training.where(place < int(share * 1_000_000))).select("text").repartition(TASKS), "sample")
+    # Tasks grow in number with the texts, not in size; their updates are averaged by part, and one model's worth comes back.
+    tasks = max(TASKS, -(-texts // TASK_TEXTS))
+    sample = written(training.select("text").repartition(tasks), "sample")
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
-        # TASKS rows of fixed size come back, whatever the corpus.
-        got = sample.coalesce(TASKS).mapInArrow(_train_task(shared), "seen long, by_class binary, by_word binary").collect()
-        total = sum(r["seen"] for r in got)
-        for name in ("by_class", "by_word"):
-            weights = getattr(model, name)
-            for r in got:
-                weights += np.frombuffer(r[name], np.float32).reshape(weights.shape) * np.float32(r["seen"] / total)
+        moved = sample.coalesce(tasks).mapInArrow(_train_task(shared), "part int, seen long, moved binary")
+        got = sorted(moved.groupBy("part").applyInArrow(_mean, "part int, moved binary").collect(), key=lambda r: r["part"])
+        step = np.frombuffer(b"".join(bytes(r["moved"]) for r in got), np.float32)
+        model.by_class += step[: model.by_class.size].reshape(model.by_class.shape)
+        model.by_word += step[model.by_class.size :].reshape(model.by_word.shape)
     return model, n, v, head
 
 

@@ -61,3 +61,23 @@ def test_empty_and_untrained(spark, frame, folder):
     only = next(i for i in range(100) if held(i))
     r = M.query(spark, folder(documents=frame([(only, "a b", "en")]))).first()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0) and math.isfinite(r.score)
+
+
+def test_trains_on_every_text(spark, monkeypatch):
+    texts = spark.range(14_000).selectExpr("id as doc_id", "'to be' as text").repartition(3)
+    seen = spark.sparkContext.accumulator(0)
+    made = M._train_task
+
+    def watched(shared):
+        run = made(shared)
+
+        def outer(batches):
+            for out in run(batches):
+                seen.add(out.column("seen")[0].as_py())
+                yield out
+
+        return outer
+
+    monkeypatch.setattr(M, "_train_task", watched)
+    M.fit(texts, M.count(texts))
+    assert seen.value == M.ROUNDS * 14_000 * 3
