@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -37,18 +38,37 @@ def scratch(spark: SparkSession) -> str:
     return "file://" + made
 
 
+def _run_folder(spark: SparkSession) -> str:
+    return f"{scratch(spark)}/stratalake/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet under scratch() and reads it back: lineage ends there, lost executors cost nothing before it."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/stratalake/{uuid.uuid4().hex}-{name}"
+    path = f"{_run_folder(spark)}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes written frames, once all that was made from them is written itself. The driver's JVM is asked to collect its garbage, as Spark
+    frees the shuffle files of finished jobs only then."""
+    for df in frames:
+        _delete(df.sparkSession, df._stored_at)
+    gc.collect()
+    frames[0].sparkSession._jvm.System.gc()
 
 
 def clear_scratch(spark: SparkSession) -> bool:
-    """Deletes all intermediates under scratch(), once no frame made from them is needed any more; whether there were any."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/stratalake")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes all intermediates of this application, once no frame made from them is needed any more; whether there were any."""
+    return _delete(spark, _run_folder(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +84,28 @@ def many_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# ------------------------------------------------------------------ text batches
+# ------------------------------------------------------------------ batches
+
+
+def runs(batches, columns: tuple[str, ...]):
+    """Batches of whole groups: rows that are equal in `columns`, which come together, lie in one batch. A group is held until it ends."""
+    held: list = []
+    whole = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches() if sum(p.num_rows for p in parts) else []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
+        goes_on = held and all(held[-1].column(c)[-1].as_py() == batch.column(c)[0].as_py() for c in columns)
+        cut = int(new[-1]) + 1 if len(new) else 0
+        if goes_on and cut == 0:
+            held.append(batch)
+            continue
+        # What is held, with what of this batch belongs to complete groups; the last group may go on.
+        yield from whole([*held, batch.slice(0, cut)])
+        held = [batch.slice(cut)]
+    if held:
+        yield from whole(held)
 
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):

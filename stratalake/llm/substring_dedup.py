@@ -4,14 +4,18 @@ A text is the sequence of its WIDTH-word shingles. Under one hash function all p
 a centre and the widest stretch over which it is least, the subtrees of the text's Cartesian tree. Only windows of the least
 passage length count; their centres are the minima of sliding windows, so the tree is built over those alone.
 
-Passages that agree on two functions lie in windows of both, and hold both centres: an interval join of the windows of two functions
-within each text gives joint windows, whose key is the pair of centres. Texts that share a key are candidates: each is verified against the
-least document of the key; a window that this leaves unexplained is compared with all lesser ones of its key, in blocks inside tasks, and
-linked with the least that shares a passage, so no repeat that shares a key is left out and links grow with windows, not with pairs. Verification finds the stretches of a text whose shingles the other holds on one diagonal, and
-keeps those with LEAST_WORDS words and a Jaccard similarity of PERCENT or more.
+Passages at a similarity of s share the min-hash of a function with probability s, and then lie in windows of one key. Candidates agree on ENOUGH of
+FUNCTIONS: an interval join of their windows has to leave a stretch of the least length. It comes twice:
 
-With the six pairs of FUNCTIONS an exact repeat always shares a key; a passage at similarity s does with probability 1 - (1 - s^2)^6
-if it has one window for each pair: 0.2 % are missed at s = 0.8.
+* Each document's windows meet those of the least document of their key. What ENOUGH functions say is shared is verified, at most one comparison
+  for a document and a stretch of it, whatever the size of a group.
+* A window that this leaves unexplained (its key's least document lacks the passage) is joined with the other windows of such keys in its own
+  document: the keys of two functions together are a new key. Under it all windows are compared with all lesser ones, in blocks inside
+  tasks, and linked with the least that shares a passage, so no repeat is left out and links grow with windows, not with pairs.
+
+Verification finds the stretches of a text whose shingles the other holds on one diagonal, and keeps those with LEAST_WORDS words and a Jaccard
+similarity of PERCENT or more. An exact repeat always agrees on all functions; a passage at similarity s on two of six with
+probability 1 - (1 - s)^6 - 6 s (1 - s)^5: 0.16 % are missed at s = 0.8.
 
 Defined cases: null, empty and short texts have no window and no row; repeats within one document, and rows with a null doc_id, are left
 alone; rows that repeat a doc_id with the same text count once; a passage stays in the least document that holds it; an empty table gives an empty result;
@@ -25,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import U64, many_partitions, mix64, raw_bytes, shielded, shingles, table, text_slices, word_bounds, word_hashes, written
+from stratalake.llm.common import U64, discard, many_partitions, mix64, raw_bytes, runs, shielded, shingles, table, text_slices, word_bounds, word_hashes, written
 from stratalake.llm.near_dedup import with_ids
 
 WIDTH = 5
 LEAST_WORDS = 50
 PERCENT = 80
-FUNCTIONS = ((0, 1), (2, 3), (4, 5), (6, 7), (8, 9), (10, 11))
+FUNCTIONS = 6  # at most 8: a key's last three bits say its function
+ENOUGH = 2
 BLOCK = 4096
-BITS = 1 << 25
+MOST_BITS = 1 << 28  # of the bitmap that spares most windows of one document: 32 MB at most
 LEAST = LEAST_WORDS - WIDTH + 1  # shingles in the shortest passage
 
 
@@ -48,74 +53,83 @@ def sliding_least(keys: np.ndarray, t: int) -> np.ndarray:
     return np.minimum(back[: m - t + 1], ahead[t - 1 : m])
 
 
-def compact_windows(hashes: np.ndarray, offsets: np.ndarray, t: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first centres, last centres, lefts, rights) of the compact windows of at least t places of several texts laid end to end, by first centre.
-    Equal hashes that are least in the same stretch are the centres of one window, so a text of one shingle over and over has
-    one window."""
+def minima(hashes: np.ndarray, offsets: np.ndarray, t: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, first and last stretch of which each is least, values without their last bits) of the minima of the stretches of t places of several texts laid
+    end to end."""
     m = len(hashes)
+    none = np.zeros(0, np.int64)
     if m < t:
-        return (np.zeros(0, np.int64),) * 4
+        return none, none, none, none.astype(U64)
     bits = U64(max(1, m.bit_length()))
     mask = (U64(1) << bits) - U64(1)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     least = sliding_least((hashes & ~mask) | np.arange(m, dtype=U64), t)
-    whole = np.flatnonzero(text[: m - t + 1] == text[t - 1 :])  # the stretches of t places that lie in one text
+    ends = np.repeat(offsets[1:], np.diff(offsets))
+    whole = np.flatnonzero(ends[: m - t + 1] - np.arange(m - t + 1) >= t)  # the stretches that lie in one text
     if not len(whole):
-        return (np.zeros(0, np.int64),) * 4
+        return none, none, none, none.astype(U64)
     least = least[whole]
     new = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    begins, ends = whole[new], whole[np.append(new[1:], len(whole)) - 1]
-    centres = (least[new] & mask).astype(np.int64)
-    lows, highs = offsets[:-1][text[centres]], offsets[1:][text[centres]] - 1
-    values, c, own = (least[new] >> bits).tolist(), centres.tolist(), text[centres].tolist()
-    starts, stops, low, high = begins.tolist(), (ends + t - 1).tolist(), lows.tolist(), highs.tolist()
-    far_l, far_r = (begins == centres - t + 1).tolist(), (ends == centres).tolist()
-    # The Cartesian tree of the minima, by its stack: where the nearest lesser place is t or more away, it is a minimum itself.
-    out: list[list[int]] = []
-    stack: list[tuple[int, int]] = []  # window, its last minimum
-    for k in range(len(values)):
-        if stack and own[stack[-1][1]] != own[k]:
-            for n, j in stack:
-                out[n][3] = high[j] if far_r[j] else stops[j]
-            stack.clear()
-        while stack and values[stack[-1][1]] > values[k]:
-            n, j = stack.pop()
-            out[n][3] = c[k] - 1 if far_r[j] else stops[j]
-        if stack and values[stack[-1][1]] == values[k]:
-            n = stack[-1][0]
-            out[n][1] = c[k]
-            stack[-1] = (n, k)
-            continue
-        out.append([c[k], c[k], (c[stack[-1][1]] + 1 if stack else low[k]) if far_l[k] else starts[k], 0])
-        stack.append((len(out) - 1, k))
-    for n, j in stack:
-        out[n][3] = high[j] if far_r[j] else stops[j]
-    first, last, left, right = np.array(out, np.int64).T
-    return first, last, left, right
-
-
-def joint_windows(values: np.ndarray, offsets: np.ndarray, t: int = LEAST) -> list[np.ndarray]:
-    """[key, left, right, first centre, last centre] of the joint windows of texts laid end to end."""
-    found = {}
-    for f in {f for pair in FUNCTIONS for f in pair}:
-        found[f] = compact_windows(mix64(values ^ U64((0x9E3779B97F4A7C15 * (f + 1)) % 2**64)), offsets, t)
+    return (least[new] & mask).astype(np.int64), whole[new], whole[np.append(new[1:], len(whole)) - 1], least[new] >> bits
+
+
+def _nearest_lesser(values: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The place of the nearest lesser value before each within its text, or -1: pointers jump over what isn't less, all at a time."""
+    to = np.arange(len(values)) - 1
+    live = np.arange(len(values))
+    while True:
+        at = to[live]
+        live = live[(at >= 0) & (text[at] == text[live]) & (values[at] >= values[live])]
+        if not len(live):
+            break
+        to[live] = to[to[live]]
+    to[(to >= 0) & (text[to] != text)] = -1
+    return to
+
+
+def compact_windows(hashes: np.ndarray, offsets: np.ndarray, t: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first centres, last centres, lefts, rights) of the compact windows of at least t places of several texts laid end to end, by first centre.
+    Equal hashes that are least in the same stretch are the centres of one window, so a text of one shingle over and over has
+    one window."""
+    centres, begins, ends, values = minima(hashes, offsets, t)
+    if not len(centres):
+        return (np.zeros(0, np.int64),) * 4
+    text = np.searchsorted(offsets, centres, side="right") - 1
+    # The Cartesian tree of the minima: where the nearest lesser place is t or more away, it is a minimum itself.
+    n = len(values)
+    before = _nearest_lesser(values, text)
+    after = n - 1 - _nearest_lesser(values[::-1], text[::-1])[::-1]
+    lefts = np.where(begins == centres - t + 1, np.where(before >= 0, centres[before] + 1, offsets[text]), begins)
+    rights = np.where(ends == centres, np.where(after < n, centres[np.minimum(after, n - 1)] - 1, offsets[text + 1] - 1), ends + t - 1)
+    # Equal values between the same lesser ones are one window, from the first one's left to the last one's right.
+    order = np.lexsort((centres, values, before, text))
+    new = np.concatenate([[True], (values[order][1:] != values[order][:-1]) | (before[order][1:] != before[order][:-1]) | (text[order][1:] != text[order][:-1])])
+    first, last = order[new], order[np.append(np.flatnonzero(new)[1:], n) - 1]
+    place = np.argsort(centres[first], kind="stable")
+    first, last = first[place], last[place]
+    return centres[first], centres[last], lefts[first], rights[last]
+
+
+def _hashed(values: np.ndarray, f: int) -> np.ndarray:
+    return mix64(values ^ U64((0x9E3779B97F4A7C15 * (f + 1)) % 2**64))
+
+
+def _keyed(hashes: np.ndarray, f: int) -> np.ndarray:
+    return (hashes & ~U64(7)) | U64(f)
+
+
+def windows_of(values: np.ndarray, offsets: np.ndarray, passing=None) -> list[np.ndarray]:
+    """[key, left, right, first centre, last centre] of the windows of texts laid end to end under all functions; passing says which keys are
+    wanted."""
     out = []
-    for number, (f, g) in enumerate(FUNCTIONS):
-        (cf, df, lf, rf), (cg, dg, lg, rg) = found[f], found[g]
-        if not len(cf):
-            continue
-        # Windows of g whose first centre lies before the end of a window of f and whose last lies after its beginning.
-        lo, hi = np.searchsorted(np.maximum.accumulate(dg), lf, side="left"), np.searchsorted(cg, rf, side="right")
-        size = np.maximum(hi - lo, 0)
-        i = np.repeat(np.arange(len(cf)), size)
-        j = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-        left, right = np.maximum(lf[i], lg[j]), np.minimum(rf[i], rg[j])
-        good = (right - left + 1 >= t) & (df[i] >= left) & (cf[i] <= right) & (dg[j] >= left) & (cg[j] <= right)
-        i, j, left, right = i[good], j[good], left[good], right[good]
-        key = mix64(values[cf[i]] * U64(0xD6E8FEB86659FD93) + values[cg[j]] + U64(number))
-        inside = [np.maximum(cf[i], left), np.maximum(cg[j], left)]
-        out.append([key.view(np.int64), left, right, np.minimum(*inside), np.maximum(*inside)])
-    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+    for f in range(FUNCTIONS):
+        h = _hashed(values, f)
+        c, d, left, right = compact_windows(h, offsets)
+        key = _keyed(h[c], f)
+        if passing is not None:
+            live = np.flatnonzero(passing(key))
+            key, left, right, c, d = key[live], left[live], right[live], c[live], d[live]
+        out.append([key, left, right, c, d])
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
 def _slices(batches):
@@ -127,33 +141,191 @@ def _slices(batches):
             yield part, np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
 
 
-def _keys(batches):
-    for part, values, offsets in _slices(batches):
-        key, left, *_ = joint_windows(values, offsets)
-        row = np.searchsorted(offsets, left, side="right") - 1
-        yield pa.RecordBatch.from_arrays([pa.array(key), part.column("id").take(pa.array(row))], names=["key", "id"])
+def slot_of(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, 32 bits within it) of each key: what the first pass knows it by."""
+    mixed = mix64(keys)
+    return (mixed >> U64(32)) % U64(buckets), mixed & U64(0xFFFFFFFF)
+
+
+def _slots(buckets: int, held_most: int = 2_000_000):
+    """Rows of (bucket, slots that one text has, slots that several have): the keys of a task's windows, each once, in 4 bytes."""
 
+    def emit(held):
+        codes, n = np.unique(np.concatenate(held), return_counts=True)
+        edges = np.searchsorted(codes, np.arange(buckets + 1, dtype=U64) << U64(32))
+        once, more = [], []
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            own, many = codes[x:y].astype(np.uint32), n[x:y] > 1
+            once.append(own[~many].tobytes())
+            more.append(own[many].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["bucket", "once", "more"])
 
-def _windows(bitmap):
     def run(batches):
-        bits = bitmap.value
+        held, size = [], 0
+        for _, values, offsets in _slices(batches):
+            for f in range(FUNCTIONS):
+                h = _hashed(values, f)
+                c = minima(h, offsets)[0]
+                if not len(c):
+                    continue
+                bucket, slot = slot_of(_keyed(h[c], f), buckets)
+                code, text = bucket << U64(32) | slot, np.searchsorted(offsets, c, side="right")
+                order = np.lexsort((code, text))
+                code, text = code[order], text[order]
+                held.append(code[np.concatenate([[True], (code[1:] != code[:-1]) | (text[1:] != text[:-1])])])
+                size += len(c)
+            if size > held_most:
+                yield emit(held)
+                held, size = [], 0
+        if size:
+            yield emit(held)
+
+    return run
+
+
+def _live(group: pa.Table) -> pa.Table:
+    """Of a bucket, the slots that several texts have."""
+    joined = lambda c: np.frombuffer(b"".join(group.column(c).to_pylist()), np.uint32)
+    once = np.sort(joined("once"))
+    live = np.union1d(once[1:][once[1:] == once[:-1]], joined("more"))
+    return pa.table([group.column("bucket").slice(0, 1), pa.array([len(live)], pa.int64()), pa.array([live.tobytes()], pa.binary())], names=["bucket", "n", "slots"])
+
+
+def live_bitmap(docs: DataFrame) -> tuple[np.ndarray, int, int]:
+    """(bits in bytes, bits of a bucket, buckets): the keys that windows of several texts have, eight bits for each, MOST_BITS at most. It lets
+    all of these pass, and others by chance, which the join by key leaves out: it spares work and decides nothing."""
+    buckets = many_partitions(docs.sparkSession)
+    live = written(docs.mapInArrow(_slots(buckets), "bucket int, once binary, more binary").groupBy("bucket").applyInArrow(_live, "bucket int, n long, slots binary"), "live")
+    total = live.agg(F.sum("n")).first()[0] or 0
+    width = max(64, min(MOST_BITS // buckets, -(-8 * total // buckets)) // 64 * 64)
+
+    def piece(batches):
+        for batch in batches:
+            found = []
+            for x in batch.column("slots"):
+                bits = np.zeros(width, bool)
+                bits[np.frombuffer(x.as_buffer(), np.uint32) % np.uint32(width)] = True
+                found.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(found, pa.binary())], names=["bucket", "bits"])
+
+    out = np.zeros((buckets, width // 8), np.uint8)
+    for batch in live.mapInArrow(piece, "bucket int, bits binary").toArrow().to_batches():
+        for bucket, bits in zip(batch.column("bucket").to_pylist(), batch.column("bits"), strict=True):
+            out[bucket] = np.frombuffer(bits.as_buffer(), np.uint8)
+    discard(live)
+    return out.ravel(), width, buckets
+
+
+WINDOW = "key long, id long, place long, centre long"
+
+
+def _windows(shared):
+    """Rows of windows whose key passes the bitmap; place and centre hold two numbers each (first << 32 | last)."""
+
+    def run(batches):
+        bits, width, buckets = shared.value
+
+        def passing(keys):
+            bucket, slot = slot_of(keys, buckets)
+            at = (bucket * U64(width) + slot % U64(width)).astype(np.int64)
+            return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+
         for part, values, offsets in _slices(batches):
-            key, *places = joint_windows(values, offsets)
-            live = np.flatnonzero((bits[(key & (BITS - 1)) >> 6] >> (key & 63)) & 1)
-            row = np.searchsorted(offsets, places[0][live], side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(key[live]), part.column("id").take(pa.array(row)), *(pa.array((x[live] - offsets[row]).astype(np.int32)) for x in places)], names=["key", "id", "l", "r", "c1", "c2"])
+            key, left, right, c, d = windows_of(values, offsets, passing)
+            row = np.searchsorted(offsets, left, side="right") - 1
+            base = offsets[row]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("id").take(pa.array(row)), pa.array(_pack(left - base, right - base)), pa.array(_pack(c - base, d - base))], names=["key", "id", "place", "centre"])
 
     return run
 
 
-def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """BITS bits in words of 64, those of the keys' last bits set: of a fixed size, whatever the number of keys. It lets all keys given
-    pass, and others by chance."""
-    low = F.col("key").bitwiseAND(F.lit(BITS - 1))
-    words = keys.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((key & {BITS - 1}) & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(BITS // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out
+def _pack(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return first << 32 | last
+
+
+def _unpack(column) -> tuple[np.ndarray, np.ndarray]:
+    both = column.to_numpy(zero_copy_only=False)
+    return both >> 32, both & 0xFFFFFFFF
+
+
+def _groups(batch: pa.RecordBatch, columns: tuple[str, ...]) -> np.ndarray:
+    """The number of each row's group, equal rows of these columns lying together."""
+    keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+    return np.cumsum(np.concatenate([[0], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+
+
+def agreed(group: np.ndarray, function: np.ndarray, left: np.ndarray, right: np.ndarray, enough: int = ENOUGH, t: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, left, right) of the stretches whose every passage of t places lies in windows of `enough` functions; windows in any order."""
+    # A passage is where it begins: windows become the places at which one may, joined within a function.
+    order = np.lexsort((left, function, group))
+    group, function, left, stop = group[order], function[order], left[order], right[order] - t + 2
+    series = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]) | (function[1:] != function[:-1])])) if len(group) else group
+    wide = int(stop.max()) + 1 if len(stop) else 1
+    reach = np.maximum.accumulate(series * wide + stop) - series * wide
+    new = np.concatenate([[True], (series[1:] != series[:-1]) | (left[1:] > reach[:-1])]) if len(group) else np.zeros(0, bool)
+    last = np.append(np.flatnonzero(new)[1:], len(group)) - 1 if len(group) else np.zeros(0, np.int64)
+    group, begin, stop = group[new], left[new], reach[last]
+    places, change, owner = np.concatenate([begin, stop]), np.repeat([1, -1], len(begin)), np.concatenate([group, group])
+    order = np.lexsort((change, places, owner))
+    places, owner = places[order], owner[order]
+    depth = np.cumsum(change[order])
+    opens = np.flatnonzero((depth >= enough) & (np.concatenate([[0], depth[:-1]]) < enough))
+    closes = np.flatnonzero((depth < enough) & (np.concatenate([[0], depth[:-1]]) >= enough))
+    good = places[closes] > places[opens]
+    return owner[opens][good], places[opens][good], places[closes][good] + t - 2
+
+
+def _regions(batches):
+    """Of the rows (a, b, key, place, other) of pairs of documents, those together: where ENOUGH functions agree, with the stretch of b that holds b's
+    windows of these keys."""
+    for batch in runs(batches, ("a", "b")):
+        number = _groups(batch, ("a", "b"))
+        left, right = _unpack(batch.column("place"))
+        low, high = _unpack(batch.column("other"))
+        found, begin, end = agreed(number, batch.column("key").to_numpy(zero_copy_only=False) & 7, left, right)
+        # A row belongs to the regions of its group that it shares a passage with; regions of a group lie apart, in order.
+        wide = int(right.max()) + 2 if len(right) else 1
+        lo = np.searchsorted(found * wide + end, number * wide + left + LEAST - 1)
+        hi = np.searchsorted(found * wide + begin, number * wide + right - LEAST + 1, side="right")
+        size = np.maximum(hi - lo, 0)
+        region = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+        b_left, b_right = np.full(len(found), np.iinfo(np.int64).max), np.full(len(found), -1)
+        np.minimum.at(b_left, region, np.repeat(low, size))
+        np.maximum.at(b_right, region, np.repeat(high, size))
+        first = np.searchsorted(number, found)
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(first)), batch.column("b").take(pa.array(first)), *(pa.array(x.astype(np.int32)) for x in (begin, end, b_left, b_right))], names=["a", "b", "l", "r", "b_l", "b_r"])
+
+
+def _joint(batches):
+    """Of the rows (id, key, place, centre, open) of documents, those together: the joint windows of two functions that hold the centres of both, whose
+    key is made of both keys, open if one of them is."""
+    for batch in runs(batches, ("id",)):
+        number = _groups(batch, ("id",))
+        left, right = _unpack(batch.column("place"))
+        c, d = _unpack(batch.column("centre"))
+        key, opens = batch.column("key").to_numpy(zero_copy_only=False).view(U64), batch.column("open").to_numpy(zero_copy_only=False)
+        order = np.lexsort((left, number))
+        number, left, right, c, d, key, opens = (x[order] for x in (number, left, right, c, d, key, opens))
+        wide = int(right.max()) + 2 if len(right) else 1
+        # Windows after each, by left, that begin early enough to share a passage with it.
+        hi = np.searchsorted(number * wide + left, number * wide + right - LEAST + 1, side="right")
+        size = np.maximum(hi - np.arange(len(key)) - 1, 0)
+        total = np.concatenate([[0], np.cumsum(size)])
+        lo = 0
+        while lo < len(key):
+            to = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS, side="right")) - 1)
+            n = size[lo:to]
+            i = np.repeat(np.arange(lo, to), n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            lo = to
+            apart = (key[i] & U64(7)) != (key[j] & U64(7))
+            i, j = i[apart], j[apart]
+            x, y = np.maximum(left[i], left[j]), np.minimum(right[i], right[j])
+            good = (y - x + 1 >= LEAST) & (d[i] >= x) & (c[i] <= y) & (d[j] >= x) & (c[j] <= y)
+            i, j, x, y = i[good], j[good], x[good], y[good]
+            less = (key[i] & U64(7)) < (key[j] & U64(7))
+            both = mix64(np.where(less, key[i], key[j]) * U64(0xD6E8FEB86659FD93) + np.where(less, key[j], key[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), batch.column("id").take(pa.array(order[i])), pa.array(_pack(x, y)), pa.array(opens[i] | opens[j])], names=["key", "id", "place", "open"])
 
 
 def _arrays(batches):
@@ -296,10 +468,11 @@ LINK = "a long, b long, start int, stop int, b_start int, b_stop int, similarity
 def _verify(batches):
     for batch in batches:
         rows = []
-        for a, b, l, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("l").to_pylist(), batch.column("part_a"), batch.column("all_b"), strict=True):
+        num = [batch.column(c).to_pylist() for c in ("a", "b", "l", "b_l")]
+        for a, b, l, b_l, x, y in zip(*num, batch.column("part_a"), batch.column("part_b"), strict=True):
             for i, j, lo, hi, s in passages(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)):
                 # In words: a shingle ends WIDTH - 1 words after it begins; stops are exclusive.
-                rows.append((a, b, i + l, j + l + WIDTH, lo, hi + WIDTH, s))
+                rows.append((a, b, i + l, j + l + WIDTH, lo + b_l, hi + b_l + WIDTH, s))
         yield _link_batch(rows)
 
 
@@ -390,11 +563,10 @@ def _cross(batches):
 
     def found(batch):
         num = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
-        keys = [num(c) for c in ("key", "i", "j")]
-        groups = np.cumsum(np.concatenate([[0], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+        groups = _groups(batch, ("key", "i", "j"))
         data, offsets = raw_bytes(batch.column("near"))
         data, offsets = data.view(np.uint32), offsets // 4
-        columns = [groups, num("id"), num("at").astype(np.int64), num("open"), keys[1] == keys[2], num("block")]
+        columns = [groups, num("id"), num("at").astype(np.int64), num("open"), num("i") == num("j"), num("block")]
         begins = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
         links, lo = [], 0
         # Groups at a time of SHINGLES, or a larger one.
@@ -403,24 +575,8 @@ def _cross(batches):
             lo = hi
         return _link_batch(links)
 
-    held: list = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j")]
-        new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
-        cut = int(new[-1]) + 1 if len(new) else 0
-        if held and cut == 0 and all(held[-1].column(c)[-1].as_py() == batch.column(c)[0].as_py() for c in ("key", "i", "j")):
-            held.append(batch)
-            continue
-        # What is held, with what of this batch belongs to complete groups; the last group may go on.
-        whole = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()
-        for part in whole:
-            yield found(part)
-        held = [batch.slice(cut)]
-    if held:
-        for part in pa.Table.from_batches(held).combine_chunks().to_batches():
-            yield found(part)
+    for batch in runs(batches, ("key", "i", "j")):
+        yield found(batch)
 
 
 def _link_batch(rows: list) -> pa.RecordBatch:
@@ -434,51 +590,67 @@ def _slice(values, lo, hi):
     return F.substring(values, lo * 4 + 1, (hi - lo + 1) * 4)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The verified passages of candidate pairs (a, b, l, r), looked for in places l to r of a and in all of b."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), name + "-ids")
-    own = docs.withColumnRenamed("id", "doc")
-    arrays = with_ids(own, "doc", ids, "left_semi").withColumnRenamed("doc", "id").mapInArrow(_arrays, "id long, values binary")
-    arrays = written(arrays, name + "-arrays").dropDuplicates(["id"])
-    part = pairs.join(arrays.withColumnRenamed("id", "a"), "a").select("a", "b", "l", _slice(F.col("values"), F.col("l"), F.col("r")).alias("part_a"))
-    both = part.join(arrays.select(F.col("id").alias("b"), F.col("values").alias("all_b")), "b")
-    return written(both.mapInArrow(_verify, LINK), name + "-links")
+def _places(column: str) -> list:
+    """The two numbers of a place."""
+    return [F.shiftright(column, 32).cast("int"), F.col(column).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")]
+
+
+def arrays_of(ids: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """(id, values) of the documents with these ids, one row each."""
+    arrays = with_ids(docs.withColumnRenamed("id", "doc"), "doc", ids, "left_semi").withColumnRenamed("doc", "id").mapInArrow(_arrays, "id long, values binary")
+    return written(arrays.dropDuplicates(["id"]), name + "-arrays")
+
+
+def confirm(regions: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The verified passages of places l to r of a that b holds in its places b_l to b_r."""
+    arrays = arrays_of(written(regions.select(F.explode(F.array("a", "b")).alias("id")).distinct(), name + "-ids"), docs, name)
+    part = regions.join(arrays.withColumnRenamed("id", "a"), "a").select(*regions.columns, _slice(F.col("values"), F.col("l"), F.col("r")).alias("part_a"))
+    both = part.join(arrays.withColumnRenamed("id", "b"), "b").select("a", "b", "l", "b_l", "part_a", _slice(F.col("values"), F.col("b_l"), F.col("b_r")).alias("part_b"))
+    links = written(both.mapInArrow(_verify, LINK), name + "-links")
+    discard(arrays)
+    return links
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """A row for each passage of document a that the lesser document b holds as well: words start to stop of a, b_start to b_stop of b,
     similarity of their shingle sets."""
     spark = docs.sparkSession
+    n = many_partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     # Windows are made twice, first as keys alone: most keys belong to one document, and their places would fill disks for nothing.
-    live = docs.mapInArrow(_keys, "key long, id long").groupBy("key").agg(F.min("id").alias("root"), F.max("id").alias("most")).where("root < most").select("key", "root")
-    live = written(live, "live")
-    bitmap = spark.sparkContext.broadcast(bitmap_of(live))
-    windows = docs.mapInArrow(_windows(bitmap), "key long, id long, l int, r int, c1 int, c2 int")
-    shared = written(windows.join(live, "key"), "shared")
-    sizes = written(shared.groupBy("key").agg(F.count("*").alias("size")).where("size > 2"), "sizes")
-    hull = [F.min("l").alias("l"), F.max("r").alias("r")]
-    stars = written(shared.where("id <> root").groupBy(F.col("id").alias("a"), F.col("root").alias("b")).agg(*hull), "stars")
-    links = confirm(stars, docs, "star")
+    bitmap = spark.sparkContext.broadcast(live_bitmap(docs))
+    windows = written(docs.mapInArrow(_windows(bitmap), WINDOW), "windows")
+    roots = written(windows.groupBy("key").agg(F.min("id").alias("root"), F.max("id").alias("most"), F.min_by("place", "id").alias("other")).where("root < most").select("key", "root", "other"), "roots")
+    shared = written(windows.join(roots, "key"), "shared")
+    discard(windows, roots)
+    stars = shared.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"), "key", "place", "other")
+    regions = stars.repartition(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(_regions, "a long, b long, l int, r int, b_l int, b_r int")
+    links = confirm(written(regions, "regions"), docs, "star")
     # A window is explained if a verified passage of its document holds its centres.
-    spans = links.groupBy("a").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    seen = shared.join(spans, F.col("id") == F.col("a"), "left").withColumn("open", F.col("id").eqNullSafe(F.col("root")) == F.lit(False))
-    inside = F.exists(F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")), lambda s: (s["start"] <= F.col("c1")) & (F.col("c2") < s["stop"]))
-    marked = written(seen.select("key", "id", "l", "r", "c1", "c2", (F.col("open") & ~inside).alias("open")), "marked")
-    keys = marked.groupBy("key").agg(F.max("open").alias("any")).where("any").select("key")
-    # A key of two windows has been settled by comparing the one with the other.
-    rest = marked.join(keys.join(sizes, "key"), "key")
-    rest = written(rest, "open")
-    if not rest.isEmpty():
-        ids = written(rest.select("id").distinct(), "open-ids")
-        arrays = with_ids(docs.withColumnRenamed("id", "doc"), "doc", ids, "left_semi").withColumnRenamed("doc", "id").mapInArrow(_arrays, "id long, values binary").dropDuplicates(["id"])
-        # A near passage holds both centres, and the whole of its window may be needed to see that it is one.
+    spans = written(links.groupBy(F.col("a").alias("id")).agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    first, last = _places("centre")
+    inside = F.exists(F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")), lambda s: (s["start"] <= first) & (last < s["stop"]))
+    unexplained = shared.where("id <> root").join(spans, "id", "left").where(~inside)
+    keys = written(unexplained.select("key").distinct(), "open-keys")
+    if not keys.isEmpty():
+        rest = with_ids(shared, "key", keys.withColumnRenamed("key", "id"), "left_semi").join(spans, "id", "left")
+        rest = rest.select("id", "key", "place", "centre", ((F.col("id") != F.col("root")) & ~inside).alias("open"))
+        joint = written(rest.repartition(n, "id").sortWithinPartitions("id").mapInArrow(_joint, "key long, id long, place long, open boolean"), "joint")
+        several = joint.groupBy("key").agg(F.min("id").alias("root"), F.max("id").alias("most"), F.max("open").alias("any"), F.count("*").alias("size")).where("root < most and any")
+        several = written(several.select("key", "size"), "several")
+        found = written(joint.join(several, "key"), "found")
+        discard(joint, several)
+        arrays = arrays_of(written(found.select("id").distinct(), "open-ids"), docs, "open")
+        # A near passage holds both centres, and the whole of its joint window may be needed to see that it is one.
         parts = F.ceil(F.col("size") / BLOCK).cast("int")
-        spread = rest.join(arrays, "id").select("key", "id", "open", F.col("l").alias("at"), _slice(F.col("values"), F.col("l"), F.col("r")).alias("near"), parts.alias("parts"))
+        left, right = _places("place")
+        spread = found.join(arrays, "id").select("key", "id", "open", left.alias("at"), _slice(F.col("values"), left, right).alias("near"), parts.alias("parts"))
         spread = spread.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         spread = spread.select("key", "id", "open", "at", "near", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        found = spread.repartition(many_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross, LINK)
-        links = links.unionByName(written(found.distinct(), "cross"))
+        crossed = spread.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross, LINK)
+        links = links.unionByName(written(crossed.distinct(), "cross"))
+        discard(found, arrays)
+    discard(shared)
     return links.distinct()
 
 
