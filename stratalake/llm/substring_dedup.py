@@ -10,8 +10,10 @@ FUNCTIONS: an interval join of their windows has to leave a stretch of the least
 * Each document's windows meet those of the least document of their key. What ENOUGH functions say is shared is verified, at most one comparison
   for a document and a stretch of it, whatever the size of a group.
 * A window that this leaves unexplained (its key's least document lacks the passage) is joined with the other windows of such keys in its own
-  document: the keys of two functions together are a new key. Under it all windows are compared with all lesser ones, in blocks inside
-  tasks, and linked with the least that shares a passage, so no repeat is left out and links grow with windows, not with pairs.
+  document: the keys of two functions together are a new key. Under it all windows are compared with all lesser ones around their centres, in
+  blocks inside tasks, until one shares a passage; these pairs are verified too. A passage can be halved until it is shorter than twice the least
+  length, one half being no less similar than the whole, so what lies that near the centres decides. Windows whose surroundings are
+  an exact copy of a lesser document's needn't take part: that document's do.
 
 Verification finds the stretches of a text whose shingles the other holds on one diagonal, and keeps those with LEAST_WORDS words and a Jaccard
 similarity of PERCENT or more. An exact repeat always agrees on all functions; a passage at similarity s on two of six with
@@ -40,6 +42,7 @@ ENOUGH = 2
 BLOCK = 4096
 MOST_BITS = 1 << 28  # of the bitmap that spares most windows of one document: 32 MB at most
 LEAST = LEAST_WORDS - WIDTH + 1  # shingles in the shortest passage
+REACH = 2 * LEAST - 1  # shingles in the longest that can't be halved
 
 
 def sliding_least(keys: np.ndarray, t: int) -> np.ndarray:
@@ -318,22 +321,31 @@ def _joint(batches):
             i = np.repeat(np.arange(lo, to), n)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
             lo = to
-            apart = (key[i] & U64(7)) != (key[j] & U64(7))
-            i, j = i[apart], j[apart]
             x, y = np.maximum(left[i], left[j]), np.minimum(right[i], right[j])
-            good = (y - x + 1 >= LEAST) & (d[i] >= x) & (c[i] <= y) & (d[j] >= x) & (c[j] <= y)
+            good = ((key[i] ^ key[j]) & U64(7) != 0) & (y - x + 1 >= LEAST) & (d[i] >= x) & (c[i] <= y) & (d[j] >= x) & (c[j] <= y)
             i, j, x, y = i[good], j[good], x[good], y[good]
             less = (key[i] & U64(7)) < (key[j] & U64(7))
             both = mix64(np.where(less, key[i], key[j]) * U64(0xD6E8FEB86659FD93) + np.where(less, key[j], key[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), batch.column("id").take(pa.array(order[i])), pa.array(_pack(x, y)), pa.array(opens[i] | opens[j])], names=["key", "id", "place", "open"])
+            # The first centres of both, and the last ones where equal hashes make several.
+            firsts, lasts = np.stack([np.maximum(c[i], x), np.maximum(c[j], x)]), np.stack([np.minimum(d[i], y), np.minimum(d[j], y)])
+            several = np.flatnonzero((firsts != lasts).any(axis=0))
+            pick = np.concatenate([np.arange(len(i)), several])
+            inner = np.concatenate([firsts, lasts[:, several]], axis=1)
+            near = np.flatnonzero(inner.max(axis=0) - inner.min(axis=0) < REACH)
+            pick, inner = pick[near], inner[:, near]
+            yield pa.RecordBatch.from_arrays([pa.array(both[pick].view(np.int64)), batch.column("id").take(pa.array(order[i[pick]])), pa.array(_pack(x[pick], y[pick])), pa.array(_pack(inner.min(axis=0), inner.max(axis=0))), pa.array(opens[i[pick]] | opens[j[pick]])], names=["key", "id", "place", "centre", "open"])
 
 
-def _arrays(batches):
-    """The shingles of each text in order, 32 bits each: a chance match is a lone one and makes no passage."""
-    for batch in batches:
-        for part, texts in text_slices(batch, "text"):
-            words, rows = word_hashes(texts)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingles(words[rows[i] : rows[i + 1]], WIDTH).astype(np.uint32).tobytes() for i in range(len(texts))], pa.binary())], names=["id", "values"])
+def _arrays(kind):
+    """The shingles of each text in order, 32 or 16 bits each: a chance match is a lone one and makes no passage."""
+
+    def run(batches):
+        for batch in batches:
+            for part, texts in text_slices(batch, "text"):
+                words, rows = word_hashes(texts)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingles(words[rows[i] : rows[i + 1]], WIDTH).astype(kind).tobytes() for i in range(len(texts))], pa.binary())], names=["id", "values"])
+
+    return run
 
 
 def dense_stretches(mask: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -476,107 +488,161 @@ def _verify(batches):
         yield _link_batch(rows)
 
 
-PAIRS = 400_000  # shared shingles of pairs of windows looked at at a time
+PAIRS = 2_000_000  # places of pairs of windows looked at at a time
 SHINGLES = 300_000
-FIRST = 64  # least rows of a group that each is compared with first, which settles most
-
-
-def _holds_dense(known: np.ndarray, least: int = LEAST, percent: int = PERCENT) -> bool:
-    """Whether some stretch of `least` or more places begins and ends with a match and has a share of `percent` of matches."""
-    if len(known) < least:
-        return False
-    score = np.concatenate([[0], np.cumsum(np.where(known, 100 - percent, -percent))])
-    begin = np.minimum.accumulate(np.where(known, score[:-1], 100 * len(known)))
-    return bool((known[least - 1 :] & (score[least:] >= begin[: len(known) - least + 1])).any())
-
-
-def shared_links(groups: np.ndarray, ids: np.ndarray, at: np.ndarray, opens: np.ndarray, alone: np.ndarray, own: np.ndarray, data: np.ndarray, offsets: np.ndarray):
-    """For each open row, the passages that it shares with the least lesser row of its group that shares any. Rows come by group; alone: whether
-    rows of the group's blocks meet all others, or those of the other block (own) only.
-
-    An index from shingles to the rows of a group that hold them gives the places of a row that each other one matches. passages() finds none
-    unless PERCENT of a stretch of LEAST places or more match, its ends among them, so only pairs without such a stretch are left out; the others are looked at in full, from the
-    least document on, until one holds a passage."""
+FIRST = 64  # least rows of a group that each is compared with at a time
+CELLS = 1 << 24  # bits in a table of those that rows hold
+
+
+def dense_around(known: np.ndarray, low: np.ndarray, high: np.ndarray, least: int = LEAST, percent: int = PERCENT) -> np.ndarray:
+    """For each row of matches, whether some stretch of `least` or more places that holds the places low to high has a share of `percent` of
+    matches."""
+    score = np.zeros((len(known), known.shape[1] + 1), np.int32)
+    np.cumsum(np.where(known, np.int32(100 - percent), np.int32(-percent)), axis=1, out=score[:, 1:])
+    place = np.arange(score.shape[1])
+    begin = np.minimum.accumulate(np.where(place <= low[:, None], score, np.int32(2**30)), axis=1)
+    return ((score[:, least:] >= begin[:, : score.shape[1] - least]) & (place[least:] > high[:, None])).any(axis=1)
+
+
+SLACK = 1.5  # places that chance matches may have moved
+
+
+def _steps(known: np.ndarray, centre: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of matches, how many places there are from its centre on (side 1; before it: -1) up to the first, second, ... match, the centre's own place
+    on the left; a large number where there are fewer; the first column is of no match. And how many matches there are by place."""
+    n, width = known.shape
+    reach = np.arange(min(width, REACH))
+    at = centre[:, None] + (reach + 1 if side > 0 else -reach)
+    seen = np.take_along_axis(known, np.clip(at, 0, width - 1), axis=1) & (at >= 0) & (at < width)
+    many = np.cumsum(seen, axis=1)
+    out = np.full((n, len(reach) + 1), np.float32(1e6))
+    out[:, 0] = 0
+    row, place = np.nonzero(seen)
+    out[row, many[row, place]] = place + 1
+    return out, many
+
+
+def alike_around(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, until: np.ndarray) -> np.ndarray:
+    """Whether stretches that hold the common centres in_a and in_b, and place `until` of a, can have the length and the similarity, given which places of
+    either the other holds. Passages have their matches in the same order, so the n-th match beside the centre in one is the n-th in the
+    other, and what lies between them on both sides is what they don't share: at PERCENT no more than a share of the matches, give or take SLACK places.
+    This holds where shingles aren't repeated."""
+    gain = PERCENT / (100 - PERCENT)
+    total, reach = [], []
+    for side in (-1, 1):
+        (x, many), (y, _) = _steps(a, in_a, side), _steps(b, in_b, side)
+        n = np.arange(max(x.shape[1], y.shape[1]), dtype=np.float32)
+        x, y = (np.pad(z, ((0, 0), (0, len(n) - z.shape[1])), constant_values=1e6) for z in (x, y))
+        total.append(np.where((side < 0) | (x >= (until - in_a)[:, None]), n - gain * (x + y - 2 * n), np.float32(-1e9)))
+        reach.append((x, many))
+    left, right = total
+    # The best right side with as many matches, and as long, as the left one leaves to find.
+    best = np.maximum.accumulate(right[:, ::-1], axis=1)[:, ::-1]
+    best = np.concatenate([best, np.full((len(best), 1), np.float32(-1e9))], axis=1)
+    length = LEAST - np.minimum(reach[0][0], LEAST).astype(np.int64)
+    short = np.where(length > 1, np.take_along_axis(reach[1][1], np.clip(length - 2, 0, reach[1][1].shape[1] - 1), axis=1), 0) + 1
+    rest = np.maximum(np.where(length > 0, short, 0), -(-LEAST * PERCENT // 100) - np.arange(left.shape[1]))
+    return (left + np.take_along_axis(best, np.clip(rest, 0, best.shape[1] - 1), axis=1)).max(axis=1, initial=-1e9) >= -gain * SLACK
+
+
+def first_alike(groups: np.ndarray, ids: np.ndarray, opens: np.ndarray, alone: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndarray, codes: np.ndarray, offsets: np.ndarray):
+    """(row, the least lesser row of its group that shares a passage around its centres) of the open rows. Rows come by group, with the
+    shingles around their centres; low, high: the centres' places in them; alone: whether rows of the group's blocks meet all others, or
+    those of the other block (own) only.
+
+    Which rows of a group hold which shingles is a table of bits, so what a row's places match in each other one is looked up for many pairs
+    together. A share of `percent` around the centres is necessary for a passage; pairs that have it are compared in full, from the least on."""
     n = len(ids)
     order = np.lexsort((ids, groups))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    begins = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if n else np.zeros(0, np.int64)
-    first = np.repeat(begins, np.diff(np.append(begins, n)))  # groups keep their places in order
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    # (group, shingle) as one number: groups have few rows, so their numbers and the shingles fit.
-    code = (groups[row].astype(U64) << U64(32)) | data.astype(U64)
-    by = np.argsort(code, kind="stable")
-    code[by] = np.cumsum(np.concatenate([[0], code[by][1:] != code[by][:-1]])) if len(code) else code
-    code = code.view(np.int64)
-    index = np.sort(code * n + rank[row])  # by shingle, then by rank, equal ones of a row once
-    index = index[np.concatenate([[True], index[1:] != index[:-1]])] if len(index) else index
-    left = np.flatnonzero(opens & (rank > first))
-    for lower, upper in ((0, FIRST), (FIRST, None)):
-        left = left[rank[left] - first[left] > lower]
+    groups, ids, opens, alone, own, low, high = (x[order] for x in (groups, ids, opens, alone, own, low, high))
+    sizes = np.diff(offsets)[order]
+    width = int(sizes.max()) if n else 0
+    if width < LEAST:
+        return
+    inside = np.arange(width) < sizes[:, None]
+    places = (offsets[:-1][order][:, None] + np.arange(width))[inside]
+    row = np.repeat(np.arange(n), sizes)
+    values, numbers = np.unique(groups[row] << 32 | codes[places], return_inverse=True)
+    edges = np.searchsorted(values >> 32, np.arange(int(groups[-1]) + 2))
+    held = np.diff(edges)  # shingles of each group; one column more stays empty
+    table = np.repeat(held[groups][:, None], width, axis=1)
+    table[inside] = numbers - edges[groups[row]]
+    first = np.searchsorted(groups, groups)
+    rank = np.arange(n) - first
+    twice = np.sort(np.where(inside, table, -1 - np.arange(width)), axis=1)
+    varied = np.count_nonzero(twice[:, 1:] == twice[:, :-1], axis=1) <= 1
+    left = np.flatnonzero(opens & (rank > 0) & (sizes >= LEAST))
+    for least in range(0, int(rank.max()) + 1, FIRST):
+        left = left[rank[left] > least]
+        if not len(left):
+            return
+        some = np.flatnonzero((rank >= least) & (rank < least + FIRST) & np.isin(groups, groups[left]))
+        cells = held[groups[some]] + 1
+        base = np.zeros(n, np.int64)
+        base[some] = np.cumsum(cells) - cells
+        bits = np.zeros(int(cells.sum()), bool)
+        mine = inside[some]
+        bits[(base[some][:, None] + table[some])[mine]] = True
         settled: set[int] = set()
-        sizes = np.diff(offsets)[left]
-        place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(offsets[left], sizes)
-        own_row = row[place]
-        begin = np.searchsorted(index, code[place] * n + first[own_row] + lower)
-        stop = rank[own_row] if upper is None else np.minimum(rank[own_row], first[own_row] + upper)
-        many = np.searchsorted(index, code[place] * n + stop) - begin
-        ends = np.cumsum(sizes)  # the places of each row left end here
-        total = np.concatenate([[0], np.cumsum(many)])[ends] if len(left) else np.zeros(0, np.int64)
+        many = np.minimum(rank[left] - least, FIRST)
+        total = np.concatenate([[0], np.cumsum(many)])
         k = 0
         while k < len(left):
-            until = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + PAIRS, side="right")))
-            span = slice(int(ends[k - 1]) if k else 0, int(ends[until - 1]))
-            width = many[span]
-            spot = np.repeat(np.arange(span.start, span.stop), width)
-            y = index[np.arange(len(spot)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(begin[span], width)] % n
-            x = own_row[spot]
-            y_row = order[y]
-            good = (ids[y_row] < ids[x]) & (alone[x] | (own[x] != own[y_row]))
-            x, y, spot = x[good], y[good], spot[good]
-            pair = x * n + y
-            by = np.argsort(pair, kind="stable")
-            pair, inner = pair[by], (place[spot] - offsets[x])[by]
-            begins = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-            stops = np.append(begins[1:], len(pair))
-            near = np.flatnonzero((stops - begins) * 100 >= LEAST * PERCENT)
-            begins, stops = begins[near], stops[near]
-            for low, high, i, other in zip(begins.tolist(), stops.tolist(), (pair[begins] // n).tolist(), (pair[begins] % n).tolist(), strict=True):
+            to = max(k + 1, int(np.searchsorted(total, total[k] + PAIRS // width, side="right")) - 1)
+            x = np.repeat(left[k:to], many[k:to])
+            y = first[x] + least + np.arange(len(x)) - np.repeat(total[k:to] - total[k], many[k:to])
+            k = to
+            good = (ids[y] < ids[x]) & (alone[x] | (own[x] != own[y])) & (sizes[y] * 100 >= LEAST * PERCENT)
+            x, y = x[good], y[good]
+            known = bits[base[y][:, None] + table[x]]
+            good = np.flatnonzero(np.count_nonzero(known, axis=1) * 100 >= LEAST * PERCENT)
+            good = good[dense_around(known[good], low[x[good]], high[x[good]])]
+            x, y, known = x[good], y[good], known[good]
+            good = np.zeros(len(x), bool)
+            lo = 0
+            while lo < len(x):
+                cells = held[groups[x[lo:]]] + 1
+                news = np.concatenate([[True], x[lo + 1 :] != x[lo:-1]])
+                hi = lo + max(1, int(np.searchsorted(np.cumsum(cells * news), CELLS, side="right")))
+                p, q = x[lo:hi], y[lo:hi]
+                start = np.cumsum(cells[: hi - lo] * news[: hi - lo]) - cells[: hi - lo]  # of the bits of each pair's row
+                mine = inside[p[news[: hi - lo]]]
+                bits_x = np.zeros(int(start[-1] + cells[hi - lo - 1]), bool)
+                bits_x[(start[news[: hi - lo]][:, None] + table[p[news[: hi - lo]]])[mine]] = True
+                good[lo:hi] = ~(varied[p] & varied[q]) | alike_around(known[lo:hi], bits_x[start[:, None] + table[q]], low[p], low[q], high[p])
+                lo = hi
+            x, y = x[good], y[good]
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
                 if i in settled:
                     continue
-                known = np.zeros(int(offsets[i + 1] - offsets[i]), bool)
-                known[inner[low:high]] = True
-                if not _holds_dense(known):
-                    continue
-                j = int(order[other])
-                found = passages(data[offsets[i] : offsets[i + 1]], data[offsets[j] : offsets[j + 1]])
-                if found:
+                a, b = (codes[offsets[r] : offsets[r + 1]] for r in (order[i], order[j]))
+                if any(p <= low[i] and high[i] <= q for p, q, *_ in passages(a, b)):
                     settled.add(i)
-                for p, q, r, t, similarity in found:
-                    yield int(ids[i]), int(ids[j]), int(at[i]) + p, int(at[i]) + q + WIDTH, int(at[j]) + r, int(at[j]) + t + WIDTH, similarity
-            k = until
+                    yield int(order[i]), int(order[j])
         left = left[~np.isin(left, np.fromiter(settled, np.int64, len(settled)))]
 
 
-def _cross(batches):
-    """shared_links() of the rows of each (key, i, j), which come together."""
+REGION = "a long, b long, l int, r int, b_l int, b_r int"
 
-    def found(batch):
-        num = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+
+def _cross(batches):
+    """first_alike() of the rows of each (key, i, j), which come together, as regions."""
+    for batch in runs(batches, ("key", "i", "j")):
+        num = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
         groups = _groups(batch, ("key", "i", "j"))
         data, offsets = raw_bytes(batch.column("near"))
-        data, offsets = data.view(np.uint32), offsets // 4
-        columns = [groups, num("id"), num("at").astype(np.int64), num("open"), num("i") == num("j"), num("block")]
+        data, offsets = data.view(np.uint16).astype(np.int64), offsets // 2
+        low, high = _unpack(batch.column("centre"))
+        at, (left, right) = num("at").astype(np.int64), _unpack(batch.column("place"))
+        columns = [num("id"), num("open"), num("i") == num("j"), num("block"), low - at, high - at]
         begins = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-        links, lo = [], 0
+        found, lo = [], 0
         # Groups at a time of SHINGLES, or a larger one.
         for hi in np.append(begins[1:], batch.num_rows)[np.append(offsets[begins[1:]] // SHINGLES != offsets[begins[:-1]] // SHINGLES, True)].tolist():
-            links += shared_links(*(c[lo:hi] for c in columns), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            found += [(lo + x, lo + y) for x, y in first_alike(groups[lo:hi] - groups[lo], *(c[lo:hi] for c in columns), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])]
             lo = hi
-        return _link_batch(links)
-
-    for batch in runs(batches, ("key", "i", "j")):
-        yield found(batch)
+        x, y = np.array(found, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(num("id")[x]), pa.array(num("id")[y]), *(pa.array(v.astype(np.int32)) for v in (left[x], right[x], left[y], right[y]))], names=["a", "b", "l", "r", "b_l", "b_r"])
 
 
 def _link_batch(rows: list) -> pa.RecordBatch:
@@ -585,9 +651,9 @@ def _link_batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["a", "b", "start", "stop", "b_start", "b_stop", "similarity"])
 
 
-def _slice(values, lo, hi):
-    """Places lo to hi of a binary column of values of 4 bytes."""
-    return F.substring(values, lo * 4 + 1, (hi - lo + 1) * 4)
+def _slice(values, lo, hi, size: int = 4):
+    """Places lo to hi of a binary column of values of `size` bytes."""
+    return F.substring(values, lo * size + 1, (hi - lo + 1) * size)
 
 
 def _places(column: str) -> list:
@@ -595,9 +661,9 @@ def _places(column: str) -> list:
     return [F.shiftright(column, 32).cast("int"), F.col(column).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")]
 
 
-def arrays_of(ids: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+def arrays_of(ids: DataFrame, docs: DataFrame, name: str, kind=np.uint32) -> DataFrame:
     """(id, values) of the documents with these ids, one row each."""
-    arrays = with_ids(docs.withColumnRenamed("id", "doc"), "doc", ids, "left_semi").withColumnRenamed("doc", "id").mapInArrow(_arrays, "id long, values binary")
+    arrays = with_ids(docs.withColumnRenamed("id", "doc"), "doc", ids, "left_semi").withColumnRenamed("doc", "id").mapInArrow(_arrays(kind), "id long, values binary")
     return written(arrays.dropDuplicates(["id"]), name + "-arrays")
 
 
@@ -624,33 +690,36 @@ def repeats(docs: DataFrame) -> DataFrame:
     shared = written(windows.join(roots, "key"), "shared")
     discard(windows, roots)
     stars = shared.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"), "key", "place", "other")
-    regions = stars.repartition(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(_regions, "a long, b long, l int, r int, b_l int, b_r int")
+    regions = stars.repartition(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(_regions, REGION)
     links = confirm(written(regions, "regions"), docs, "star")
-    # A window is explained if a verified passage of its document holds its centres.
-    spans = written(links.groupBy(F.col("a").alias("id")).agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
-    first, last = _places("centre")
-    inside = F.exists(F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")), lambda s: (s["start"] <= first) & (last < s["stop"]))
-    unexplained = shared.where("id <> root").join(spans, "id", "left").where(~inside)
-    keys = written(unexplained.select("key").distinct(), "open-keys")
+    # A window is explained if a verified passage of its document holds its centres, and spare if an exact one holds all that is near them.
+    spans = written(links.groupBy(F.col("a").alias("id")).agg(F.collect_set(F.struct("start", "stop", (F.col("similarity") == 1).alias("exact"))).alias("spans")), "spans")
+    spans_of = F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int,exact:boolean>>"))
+    (first, last), (left, right) = _places("centre"), _places("place")
+    near_left, near_right = F.greatest(left, first - (REACH - 1)), F.least(right, last + (REACH - 1))
+    lesser = F.col("id") != F.col("root")
+    explained = F.exists(spans_of, lambda s: (s["start"] <= first) & (last < s["stop"]))
+    spare = lesser & F.exists(spans_of, lambda s: s["exact"] & (s["start"] <= near_left) & (near_right <= s["stop"] - WIDTH))
+    keys = written(shared.join(spans, "id", "left").where(lesser & ~explained).select(F.col("key").alias("id")).distinct(), "open-keys")
     if not keys.isEmpty():
-        rest = with_ids(shared, "key", keys.withColumnRenamed("key", "id"), "left_semi").join(spans, "id", "left")
-        rest = rest.select("id", "key", "place", "centre", ((F.col("id") != F.col("root")) & ~inside).alias("open"))
-        joint = written(rest.repartition(n, "id").sortWithinPartitions("id").mapInArrow(_joint, "key long, id long, place long, open boolean"), "joint")
-        several = joint.groupBy("key").agg(F.min("id").alias("root"), F.max("id").alias("most"), F.max("open").alias("any"), F.count("*").alias("size")).where("root < most and any")
+        rest = with_ids(shared, "key", keys, "left_semi").join(spans, "id", "left").where(~spare).select("id", "key", "place", "centre", (lesser & ~explained).alias("open"))
+        joint = written(rest.repartition(n, "id").sortWithinPartitions("id").mapInArrow(_joint, WINDOW + ", open boolean"), "joint")
+        several = joint.groupBy("key").agg(F.min("id").alias("least"), F.max(F.when(F.col("open"), F.col("id"))).alias("most"), F.count("*").alias("size")).where("least < most")
         several = written(several.select("key", "size"), "several")
         found = written(joint.join(several, "key"), "found")
-        discard(joint, several)
-        arrays = arrays_of(written(found.select("id").distinct(), "open-ids"), docs, "open")
-        # A near passage holds both centres, and the whole of its joint window may be needed to see that it is one.
+        discard(shared, joint, several)
+        arrays = arrays_of(written(found.select("id").distinct(), "open-ids"), docs, "open", np.uint16)
         parts = F.ceil(F.col("size") / BLOCK).cast("int")
-        left, right = _places("place")
-        spread = found.join(arrays, "id").select("key", "id", "open", left.alias("at"), _slice(F.col("values"), left, right).alias("near"), parts.alias("parts"))
+        at, until = F.greatest(left, last - (REACH - 1)), F.least(right, first + (REACH - 1))
+        spread = found.join(arrays, "id").select("key", "id", "open", "place", "centre", at.alias("at"), _slice(F.col("values"), at, until, 2).alias("near"), parts.alias("parts"))
         spread = spread.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        spread = spread.select("key", "id", "open", "at", "near", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        crossed = spread.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross, LINK)
-        links = links.unionByName(written(crossed.distinct(), "cross"))
+        spread = spread.drop("parts").withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+        crossed = spread.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross, REGION)
+        crossed = written(crossed.groupBy("a", "b").agg(*(f(c).alias(c) for f, c in ((F.min, "l"), (F.max, "r"), (F.min, "b_l"), (F.max, "b_r")))), "crossed")
         discard(found, arrays)
-    discard(shared)
+        links = links.unionByName(confirm(crossed, docs, "cross"))
+    else:
+        discard(shared)
     return links.distinct()
 
 
