@@ -1,16 +1,19 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-Tokens are lower-cased words and one end of text. The commonest VOCABULARY of them fall into classes of PER_CLASS by frequency; all other
-tokens fall into classes by their form (letters beyond ASCII, final punctuation, length). The model gives a token's class from hashed
-n-gram and skip features of the three tokens before it, then a vocabulary token within its class from the same features; another
-token has its add-one share of its class's count. It is trained by rounds of gradient steps: tasks start from the broadcast weights, step
-through their share of all training texts, and their updates are averaged.
+Tokens are lower-cased words and one end of text. Those with MIN_COUNT occurrences or more and a share of 1 / HEAD of all are the vocabulary, which so
+grows with the corpus; all others are leaves together by their form (letters beyond ASCII, final punctuation, length). Leaves lie in classes within
+classes of BRANCH each, the more frequent nearer the root: a prefix code of lengths that follow the counts. The model gives the class at each level
+from hashed n-gram and skip features of the three tokens before; a token outside the vocabulary has its add-one share of its form's count besides.
+
+Training goes once over all training texts, in ROUNDS parts: tasks start from the broadcast weights and take gradient steps through
+their share; the updates of a row of weights are averaged by the squared gradients that each task has seen there. Rows of weights grow in number with the corpus
+up to MOST_BITS, which bounds what is broadcast.
 
 Counts of tokens cover all training texts. Tokens with a share of 1 / HEAD of them or more, of which there can be no more than HEAD, are
 broadcast; the others meet the texts that hold them in a join by token.
 
 Defined cases: a null text is empty and consists of its end; a null doc_id counts as an empty one, which is trained on; repeated rows
-count and are scored as often as they occur; without any training text N and V are 0, so the base score is 0, and the classes are equally
+count and are scored as often as they occur; without any training text N and V are 0, so the base score is 0, and the forms are about equally
 likely; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -23,13 +26,19 @@ from pyspark.sql import functions as F
 
 from stratalake.llm.common import U64, held_out, mix64, table, text_slices, word_hashes, written
 
-VOCABULARY, PER_CLASS, FORMS = 1024, 32, 12
+FORMS = 16
+MIN_COUNT = 3
 HEAD = 1 << 20
-TASK_TEXTS = 8192  # training texts of a task, about
+DIGIT = 4  # bits of a digit of the prefix code
+BRANCH = 1 << DIGIT
+LEAST_BITS, MOST_BITS = 8, 16  # of a row's number, for each feature: 21 MB of weights at most
+TOKENS_PER_ROW = 32
+TASK_TOKENS = 1 << 23  # training tokens of a task, about
 PARTS = 64  # pieces in which the tasks' updates are averaged
-TASKS, ROUNDS, RATE = 8, 2, 0.15
-CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 10
+ROUNDS, RATE = 2, 0.3
 N_FEATURES = 5
+ONES = np.ones(BRANCH, np.float32)
+ROW = np.dtype(f"V{4 * BRANCH}")  # a row of weights as one item, which numpy puts faster
 STEP = 4096
 END, START = U64(0x45F3A1B2C4D5E600), U64(0x13579BDF02468AC0)
 MODULUS = 7
@@ -51,105 +60,112 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, rows[1:], END), rows + np.arange(len(rows))
 
 
-def features(toks: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Hashed features (tokens x N_FEATURES) of what stands before each token: the last, the one before, the third last, the
-    last two together, and a constant."""
-    place = np.arange(len(toks)) - np.repeat(rows[:-1], np.diff(rows))
-    back = []
-    for n in (1, 2, 3):
-        prior = np.empty(len(toks), U64)
-        prior[:n] = START
-        prior[n:] = toks[:-n] if n < len(toks) else toks[: max(0, len(toks) - n)]
-        prior[place < n] = START
-        back.append(prior)
-    one, two, three = back
-    return np.stack([mix64(one + U64(1)), mix64(two + U64(2)), mix64(three + U64(3)), mix64(one * U64(0x9E3779B97F4A7C15) + two + U64(4)), np.full(len(toks), mix64(np.array([5], U64))[0])], axis=1)
+def features(toks: np.ndarray, rows: np.ndarray, lo: int, hi: int) -> list[np.ndarray]:
+    """Hashed features of what stands before each of the tokens lo to hi: the last, the one before, the third last, the last two
+    together, and a constant."""
+    at = np.arange(lo, hi)
+    place = at - rows[np.searchsorted(rows, at, side="right") - 1]
+    one, two, three = (np.where(place < n, START, toks[np.maximum(at - n, 0)]) for n in (1, 2, 3))
+    return [mix64(one + U64(1)), mix64(two + U64(2)), mix64(three + U64(3)), mix64(one * U64(0x9E3779B97F4A7C15) + two + U64(4)), np.full(len(at), mix64(np.array([5], U64))[0])]
+
+
+def prefix_code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(codes, lengths in digits, greatest length, end of the codes) of a prefix code with BRANCH digits for leaves in falling order of counts: each length is near
+    the logarithm of the count's share, as short as all together allow. Codes are of the greatest length, filled up with zeros."""
+    exact = np.log(counts.sum() / counts) / np.log(BRANCH)
+    low, high = 0.0, 1.0  # how much is taken off before rounding up
+    lengths = np.maximum(1, np.ceil(exact)).astype(np.int64)
+    for _ in range(20):
+        mid = (low + high) / 2
+        tried = np.maximum(1, np.ceil(exact - mid)).astype(np.int64)
+        if (float(BRANCH) ** -tried).sum() <= 1:
+            low, lengths = mid, tried
+        else:
+            high = mid
+    longest = int(lengths.max())
+    widths = np.int64(1) << (DIGIT * (longest - lengths))
+    ends = np.cumsum(widths)
+    return ends - widths, lengths, longest, int(ends[-1])
 
 
 class Model:
-    """vocab: token hashes, sorted; slots: their places in the class-factored vocabulary; forms: log10 of what is added to a form
-    class's counts for each of its tokens; weights by class and by word."""
+    """vocab: token hashes, sorted; leaf: their leaves; form_totals: what add-one shares of a form's tokens are of; a row of weights serves
+    the digits below one node for one feature."""
 
-    def __init__(self, vocab: np.ndarray, counts: np.ndarray, form_totals: np.ndarray):
-        by_count = np.lexsort((vocab, -counts))
-        slots = np.empty(len(vocab), np.int64)
-        slots[by_count] = np.arange(len(vocab))
+    def __init__(self, vocab: np.ndarray, counts: np.ndarray, form_totals: np.ndarray, row_bits: int = LEAST_BITS):
         order = np.argsort(vocab)
-        self.vocab, self.slots = vocab[order], slots[order]
-        self.n_head = -(-len(vocab) // PER_CLASS)
-        self.n_classes = self.n_head + FORMS
-        self.sizes = np.minimum(PER_CLASS, len(vocab) - np.arange(self.n_head) * PER_CLASS)
-        self.form_totals = form_totals
-        self.by_class = np.zeros((CLASS_ROWS, self.n_classes), np.float32)
-        self.by_word = np.zeros((WORD_ROWS * max(1, self.n_head), PER_CLASS), np.float32)
-
-    def places(self, toks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(class, place in the class) of each token; place -1 for those outside the vocabulary."""
+        self.vocab, self.form_totals, self.row_bits = vocab[order], form_totals, row_bits
+        every = np.concatenate([form_totals, counts[order]]).astype(float)
+        ranked = np.argsort(-every, kind="stable")
+        self.codes, self.lengths = np.empty(len(every), np.int64), np.empty(len(every), np.int64)
+        self.codes[ranked], self.lengths[ranked], self.longest, self.end = prefix_code(every[ranked])
+        self.weights = np.zeros((N_FEATURES, 1 << row_bits, BRANCH), np.float32)
+
+    def leaves(self, toks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf of each token, whether it is in the vocabulary)."""
+        forms = (toks & U64(15)).astype(np.int64)
         if not len(self.vocab):
-            return (toks & U64(15)).astype(np.int64), np.full(len(toks), -1)
+            return forms, np.zeros(len(toks), bool)
         at = np.minimum(np.searchsorted(self.vocab, toks), len(self.vocab) - 1)
         known = self.vocab[at] == toks
-        slot = self.slots[at]
-        return np.where(known, slot // PER_CLASS, self.n_head + (toks & U64(15)).astype(np.int64)), np.where(known, slot % PER_CLASS, -1)
-
-    def _class_logp(self, feats: np.ndarray) -> np.ndarray:
-        rows = (feats % U64(CLASS_ROWS)).astype(np.int64)
-        total = self.by_class[rows[:, 0]]
-        for k in range(1, N_FEATURES):
-            total += self.by_class[rows[:, k]]
-        total -= total.max(axis=1, keepdims=True)
-        return total - np.log(np.exp(total).sum(axis=1, keepdims=True))
-
-    def _word_logp(self, feats: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        rows = ((feats >> U64(32)) % U64(WORD_ROWS)).astype(np.int64) * self.n_head + classes[:, None]
-        total = self.by_word[rows[:, 0]]
-        for k in range(1, N_FEATURES):
-            total += self.by_word[rows[:, k]]
-        if self.sizes[-1] < PER_CLASS:
-            total[np.arange(PER_CLASS) >= self.sizes[classes][:, None]] = -1e9
-        total -= total.max(axis=1, keepdims=True)
-        return total - np.log(np.exp(total).sum(axis=1, keepdims=True))
-
-    def logs(self, toks: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """log10 of each token's class, and for a vocabulary token of the token in it."""
-        feats = features(toks, rows)
-        classes, place = self.places(toks)
-        out = np.empty(len(toks))
-        for lo in range(0, len(toks), STEP):
-            c, p, f = classes[lo : lo + STEP], place[lo : lo + STEP], feats[lo : lo + STEP]
-            got = self._class_logp(f)[np.arange(len(c)), c].astype(float)
-            inside = np.flatnonzero(p >= 0)
-            if len(inside):
-                got[inside] += self._word_logp(f[inside], c[inside])[np.arange(len(inside)), p[inside]]
-            out[lo : lo + STEP] = got
-        return out / np.log(10)
-
-    def train(self, toks: np.ndarray, rows: np.ndarray, squares: list[np.ndarray]) -> None:
+        return np.where(known, at + FORMS, forms), known
+
+    def _paths(self, leaves: np.ndarray, feats: np.ndarray):
+        """(token, digit, rows of weights by feature, how many digits the node has) of each node on the tokens' paths."""
+        lengths = self.lengths[leaves]
+        token = np.repeat(np.arange(len(leaves)), lengths)
+        depth = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        below = DIGIT * (self.longest - 1 - depth)
+        down = self.codes[leaves][token] >> below
+        base = down >> DIGIT
+        node = mix64(base.view(U64) * U64(0x9E3779B97F4A7C15) + depth.view(U64))
+        # Codes fill the tree from one side, so only nodes at its edge lack digits.
+        digits = np.minimum(BRANCH, ((self.end - 1) >> below) - (base << DIGIT) + 1)
+        shift = U64(64 - self.row_bits)
+        rows = [(((f[token] ^ node) * U64(0xD6E8FEB86659FD93)) >> shift).astype(np.uint16) for f in feats]
+        return token, down & (BRANCH - 1), rows, digits
+
+    def _scores(self, rows: list[np.ndarray], digits: np.ndarray) -> np.ndarray:
+        """Sums of weights; those of a row sum to zero, as its gradients do, so no exponent of them is out of reach but one too large."""
+        total = self.weights[0].take(rows[0], axis=0)
+        held = np.empty_like(total)
+        for table, r in zip(self.weights[1:], rows[1:], strict=True):
+            total += table.take(r, axis=0, out=held, mode="clip")
+        np.minimum(total, np.float32(80), out=total)
+        edge = np.flatnonzero(digits < BRANCH)
+        if len(edge):
+            total[edge] = np.where(np.arange(BRANCH) < digits[edge][:, None], total[edge], np.float32(-1e9))
+        return total
+
+    def logs(self, toks: np.ndarray, rows: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the probability of the leaves of tokens lo to hi, and whether these are in the vocabulary."""
+        leaves, known = self.leaves(toks[lo:hi])
+        token, digit, at, digits = self._paths(leaves, features(toks, rows, lo, hi))
+        scores = self._scores(at, digits)
+        own = scores.ravel().take(np.arange(len(token)) * BRANCH + digit)
+        return np.bincount(token, own - np.log(np.exp(scores, out=scores) @ ONES), hi - lo) / np.log(10), known
+
+    def train(self, toks: np.ndarray, rows: np.ndarray, squares: np.ndarray) -> None:
         """Gradient steps over STEP tokens each, scaled by the root of the summed squares of the gradients (squares, updated)."""
-        feats = features(toks, rows)
-        classes, place = self.places(toks)
         for lo in range(0, len(toks), STEP):
-            c, p, f = classes[lo : lo + STEP], place[lo : lo + STEP], feats[lo : lo + STEP]
-            grad = -np.exp(self._class_logp(f))
-            grad[np.arange(len(c)), c] += 1
-            self._step(self.by_class, squares[0], (f % U64(CLASS_ROWS)).astype(np.int64), grad)
-            inside = np.flatnonzero(p >= 0)
-            if len(inside):
-                f, c, p = f[inside], c[inside], p[inside]
-                grad = -np.exp(self._word_logp(f, c))
-                grad[np.arange(len(p)), p] += 1
-                self._step(self.by_word, squares[1], ((f >> U64(32)) % U64(WORD_ROWS)).astype(np.int64) * self.n_head + c[:, None], grad)
-
-    @staticmethod
-    def _step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-        flat = rows.ravel(order="F")
-        order = np.argsort(flat, kind="stable")
-        ranked = flat[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        total = np.add.reduceat(grad[order % len(grad)], first, axis=0)
-        at = ranked[first]
-        squares[at] += (total * total).mean(axis=1)
-        weights[at] += RATE * total / np.sqrt(squares[at] + 1)[:, None]
+            hi = min(len(toks), lo + STEP)
+            token, digit, at, digits = self._paths(self.leaves(toks[lo:hi])[0], features(toks, rows, lo, hi))
+            grad = self._scores(at, digits)
+            np.exp(grad, out=grad)
+            grad /= -(grad @ ONES)[:, None]
+            grad.ravel()[np.arange(len(token)) * BRANCH + digit] += 1
+            for table, sums, r in zip(self.weights, squares, at, strict=True):
+                order = np.argsort(r, kind="stable")
+                ranked = r[order]
+                first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+                # Two gradients are added at a time, as parts of a complex number.
+                total = np.add.reduceat(grad.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
+                own = ranked[first].astype(np.int64)
+                held = sums.take(own) + np.einsum("ij,ij->i", total, total) / np.float32(BRANCH)
+                sums[own] = held
+                total *= (np.float32(RATE) / np.sqrt(held + np.float32(1)))[:, None]
+                total += table.take(own, axis=0)
+                table.view(ROW).ravel().put(own, total.view(ROW).ravel())
 
 
 def _count_tokens(batches):
@@ -178,30 +194,28 @@ def count(training: DataFrame) -> DataFrame:
 def _train_task(shared):
     def run(batches):
         model = shared.value
-        start = [model.by_class.copy(), model.by_word.copy()]
-        squares = [np.zeros(len(model.by_class), np.float32), np.zeros(len(model.by_word), np.float32)]
-        seen = 0
+        start, model.weights = model.weights, model.weights.copy()
+        squares = np.zeros(start.shape[:2], np.float32)
         for batch in batches:
             for _, texts in text_slices(batch, "text"):
-                toks, rows = tokens(texts)
-                model.train(toks, rows, squares)
-                seen += len(toks)
-        moved = np.concatenate([(model.by_class - start[0]).ravel(), (model.by_word - start[1]).ravel()])
-        model.by_class, model.by_word = start
-        if seen:
-            pieces = [x.tobytes() for x in np.array_split(moved, PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([seen] * PARTS, pa.int64()), pa.array(pieces, pa.binary())], names=["part", "seen", "moved"])
+                model.train(*tokens(texts), squares)
+        moved, model.weights = model.weights - start, start
+        if squares.any():
+            pieces = [x.astype(np.float16).tobytes() for x in np.array_split(moved.reshape(-1, BRANCH), PARTS)]
+            weigh = [x.tobytes() for x in np.array_split(squares.ravel(), PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(pieces, pa.binary()), pa.array(weigh, pa.binary())], names=["part", "moved", "squares"])
 
     return run
 
 
 def _mean(group: pa.Table) -> pa.Table:
-    """The mean of the tasks' updates of one part, weighted by the tokens that they saw."""
-    seen = group.column("seen").to_numpy()
-    total = 0.0
-    for n, x in zip(seen, group.column("moved"), strict=True):
-        total = total + np.frombuffer(x.as_buffer(), np.float32) * np.float32(n / seen.sum())
-    return pa.table([pa.array([group.column("part")[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "moved"])
+    """The mean of the tasks' updates of one part, each row's weighted by the squared gradients that they saw there."""
+    total, weight = 0.0, 1e-20
+    for x, w in zip(group.column("moved"), group.column("squares"), strict=True):
+        w = np.frombuffer(w.as_buffer(), np.float32)
+        total = total + np.frombuffer(x.as_buffer(), np.float16).astype(np.float32).reshape(-1, BRANCH) * w[:, None]
+        weight = weight + w
+    return pa.table([pa.array([group.column("part")[0].as_py()], pa.int32()), pa.array([(total / weight[:, None]).astype(np.float32).tobytes()], pa.binary())], names=["part", "moved"])
 
 
 def fit(training: DataFrame, counts: DataFrame) -> tuple[Model, int, int, tuple[np.ndarray, np.ndarray]]:
@@ -209,30 +223,28 @@ def fit(training: DataFrame, counts: DataFrame) -> tuple[Model, int, int, tuple[
     spark = training.sparkSession
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
-    common = counts.where(F.col("c") * HEAD >= n).toPandas().sort_values("h")
-    head = common["h"].to_numpy(np.int64), common["c"].to_numpy(np.int64)
-    # Only the common tokens are candidates, so a corpus of rare tokens alone has a small vocabulary.
-    first = np.lexsort((head[0], -head[1]))[:VOCABULARY]
-    inside, often = head[0][first].view(U64), head[1][first]
+    common = counts.where(F.col("c") * HEAD >= n).toArrow()
+    h, c = (common.column(x).to_numpy().astype(np.int64) for x in ("h", "c"))
+    order = np.argsort(h)
+    head = h[order], c[order]
+    vocabulary = c >= MIN_COUNT
     by_form = counts.groupBy(F.col("h").bitwiseAND(F.lit(15)).alias("f")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    form_totals = np.ones(16)
+    form_totals = np.ones(FORMS)
     for r in by_form:
         form_totals[r["f"]] += r["c"] + r["v"]
-    np.subtract.at(form_totals, (inside & U64(15)).astype(np.int64), often + 1)
-    model = Model(inside, often, form_totals)
-    texts = training.count()
-    if not texts:
-        return model, n, v, head
-    # Tasks grow in number with the texts, not in size; their updates are averaged by part, and one model's worth comes back.
-    tasks = max(TASKS, -(-texts // TASK_TEXTS))
-    sample = written(training.select("text").repartition(tasks), "sample")
-    for _ in range(ROUNDS):
+    np.subtract.at(form_totals, h[vocabulary] & 15, c[vocabulary] + 1)
+    row_bits = min(MOST_BITS, max(LEAST_BITS, (n // TOKENS_PER_ROW).bit_length()))
+    model = Model(h[vocabulary].view(U64), c[vocabulary], form_totals, row_bits)
+    # Tasks grow in number with the tokens, not in size; their updates are averaged by part, and one model's worth comes back.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // (TASK_TOKENS * ROUNDS)))
+    for turn in range(ROUNDS if n else 0):
         shared = spark.sparkContext.broadcast(model)
-        moved = sample.coalesce(tasks).mapInArrow(_train_task(shared), "part int, seen long, moved binary")
+        texts = training.select("text").where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn).coalesce(tasks)
+        moved = texts.mapInArrow(_train_task(shared), "part int, moved binary, squares binary")
         got = sorted(moved.groupBy("part").applyInArrow(_mean, "part int, moved binary").collect(), key=lambda r: r["part"])
-        step = np.frombuffer(b"".join(bytes(r["moved"]) for r in got), np.float32)
-        model.by_class += step[: model.by_class.size].reshape(model.by_class.shape)
-        model.by_word += step[model.by_class.size :].reshape(model.by_word.shape)
+        shared.unpersist()
+        if got:
+            model.weights = model.weights + np.frombuffer(b"".join(bytes(r["moved"]) for r in got), np.float32).reshape(model.weights.shape)
     return model, n, v, head
 
 
@@ -250,25 +262,30 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, n: int, v: int, head
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
                 toks, rows = tokens(texts)
-                logs = model.logs(toks, rows)
-                _, place = model.places(toks)
-                signed, outside = toks.view(np.int64), place < 0
-                logs[outside] -= log_form[(toks[outside] & U64(15)).astype(np.int64)]
-                at = np.minimum(np.searchsorted(hashes, signed), max(0, len(hashes) - 1))
-                known = hashes[at] == signed if len(hashes) else np.zeros(len(toks), bool)
-                gain = np.where(known, np.log10(freqs[at] + 1.0), 0.0) if len(hashes) else np.zeros(len(toks))
-                # log10(c + 1) of the tokens beyond the head is added after the join.
-                base = np.add.reduceat(gain - log_all, rows[:-1])
-                own = np.add.reduceat(logs + np.where(outside, gain, 0.0), rows[:-1])
+                base, own, n_known = (np.zeros(len(texts)) for _ in range(3))
+                outside = []  # tokens beyond the head, with their rows
+                for lo in range(0, len(toks), STEP):
+                    hi = min(len(toks), lo + STEP)
+                    signed, row = toks[lo:hi].view(np.int64), np.searchsorted(rows, np.arange(lo, hi), side="right") - 1
+                    logs, inside = model.logs(toks, rows, lo, hi)
+                    at = np.minimum(np.searchsorted(hashes, signed), max(0, len(hashes) - 1))
+                    known = hashes[at] == signed if len(hashes) else np.zeros(hi - lo, bool)
+                    gain = np.where(known, np.log10(freqs[at] + 1.0), 0.0) if len(hashes) else np.zeros(hi - lo)
+                    # log10(c + 1) of the tokens beyond the head is added after the join.
+                    logs += np.where(inside, 0.0, gain - log_form[signed & 15])
+                    for total, x in ((base, gain - log_all), (own, logs), (n_known, known)):
+                        total[row[0] : row[-1] + 1] += np.bincount(row - row[0], x)
+                    outside.append(np.stack([row[~known], signed[~known]]))
                 rest, rest_n = [], []
-                for i in range(len(texts)):
-                    lo, hi = rows[i], rows[i + 1]
-                    values, times = np.unique(signed[lo:hi][~known[lo:hi]], return_counts=True)
+                found = np.concatenate(outside, axis=1) if outside else np.zeros((2, 0), np.int64)
+                edges = np.searchsorted(found[0], np.arange(len(texts) + 1))
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    values, times = np.unique(found[1, lo:hi], return_counts=True)
                     rest.append(values)
                     rest_n.append(times)
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(x) for x in names), pa.array(np.diff(rows)), pa.array(np.add.reduceat(known.astype(np.int64), rows[:-1])), pa.array(base), pa.array(own), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rest))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rest_n).astype(np.int32)))],
+                    [*(part.column(x) for x in names), pa.array(np.diff(rows)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(own), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rest))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rest_n).astype(np.int32)))],
                     names=[*names, "n_tokens", "n_known", "base", "own", "rest", "rest_n"],
                 )
 

@@ -48,12 +48,27 @@ def test_probabilities_sum_to_one():
     totals = np.ones(16)
     np.add.at(totals, (values & np.uint64(15)).astype(int), counts + 1)
     model = M.Model(values, counts, totals)
-    model.train(toks, rows, [np.zeros(len(model.by_class), np.float32), np.zeros(len(model.by_word), np.float32)])
-    feats = M.features(toks[:50], np.array([0, 50]))
-    classes = np.exp(model._class_logp(feats).astype(float))
-    inside = np.array([np.exp(model._word_logp(feats, np.full(50, c)).astype(float)).sum(axis=1) for c in range(model.n_head)])
-    assert np.allclose(classes.sum(axis=1), 1, atol=1e-4) and np.allclose(inside, 1, atol=1e-4)
-    assert len(np.unique(model.slots)) == len(values)
+    model.train(toks, rows, np.zeros(model.weights.shape[:2], np.float32))
+    assert np.abs(model.weights.sum(axis=2)).max() < 1e-3
+    n = len(model.codes)
+    for k in (0, 1, 7, 300):
+        feats = [np.repeat(f, n) for f in M.features(toks, rows, k, k + 1)]
+        token, digit, at, digits = model._paths(np.arange(n), feats)
+        scores = model._scores(at, digits).astype(float)
+        logs = scores[np.arange(len(token)), digit] - np.log(np.exp(scores).sum(axis=1))
+        assert abs(np.exp(np.bincount(token, logs)).sum() - 1) < 1e-4
+
+
+def test_prefix_code():
+    rng = np.random.default_rng(3)
+    for n in (1, 16, 17, 300, 5000):
+        counts = np.sort((1e6 / rng.zipf(1.3, n)) + 1)[::-1]
+        codes, lengths, longest, end = M.prefix_code(counts)
+        widths = M.BRANCH ** (longest - lengths)
+        # Each leaf has a stretch of its own, aligned to its length, and the mean length is near the entropy.
+        assert (codes % widths == 0).all() and (np.diff(codes) == widths[:-1]).all() and end <= M.BRANCH**longest
+        share = counts / counts.sum()
+        assert (share * lengths).sum() <= max(1, (share * -np.log2(share) / 4).sum() + 1)
 
 
 def test_empty_and_untrained(spark, frame, folder):
@@ -63,8 +78,8 @@ def test_empty_and_untrained(spark, frame, folder):
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0) and math.isfinite(r.score)
 
 
-def test_trains_on_every_text(spark, monkeypatch):
-    texts = spark.range(14_000).selectExpr("id as doc_id", "'to be' as text").repartition(3)
+def test_trains_on_every_text_once(spark, monkeypatch):
+    texts = spark.range(14_000).selectExpr("id as doc_id", "concat('to be ', id) as text").repartition(3)
     seen = spark.sparkContext.accumulator(0)
     made = M._train_task
 
@@ -72,12 +87,32 @@ def test_trains_on_every_text(spark, monkeypatch):
         run = made(shared)
 
         def outer(batches):
-            for out in run(batches):
-                seen.add(out.column("seen")[0].as_py())
-                yield out
+            def counted():
+                for batch in batches:
+                    seen.add(batch.num_rows)
+                    yield batch
+
+            yield from run(counted())
 
         return outer
 
     monkeypatch.setattr(M, "_train_task", watched)
     M.fit(texts, M.count(texts))
-    assert seen.value == M.ROUNDS * 14_000 * 3
+    assert seen.value == 14_000
+
+
+def test_vocabulary_grows_with_the_corpus(spark):
+    sizes = []
+    for n in (1_000, 10_000):
+        texts = spark.range(n).selectExpr("id as doc_id", "concat('word', id div 3, ' and ', id) as text")
+        model, *_ = M.fit(texts, M.count(texts))
+        sizes.append(len(model.vocab))
+    assert sizes[0] >= 300 and sizes[1] > 9 * sizes[0]
+
+
+def test_a_very_long_text_is_scored_in_steps():
+    text = pa.array([prose(9, 300_000)])
+    toks, rows = M.tokens(text)
+    model = M.Model(np.zeros(0, np.uint64), np.zeros(0), np.ones(16))
+    whole = [model.logs(toks, rows, lo, min(len(toks), lo + M.STEP))[0] for lo in range(0, len(toks), M.STEP)]
+    assert sum(map(len, whole)) == len(toks) == 300_001
