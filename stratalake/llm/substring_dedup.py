@@ -331,7 +331,8 @@ def _joint(batches):
             several = np.flatnonzero((firsts != lasts).any(axis=0))
             pick = np.concatenate([np.arange(len(i)), several])
             inner = np.concatenate([firsts, lasts[:, several]], axis=1)
-            near = np.flatnonzero(inner.max(axis=0) - inner.min(axis=0) < REACH)
+            # Of three centres in a passage of REACH places two lie this near, so that only one agreeing on two functions may be lost.
+            near = np.flatnonzero(inner.max(axis=0) - inner.min(axis=0) < LEAST)
             pick, inner = pick[near], inner[:, near]
             yield pa.RecordBatch.from_arrays([pa.array(both[pick].view(np.int64)), batch.column("id").take(pa.array(order[i[pick]])), pa.array(_pack(x[pick], y[pick])), pa.array(_pack(inner.min(axis=0), inner.max(axis=0))), pa.array(opens[i[pick]] | opens[j[pick]])], names=["key", "id", "place", "centre", "open"])
 
@@ -565,12 +566,10 @@ def first_alike(groups: np.ndarray, ids: np.ndarray, opens: np.ndarray, alone: n
     values, numbers = np.unique(groups[row] << 32 | codes[places], return_inverse=True)
     edges = np.searchsorted(values >> 32, np.arange(int(groups[-1]) + 2))
     held = np.diff(edges)  # shingles of each group; one column more stays empty
-    table = np.repeat(held[groups][:, None], width, axis=1)
+    table = np.repeat(held[groups].astype(np.int32)[:, None], width, axis=1)
     table[inside] = numbers - edges[groups[row]]
     first = np.searchsorted(groups, groups)
     rank = np.arange(n) - first
-    twice = np.sort(np.where(inside, table, -1 - np.arange(width)), axis=1)
-    varied = np.count_nonzero(twice[:, 1:] == twice[:, :-1], axis=1) <= 1
     left = np.flatnonzero(opens & (rank > 0) & (sizes >= LEAST))
     for least in range(0, int(rank.max()) + 1, FIRST):
         left = left[rank[left] > least]
@@ -598,6 +597,11 @@ def first_alike(groups: np.ndarray, ids: np.ndarray, opens: np.ndarray, alone: n
             good = np.flatnonzero(np.count_nonzero(known, axis=1) * 100 >= LEAST * PERCENT)
             good = good[dense_around(known[good], low[x[good]], high[x[good]])]
             x, y, known = x[good], y[good], known[good]
+            # Rows that say a shingle more than once, but for chance, are compared in full.
+            rows = np.unique(np.concatenate([x, y]))
+            said = np.sort(np.where(inside[rows], table[rows], -1 - np.arange(width)), axis=1)
+            varied = np.ones(n, bool)
+            varied[rows] = np.count_nonzero(said[:, 1:] == said[:, :-1], axis=1) <= 1
             good = np.zeros(len(x), bool)
             lo = 0
             while lo < len(x):
@@ -705,8 +709,8 @@ def repeats(docs: DataFrame) -> DataFrame:
         rest = with_ids(shared, "key", keys, "left_semi").join(spans, "id", "left").where(~spare).select("id", "key", "place", "centre", (lesser & ~explained).alias("open"))
         joint = written(rest.repartition(n, "id").sortWithinPartitions("id").mapInArrow(_joint, WINDOW + ", open boolean"), "joint")
         several = joint.groupBy("key").agg(F.min("id").alias("least"), F.max(F.when(F.col("open"), F.col("id"))).alias("most"), F.count("*").alias("size")).where("least < most")
-        several = written(several.select("key", "size"), "several")
-        found = written(joint.join(several, "key"), "found")
+        several = written(several.select("key", "most", "size"), "several")
+        found = written(joint.join(several, "key").where("id <= most").drop("most"), "found")
         discard(shared, joint, several)
         arrays = arrays_of(written(found.select("id").distinct(), "open-ids"), docs, "open", np.uint16)
         parts = F.ceil(F.col("size") / BLOCK).cast("int")
