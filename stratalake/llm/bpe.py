@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import extended, table, text_slices
+from stratalake.llm.common import bounded, extended, table, text_slices
 
 LONG = 4096  # bytes of an unsplit stretch from which the tree is used
 LEAF = 2048
@@ -202,10 +202,12 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", F.col("ids")).mapInArrow(run, f"doc_id {id_type}, text string")
 
 
+@bounded
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), digests=True)
 
 
+@bounded
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: each document's token ids."""
     return encode(docs)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import gc
 import os
 import shutil
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 512 * 1024
+BATCH_ROWS = 2048
 U64 = np.uint64
 
 
@@ -71,6 +73,18 @@ def clear_scratch(spark: SparkSession) -> bool:
     return _delete(spark, _run_folder(spark))
 
 
+def bounded(entry):
+    """Decorates an operator's query or stage (spark, ...): batches to and from Python workers have BATCH_ROWS rows at most. Spark's default of 10,000
+    makes buffers of tens of megabytes of text, outside the heap, for each task. The setting stays, as results are computed later."""
+
+    @functools.wraps(entry)
+    def run(spark, *args):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return entry(spark, *args)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

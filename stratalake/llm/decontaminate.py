@@ -7,9 +7,12 @@ space as one space.
 
 Items are the stated query set: they are taken in blocks of a bounded size, each broadcast in turn and run over all documents.
 
-Defined cases: a null or empty text holds no item; items with fewer than MIN_ITEM_CHARS characters (null ones as well) are ignored, for they
-would match by chance; equal items under several ids are each reported; repeated document rows are each reported;
-an empty table on either side gives no row; columns other than doc_id, text and item_id, text are ignored.
+Items with fewer than SHORT_CHARS characters would match by chance with an edit or inside words: they are found without an edit, where no letter or digit
+stands directly before or behind.
+
+Defined cases: a null or empty text holds no item, and a null or empty item, or one of white space, is held by no text; equal items under several ids are
+each reported; repeated document rows are each reported; an empty table on either side gives no row; columns other than doc_id, text and
+item_id, text are ignored; ids may be of any type that Arrow has.
 """
 
 from __future__ import annotations
@@ -17,11 +20,12 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from stratalake.llm.common import table, text_slices
+from stratalake.llm.common import bounded, table, text_slices
 
 CHARS_PER_ERROR = 20
-MIN_ITEM_CHARS = 40
+SHORT_CHARS = 40
 BLOCK_CHARS = 4_000_000  # characters of items broadcast at once
 
 
@@ -67,7 +71,7 @@ class Matcher:
         import ahocorasick
 
         self.items = items
-        self.budget = [len(t) // chars_per_error for _, t in items]
+        self.budget = [len(t) // chars_per_error if len(t) >= SHORT_CHARS else 0 for _, t in items]
         self.masks: dict[int, dict[str, int]] = {}
         self.automaton = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = {}
@@ -102,8 +106,12 @@ class Matcher:
             m, best, at, done = len(item), budget + 1, -1, -1
             for s in sorted(starts[n]):
                 if s >= 0 and text.startswith(item, s):
+                    if m < SHORT_CHARS and (text[s - 1 : s].isalnum() and item[0].isalnum() or text[s + m : s + m + 1].isalnum() and item[-1].isalnum()):
+                        continue
                     best, at = 0, s + m
                     break
+                if not budget:
+                    continue
                 lo, hi = max(0, s - budget), min(len(text), s + m + budget)
                 if hi <= done or hi - lo < m - budget:
                     continue
@@ -126,7 +134,7 @@ def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS):
     n = -(-total // block_chars) or 1
     for i in range(n):
         block = [(r["item_id"], normalised(r["text"])) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()]
-        yield sorted((x for x in block if len(x[1]) >= MIN_ITEM_CHARS), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        yield sorted((x for x in block if x[1]), key=lambda x: (str(x[0]), x[1]))
 
 
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -134,7 +142,7 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     end_char (where that place ends in the normalised text)."""
     spark = docs.sparkSession
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType
-    arrow_item = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type.simpleString()]
+    arrow_item = to_arrow_type(item_type)
     out = None
     for block in item_blocks(items):
         shared = spark.sparkContext.broadcast(block)
@@ -175,10 +183,12 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs
 
 
+@bounded
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@bounded
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; the others stay as they are."""
     return clean(docs, table(spark, sf_dir, "benchmark"))

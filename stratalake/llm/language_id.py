@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalake.llm.common import U64, held_out, mix64, shielded, table, text_slices
+from stratalake.llm.common import U64, bounded, held_out, mix64, shielded, table, text_slices
 
 N_BUCKETS = 1 << 15
 LANGUAGE_ROWS = 5_000  # bound on the labelled rows of a language that the classifier is fitted on
@@ -205,6 +205,7 @@ def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     )
 
 
+@bounded
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out(F.col("doc_id"), 4)))
@@ -212,6 +213,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(marked, model, ["doc_id", "held_out"])
 
 
+@bounded
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is recognised: those that are `und`, or whose n-grams are less likely in the best language than if drawn
     evenly, go. The columns stay as they are, but a null lang is filled with the prediction."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import U64, held_out, mix64, table, text_slices, word_hashes, written
+from stratalake.llm.common import U64, bounded, held_out, mix64, table, text_slices, word_hashes, written
 
 FORMS = 16
 MIN_COUNT = 3
@@ -299,6 +299,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, n: int, v: int, head
     return out.select(*[F.col(x).alias(c) for x, c in zip(names, keep, strict=True)], "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base") + gain).alias("base_score"), (F.col("own") + gain).alias("score"))
 
 
+@bounded
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id"), MODULUS))
     training = docs.where(~F.col("held_out"))

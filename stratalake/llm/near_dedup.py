@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import U64, components, many_partitions, mix64, shingles, table, text_slices, word_hashes, written
+from stratalake.llm.common import U64, bounded, components, many_partitions, mix64, shingles, table, text_slices, word_hashes, written
 
 BLOCK = 256
 BROADCAST_IDS = 500_000  # ids are broadcast up to this number (8 MB), joined by a shuffle beyond
@@ -296,11 +296,13 @@ def classes(docs: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
     return out.select("doc_id", "n", "fp1", "fp2", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component"))
 
 
+@bounded
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(table(spark, sf_dir, "documents"), CONTRACT)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+@bounded
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the least doc_id; of repeated rows of it, one."""
     found = written(classes(docs, DEFAULT), "classes")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import scratch, table, written
+from stratalake.llm.common import bounded, scratch, table, written
 
 VERSION = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -299,6 +299,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return records.select("file", "off", "page_id", "record_type", "refers_to", F.col("length").alias("payload_bytes"), digest.alias("payload_digest"), stored.alias("stored"), (~stored | (F.col("digest") == F.col("claimed"))).alias("sound"))
 
 
+@bounded
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch(spark)}/stratalake/{uuid.uuid4().hex}-warc"
     write_archives(table(spark, sf_dir, "pages"), path)

@@ -41,9 +41,9 @@ def test_matcher_equals_brute_force():
 def tables(spark, frame):
     items = [(i, prose(50 + i, 30)) for i in range(8)] + [(20, prose(50, 30)), (21, None), (22, ""), (23, "the of and")]
     edited = prose(51, 30).replace("the ", "hte ", 1)
-    docs = [(1, prose(1, 20) + " " + prose(50, 30).upper() + "\n" + prose(2, 20), "en"), (2, edited, "en"), (3, prose(3, 300), "en"), (4, None, "en"), (5, "", "en"), (6, "the of and", "en"), (7, prose(52, 15), "en"), (8, prose(9, 30_000) + " " + prose(57, 30).replace(" ", "\n\t"), "en"), (8, prose(57, 30), "en"), (None, prose(53, 30), "en")]
+    docs = [(1, prose(1, 20) + " " + prose(50, 30).upper() + "\n" + prose(2, 20), "en"), (2, edited, "en"), (3, prose(3, 300), "en"), (4, None, "en"), (5, "", "en"), (6, "so: The  of and.", "en"), (11, "bathe of and", "en"), (7, prose(52, 15), "en"), (8, prose(9, 30_000) + " " + prose(57, 30).replace(" ", "\n\t"), "en"), (8, prose(57, 30), "en"), (None, prose(53, 30), "en")]
     benchmark = spark.createDataFrame([(i, t, "k") for i, t in items], "item_id long, text string, doc_id string")
-    return frame(docs), benchmark, {(1, 0), (1, 20), (2, 1), (8, 7), (None, 3)}
+    return frame(docs), benchmark, {(1, 0), (1, 20), (2, 1), (6, 23), (8, 7), (None, 3)}
 
 
 def test_query_and_blocks(spark, frame, folder, monkeypatch):
@@ -53,14 +53,26 @@ def test_query_and_blocks(spark, frame, folder, monkeypatch):
         monkeypatch.setattr(D, "BLOCK_CHARS", chars)
         D.item_blocks.__defaults__ = (chars,)
         got = D.query(spark, sf).collect()
-        assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == 6
+        assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == 7
         assert all(r.distance <= r.budget for r in got) and {r.distance for r in got if r.doc_id == 1} == {0}
 
 
 def test_stage(spark, frame, folder):
     docs, benchmark, _ = tables(spark, frame)
     out = D.stage(spark, docs, folder(benchmark=benchmark))
-    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [3, 4, 5, 6, 7]
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [3, 4, 5, 7, 11]
+
+
+def test_short_items_are_found_whole_and_unchanged():
+    items = [(1, "the cat"), (2, "42"), (3, "naïve?"), (4, "x" * 39)]
+    held = lambda text: [items[n][0] for n, *_ in D.Matcher(items).find(text)]
+    assert held("The  CAT sat; 42") == [1, 2] and held("see the cat's 142, 42a") == [1]
+    assert held("the cats bathe cat the-cat 4 2") == [] and held("so naïve?so") == [3] and held("x" * 39) == [4] and held("x" * 40) == held("x" * 38) == []
+
+
+def test_item_ids_of_any_type(spark, frame):
+    items = spark.createDataFrame([(1.5, prose(50, 30))], "item_id double, text string")
+    assert [r.item_id for r in D.find(frame([(1, prose(50, 30), "en")]), items).collect()] == [1.5]
 
 
 def test_empty(spark, frame, folder):
