@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks and what they count as, fixed values
-MARKED = "ªº°áàâãäéèêëíìîïóòôõöúùûüçñ"
-PLAIN = "aooaaaaaeeeeiiiiooooouuuucn"
+# Letters with marks and the one ASCII letter that their compatibility decomposition leaves; marks by themselves, which come last, count as nothing.
+_FOLDS = {c: p for c in map(chr, range(0xA1, 0x2000)) if len(p := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode().lower()) == 1 and p.isalnum()} | {"°": "o"}
+MARKED = "".join(_FOLDS) + "".join(map(chr, range(0x300, 0x370)))
+PLAIN = "".join(_FOLDS.values())
 
 
 def folded(text: Column) -> Column:

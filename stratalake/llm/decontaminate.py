@@ -7,8 +7,8 @@ space as one space.
 
 Items are the stated query set: they are taken in blocks of a bounded size, each broadcast in turn and run over all documents.
 
-Items with fewer than SHORT_CHARS characters would match by chance with an edit or inside words: they are found without an edit, where no letter or digit
-stands directly before or behind.
+Items with fewer than 2 * CHARS_PER_ERROR characters would match by chance with an edit or inside words: they are found without an edit, where no letter or
+digit stands directly before or behind.
 
 Defined cases: a null or empty text holds no item, and a null or empty item, or one of white space, is held by no text; equal items under several ids are
 each reported; repeated document rows are each reported; an empty table on either side gives no row; columns other than doc_id, text and
@@ -25,7 +25,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 from stratalake.llm.common import bounded, table, text_slices
 
 CHARS_PER_ERROR = 20
-SHORT_CHARS = 40
 BLOCK_CHARS = 4_000_000  # characters of items broadcast at once
 
 
@@ -70,8 +69,8 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], chars_per_error: int = CHARS_PER_ERROR):
         import ahocorasick
 
-        self.items = items
-        self.budget = [len(t) // chars_per_error if len(t) >= SHORT_CHARS else 0 for _, t in items]
+        self.items, self.short = items, 2 * chars_per_error
+        self.budget = [len(t) // chars_per_error if len(t) >= self.short else 0 for _, t in items]
         self.masks: dict[int, dict[str, int]] = {}
         self.automaton = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = {}
@@ -106,7 +105,7 @@ class Matcher:
             m, best, at, done = len(item), budget + 1, -1, -1
             for s in sorted(starts[n]):
                 if s >= 0 and text.startswith(item, s):
-                    if m < SHORT_CHARS and (text[s - 1 : s].isalnum() and item[0].isalnum() or text[s + m : s + m + 1].isalnum() and item[-1].isalnum()):
+                    if m < self.short and (text[s - 1 : s].isalnum() and item[0].isalnum() or text[s + m : s + m + 1].isalnum() and item[-1].isalnum()):
                         continue
                     best, at = 0, s + m
                     break

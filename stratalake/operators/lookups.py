@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalake.functions.text import comparable, folded
-from stratalake.operators.sized import ROWS, is_small
+from stratalake.operators.sized import THETA_ROWS, is_small, small
 
 
 def exact(read: DataFrame, text: Column, refs: DataFrame, key: Column, value: Column, name: str) -> DataFrame:
@@ -37,7 +37,7 @@ def prefix_unique(read: DataFrame, id_: str, text: Column, refs: DataFrame, key:
     return read.select(id_).join(found, id_, "left")
 
 
-def contained_longest(read: DataFrame, id_: str, text: Column, refs: DataFrame, key: Column, value: Column, rows: int = ROWS) -> DataFrame:
+def contained_longest(read: DataFrame, id_: str, text: Column, refs: DataFrame, key: Column, value: Column, rows: int = THETA_ROWS) -> DataFrame:
     """(id, value): the value of the longest reference that the text contains (of equally long ones the greatest), null if it holds none.
 
     Few references are broadcast; otherwise the text is cut into all its substrings of the lengths that references have, which meet them by equality."""
@@ -54,28 +54,33 @@ def contained_longest(read: DataFrame, id_: str, text: Column, refs: DataFrame,
     return read.select(id_).join(found, id_, "left")
 
 
-def most_alike(read: DataFrame, id_: str, text: Column, refs: DataFrame, key: Column, value: Column, limit: int = 2, context: Column | None = None, rows: int = ROWS) -> DataFrame:
+def most_alike(read: DataFrame, id_: str, text: Column, refs: DataFrame, key: Column, value: Column, limit: int = 2, context: Column | None = None, rows: int = THETA_ROWS) -> DataFrame:
     """(id, value): the value of the reference whose beginning, as long as the text, is fewest edits away; null beyond `limit`, or if two
     are equally near, or for an empty text.
 
     Few references are broadcast. Otherwise candidates share an unchanged piece: of limit + 1 pieces of the text one occurs in the
-    beginning, at most `limit` places aside."""
-    stored = refs.select(folded(key).alias("_s"), value.alias("_v")).where("_s is not null and _v is not null")
+    beginning, at most `limit` places aside. A text of no more letters than the limit may have no piece left; it meets the references that its context
+    names, or without one their distinct beginnings, which the alphabet bounds."""
+    stored = refs.select(folded(key).alias("_s"), value.alias("_v")).where("_s is not null and _v is not null").distinct()
     asked = read.select(F.col(id_), folded(text).alias("_t"), (folded(context) if context is not None else F.lit(None).cast("string")).alias("_c")).where("_t <> ''")
+    columns = [id_, "_t", "_s", "_v", "_w"]
     if is_small(stored, rows):
-        met = asked.join(F.broadcast(stored), _suits(F.col("_c"), F.col("_s")))
+        met = asked.join(F.broadcast(stored), _suits(F.col("_c"), F.col("_s"))).withColumn("_w", F.lit(1)).select(*columns)
     else:
         n = F.length("_t")
         pieces = F.filter(F.array(*[F.struct(F.floor(n * i / (limit + 1)).cast("int").alias("at"), F.substring(F.col("_t"), F.floor(n * i / (limit + 1)).cast("int") + 1, F.floor(n * (i + 1) / (limit + 1)).cast("int") - F.floor(n * i / (limit + 1)).cast("int")).alias("x")) for i in range(limit + 1)]), lambda p: p["x"] != "")
-        cut = asked.withColumn("_p", F.explode(pieces)).withColumn("_at", F.explode(F.sequence(F.greatest(F.col("_p.at") - limit, F.lit(0)), F.col("_p.at") + limit)))
+        cut = asked.where(n > limit).withColumn("_p", F.explode(pieces)).withColumn("_at", F.explode(F.sequence(F.greatest(F.col("_p.at") - limit, F.lit(0)), F.col("_p.at") + limit)))
         cut = cut.select(id_, "_t", "_c", F.col("_p.x").alias("_x"), "_at")
         sizes = cut.select(F.length("_x").alias("_n")).distinct()
         spread = stored.join(F.broadcast(sizes), F.col("_n") <= F.length("_s")).withColumn("_at", F.explode(F.sequence(F.lit(0), F.length("_s") - F.col("_n")))).withColumn("_x", F.substring(F.col("_s"), F.col("_at") + 1, F.col("_n")))
-        # A text of no more letters than the limit may have no piece left unchanged.
-        tiny = asked.where(F.length("_t") <= limit).join(stored, _suits(F.col("_c"), F.col("_s"))).select(id_, "_t", "_c", "_s", "_v")
-        met = cut.where(F.length("_t") > limit).join(spread, ["_x", "_at"]).where(_suits(F.col("_c"), F.col("_s"))).select(id_, "_t", "_c", "_s", "_v").distinct().unionByName(tiny)
+        met = cut.join(spread, ["_x", "_at"]).where(_suits(F.col("_c"), F.col("_s"))).select(id_, "_t", "_s", "_v").distinct().withColumn("_w", F.lit(1)).select(*columns)
+        tiny, named = asked.where(n <= limit), F.coalesce("_c", F.lit("")) != ""
+        ends = stored.withColumn("_e", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_s"), F.lit(1))), lambda i: F.substring(F.col("_s"), i, F.length("_s")))))
+        met = met.unionByName(tiny.where(named).join(ends, F.col("_c") == F.col("_e")).withColumn("_w", F.lit(1)).select(*columns))
+        starts = stored.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(limit)))).groupBy("_n", F.substring(F.col("_s"), F.lit(1), F.col("_n")).alias("_s")).agg(F.min("_v").alias("_v"), F.count("*").cast("int").alias("_w"))
+        met = met.unionByName(tiny.where(~named).join(small(starts), n == F.col("_n")).select(*columns))
     edits = F.levenshtein(F.col("_t"), F.substring(F.col("_s"), F.lit(1), F.length("_t")), limit)
     near = met.withColumn("_d", edits).where("_d >= 0")
-    least = near.groupBy(id_, "_d").agg(F.count("*").alias("_n"), F.min("_v").alias("_v"))
+    least = near.groupBy(id_, "_d").agg(F.sum("_w").alias("_n"), F.min("_v").alias("_v"))
     found = least.groupBy(id_).agg(F.min_by(F.struct("_n", "_v"), "_d").alias("_b")).where("_b._n = 1").select(id_, F.col("_b._v").alias("value"))
     return read.select(id_).join(found, id_, "left")

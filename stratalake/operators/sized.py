@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS = 200_000
+ROWS = 200_000  # of a hash join: some tens of megabytes of narrow rows
+THETA_ROWS = 256  # of a join without an equality, where each row of the other side meets all
 
 
 def is_small(df: DataFrame, rows: int = ROWS) -> bool:

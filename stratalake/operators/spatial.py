@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalake.functions.geo import great_circle_m
-from stratalake.operators.sized import ROWS, is_small
+from stratalake.operators.sized import THETA_ROWS, is_small
 
 DEGREE_M = 111_194.9  # metres in a degree of latitude, rounded down
 
@@ -35,7 +35,7 @@ def within(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
     return pairs.where(F.col("dist_m") <= radius_m).drop("_band", "_column")
 
 
-def nearest(points: DataFrame, places: DataFrame, first_m: float = 50_000, rows: int = ROWS) -> DataFrame:
+def nearest(points: DataFrame, places: DataFrame, first_m: float = 50_000, rows: int = THETA_ROWS) -> DataFrame:
     """For each pid of points (pid, plon, plat) the nearest of places (qid, qlon, qlat), of equally near ones the least qid: pid, qid, dist_m.
 
     Few places are broadcast. Otherwise points look within first_m, then those without a place within four times that, up to half

@@ -71,21 +71,28 @@ COMMENTS: dict[str, dict[str, str]] = {
 
 SOURCES = {"c2a": "C2_A", "c2b": "C2_B", "relper": "STATUS", "fogos": "FIRES", "voz": "VOICE"}
 
-#: canonical value -> synonyms
+#: canonical value -> synonyms. What sources write, and the codewords of the radio.
 VOCABULARIES: dict[str, dict[str, list[str]]] = {
     "event_type": {
-        "POSITION": ["posicao", "position"], "SIGHTING": ["avistamento"], "ENEMY_SIGHTING": ["avistamento_inimigo", "cavalos", "cavalo", "tambor", "tamboril"], "INCIDENT": ["incidente"],
-        "OBSTACLE": ["campo de minas", "barreira", "fosso anticarro", "cratera", "obstaculo"], "MEASURE": ["linha de fase", "linha de partida", "limite", "eixo de progressao", "zona de reuniao", "ponto de controle", "objetivo", "mcc"],
-        "ENEMY_FIRE": ["bombardeio", "bombardeio_inimigo"], "UNIT_STATUS": ["situacao_unidade"],
+        "POSITION": ["posicao", "position", "tordilho"], "SIGHTING": ["avistamento", "potro"], "ENEMY_SIGHTING": ["avistamento_inimigo", "cavalo"], "INCIDENT": ["incidente", "brasa"],
+        "OBSTACLE": ["obstaculo", "bigorna", "campo de minas", "cratera", "barreira", "fosso anticarro"],
+        "MEASURE": ["mcc", "linha de fase", "zona de reuniao", "limite", "eixo de progressao", "ponto de controle", "objetivo", "linha de partida"],
+        "FIRE_MISSION": ["missao_tiro", "martelo"], "ENEMY_FIRE": ["bombardeio_inimigo", "bombardeio", "tambor"], "UNIT_STATUS": ["situacao_unidade", "celeiro"],
     },
     "measure_kind": {
         "PHASE_LINE": ["linha de fase"], "START_LINE": ["linha de partida"], "BOUNDARY": ["limite"], "AXIS": ["eixo de progressao"], "ASSEMBLY_AREA": ["zona de reuniao"], "CHECK_POINT": ["ponto de controle"],
         "OBJECTIVE": ["objetivo"], "BARRIER": ["barreira"], "DITCH": ["fosso anticarro"], "MINEFIELD": ["campo de minas"], "CRATER": ["cratera"],
     },
-    "priority": {"URGENT": ["urgente", "alta", "critica", "crítica"], "HIGH": ["prioritario", "prioritário", "media", "média"], "ROUTINE": ["rotina", "baixa"]},
+    "priority": {
+        "URGENT": ["urgente", "alta", "critica", "crítica", "imediato", "relampago", "relâmpago"], "HIGH": ["prioritario", "prioritário", "media", "média", "moderada", "chuva"], "ROUTINE": ["rotina", "baixa", "normal", "orvalho"],
+    },
     "shift": {"MORNING": ["matutino", "manha", "manhã"], "AFTERNOON": ["vespertino", "tarde"]},
 }
 
+#: the codewords of the radio that may stand in a transcript instead of a type
+CODEWORDS = ["tordilho", "potro", "cavalo", "brasa", "bigorna", "martelo", "tambor"]
+
+#: headers as the forms print them
 _FORM = {
     "strength_planned": "Ef Prev", "strength_present": "Ef Pres", "combat_losses": "Baixas Cmb", "other_losses": "Baixas N Cmb", "evacuated": "Evacuados", "vehicles_ready": "Vtr Op", "vehicles_total": "Vtr Total",
     "fuel_pct": "Comb Pctl", "class_i_days": "Sup Cl I", "class_iii_days": "Sup Cl III", "class_v_days": "Sup Cl V", "class_viii_days": "Sup Cl VIII",
@@ -114,7 +121,7 @@ RECIPES: dict[str, dict] = {
         "rules": {
             "source_record_code": {"do": "direct", "of": "id"}, "occurred_at": {"do": "day_first", "of": "data", "zone": "-03:00"}, "geometry_wkt": {"do": "dms", "of": "localizacao"}, "report_text": {"do": "direct", "of": "situacao"},
             "unit_code": {"do": "reference", "of": "relator", "to": "ref_unit", "search": "contained"}, "operation_code": {"do": "reference", "of": "operacao", "to": "ref_operation", "search": "exact"},
-            "type_code": {"do": "vocabulary", "of": "inferred.type_code", "vocabulary": "event_type", "elsewhere": "situacao", "words": ["cavalos", "cavalo", "tambor"]},
+            "type_code": {"do": "vocabulary", "of": "inferred.type_code", "vocabulary": "event_type"},
             "priority_code": {"do": "vocabulary", "of": "inferred.priority_code", "vocabulary": "priority"}, "location_method_code": {"do": "constant", "value": "MANUAL"}, "is_c2": {"do": "derived"},
         },
     },
@@ -142,10 +149,15 @@ RECIPES: dict[str, dict] = {
     },
     "fires_report": {
         "source": "FIRES", "revision": "2024-11-25", "origin": "grid", "folder": "/fogos/", "modality": "PDF", "by_position": True, "headers": ["col_A", "col_B", "col_C", "col_D", "col_E", "col_F", "col_G", "col_H", "col_I", "col_J", "col_L"],
+        # What the form prints above its columns: it only finds the header row, as scans garble and reorder the words.
+        "labels": [
+            "Informe de Hora", "Localizacao do Observador", "Lancamento do Som ou Cratera", "Hora Ativ De", "As", "Area Bombardeada", "Qnt e Tipo de Armamento Ini", "Classificacao do Tiro Ini",
+            "Qnt e Tipo de Municao Ini", "Clarao-Som segundos", "Efeito dos Fogos Ini",
+        ],
         "rules": {
             "source_record_code": {"do": "derived", "sidecar": ["operacao", "origem", "data_hora", "nr"], "cells": ["col_A", "col_F"]}, "occurred_at": {"do": "date_time_group", "of": "col_A", "zone": "-03:00"},
             "geometry_wkt": {"do": "decametric", "of": "col_F"}, "unit_code": {"do": "reference", "sidecar": "origem", "to": "ref_unit", "search": "exact"}, "operation_code": {"do": "reference", "sidecar": "operacao", "to": "ref_operation", "search": "exact"},
-            "report_text": {"do": "derived", "cells": ["col_G", "col_H", "col_I", "col_J", "col_L"]}, "type_code": {"do": "constant", "value": "ENEMY_FIRE"}, "function_code": {"do": "constant", "value": "INTELLIGENCE"},
+            "report_text": {"do": "derived", "cells": ["col_G", "col_H", "col_I", "col_J", "col_L"]}, "type_code": {"do": "constant", "value": "ENEMY_FIRE"}, "function_code": {"do": "constant", "value": "FIRES"},
             "location_method_code": {"do": "constant", "value": "OCR_COORD"}, "is_c2": {"do": "derived"},
         },
     },
@@ -154,7 +166,7 @@ RECIPES: dict[str, dict] = {
         "rules": {
             "source_record_code": {"do": "derived", "sidecar": ["operacao", "hora_transmissao", "estacao"]}, "occurred_at": {"do": "iso", "sidecar": "hora_transmissao"}, "unit_code": {"do": "reference", "sidecar": "estacao", "to": "ref_unit", "search": "exact"},
             "operation_code": {"do": "reference", "sidecar": "operacao", "to": "ref_operation", "search": "exact"}, "geometry_wkt": {"do": "gazetteer", "of": "referencia_local"}, "report_text": {"do": "direct", "of": "texto"},
-            "type_code": {"do": "vocabulary", "of": "codinome", "vocabulary": "event_type", "elsewhere": "texto", "words": ["cavalos", "cavalo", "tambor"]}, "priority_code": {"do": "vocabulary", "of": "prioridade", "vocabulary": "priority"},
+            "type_code": {"do": "vocabulary", "of": "codinome", "vocabulary": "event_type", "elsewhere": "texto", "words": CODEWORDS}, "priority_code": {"do": "vocabulary", "of": "prioridade", "vocabulary": "priority"},
             "location_method_code": {"do": "constant", "value": "GAZETTEER"}, "is_c2": {"do": "derived"},
         },
     },
@@ -162,19 +174,26 @@ RECIPES: dict[str, dict] = {
 
 VIEWS: dict[str, dict] = {
     "zone": "America/Sao_Paulo",
-    "names": {"ENEMY_SIGHTING": "Enemy sighting", "ENEMY_FIRE": "Enemy fire", "UNIT_STATUS": "Unit status"},
+    # How values are shown; others are shown as they are.
+    "names": {
+        "POSITION": "Position", "SIGHTING": "Sighting", "ENEMY_SIGHTING": "Enemy sighting", "INCIDENT": "Incident", "OBSTACLE": "Obstacle", "MEASURE": "Control measure", "FIRE_MISSION": "Fire mission",
+        "ENEMY_FIRE": "Enemy fire", "UNIT_STATUS": "Unit status", "PHASE_LINE": "Phase line", "START_LINE": "Start line", "BOUNDARY": "Boundary", "AXIS": "Axis of advance", "ASSEMBLY_AREA": "Assembly area",
+        "CHECK_POINT": "Check point", "OBJECTIVE": "Objective", "BARRIER": "Barrier", "DITCH": "Anti-tank ditch", "MINEFIELD": "Minefield", "CRATER": "Crater", "LANDMARK": "Landmark", "LOCALITY": "Locality",
+        "ROAD_KM": "Road km", "GRID": "Grid square", "NIGHT": "Night", "MORNING": "Morning", "AFTERNOON": "Afternoon", "EVENING": "Evening",
+    },
     "threat_types": ["ENEMY_SIGHTING", "ENEMY_FIRE"],
     "placed_types": ["ENEMY_SIGHTING", "ENEMY_FIRE", "SIGHTING", "OBSTACLE", "INCIDENT"],
     "place_kinds": ["LANDMARK", "LOCALITY", "ROAD_KM"],
     "corroboration": {"radius_m": 2000, "seconds": 3600},
     "locality_radius_m": 1000,
     "not_local_types": ["POSITION", "UNIT_STATUS", "MEASURE"],
-    "blocking_words": ["bloque", "interdit", "obstru", "alag"],
+    # Words of a report that tell of restricted movement; the first only as a whole word.
+    "blocking_words": ["\\bvia\\b", "pista", "estrada", "obstru", "atolad", "interromp", "capacidade reduzida"],
     "periods": [(6, "NIGHT"), (12, "MORNING"), (18, "AFTERNOON"), (24, "EVENING")],
     "shifts": ["MORNING", "AFTERNOON"],
     "sources_with_files": ["STATUS", "FIRES", "VOICE"],
-    "planning_measures": ["PHASE_LINE", "START_LINE", "AXIS", "OBJECTIVE", "ASSEMBLY_AREA"],
+    "planning_measures": ["PHASE_LINE", "START_LINE", "CHECK_POINT", "ASSEMBLY_AREA", "OBJECTIVE"],
     "fact_hours": 24,
-    "fact_types": ["INCIDENT", "SIGHTING"],
+    "fact_types": ["SIGHTING", "INCIDENT", "FIRE_MISSION"],
     "incident_types": ["INCIDENT"],
 }

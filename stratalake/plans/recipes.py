@@ -7,6 +7,7 @@ import difflib
 import hashlib
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,6 +48,7 @@ class Recipe:
     headers: list[str] = field(default_factory=list)
     spellings: dict[str, list[str]] = field(default_factory=dict)
     by_position: bool = False
+    labels: list[str] = field(default_factory=list)
     yields_to: str | None = None
     inferred: list[str] = field(default_factory=list)
 
@@ -128,32 +130,38 @@ def lock_setting(settings: DataFrame, code: str, tool: str, parameters: str, pro
 # ------------------------------------------------------------------ grids
 
 
-def alike(a: str, b: str) -> float:
-    """Similarity of two headers: by letters or by shared words, whichever is greater."""
-    a, b = re.sub(r"\s+", " ", a.strip().lower()), re.sub(r"\s+", " ", b.strip().lower())
-    p, q = set(a.split()), set(b.split())
-    return max(difflib.SequenceMatcher(None, a, b).ratio(), len(p & q) / max(1, len(p | q)))
+def _label_words(text: str) -> set[str]:
+    plain = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower()
+    return set(re.findall(r"[a-z0-9]{2,}", plain))
 
 
-def open_rows(grid: list[list], headers: list[str], spellings: dict[str, list[str]], by_position: bool) -> Iterator[tuple[dict, dict, str]]:
+def alike(read: str, label: str) -> float:
+    """Similarity of a read cell to a label: by letters in order, or by the share of the label's words that stand in the cell in whatever order."""
+    a, b = re.sub(r"\s+", " ", read.strip().lower()), re.sub(r"\s+", " ", label.strip().lower())
+    wanted = _label_words(label)
+    return max(difflib.SequenceMatcher(None, a, b).ratio(), len(wanted & _label_words(read)) / len(wanted) if wanted else 0.0)
+
+
+def open_rows(grid: list[list], headers: list[str], spellings: dict[str, list[str]], by_position: bool, labels: list[str] | None = None) -> Iterator[tuple[dict, dict, str]]:
     """(cells by declared header, other cells, form version) of the data rows of one tab.
 
-    The header row is the first that holds at least half of the declared headers; by position, the first whose cells are alike. Version V1 has every declared header as
-    declared, V2 has not."""
+    The header row is the first that holds at least half of the declared headers; by position, the first of whose cells half as many as there are columns are like some
+    label (the printed labels, or the headers and their spellings). Columns by position take the headers in order, those beyond them keep what was read; a sheet with
+    fewer columns isn't opened. Version V2 has a renamed column: by position, one that is more like another spelling than like its header; else, where a
+    declared header is absent."""
     names = {s: h for h in headers for s in [h, *spellings.get(h, [])]}
+    said = labels or list(names)
     text_of = lambda c: None if c is None or str(c).strip() == "" else str(c).strip()
     for i, row in enumerate(grid):
         cells = [text_of(c) for c in row]
         if by_position:
-            pairs = list(zip(cells, headers, strict=False))
-            # Scanned forms without printed headers are data from their first row on.
-            likely = sum(1 for c, h in pairs if c and max(alike(c, s) for s in [h, *spellings.get(h, [])]) >= 0.75)
-            if likely * 2 < len(headers):
+            if sum(1 for c in cells if c and max(alike(c, x) for x in said) >= 0.75) * 2 < len(headers):
                 continue
-            if len([c for c in cells if c is not None]) < len(headers) and len(cells) < len(headers):
+            if len(cells) < len(headers):
                 return
-            columns = dict(enumerate(headers)) | {k: c for k, c in enumerate(cells) if k >= len(headers) and c}
-            plain = all(c is None or alike(c, h) >= max([alike(c, s) for s in spellings.get(h, [])], default=0) for c, h in pairs)
+            columns = dict(enumerate(headers)) | {k: cells[k] or f"column_{k + 1}" for k in range(len(headers), len(cells))}
+            renamed = [] if labels else [(c or "", h, s) for c, h in zip(cells, headers, strict=False) for s in spellings.get(h, [])]
+            plain = not any(alike(c, s) > alike(c, h) for c, h, s in renamed)
         else:
             if sum(1 for h in headers if any(s in cells for s in [h, *spellings.get(h, [])])) * 2 < len(headers):
                 continue
@@ -166,7 +174,7 @@ def open_rows(grid: list[list], headers: list[str], spellings: dict[str, list[st
         return
 
 
-def _open_grids(headers: list[str], spellings: dict, by_position: bool):
+def _open_grids(headers: list[str], spellings: dict, by_position: bool, labels: list[str]):
     def run(frames):
         for pdf in frames:
             rows = []
@@ -176,7 +184,7 @@ def _open_grids(headers: list[str], spellings: dict, by_position: bool):
                 except (ValueError, KeyError, TypeError):
                     continue
                 for grid in tabs.values():
-                    rows += [(r.extraction_id, cells, rest, version) for cells, rest, version in open_rows(grid, headers, spellings, by_position)]
+                    rows += [(r.extraction_id, cells, rest, version) for cells, rest, version in open_rows(grid, headers, spellings, by_position, labels)]
             yield pd.DataFrame(rows, columns=["extraction_id", "cells", "rest", "form_version"])
 
     return run
@@ -213,7 +221,7 @@ def origin(store: TableStore, recipe: Recipe) -> DataFrame:
         first = done.select(F.col("extraction_id").alias("origin_extraction_id"), F.when(F.col("is_inferred") == "Y", F.col("model_name")).alias("first_model"))
         named = last.join(first, "origin_extraction_id", "left").withColumn("model_name", F.nullif(F.concat_ws(" <- ", F.when(F.col("is_inferred") == "Y", F.col("model_name")), "first_model"), F.lit("")))
         return named.select(F.col("receipt_id").alias("row"), "receipt_id", "file_id", "extraction_id", "received_at", null.alias("payload"), "sidecar", text.payload_map(F.col("output_json")).alias("cells"), empty.alias("inferred"), null.alias("rest_json"), null.alias("form_version"), "model_name", null.alias("captured_wkt")).select(*shape)
-    opened = last.select("extraction_id", "output_json").distinct().mapInPandas(_open_grids(recipe.headers, recipe.spellings, recipe.by_position), "extraction_id string, cells map<string,string>, rest map<string,string>, form_version string")
+    opened = last.select("extraction_id", "output_json").distinct().mapInPandas(_open_grids(recipe.headers, recipe.spellings, recipe.by_position, recipe.labels), "extraction_id string, cells map<string,string>, rest map<string,string>, form_version string")
     opened = opened.withColumn("rest_json", text.leftover(F.col("rest"), [])).withColumn("key", F.sha2(F.to_json("cells"), 256))
     rows = last.select("receipt_id", "file_id", "extraction_id", "received_at", "sidecar", F.when(F.col("is_inferred") == "Y", F.col("model_name")).alias("model_name")).join(opened, "extraction_id")
     return rows.select(F.concat_ws("|", "receipt_id", "key").alias("row"), "receipt_id", "file_id", "extraction_id", "received_at", null.alias("payload"), "sidecar", "cells", empty.alias("inferred"), "rest_json", "form_version", "model_name", null.alias("captured_wkt")).select(*shape)

@@ -12,7 +12,8 @@ from stratalake.sources.store import TableStore
 
 CONTRIBUTIONS = {
     "MISSION": "Frames the operation that is planned.",
-    "TERRAIN": "Shows what terrain and people mean for movement.",
+    "TERRAIN": "Shows what the terrain, its ways and its obstacles mean for movement.",
+    "CIVIL": "Shows what the people there mean for the operation.",
     "ENEMY": "Shows what the threat did, and where.",
     "POSITION": "Updates where own units stand.",
     "STATUS": "Updates the people, vehicles and supplies at hand.",
@@ -211,15 +212,19 @@ class Views:
         ops = self.store.read("ref_operation")
         of_op = dict(operation_code=F.col("operation_code"), begins_at=F.col("begins_at"), ends_at=F.col("ends_at"), unit_code=F.col("unit_code"), input_name=F.col("operation_name"))
         say = lambda k: F.lit(CONTRIBUTIONS[k])
+        at = lambda c: F.date_format(self.local(F.col(c)), "dd/MM/yyyy HH:mm")
+        said, unit = F.coalesce("element_text", "types_text"), dict(unit_code=F.col("unit_code"))
+        # The operation's area is an input of phase 1 already.
+        ground = gold.where("phase in (1, 2) and element_kind <> 'AREA'").withColumn("factor", F.when((F.col("step_code") == "CIVIL") | (F.col("element_kind") == "SIGHTING"), "CIVIL").otherwise("TERRAIN"))
         who = F.coalesce("unit_name", "unit_code")
         return series.stack([
-            self.block(v, ops, phase=1, step_code="MISSION", factor_code="MISSION", input_kind="OPERATION", contribution_text=say("MISSION"), geometry_wkt=F.col("area_wkt"), **of_op),
-            self.block(v, ops, phase=1, step_code="MISSION", factor_code="TIME", input_kind="PERIOD", contribution_text=say("TIME"), **of_op),
-            self.block(v, gold.where("phase in (1, 2)"), phase=2, step_code="SITUATION", factor_code="TERRAIN", input_kind=F.col("element_kind"), input_name=F.col("element_name"), input_text=F.col("element_text"), contribution_text=say("TERRAIN"), **of_gold),
-            self.block(v, gold.where("phase = 3"), phase=2, step_code="SITUATION", factor_code="ENEMY", input_kind=F.col("element_kind"), input_name=F.coalesce("place_name", "element_name"), input_text=F.col("element_text"), contribution_text=say("ENEMY"), **of_gold),
+            self.block(v, ops, phase=1, step_code="MISSION", factor_code="MISSION", input_kind="AREA", input_text=F.concat(F.lit("Area of responsibility of operation "), F.col("operation_name")), contribution_text=say("MISSION"), geometry_wkt=F.col("area_wkt"), **of_op),
+            self.block(v, ops, phase=1, step_code="MISSION", factor_code="TIME", input_kind="PERIOD", input_text=F.concat(F.lit("From "), at("begins_at"), F.lit(" to "), at("ends_at")), contribution_text=say("TIME"), **of_op),
+            self.block(v, ground, phase=2, step_code="SITUATION", factor_code=F.col("factor"), input_kind=F.col("element_kind"), input_name=F.col("element_name"), input_text=said, contribution_text=F.when(F.col("factor") == "CIVIL", say("CIVIL")).otherwise(say("TERRAIN")), **unit, **of_gold),
+            self.block(v, gold.where("phase = 3"), phase=2, step_code="SITUATION", factor_code="ENEMY", input_kind=F.col("element_kind"), input_name=F.coalesce("place_name", "element_name"), input_text=said, contribution_text=say("ENEMY"), **unit, **of_gold),
             self.block(v, self.positions(), phase=2, step_code="SITUATION", factor_code="MEANS", input_kind="POSITION", input_name=who, input_text="Last known position.", contribution_text=say("POSITION"), geometry_wkt=F.col("geometry_wkt"), **one),
             self.block(v, self.statuses(), phase=2, step_code="SITUATION", factor_code="MEANS", input_kind="STATUS", input_name=who, input_text=self.status_text(), contribution_text=say("STATUS"), **one),
-            self.block(v, self.measures().where(F.col("measure_kind").isin(self.p["planning_measures"])), phase=3, step_code="COURSES", factor_code="MANOEUVRE", input_kind=F.col("measure_kind"), input_name=F.col("measure_name"), input_text=F.col("note"), contribution_text=say("MEASURE"), geometry_wkt=F.col("geometry_wkt"), **one),
+            self.block(v, self.measures().where(F.col("measure_kind").isin(self.p["planning_measures"])), phase=3, step_code="COURSES", factor_code="MANOEUVRE", input_kind=self.name(F.col("measure_kind")), input_name=F.col("measure_name"), input_text=F.col("note"), contribution_text=say("MEASURE"), geometry_wkt=F.col("geometry_wkt"), **one),
             self.block(v, gold.where("phase = 4"), phase=3, step_code="COURSES", factor_code="ENEMY", input_kind=F.col("element_kind"), input_name=F.col("element_name"), input_text=F.col("types_text"), contribution_text=say("ACTIVITY"), **of_gold),
         ])
 

@@ -9,6 +9,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from stratalake.functions.text import vocabulary_or_word
 from stratalake.plans import checks, model, recipes, views
 from stratalake.sources import landing, seeds, sheets
 from stratalake.sources.store import ColumnDrift, TableStore
@@ -67,7 +68,7 @@ def lake(spark, tmp_path_factory):
     report = lambda i, at, where, said: {"id": i, "data": at, "relator": f"Cap Cmt 1a Cia/{UNIT} - 123", "localizacao": where, "situacao": said, "operacao": "PERSEU_2024"}
     put("perseu/c2b/relato/r1.json", report(1, "25/11/2024 05:10:00", "22° 42' 00.0\" S, 45° 00' 00.0\" W", "vi cavalos na ponte"))
     put("perseu/c2b/relato/r2.json", report(2, "27/11/2024 20:30:00", "Sem localizacao", "tudo calmo"))
-    put("perseu/c2b/incidente/i1.json", {"id": "i1", "data_hora": "2024-11-25T12:00:00Z", "descricao": "ponte interditada", "prioridade": "Alta", "localizacao_informada": "22° 42' 00.0\" S, 45° 00' 00.0\" W", "operacao": "PERSEU_2024"})
+    put("perseu/c2b/incidente/i1.json", {"id": "i1", "data_hora": "2024-11-25T12:00:00Z", "descricao": "ponte na estrada interditada", "prioridade": "Alta", "localizacao_informada": "22° 42' 00.0\" S, 45° 00' 00.0\" W", "operacao": "PERSEU_2024"})
     put("perseu/c2b/incidente/i1.jpg", photo(-45.0, -22.7))
     sheet = sheet_bytes(ROWS, root / "s.xlsx")
     put("perseu/relper/d1.xlsx", sheet)
@@ -76,6 +77,13 @@ def lake(spark, tmp_path_factory):
     put("perseu/relper/orphan.pdf", b"%PDF scanned")
     put("perseu/fogos/f1.pdf", b"%PDF /Font")
     put("perseu/fogos/f1.json", {"operacao": "PERSEU_2024", "origem": UNIT, "data_hora": "2024-11-25T09:00:00Z", "nr": "1"})
+    # A scanned form from another day part, a scan of the sheet above, and a radio message.
+    put("perseu/relper/scan.pdf", b"%PDF scanned too")
+    put("perseu/relper/scan.json", {"operacao": "PERSEU_2024", "om_remetente": UNIT, "data_hora": "2024-11-25T11:30:00Z", "turno": "matutino"})
+    put("perseu/relper/twin.pdf", b"%PDF twin")
+    put("perseu/relper/twin.json", {"operacao": "PERSEU_2024", "om_remetente": UNIT, "data_hora": "2024-11-25T12:00:00Z", "turno": "matutino"})
+    put("perseu/voz/v1.wav", b"RIFF")
+    put("perseu/voz/v1.json", {"operacao": "PERSEU_2024", "hora_transmissao": "2024-11-25T08:20:00Z", "estacao": UNIT, "duracao_s": 5})
     store = TableStore(spark, f"file://{root}/tables")
     recipes.create_tables(spark, store, model)
     fill = lambda t, *rows: store.overwrite(t, spark.createDataFrame(list(rows), store.read(t).schema))
@@ -88,21 +96,25 @@ def lake(spark, tmp_path_factory):
     receipts = {r.origin_uri.rpartition("/")[2]: r.receipt_id for r in store.read("raw_receipt").collect()}
     content = spark.read.format("binaryFile").load(f"file://{land}/perseu/relper/d1.xlsx").select(F.lit(files["d1.xlsx"]).alias("file_id"), "content")
     grid = sheets.read_sheets(content).first().output_json
-    fires = {"tabs": {"t": [HEADERS and [f"col_{c}" for c in "ABCDEFGHIJL"], ["Obs 250515 NOV 24", *"bcde", "49999-48965", "2/Ob/Me", *"hij", "efeito"]]}}
+    # Headers as a scan reads them: words out of order, letters lost.
+    printed = ["Informe Hora de", "Localizacao Observador do", "Lancamento do Som Cratera", "Hora Ativ", "As", "Bombardeada (5) Area F", "Qnt Tipo Armamento Ini e", "Classificacao Tiro Ini", "Qnt e Tipo Municao", "Clarao-Som seg", "Efeito Fogos"]
+    fires = {"tabs": {"second": [["Nr", "Obs"], ["1", "x"]], "t": [printed, ["Obs 250515 NOV 24", *"bcde", "49999-48965", "2/Ob/Me", *"hij", "efeito"]]}}
+    garbled = ["Fracao", "Erev", "Ef Pres", "Baixas Cmb", "Baixas N Cmb", "Evacuados", "Vtr Op", "Vtr Tota", "Comb %", "Sup Cl I", "Sup Cl III", "Sup Cl V", "Sup Cl VIII", "Nec Prio", "Agua L"]
+    scan = {"tabs": {"t": [["RELPER"], garbled, ["10 Cia", "70", "60", "0", "0", "0", "7", "8", "50", "2", "2", "2", "2", "Fz", "900"]]}}
     at = datetime(2024, 11, 28)
-    fill("extraction", ("e1", files["d1.xlsx"], None, None, "N", "sheet", None, "s1", grid, 0.1, "OK", at), ("e2", None, receipts["r1.json"], None, "Y", "llm", "m1", "s2", json.dumps({"type_code": "avistamento_inimigo", "priority_code": "alta"}), 0.1, "OK", at), ("e3", files["f1.pdf"], None, None, "Y", "ocr", "d1", "s3", json.dumps(fires), 0.1, "OK", at))
+    fill("extraction", ("e1", files["d1.xlsx"], None, None, "N", "sheet", None, "s1", grid, 0.1, "OK", at), ("e2", None, receipts["r1.json"], None, "Y", "llm", "m1", "s2", json.dumps({"type_code": "avistamento_inimigo", "priority_code": "alta"}), 0.1, "OK", at), ("e3", files["f1.pdf"], None, None, "Y", "ocr", "d1", "s3", json.dumps(fires), 0.1, "OK", at), ("e4", files["scan.pdf"], None, None, "Y", "ocr", "d1", "s3", json.dumps(scan), 0.1, "OK", at), ("e5", files["twin.pdf"], None, None, "Y", "ocr", "d1", "s3", json.dumps(scan), 0.1, "OK", at), ("e6", files["v1.wav"], None, None, "Y", "speech", "ear", "s4", json.dumps({"texto": "dois potros na vila"}), 0.1, "OK", at), ("e7", files["v1.wav"], None, "e6", "Y", "llm", "m1", "s5", json.dumps({"texto": "dois potros na vila", "codinome": None, "referencia_local": "Vila", "prioridade": "chuva"}), 0.1, "OK", at))
     return types.SimpleNamespace(store=store, land=f"file://{land}", first=first, root=root, files=files)
 
 
 def test_ingest(spark, lake):
     f = lake.first
-    assert (f["n_seen"], f["n_new_files"], f["n_rejected"]) == (15, 4, 2)
-    assert f["n_new_receipts"] == 3 + 2 + 2 + 1 + 1 + 1 + 1
+    assert (f["n_seen"], f["n_new_files"], f["n_rejected"]) == (21, 7, 2)
+    assert f["n_new_receipts"] == 3 + 2 + 2 + 1 + 1 + 1 + 1 + 3
     assert f["n_seen"] == f["n_recorded"] + f["n_duplicate"] + f["n_lost"] and (f["n_duplicate"], f["n_lost"]) == (1, 0)
     assert {r.reason_code for r in lake.store.read("reject").collect()} == {"JSON_INVALID", "PATH_INVALID"}
     image = lake.store.read("file_manifest").where("modality_code = 'IMAGE'").first()
     assert image.captured_wkt == "POINT(-45.000000 -22.700000)" and image.captured_at == datetime(2024, 11, 25, 8)
-    assert {r.file_uri.rpartition("/")[2]: r.is_scanned for r in lake.store.read("file_manifest").collect()} == {"i1.jpg": None, "d1.xlsx": None, "orphan.pdf": "Y", "f1.pdf": "N"}
+    assert {r.file_uri.rpartition("/")[2]: r.is_scanned for r in lake.store.read("file_manifest").collect()} == {"i1.jpg": None, "d1.xlsx": None, "orphan.pdf": "Y", "f1.pdf": "N", "scan.pdf": "Y", "twin.pdf": "Y", "v1.wav": None}
     again = landing.ingest(spark, lake.store, lake.land, model.SOURCES)
     assert (again["n_new_files"], again["n_new_receipts"], again["n_rejected"]) == (0, 0, 0)
     assert lake.store.read("ingest_run").count() == 2
@@ -114,7 +126,7 @@ def test_recipes_and_views(spark, lake):
     s = lake.store
     names = ["c2a_position", "c2a_measure", "c2b_report", "c2b_incident", "status_sheet", "status_scan", "fires_report", "voice_message"]
     done = {n: recipes.run(spark, s, n, model) for n in names}
-    assert {n: d["events"] for n, d in done.items()} == {"c2a_position": 3, "c2a_measure": 2, "c2b_report": 2, "c2b_incident": 1, "status_sheet": 2, "status_scan": 0, "fires_report": 1, "voice_message": 0}
+    assert {n: d["events"] for n, d in done.items()} == {"c2a_position": 3, "c2a_measure": 2, "c2b_report": 2, "c2b_incident": 1, "status_sheet": 2, "status_scan": 1, "fires_report": 1, "voice_message": 1}
     ev = {r.source_record_code: r for r in s.read("event").collect()}
     assert ev["p0"].unit_code == "C1" and ev["p0"].operation_code == "PERSEU_2024" and ev["p0"].geometry_wkt == "POINT(-45.0 -22.7)"
     assert ev["m2"].type_code == "OBSTACLE" and ev["m2"].function_code == "PROTECTION" and ev["m1"].type_code == "MEASURE"
@@ -123,7 +135,10 @@ def test_recipes_and_views(spark, lake):
     assert ev["i1"].geometry_wkt == "POINT(-45.000000 -22.700000)"
     fire = next(r for r in ev.values() if r.source_code == "FIRES")
     assert fire.occurred_at == datetime(2024, 11, 25, 8, 15) and fire.geometry_wkt.startswith("POINT(-45.0")
+    voice = next(r for r in ev.values() if r.source_code == "VOICE")
+    assert (voice.type_code, voice.priority_code, voice.geometry_wkt, voice.unit_code, voice.model_name) == ("SIGHTING", "HIGH", "POINT(-45.001 -22.7)", "BTL", "m1 <- ear")
     status = {r.strength_planned: r for r in s.read("unit_status").collect()}
+    assert (status[70].form_version, status[120].form_version, status[70].fuel_pct, status[70].extra_json) == ("V2", "V1", 50, '{"Agua L":"900"}')
     assert status[120].need_text == "Rifle" and status[90].need_text == "Mun 7,62" and status[120].fuel_pct == 56 and status[120].extra_json == '{"Obs":"note"}'
     assert {r.unit_code for r in s.read("event").where("source_code = 'STATUS'").collect()} == {"C1", "C2"}
     # A second run changes nothing; nothing is pending.
@@ -147,7 +162,7 @@ def test_recipes_and_views(spark, lake):
     fires = next(g for g in groups if g.weapon_kind)
     assert (fires.weapon_count, fires.weapon_kind, fires.weapon_calibre, fires.place_name) == (2, "Ob", "Me", "Vila")
     local = {r.element_name: r.n_events for r in s.read("view_terrain_threat").where("element_kind = 'LOCALITY'").collect()}
-    assert local == {"Vila": 4, "Longe": 0}
+    assert local == {"Vila": 5, "Longe": 0}
     problems = sorted((r.problem_kind, r.unit_code, r.shift_code) for r in s.read("view_data_problems").collect())
     assert ("INCOMPLETE", "C3", "MORNING") in problems and ("NOT_RECEIVED", "BTL", "AFTERNOON") in problems
     assert {k for k, *_ in problems} == {"INCOMPLETE", "NOT_RECEIVED", "BROKEN", "FILE_WITHOUT_RECORD", "RECORD_WITHOUT_FILE"}
@@ -156,7 +171,20 @@ def test_recipes_and_views(spark, lake):
     assert next(r for r in picture if r.element_name == "Cia 1" and r.panel_kind == "STATUS").strength_pct == 83.33
     series = {(r.indicator_code, str(r.period_at)[:10]): r.value for r in s.read("view_indicators").where("scope_code = 'THREAT_AND_INCIDENTS'").collect()}
     assert series[("THREAT_REPORTS", "2024-11-25")] == 1 and series[("THREAT_REPORTS", "2024-11-26")] == 0 and len(series) == 6
-    assert s.read("view_planning_inputs").count() > 5 and out["view_indicators"].count() == 12
+    assert {r.element_kind for r in s.read("view_terrain_threat").where("step_code = 'RESTRICTIONS'").collect()} == {"OBSTACLE", "INCIDENT"}
+    inputs = sorted((r.phase, r.factor_code, r.input_kind, r.input_name, r.input_text) for r in s.read("view_planning_inputs").where("factor_code <> 'ENEMY' and input_kind not in ('STATUS', 'POSITION', 'LOCALITY')").fillna("-").collect())
+    assert inputs == [
+        (1, "MISSION", "AREA", "Perseu", "Area of responsibility of operation Perseu"),
+        (1, "TIME", "PERIOD", "Perseu", "From 25/11/2024 00:00 to 05/12/2024 23:00"),
+        (2, "CIVIL", "SIGHTING", "-", "dois potros na vila"),
+        (2, "TERRAIN", "BOUNDARY", "L1", "Control measure"),
+        (2, "TERRAIN", "INCIDENT", "-", "ponte na estrada interditada"),
+        (2, "TERRAIN", "OBSTACLE", "CM", "Obstacle"),
+        (2, "TERRAIN", "PLACE", "Longe", "LOCALITY"),
+        (2, "TERRAIN", "PLACE", "Vila", "LOCALITY"),
+        (2, "TERRAIN", "ROAD", "BR-1", "-"),
+    ]
+    assert out["view_indicators"].count() == 12
     tests = {r.name: r for r in checks.run(spark, s, model).collect()}
     assert len(tests) == 14 and tests["event_id_unique"].status == "Success" and tests["photo_where_it_says"].failing_rows == 0 and tests["reject_was_resent"].failing_rows == 2
     assert {r.source_code: r.rate for r in checks.preservation(s).collect()}["C2_A"] == 1.0
@@ -211,9 +239,21 @@ def test_setting_lock(spark):
 
 
 def test_grid_by_position():
-    rows = list(recipes.open_rows([["x"], ["Fracao", "Erev"], ["1a", "5", "z"]], ["Fração", "Ef Prev"], {}, True))
-    assert rows in ([], [({"Fração": "1a", "Ef Prev": "5"}, {}, "V1")])
-    assert recipes.alike("Ef Prev", "Prev Ef") >= 0.75 and recipes.alike("Fração", "zzz") < 0.75
+    opened = lambda *grid, **k: list(recipes.open_rows([*grid], ["Fração", "Ef Prev"], {"Ef Prev": ["Ef %"]}, True, **k))
+    assert opened(["x"], ["Fracao", "Erev", None], ["1a", "5", "z"]) == [({"Fração": "1a", "Ef Prev": "5"}, {"column_3": "z"}, "V1")]
+    assert opened(["Fracao", "Ef %", "Obs"], ["1a", "5", "z"]) == [({"Fração": "1a", "Ef Prev": "5"}, {"Obs": "z"}, "V2")]
+    assert opened(["Fracao"], ["1a"]) == [] and opened(["a", "b"], ["c", "d"]) == []
+    assert opened(["de Hora Informe", "zz"], ["1a", "5"], labels=["Informe de Hora", "Efeito"]) == [({"Fração": "1a", "Ef Prev": "5"}, {}, "V1")]
+    assert recipes.alike("Bombardeada (5) Area F", "Area Bombardeada") == 1.0 and recipes.alike("Prev Ef", "Ef Prev") == 1.0 and recipes.alike("zzz", "Fração") < 0.75
+
+
+def test_codewords(spark):
+    said = {"tordilho": "POSITION", "potro": "SIGHTING", "cavalo": "ENEMY_SIGHTING", "brasa": "INCIDENT", "bigorna": "OBSTACLE", "martelo": "FIRE_MISSION", "tambor": "ENEMY_FIRE"}
+    assert sorted(said) == sorted(model.CODEWORDS)
+    rows = spark.createDataFrame([(w, f"tres {w}s na ponte", "tamborim") for w in said], "w string, plural string, other string")
+    find = lambda c, t: vocabulary_or_word(F.col(c), model.VOCABULARIES["event_type"], F.col(t), model.CODEWORDS)
+    got = {r.w: (r.a, r.b, r.c) for r in rows.select("w", find("w", "other").alias("a"), find("other", "plural").alias("b"), find("other", "other").alias("c")).collect()}
+    assert got == {w: (t, t, None) for w, t in said.items()}
 
 
 def test_streams(spark, tmp_path):
