@@ -24,10 +24,21 @@ def photo_mismatch(store: TableStore, most_m: float = 1000) -> DataFrame:
     return out.where(F.col("captured_wkt").isNull() | (F.col("apart_m") > most_m))
 
 
-def declared(store: TableStore, model) -> dict:
-    """name -> function that returns the offending rows."""
-    event, views = lambda: store.read("event"), Views(store, model)
-    problems = lambda kind: (lambda: views.data_problems().where(F.col("problem_kind") == kind))
+def declared(store: TableStore, model, views: Views | None = None) -> dict:
+    """name -> function that returns the offending rows. The view of data problems is built once, and kept by `views`."""
+    views, built = views or Views(store, model), []
+
+    def event():
+        return store.read("event")
+
+    def problems(kind):
+        def rows():
+            if not built:
+                built.append(views.keep(views.data_problems()))
+            return built[0].where(F.col("problem_kind") == kind)
+
+        return rows
+
     return {
         "event_has_operation": lambda: quality.not_null(event(), "operation_code"),
         "event_has_time": lambda: quality.not_null(event(), "occurred_at"),
@@ -47,7 +58,12 @@ def declared(store: TableStore, model) -> dict:
 
 
 def run(spark: SparkSession, store: TableStore, model) -> DataFrame:
-    return quality.run(spark, declared(store, model))
+    views = Views(store, model)
+    try:
+        return quality.run(spark, declared(store, model, views))
+    finally:
+        for df in views.kept:
+            df.unpersist()
 
 
 def cell_accuracy(read: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:

@@ -403,7 +403,19 @@ def pending(store: TableStore, name: str, model) -> dict[str, int]:
     }
 
 
-def pending_extractions(store: TableStore, modality: str, setting: str) -> DataFrame:
-    """Files of a modality that a setting hasn't read."""
-    done = store.read("extraction").where((F.col("setting_code") == setting) & (F.col("status_code") == "OK")).select("file_id")
-    return keyed.pending(store.read("file_manifest").where(F.col("modality_code") == modality).select("file_id", "file_uri"), done, ["file_id"])
+def pending_extractions(store: TableStore, modality: str, setting: str, of: str = "files", of_setting: str | None = None) -> DataFrame:
+    """What a setting hasn't read: file_id, receipt_id, origin_extraction_id, uri, content; of files (uri), of receipts, or of readings by another setting (content)."""
+    done = store.read("extraction").where((F.col("setting_code") == setting) & (F.col("status_code") == "OK"))
+    null = F.lit(None).cast("string")
+    files = store.read("file_manifest").where(F.col("modality_code") == modality)
+    if of == "files":
+        left = keyed.pending(files, done, ["file_id"])
+        return left.select("file_id", null.alias("receipt_id"), null.alias("origin_extraction_id"), F.col("file_uri").alias("uri"), null.alias("content"))
+    if of == "receipts":
+        own = store.read("raw_receipt").where(F.col("modality_code") == modality)
+        return keyed.pending(own, done, ["receipt_id"]).select(null.alias("file_id"), "receipt_id", null.alias("origin_extraction_id"), F.col("origin_uri").alias("uri"), F.col("content_json").alias("content"))
+    if of != "readings":
+        raise ValueError(f"no such inputs: {of}")
+    first = store.read("extraction").where((F.col("setting_code") == of_setting) & (F.col("status_code") == "OK")).join(files.select("file_id"), "file_id", "left_semi")
+    left = keyed.pending(first.withColumn("origin_extraction_id", F.col("extraction_id")), done, ["origin_extraction_id"])
+    return left.select("file_id", null.alias("receipt_id"), "origin_extraction_id", null.alias("uri"), F.col("output_json").alias("content"))

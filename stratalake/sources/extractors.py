@@ -34,6 +34,10 @@ def replay(recorded: dict[str, str]) -> Reader:
     return read
 
 
+BATCH = 1000  # inputs read and appended at a time
+READ = "extraction_id string, file_id string, receipt_id string, origin_extraction_id string, output_json string, seconds double, status_code string, run_at timestamp"
+
+
 def _read(reader: Reader, tool: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -43,36 +47,55 @@ def _read(reader: Reader, tool: str):
                 try:
                     output = reader(bytes(r.content))
                     json.loads(output)
-                except Exception as e:  # one file's failure is a row, not the job's
+                except Exception as e:  # one input's failure is a row, not the job's
                     output, status = f"{type(e).__name__}: {e}"[:400], "FAILED"
                 now = datetime.now(timezone.utc).replace(tzinfo=None)
-                key = "ext_" + hashlib.sha256(f"{r.file_id}{tool}{now.isoformat()}".encode()).hexdigest()[:16]
-                rows.append((key, r.file_id, output, time.time() - began, status, now))
-            yield pd.DataFrame(rows, columns=["extraction_id", "file_id", "output_json", "seconds", "status_code", "run_at"])
+                key = "ext_" + hashlib.sha256(f"{r.origin_extraction_id or r.receipt_id or r.file_id}{tool}{now.isoformat()}".encode()).hexdigest()[:16]
+                rows.append((key, r.file_id, r.receipt_id, r.origin_extraction_id, output, time.time() - began, status, now))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in READ.split(", ")])
 
     return run
 
 
-def extract(spark: SparkSession, store: TableStore, modality: str, reader: Reader, tool: str, setting: str, model_name: str | None = None, parameters: str = "{}", prompt: str = "", partitions: int | None = None) -> dict[str, int]:
-    """Reads the files of a modality that this setting hasn't read, on the executors, and appends a row for each; returns how many are OK and FAILED.
+def _batches(rows: DataFrame, size: int):
+    """Lists of at most `size` rows, which come to the driver a partition at a time."""
+    held = []
+    for r in rows.toLocalIterator():
+        held.append(r)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def extract(
+    spark: SparkSession, store: TableStore, modality: str, reader: Reader, tool: str, setting: str, model_name: str | None = None, parameters: str = "{}", prompt: str = "", partitions: int | None = None, of: str = "files", of_setting: str | None = None, batch: int = BATCH
+) -> dict[str, int]:
+    """Reads what this setting hasn't read, on the executors, and appends a row for each; returns how many are OK and FAILED.
 
-    The setting is locked first: the same code with other parameters or prompt is refused."""
+    Inputs are the files of a modality (of="files"), the texts of its receipts ("receipts"), or the outputs of another setting on its files ("readings", of_setting): a
+    reading of a reading, which names its origin. They are read and appended `batch` at a time, so a run that breaks off keeps what is done. The setting is locked
+    first: the same code with other parameters or prompt is refused."""
     digest, new = lock_setting(store.read("extraction_setting"), setting, tool, parameters, prompt)
     if new:
         row = spark.createDataFrame([(setting, tool, parameters, prompt, digest, datetime.now(timezone.utc).replace(tzinfo=None))], store.read("extraction_setting").schema)
         store.append("extraction_setting", row)
-    todo = pending_extractions(store, modality, setting)
-    paths = [r["file_uri"] for r in todo.select("file_uri").toLocalIterator()]
-    if not paths:
-        return {"OK": 0, "FAILED": 0}
-    files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file_uri"), "content").join(todo, "file_uri").select("file_id", "content")
-    read = (files.repartition(partitions) if partitions else files).mapInPandas(_read(reader, tool), "extraction_id string, file_id string, output_json string, seconds double, status_code string, run_at timestamp")
-    null = F.lit(None).cast("string")
-    rows = read.select("extraction_id", "file_id", null.alias("receipt_id"), null.alias("origin_extraction_id"), F.lit("Y" if model_name else "N").alias("is_inferred"), F.lit(tool).alias("tool_name"), F.lit(model_name).cast("string").alias("model_name"), F.lit(setting).alias("setting_code"), "output_json", "seconds", "status_code", "run_at")
-    version = store.append("extraction", rows)
-    part = store.manifest("extraction", version)["parts"][-1]
-    counts = spark.read.parquet(f"{store.root}/extraction/{part}").groupBy("status_code").count().collect()
-    return {"OK": 0, "FAILED": 0} | {r["status_code"]: r["count"] for r in counts}
+    counts = {"OK": 0, "FAILED": 0}
+    todo = pending_extractions(store, modality, setting, of, of_setting)
+    for rows in _batches(todo, batch):
+        own = spark.createDataFrame(rows, todo.schema)
+        if of == "files":
+            files = spark.read.format("binaryFile").load([r["uri"] for r in rows]).select(F.col("path").alias("uri"), F.col("content").alias("found"))
+            own = own.join(files, "uri").withColumn("content", F.col("found"))
+        own = own.select("file_id", "receipt_id", "origin_extraction_id", F.col("content").cast("binary").alias("content"))
+        read = (own.repartition(partitions) if partitions else own).mapInPandas(_read(reader, tool), READ)
+        out = read.select("extraction_id", "file_id", "receipt_id", "origin_extraction_id", F.lit("Y" if model_name else "N").alias("is_inferred"), F.lit(tool).alias("tool_name"), F.lit(model_name).cast("string").alias("model_name"), F.lit(setting).alias("setting_code"), "output_json", "seconds", "status_code", "run_at")
+        version = store.append("extraction", out)
+        part = store.manifest("extraction", version)["parts"][-1]
+        for r in spark.read.parquet(f"{store.root}/extraction/{part}").groupBy("status_code").count().collect():
+            counts[r["status_code"]] = counts.get(r["status_code"], 0) + r["count"]
+    return counts
 
 
 def expand_spans(cells: DataFrame) -> DataFrame:

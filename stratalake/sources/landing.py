@@ -144,13 +144,15 @@ def ingest(spark: SparkSession, store: TableStore, landing: str, sources: dict[s
     for name, schema in (("raw_receipt", RECEIPT), ("file_manifest", FILE), ("reject", REJECT), ("ingest_run", RUN)):
         store.create(name, spark.createDataFrame([], schema).schema)
     now = F.lit(at or datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp")
-    seen = scan(spark, landing, sources)
-    manifest = file_rows(seen, now)
+    files = scan(spark, landing, sources)
+    manifest = file_rows(files, now)
+    # Contents are read for the manifest and for the records; all else goes by this index and by the records once opened.
+    seen = files.drop("content").persist()
     new_files = store.append_new("file_manifest", manifest, ["file_id"], ["file_uri"])
     # A record's file is the one beside it with the same name; of several with that name, the first by path.
     beside = seen.where(~F.col("is_json") & F.col("source_code").isNotNull()).groupBy("stem").agg(F.min(F.struct("path", F.concat(F.lit("arq_"), F.substring("content_hash", 1, 16)).alias("file_id"), _chosen(F.col("ext"), MODALITY, "BINARY").alias("modality_code"))).alias("f"))
-    records = seen.where(F.col("is_json") & F.col("source_code").isNotNull()).join(beside, "stem", "left")
-    opened = records.select("path", "operation_code", "source_code", "content", F.col("f.file_id").alias("file_id")).mapInPandas(_open, "kind string, id string, path string, source_code string, operation_code string, content_json string, content_hash string, file_id string, reason_code string, detail string")
+    records = files.where(F.col("is_json") & F.col("source_code").isNotNull()).join(beside, "stem", "left")
+    opened = records.select("path", "operation_code", "source_code", "content", F.col("f.file_id").alias("file_id")).mapInPandas(_open, "kind string, id string, path string, source_code string, operation_code string, content_json string, content_hash string, file_id string, reason_code string, detail string").persist()
     modality = seen.select("path", "stem").join(beside, "stem").select("path", F.col("f.modality_code").alias("modality_code"))
     receipts = opened.where("kind = 'receipt'").join(modality, "path", "left").select(F.col("id").alias("receipt_id"), "source_code", "operation_code", F.coalesce("modality_code", F.lit("JSON")).alias("modality_code"), "content_json", "content_hash", F.col("path").alias("origin_uri"), "file_id", now.alias("received_at"))
     new_receipts = store.append_new("raw_receipt", receipts, ["receipt_id"], ["origin_uri"])
@@ -159,6 +161,8 @@ def ingest(spark: SparkSession, store: TableStore, landing: str, sources: dict[s
     astray = lost_path.select(F.concat(F.lit("rej_"), F.substring(F.sha2(F.concat_ws("|", "path", "content_hash"), 256), 1, 16)).alias("reject_id"), F.col("path").alias("origin_uri"), F.lit("PATH_INVALID").alias("reason_code"), F.substring(F.concat(F.lit("no known folders: "), F.col("rel")), 1, 400).alias("detail"), "content_hash", "size_bytes", now.alias("received_at"))
     rejected = store.append_new("reject", broken.unionByName(astray), ["reject_id"], ["origin_uri"])
     counts = reconcile(seen, opened, store).first()
+    opened.unpersist()
+    seen.unpersist()
     run = ("ing_" + hashlib.sha256(f"{datetime.now(timezone.utc).isoformat()}|{landing}|{uuid.uuid4()}".encode()).hexdigest()[:16], landing, counts["n_seen"], counts["n_recorded"], counts["n_duplicate"], counts["n_lost"], new_files, new_receipts, rejected, time.time() - began, at or datetime.now(timezone.utc).replace(tzinfo=None))
     store.append("ingest_run", spark.createDataFrame([run], RUN))
     return dict(zip([c.split()[0] for c in RUN.split(", ")], run, strict=True))

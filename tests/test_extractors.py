@@ -31,6 +31,29 @@ def test_replay_isolates_failures(spark, tmp_path):
         extractors.extract(spark, store, "AUDIO", extractors.replay(recorded), "speech", "v1", "small", prompt="other")
 
 
+def test_receipts_and_readings(spark, tmp_path):
+    from stratalake.sources.landing import FILE, RECEIPT
+
+    store = TableStore(spark, f"file://{tmp_path}/t")
+    recipes.create_tables(spark, store, model)
+    for name, schema in (("file_manifest", FILE), ("raw_receipt", RECEIPT)):
+        store.create(name, spark.createDataFrame([], schema).schema)
+    (tmp_path / "a.wav").write_bytes(b"one")
+    store.append("file_manifest", spark.createDataFrame([("f1", "OP", "h", f"file:{tmp_path}/a.wav", "audio/wav", "AUDIO", 3, None, None, None, datetime(2024, 1, 1))], FILE))
+    store.append("raw_receipt", spark.createDataFrame([(f"r{i}", "C2_B", "OP", "TEXT", json.dumps({"n": i}), "h", "u", None, datetime(2024, 1, 1)) for i in range(5)], RECEIPT))
+    echo = lambda content: json.dumps({"read": content.decode()})
+    assert extractors.extract(spark, store, "TEXT", echo, "llm", "t1", "m", of="receipts", batch=2) == {"OK": 5, "FAILED": 0}
+    assert extractors.extract(spark, store, "TEXT", echo, "llm", "t1", "m", of="receipts") == {"OK": 0, "FAILED": 0}
+    assert extractors.extract(spark, store, "AUDIO", echo, "speech", "s1", "ear") == {"OK": 1, "FAILED": 0}
+    assert extractors.extract(spark, store, "AUDIO", echo, "llm", "i1", "m", of="readings", of_setting="s1") == {"OK": 1, "FAILED": 0}
+    assert extractors.extract(spark, store, "AUDIO", echo, "llm", "i1", "m", of="readings", of_setting="s1") == {"OK": 0, "FAILED": 0}
+    got = {r.setting_code: r for r in store.read("extraction").collect()}
+    assert got["i1"].origin_extraction_id == got["s1"].extraction_id and got["i1"].file_id == "f1" and json.loads(json.loads(got["i1"].output_json)["read"]) == {"read": "one"}
+    assert {r.receipt_id for r in store.read("extraction").where("setting_code = 't1'").collect()} == {f"r{i}" for i in range(5)}
+    with pytest.raises(ValueError):
+        extractors.extract(spark, store, "AUDIO", echo, "llm", "z", of="elsewhere")
+
+
 def test_spans(spark):
     cells = spark.createDataFrame([("t", 0, 0, 1, 2, "a"), ("t", 1, 0, 2, 1, "b"), ("t", 1, 1, None, None, "c")], "`table` string, row int, column int, row_span int, column_span int, text string")
     assert sorted(map(tuple, extractors.expand_spans(cells).collect())) == [("t", 0, 0, "a"), ("t", 0, 1, "a"), ("t", 1, 0, "b"), ("t", 1, 1, "c"), ("t", 2, 0, "b")]
