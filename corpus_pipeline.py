@@ -2,6 +2,11 @@
 
 Each stage is a function of (spark, docs, sf_dir). All but the last return the columns of documents; the last returns doc_id, n_tokens and ids.
 SQL can't express the stages; their tests compare them with brute force.
+
+Defined cases: documents with a null or empty text, or one without a letter, go in the first stage. A document with a null doc_id is kept by every stage that keeps
+its text: it is linked with nothing, but a benchmark item in it makes it go. Of rows that repeat a doc_id and a text one stays. Equal texts under several doc_ids
+leave the least. Columns other than doc_id and text pass through, whatever their names; n_chars is counted anew where a passage was cut, and a null lang is
+filled. An empty table gives an empty result.
 """
 
 from __future__ import annotations
