@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalake.operators.sized import small
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key, the first by `order`, which must be total. The rows of a key are aggregated before they are shuffled where all
@@ -76,3 +78,22 @@ def timeline(at: Column, item: Column, by: str = "; ") -> Column:
     """Aggregate: the items in order of `at`, joined; null if there are none."""
     pairs = F.array_sort(F.collect_list(F.when(at.isNotNull() & item.isNotNull(), F.struct(at.alias("at"), item.alias("item")))))
     return F.nullif(F.array_join(F.transform(pairs, lambda p: p["item"]), by), F.lit(""))
+
+
+def counts_within(df: DataFrame, id_: str, kind: str, at: str, reach: int) -> DataFrame:
+    """(id, kind, n): for each row and each kind but its own, how many rows of that kind lie within `reach` of its `at` (a whole number), where any do.
+
+    No pair is made: a count is the difference of two ranks, each the rows of earlier ticks of `reach` and the place within its own tick, so a busy tick is sorted, not
+    joined with itself. Kinds are few."""
+    rows = df.select(F.col(id_).alias("id"), F.col(kind).alias("own"), F.col(at).alias("at"))
+    kinds = rows.select(F.col("own").alias("kind")).where("kind is not null").distinct()
+    edge = lambda place, order, sign: F.struct(place.alias("place"), F.lit(order).alias("order"), F.lit(sign).alias("sign"))
+    # At equal places a stretch's begin comes before the rows there, and its end behind them.
+    asked = rows.join(small(kinds), F.col("own") != F.col("kind")).select("id", "kind", F.explode(F.array(edge(F.col("at") - reach, 0, -1), edge(F.col("at") + reach, 2, 1))).alias("e")).select("id", "kind", "e.*", F.lit(0).alias("n"))
+    held = rows.where("own is not null").select(F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.col("own").alias("kind"), F.col("at").alias("place"), F.lit(1).alias("order"), F.lit(0).alias("sign"), F.lit(1).alias("n"))
+    every = asked.unionByName(held).withColumn("tick", F.floor(F.col("place") / reach))
+    before = Window.partitionBy("kind").orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)
+    ticks = every.groupBy("kind", "tick").agg(F.sum("n").alias("m")).select("kind", "tick", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("earlier"))
+    inside = Window.partitionBy("kind", "tick").orderBy("place", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = every.withColumn("rank", F.sum("n").over(inside)).where("sign <> 0").join(ticks, ["kind", "tick"])
+    return ranked.groupBy("id", "kind").agg(F.sum(F.col("sign") * (F.col("earlier") + F.col("rank"))).alias("n")).where("n > 0")

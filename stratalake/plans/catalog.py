@@ -47,10 +47,8 @@ SELECT l.event_id, l.user_id, l.event_type, coalesce(n_others, 0) AS n_others, c
 ORDER BY n_others DESC, l.event_id LIMIT 50""")
 def corroborated_latest(spark, d):
     newest = series.latest_by(load(spark, d, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], ["ts", "event_id"])
-    left, right = spatial.band_pairs(newest, "event_type", F.unix_seconds(F.col("ts").cast("timestamp")), 600)
-    a, b = left.alias("a"), right.select("_tick", F.col("event_type").alias("b_type"), F.col("ts").alias("b_ts")).alias("b")
-    near = F.abs(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("b_ts").cast("timestamp"))) <= 600_000_000
-    met = a.join(b, "_tick").where((F.col("event_type") != F.col("b_type")) & near).groupBy("event_id").agg(F.count("*").alias("n_others"), F.countDistinct("b_type").alias("n_types"))
+    placed = newest.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    met = series.counts_within(placed, "event_id", "event_type", "us", 600_000_000).groupBy(F.col("id").alias("event_id")).agg(F.sum("n").alias("n_others"), F.count("*").alias("n_types"))
     out = newest.join(met, "event_id", "left").select("event_id", "user_id", "event_type", F.coalesce("n_others", F.lit(0)).alias("n_others"), F.coalesce("n_types", F.lit(0)).alias("n_types"))
     return out.orderBy(F.desc("n_others"), "event_id").limit(50)
 

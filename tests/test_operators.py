@@ -100,3 +100,25 @@ def test_word_errors_and_wilson(spark):
 def test_block_refuses_unknown_columns(spark):
     with pytest.raises(ValueError, match="zz"):
         series.block(spark.range(1), [("a", "int")], zz=F.lit(1))
+
+
+def test_counts_within_equal_brute_force(spark):
+    r = random.Random(4)
+    rows = [(i, r.choice("abc"), r.randint(-30, 60) if i % 5 else 7) for i in range(120)] + [(200, None, 3), (201, "a", None)]
+    got = {(x.id, x.kind): x.n for x in series.counts_within(spark.createDataFrame(rows, "i long, k string, t long"), "i", "k", "t", 10).collect()}
+    want = {(i, k): n for i, own, t in rows if own and t is not None for k in "abc" if k != own and (n := sum(1 for _, o, u in rows if o == k and u is not None and abs(u - t) <= 10))}
+    assert got == want
+
+
+def test_no_pairs_of_all_beyond_the_limit(spark):
+    # Whatever is too many for a join without an equality goes by keys.
+    p = spark.createDataFrame([(i, float(i % 50), float(i % 40)) for i in range(400)], "pid long, plon double, plat double")
+    q = p.toDF("qid", "qlon", "qlat")
+    read = spark.createDataFrame([(i, f"unit {i}") for i in range(300)], "id long, t string")
+    refs = read.toDF("x", "k")
+    plans = [spatial.nearest(p, q), lookups.most_alike(read.where("id > 10"), "id", F.col("t"), refs, F.col("k"), F.col("k"), 2), lookups.contained_longest(read, "id", F.col("t"), refs, F.col("k"), F.col("k"))]
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan
+        # A nested loop may only meet the few lengths that references have, or the beginnings that the alphabet bounds.
+        assert plan.count("BroadcastNestedLoopJoin") <= 2
