@@ -426,6 +426,29 @@ class _Similar:
 GAP = 16  # shingles by which neighbouring diagonals of one passage differ at most
 
 
+def _spans_at(values: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all stretches of `width` values, made of two overlapping ones of a power of two."""
+    names, size = mix64(values.astype(U64) + U64(1)), 1
+    while size * 2 <= width:
+        names = mix64(names[:-size] * U64(0x9E3779B97F4A7C15) + names[size:] + U64(size))
+        size *= 2
+    rest = width - size
+    return names if not rest else mix64(names[:-rest] * U64(0x9E3779B97F4A7C15) + names[rest:])
+
+
+def exact_stretches(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int, int, float]]:
+    """Stretches of a that b holds exactly, whatever diagonals they lie on: each run of places whose next `least` values b holds one after the other."""
+    if min(len(a), len(b)) < least:
+        return []
+    x, y = _spans_at(a, least), _spans_at(b, least)
+    order = np.argsort(y, kind="stable")
+    at = np.minimum(np.searchsorted(y[order], x), len(y) - 1)
+    hits = np.flatnonzero(y[order][at] == x)
+    where = order[at[hits]]
+    cuts = np.flatnonzero((np.diff(hits) != 1) | (np.diff(where) != 1)) + 1 if len(hits) else []
+    return [(int(i[0]), int(i[-1]) + least - 1, int(j[0]), int(j[-1]) + least - 1, 1.0) for i, j in zip(np.split(hits, cuts), np.split(where, cuts), strict=True) if len(i)]
+
+
 def passages(a: np.ndarray, b: np.ndarray, least: int = LEAST, percent: int = PERCENT) -> list[tuple[int, int, int, int, float]]:
     """(first and last shingle in a, first and last in b, similarity) of the near-duplicate passages of two shingle sequences.
 
@@ -455,6 +478,9 @@ def passages(a: np.ndarray, b: np.ndarray, least: int = LEAST, percent: int = PE
         for i, j in zip((edges[::2] + lo).tolist(), (edges[1::2] + lo - 1).tolist(), strict=True):
             if j - i + 1 >= least:
                 found.append((i, j, i + s, j + s, 1.0))
+    # Runs of matches that no diagonal explains: text that repeats itself.
+    if any(len(r) >= least and not any(i <= hits[r[0]] and hits[r[-1]] <= j for i, j, *_ in found) for r in runs):
+        found += exact_stretches(a, b, least)
     similar = None
     bands = np.cumsum(np.concatenate([[0], np.diff(values) > GAP]))
     band = bands[np.searchsorted(values, shift)]

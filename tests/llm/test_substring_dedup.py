@@ -133,6 +133,24 @@ def test_insertions_on_either_side_near_the_threshold():
         assert not S.passages(longer[:40], plain) and not S.passages(shingled(1, n, 20), plain)
 
 
+def test_exact_passages_of_repetitive_texts_equal_brute_force():
+    rng = np.random.default_rng(13)
+    held = 0
+    for _ in range(400):
+        line = rng.integers(0, 2**32, int(rng.integers(1, 9))).astype(np.uint32)
+        make = lambda: np.concatenate([rng.integers(0, 2**32, int(rng.integers(0, 20))).astype(np.uint32), np.resize(np.roll(line, int(rng.integers(0, 9))), int(rng.integers(20, 160))), rng.integers(0, 2**32, int(rng.integers(0, 20))).astype(np.uint32)])  # noqa: B023, E731
+        a, b = make(), make()
+        there = {b[k : k + S.LEAST].tobytes() for k in range(len(b) - S.LEAST + 1)}
+        want = {p for k in range(len(a) - S.LEAST + 1) if a[k : k + S.LEAST].tobytes() in there for p in range(k, k + S.LEAST)}
+        got = S.passages(a, b)
+        held += bool(want)
+        assert want <= {p for i, j, *_ in got for p in range(i, j + 1)}
+        for i, j, lo, hi, s in got:
+            p, q = set(a[i : j + 1].tolist()), set(b[lo : hi + 1].tolist())
+            assert len(p & q) >= 0.8 * len(p | q) and (s < 1.0 or p == q)
+    assert held > 100
+
+
 def test_a_passage_inside_a_dense_stretch_is_found():
     # 60 shingles with one replaced word, then stretches of matches too thin for the similarity though the whole is dense enough.
     plain = shingled(2, 130)
