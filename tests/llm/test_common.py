@@ -35,3 +35,25 @@ def test_written_lies_in_the_shared_folder(spark):
     df = common.written(spark.range(3).withColumnRenamed("id", "x"), "t")
     assert df.count() == 3 and df.columns == ["x"]
     assert all(common.scratch(spark).split("://")[-1] in f for f in df.inputFiles())
+
+
+def test_runs_hold_whole_groups():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        keys = np.repeat(np.arange(40), rng.integers(0, 9, 40))
+        table = pa.table({"a": keys // 7, "b": keys, "x": np.arange(len(keys))})
+        cuts = np.unique(rng.integers(0, len(keys) + 1, 8))
+        batches = [b for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True) for b in table.slice(lo, hi - lo).combine_chunks().to_batches()]
+        got = list(common.runs(batches, ("a", "b")))
+        assert [x for b in got for x in b.column("x").to_pylist()] == list(range(len(keys)))
+        where = [set(b.column("b").to_pylist()) for b in got]
+        assert all(not (p & q) for i, p in enumerate(where) for q in where[:i])
+    assert list(common.runs([], ("a",))) == []
+
+
+def test_discard_deletes_what_was_written(spark):
+    df = common.written(spark.range(5), "gone")
+    assert df.count() == 5
+    common.discard(df)
+    with pytest.raises(Exception, match="(?i)not.*exist|not found"):
+        spark.read.parquet(df._stored_at).count()
