@@ -69,6 +69,13 @@ def features(toks: np.ndarray, rows: np.ndarray, lo: int, hi: int) -> list[np.nd
     return [mix64(one + U64(1)), mix64(two + U64(2)), mix64(three + U64(3)), mix64(one * U64(0x9E3779B97F4A7C15) + two + U64(4)), np.full(len(at), mix64(np.array([5], U64))[0])]
 
 
+def restored(state: dict) -> Model:
+    """A model from what vars() says of it: that is broadcast, so workers need no copy of this package."""
+    model = Model.__new__(Model)
+    vars(model).update(state)
+    return model
+
+
 def prefix_code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
     """(codes, lengths in digits, greatest length, end of the codes) of a prefix code with BRANCH digits for leaves in falling order of counts: each length is near
     the logarithm of the count's share, as short as all together allow. Codes are of the greatest length, filled up with zeros."""
@@ -193,13 +200,13 @@ def count(training: DataFrame) -> DataFrame:
 
 def _train_task(shared):
     def run(batches):
-        model = shared.value
+        model = restored(shared.value)
         start, model.weights = model.weights, model.weights.copy()
         squares = np.zeros(start.shape[:2], np.float32)
         for batch in batches:
             for _, texts in text_slices(batch, "text"):
                 model.train(*tokens(texts), squares)
-        moved, model.weights = model.weights - start, start
+        moved = model.weights - start
         if squares.any():
             pieces = [x.astype(np.float16).tobytes() for x in np.array_split(moved.reshape(-1, BRANCH), PARTS)]
             weigh = [x.tobytes() for x in np.array_split(squares.ravel(), PARTS)]
@@ -238,7 +245,7 @@ def fit(training: DataFrame, counts: DataFrame) -> tuple[Model, int, int, tuple[
     # Tasks grow in number with the tokens, not in size; their updates are averaged by part, and one model's worth comes back.
     tasks = max(spark.sparkContext.defaultParallelism, -(-n // (TASK_TOKENS * ROUNDS)))
     for turn in range(ROUNDS if n else 0):
-        shared = spark.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast(vars(model))
         texts = training.select("text").where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn).coalesce(tasks)
         moved = texts.mapInArrow(_train_task(shared), "part int, moved binary, squares binary")
         got = sorted(moved.groupBy("part").applyInArrow(_mean, "part int, moved binary").collect(), key=lambda r: r["part"])
@@ -251,13 +258,14 @@ def fit(training: DataFrame, counts: DataFrame) -> tuple[Model, int, int, tuple[
 def score(docs: DataFrame, model: Model, counts: DataFrame, n: int, v: int, head: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
     """The columns `keep` of docs with n_tokens, n_known, base_score and score (log10 probabilities)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model, *head, float(np.log10(n + v + 1))))
+    shared = spark.sparkContext.broadcast((vars(model), *head, float(np.log10(n + v + 1))))
     kept = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], "text")
     fields = ", ".join(f"k{i} {kept.schema[i].dataType.simpleString()}" for i in range(len(keep)))
     names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches):
-        model, hashes, freqs, log_all = shared.value
+        state, hashes, freqs, log_all = shared.value
+        model = restored(state)
         log_form = np.log10(model.form_totals)
         for batch in batches:
             for part, texts in text_slices(batch, "text"):

@@ -1,4 +1,5 @@
 import math
+import pickle
 import zlib
 from collections import Counter
 
@@ -116,3 +117,12 @@ def test_a_very_long_text_is_scored_in_steps():
     model = M.Model(np.zeros(0, np.uint64), np.zeros(0), np.ones(16))
     whole = [model.logs(toks, rows, lo, min(len(toks), lo + M.STEP))[0] for lo in range(0, len(toks), M.STEP)]
     assert sum(map(len, whole)) == len(toks) == 300_001
+
+
+def test_what_is_broadcast_needs_no_package():
+    model = M.Model(np.arange(5, dtype=np.uint64), np.arange(5.0) + 1, np.ones(16))
+    model.weights += 1
+    state = pickle.dumps(vars(model))
+    assert b"stratalake" not in state
+    toks, rows = M.tokens(pa.array(["a b c"]))
+    assert np.array_equal(M.restored(pickle.loads(state)).logs(toks, rows, 0, 4)[0], model.logs(toks, rows, 0, 4)[0])
