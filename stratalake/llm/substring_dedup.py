@@ -437,7 +437,8 @@ def _spans_at(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def exact_stretches(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int, int, float]]:
-    """Stretches of a that b holds exactly, whatever diagonals they lie on: each run of places whose next `least` values b holds one after the other."""
+    """Stretches of a that b holds exactly, whatever diagonals they lie on: runs of places whose next `least` values b holds one after the other. Of stretches
+    that overlap, as many stay as it takes to cover the same places."""
     if min(len(a), len(b)) < least:
         return []
     x, y = _spans_at(a, least), _spans_at(b, least)
@@ -446,7 +447,14 @@ def exact_stretches(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> list[tu
     hits = np.flatnonzero(y[order][at] == x)
     where = order[at[hits]]
     cuts = np.flatnonzero((np.diff(hits) != 1) | (np.diff(where) != 1)) + 1 if len(hits) else []
-    return [(int(i[0]), int(i[-1]) + least - 1, int(j[0]), int(j[-1]) + least - 1, 1.0) for i, j in zip(np.split(hits, cuts), np.split(where, cuts), strict=True) if len(i)]
+    every = [(int(i[0]), int(i[-1]) + least - 1, int(j[0]), int(j[-1]) + least - 1, 1.0) for i, j in zip(np.split(hits, cuts), np.split(where, cuts), strict=True) if len(i)]
+    out: list = []
+    for x in every:  # by their begins, and so by their ends
+        if len(out) > 1 and x[0] <= out[-2][1] + 1:
+            out[-1] = x  # the last one isn't needed between its neighbours
+        else:
+            out.append(x)
+    return out
 
 
 def passages(a: np.ndarray, b: np.ndarray, least: int = LEAST, percent: int = PERCENT) -> list[tuple[int, int, int, int, float]]:
