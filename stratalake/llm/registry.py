@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratalake.llm import bpe, decontaminate, html_text, language_id, language_model, near_dedup, quality, quotes, substring_dedup, warc
+from stratalake.llm import bpe, decontaminate, html_text, language_id, language_model, near_dedup, quality, quotes, substring_dedup, vector_codes, warc
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_quotes": quotes.query,
     "op9_decontaminate": decontaminate.query,
     "op10_html_text": html_text.query,
+    "op11_vector_codes": vector_codes.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": warc.SQL,
     "op5_near_dedup": near_dedup.SQL,
     "op8_quotes": quotes.SQL,
+    "op11_vector_codes": vector_codes.SQL,
 }
