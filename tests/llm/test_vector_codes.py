@@ -81,6 +81,6 @@ def test_defined_cases(spark, folder):
 def test_decoding_gives_the_entries(spark):
     df = spark.createDataFrame(vectors(200), SCHEMA)
     books = codes.fit(df)
-    back = codes.decode(codes.encode(df, books), books).alias("c").join(df.alias("d"), "vec_id").select("error", "c.embedding", "d.embedding").collect()
+    back = codes.decode(codes.encode(df, books), books).alias("c").join(df.alias("d"), "vec_id").select("c.error", "c.embedding", "d.embedding").collect()
     for error, near, own in back:
         assert error == sum((int(a * 256) - int(np.floor(b * 256))) ** 2 for a, b in zip(near, own, strict=True))
