@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratalake.llm import bpe, decontaminate, html_text, language_id, language_model, near_dedup, quality, quotes, sharding, substring_dedup, vector_codes, warc
+from stratalake.llm import bpe, decontaminate, html_text, language_id, language_model, near_dedup, point_in_time, quality, quotes, sharding, substring_dedup, vector_codes, warc
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.query,
     "op10_html_text": html_text.query,
     "op11_vector_codes": vector_codes.query,
+    "op12_point_in_time": point_in_time.query,
     "op13_sharding": sharding.query,
 }
 
@@ -24,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_near_dedup": near_dedup.SQL,
     "op8_quotes": quotes.SQL,
     "op11_vector_codes": vector_codes.SQL,
+    "op12_point_in_time": point_in_time.SQL,
 }
