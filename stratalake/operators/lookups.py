@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalake.functions.text import comparable, folded
 from stratalake.operators.sized import THETA_ROWS, is_small, small
+from stratalake.operators.stages import stored
 
 
 def exact(read: DataFrame, text: Column, refs: DataFrame, key: Column, value: Column, name: str) -> DataFrame:
@@ -29,11 +30,21 @@ def _suits(context: Column | None, stored: Column) -> Column:
 def prefix_unique(read: DataFrame, id_: str, text: Column, refs: DataFrame, key: Column, value: Column, context: Column | None = None, least: int = 1) -> DataFrame:
     """(id, value): the value of the references that begin with the text (and end with the context), if there is just one; else null.
 
-    Stored keys are spread over their prefixes, so read texts find them by equality; no pair that doesn't match is made."""
-    stored = refs.select(comparable(key).alias("_s"), value.alias("_v")).where("_s is not null and _v is not null").withColumn("_p", F.explode(F.transform(F.sequence(F.lit(least), F.greatest(F.length("_s"), F.lit(least))), lambda n: F.substring(F.col("_s"), F.lit(1), n))))
-    asked = read.select(F.col(id_), comparable(text).alias("_t"), (comparable(context) if context is not None else F.lit(None).cast("string")).alias("_c"))
-    met = asked.join(stored, F.col("_t") == F.col("_p")).where(_suits(F.col("_c"), F.col("_s")))
-    found = met.groupBy(id_).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).select(id_, F.when(F.col("_lo") == F.col("_hi"), F.col("_hi")).alias("value"))
+    Stored keys are a trie as a table: one row for each prefix, with the least and the greatest value below it, so a text meets one row at most. With a context there is one
+    row for each prefix and each ending that is asked for, found by the endings that occur as contexts."""
+    entries = refs.select(comparable(key).alias("_s"), value.alias("_v")).where("_s is not null and _v is not null").distinct()
+    asked = read.select(F.col(id_), comparable(text).alias("_t"), (F.coalesce(comparable(context), F.lit("")) if context is not None else F.lit("")).alias("_c"))
+    ends = asked.select("_c").distinct().withColumn("_n", F.length("_c"))
+    if context is None:
+        ended = entries.withColumn("_c", F.lit(""))
+    else:
+        # Of the endings of each key only those that occur as contexts stay; their lengths are few.
+        lengths = small(ends.select("_n").distinct())
+        cut = entries.join(lengths, F.col("_n") <= F.length("_s")).withColumn("_c", F.when(F.col("_n") > 0, F.expr("right(_s, _n)")).otherwise("")).drop("_n")
+        ended = cut.join(ends.select("_c"), "_c", "left_semi")
+    starts = F.transform(F.sequence(F.lit(least), F.greatest(F.length("_s"), F.lit(least))), lambda n: F.substring(F.col("_s"), F.lit(1), n))
+    trie = ended.withColumn("_t", F.explode(starts)).groupBy("_t", "_c").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    found = asked.join(trie, ["_t", "_c"]).select(id_, F.when(F.col("_lo") == F.col("_hi"), F.col("_hi")).alias("value"))
     return read.select(id_).join(found, id_, "left")
 
 
@@ -54,33 +65,113 @@ def contained_longest(read: DataFrame, id_: str, text: Column, refs: DataFrame,
     return read.select(id_).join(found, id_, "left")
 
 
+GRAM = 4  # letters of the longest piece
+
+
+def _grams(text: str, longest: int = GRAM) -> Column:
+    """All pieces of a text of 1 to `longest` letters: array<struct<x,at>>, places from 0."""
+    n = F.length(text)
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.struct(F.substring(F.col(text), i + 1, F.lit(k)).alias("x"), i.cast("int").alias("at")))).otherwise(F.expr("cast(array() as array<struct<x:string,at:int>>)"))
+    return F.concat(*(of(k) for k in range(1, longest + 1)))
+
+
+def piece_index(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the stored texts _s: (x, s_at, _s) for each place of each piece, and (x, n, places): how often a piece occurs, and where single letters do."""
+    index = stored(keys.select("_s", F.explode(_grams("_s")).alias("p")).select("_s", "p.x", F.col("p.at").alias("s_at")), "pieces")
+    places = F.collect_set(F.when(F.length("x") == 1, F.col("s_at")))
+    return index, stored(index.groupBy("x").agg(F.count("*").alias("n"), places.alias("places")), "counts")
+
+
+def piece_plan(texts: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
+    """For each text (_t, _c): spent, how many of its letters no stored text has anywhere near their place, each of which costs an edit whatever the stored
+    text; free, its other letters; and its pieces of such letters, rarest first. Texts that spend more than the limit are left out."""
+    cut = texts.select("_t", "_c", F.explode(_grams("_t")).alias("p")).select("_t", "_c", "p.x", "p.at").join(small(counts), "x", "left")
+    # Within `limit` edits a letter is kept at most so many places to the left, and half as many to the right, as both texts end together.
+    near = F.exists("places", lambda p: (p >= F.col("at") - limit) & (p <= F.col("at") + limit // 2))
+    lost = (F.length("x") == 1) & ~F.coalesce(near, F.lit(False))
+    pieces = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("x")).alias("k"), "at", "x")))
+    gathered = cut.groupBy("_t", "_c").agg(F.collect_set(F.when(lost, F.col("at"))).alias("lost"), pieces.alias("pieces"))
+    whole = F.filter("pieces", lambda p: ~F.exists(F.col("lost"), lambda i: (i >= p["at"]) & (i < p["at"] - p["k"])))
+    spent = F.size("lost")
+    return gathered.select("_t", "_c", spent.alias("spent"), (F.length("_t") - spent).alias("free"), whole.alias("pieces")).where(F.col("spent") <= limit)
+
+
+def candidates(plan: DataFrame, index: DataFrame, extra: int, limit: int) -> DataFrame:
+    """(_t, _c, edits, _s), some of them repeated: among them every stored text within `edits`, that is spent + extra (and within the limit), of the text.
+
+    Of extra + 1 separate pieces one is kept as it is, so the rarest such pieces are sought, where that many edits can have moved them."""
+    more = F.least(F.lit(extra), F.lit(limit) - F.col("spent"))
+    longest = F.least(F.lit(GRAM), F.floor(F.col("free") / (more + 1)).cast("int"))
+    none = F.expr("cast(array() as array<struct<n:bigint,k:int,at:int,x:string>>)")
+    apart = lambda chosen, p: ~F.exists(chosen, lambda c: (c["at"] < p["at"] - p["k"]) & (p["at"] < c["at"] - c["k"]))
+    picked = F.aggregate(F.filter("pieces", lambda p: -p["k"] <= longest), none, lambda chosen, p: F.when((F.size(chosen) <= more) & apart(chosen, p), F.concat(chosen, F.array(p))).otherwise(chosen))
+    sought = plan.where(F.col("free") > more).select("_t", "_c", (F.col("spent") + more).alias("edits"), F.explode(picked).alias("p")).where("p.n > 0").select("_t", "_c", "edits", "p.at", "p.x")
+    short = F.greatest(F.length("_t") - F.length("_s"), F.lit(0))
+    moved = F.col("s_at") - F.col("at")
+    there = (moved <= F.floor((F.col("edits") - short) / 2)) & (-moved <= F.floor((F.col("edits") + short) / 2)) & (F.col("s_at") + F.length("x") <= F.length("_t"))
+    named = F.col("_c").isNull() | (F.col("_c") == "") | F.col("_s").endswith(F.col("_c"))
+    return sought.join(index, "x").where(there & named).select("_t", "_c", "edits", "_s")
+
+
+def _same() -> Column:
+    return (F.col("_t") == F.col("_t2")) & F.col("_c").eqNullSafe(F.col("_c2"))
+
+
+def _edits(limit: int) -> Column:
+    return F.levenshtein(F.col("_t"), F.substring(F.col("_s"), F.lit(1), F.length("_t")), limit)
+
+
+def _least(near: DataFrame) -> DataFrame:
+    """(_t, _c, d, n, _v) of pairs (_t, _c, _v, _w) at distance d: the least distance, how many stored entries have it, and the least of their values."""
+    by = near.groupBy("_t", "_c", "d").agg(F.sum("_w").alias("n"), F.min("_v").alias("_v"))
+    return by.groupBy("_t", "_c").agg(F.min_by(F.struct("d", "n", "_v"), "d").alias("b")).select("_t", "_c", "b.*")
+
+
+def _by_pieces(texts: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
+    """(_t, _c, d, n, _v) as of _least, over all stored texts, in rounds of growing budgets: a text is settled once the least distance that it has met is within its budget."""
+    index, counts = piece_index(entries.select("_s").distinct())
+    left = stored(piece_plan(texts, counts, limit), "asked")
+    found, n = [], left.count()
+    for extra in sorted({min(b, limit) for b in (0, 1, 2, limit)}):
+        near = candidates(left, index, extra, limit).withColumn("d", _edits(limit)).where("d between 0 and edits").drop("edits").distinct()
+        settled = stored(_least(near.join(entries, "_s").withColumn("_w", F.lit(1))), f"settled-{extra}")
+        found.append(settled)
+        n -= settled.count()
+        if not n:
+            break
+        if extra < limit:
+            left = stored(left.join(settled.select("_t", "_c").toDF("_t2", "_c2"), _same(), "left_anti"), f"left-{extra}")
+    else:
+        # Texts with no more letters than edits may keep no piece. They meet the references that their context names, or without one the distinct beginnings of
+        # references as long as they, which the alphabet bounds.
+        tiny, named = left.where(F.col("free") <= F.lit(limit) - F.col("spent")).select("_t", "_c"), F.coalesce("_c", F.lit("")) != ""
+        if not tiny.isEmpty():
+            ends = entries.withColumn("_e", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_s"), F.lit(1))), lambda i: F.substring(F.col("_s"), i, F.length("_s")))))
+            columns = ["_t", "_c", "_s", "_v", "_w"]
+            met = tiny.where(named).join(ends, F.col("_c") == F.col("_e")).withColumn("_w", F.lit(1)).select(*columns)
+            starts = entries.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(limit)))).groupBy("_n", F.substring(F.col("_s"), F.lit(1), F.col("_n")).alias("_s")).agg(F.min("_v").alias("_v"), F.count("*").cast("int").alias("_w"))
+            met = met.unionByName(tiny.where(~named).join(small(starts), F.length("_t") == F.col("_n")).select(*columns))
+            found.append(_least(met.withColumn("d", _edits(limit)).where("d >= 0")))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def most_alike(read: DataFrame, id_: str, text: Column, refs: DataFrame, key: Column, value: Column, limit: int = 2, context: Column | None = None, rows: int = THETA_ROWS) -> DataFrame:
     """(id, value): the value of the reference whose beginning, as long as the text, is fewest edits away; null beyond `limit`, or if two
     are equally near, or for an empty text.
 
-    Few references are broadcast. Otherwise candidates share an unchanged piece: of limit + 1 pieces of the text one occurs in the
-    beginning, at most `limit` places aside. A text of no more letters than the limit may have no piece left; it meets the references that its context
-    names, or without one their distinct beginnings, which the alphabet bounds."""
-    stored = refs.select(folded(key).alias("_s"), value.alias("_v")).where("_s is not null and _v is not null").distinct()
+    Few references are broadcast. Otherwise each distinct text seeks the references that share one of its rarest pieces, with a budget of edits that grows in
+    rounds, and only for texts that have found nothing within it; letters that no reference has near their place are spent beforehand."""
+    entries = refs.select(folded(key).alias("_s"), value.alias("_v")).where("_s is not null and _v is not null").distinct()
     asked = read.select(F.col(id_), folded(text).alias("_t"), (folded(context) if context is not None else F.lit(None).cast("string")).alias("_c")).where("_t <> ''")
-    columns = [id_, "_t", "_s", "_v", "_w"]
-    if is_small(stored, rows):
-        met = asked.join(F.broadcast(stored), _suits(F.col("_c"), F.col("_s"))).withColumn("_w", F.lit(1)).select(*columns)
+    texts = asked.select("_t", "_c").distinct()
+    if is_small(refs, rows):
+        met = texts.join(F.broadcast(entries), _suits(F.col("_c"), F.col("_s"))).withColumn("_w", F.lit(1))
+        least = _least(met.withColumn("d", _edits(limit)).where("d >= 0"))
     else:
-        n = F.length("_t")
-        pieces = F.filter(F.array(*[F.struct(F.floor(n * i / (limit + 1)).cast("int").alias("at"), F.substring(F.col("_t"), F.floor(n * i / (limit + 1)).cast("int") + 1, F.floor(n * (i + 1) / (limit + 1)).cast("int") - F.floor(n * i / (limit + 1)).cast("int")).alias("x")) for i in range(limit + 1)]), lambda p: p["x"] != "")
-        cut = asked.where(n > limit).withColumn("_p", F.explode(pieces)).withColumn("_at", F.explode(F.sequence(F.greatest(F.col("_p.at") - limit, F.lit(0)), F.col("_p.at") + limit)))
-        cut = cut.select(id_, "_t", "_c", F.col("_p.x").alias("_x"), "_at")
-        sizes = cut.select(F.length("_x").alias("_n")).distinct()
-        spread = stored.join(F.broadcast(sizes), F.col("_n") <= F.length("_s")).withColumn("_at", F.explode(F.sequence(F.lit(0), F.length("_s") - F.col("_n")))).withColumn("_x", F.substring(F.col("_s"), F.col("_at") + 1, F.col("_n")))
-        met = cut.join(spread, ["_x", "_at"]).where(_suits(F.col("_c"), F.col("_s"))).select(id_, "_t", "_s", "_v").distinct().withColumn("_w", F.lit(1)).select(*columns)
-        tiny, named = asked.where(n <= limit), F.coalesce("_c", F.lit("")) != ""
-        ends = stored.withColumn("_e", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_s"), F.lit(1))), lambda i: F.substring(F.col("_s"), i, F.length("_s")))))
-        met = met.unionByName(tiny.where(named).join(ends, F.col("_c") == F.col("_e")).withColumn("_w", F.lit(1)).select(*columns))
-        starts = stored.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(limit)))).groupBy("_n", F.substring(F.col("_s"), F.lit(1), F.col("_n")).alias("_s")).agg(F.min("_v").alias("_v"), F.count("*").cast("int").alias("_w"))
-        met = met.unionByName(tiny.where(~named).join(small(starts), n == F.col("_n")).select(*columns))
-    edits = F.levenshtein(F.col("_t"), F.substring(F.col("_s"), F.lit(1), F.length("_t")), limit)
-    near = met.withColumn("_d", edits).where("_d >= 0")
-    least = near.groupBy(id_, "_d").agg(F.sum("_w").alias("_n"), F.min("_v").alias("_v"))
-    found = least.groupBy(id_).agg(F.min_by(F.struct("_n", "_v"), "_d").alias("_b")).where("_b._n = 1").select(id_, F.col("_b._v").alias("value"))
+        least = _by_pieces(texts, stored(entries, "entries"), limit)
+    found = least.where("n = 1").select(F.col("_t").alias("_t2"), F.col("_c").alias("_c2"), F.col("_v").alias("value"))
+    found = asked.join(found, _same()).select(id_, "value")
     return read.select(id_).join(found, id_, "left")

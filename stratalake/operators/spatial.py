@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalake.functions.geo import great_circle_m
-from stratalake.operators.sized import THETA_ROWS, is_small
+from stratalake.functions.geo import EARTH_M, great_circle_m
+from stratalake.operators.sized import THETA_ROWS, is_small, small
+from stratalake.operators.stages import stored
 
 DEGREE_M = 111_194.9  # metres in a degree of latitude, rounded down
 
@@ -35,23 +36,89 @@ def within(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
     return pairs.where(F.col("dist_m") <= radius_m).drop("_band", "_column")
 
 
-def nearest(points: DataFrame, places: DataFrame, first_m: float = 50_000, rows: int = THETA_ROWS) -> DataFrame:
+# ------------------------------------------------------------------ nearest places
+
+SIDE = 2.001  # of a cube around the unit sphere; a cell of level n has a 2^n-th of it
+DEEPEST = 20  # cells of about ten metres
+
+
+def _on_sphere(lon: Column, lat: Column) -> list[Column]:
+    """x, y, z of a point on the unit sphere, so that cells know neither poles nor a date line."""
+    p, q = F.radians(lat), F.radians(lon)
+    return [F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p)]
+
+
+def _cell(axis: Column, size: Column) -> Column:
+    return F.floor((axis + SIDE / 2) / size).cast("long")
+
+
+def _key(x: Column, y: Column, z: Column) -> Column:
+    return x + y * (1 << DEEPEST) + z * (1 << 2 * DEEPEST)
+
+
+def _size(level: Column) -> Column:
+    return F.lit(SIDE) / F.pow(F.lit(2.0), level)
+
+
+def _levels(places: int) -> list[int]:
+    """Every second level, from the one cell of the whole cube to some levels below one place a cell."""
+    return list(range(0, min(DEEPEST, 2 * math.ceil((math.log(max(places, 1), 4) + 3) / 2)) + 1, 2))
+
+
+def _chord(metres: Column) -> Column:
+    """The straight distance on the unit sphere, rounded outwards."""
+    return 2 * F.sin(F.least(metres / (2 * EARTH_M), F.lit(math.pi / 2))) * (1 + 1e-9) + 1e-9
+
+
+def nearest(points: DataFrame, places: DataFrame, rows: int = THETA_ROWS) -> DataFrame:
     """For each pid of points (pid, plon, plat) the nearest of places (qid, qlon, qlat), of equally near ones the least qid: pid, qid, dist_m.
 
-    Few places are broadcast. Otherwise points look within first_m, then those without a place within four times that, up to half
-    the way around the Earth, so each round is an equality join and dense regions are settled in the first."""
+    Few places are broadcast. Otherwise a pyramid of cells holds one place for each occupied cell of each level. A point's own deepest occupied cell gives a place, and so a
+    radius within which the nearest one must lie; cells twice as wide as that radius leave eight that it can touch, whose places the point meets by
+    equality. Points so far from all places that only the whole Earth is wide enough meet the outlines of at most `rows` cells first, and then the places of those
+    cells that may hold something nearer than what any other cell has for certain."""
     points, places = points.select("pid", "plon", "plat").where("plon is not null and plat is not null"), places.select("qid", "qlon", "qlat").where("qlon is not null and qlat is not null")
     best = lambda pairs: pairs.groupBy("pid").agg(F.min(F.struct("dist_m", "qid")).alias("_b")).select("pid", F.col("_b.qid").alias("qid"), F.col("_b.dist_m").alias("dist_m"))
+    away = great_circle_m(F.col("plon"), F.col("plat"), F.col("qlon"), F.col("qlat"))
     if is_small(places, rows):
-        distance = great_circle_m(F.col("plon"), F.col("plat"), F.col("qlon"), F.col("qlat"))
-        return best(points.join(F.broadcast(places)).withColumn("dist_m", distance))
-    rounds = math.ceil(math.log(20_015_200 / first_m, 4)) + 1
-    out, left = None, points
-    for i in range(rounds):
-        found = best(within(left, places, first_m * 4**i))
-        out = found if out is None else out.unionByName(found)
-        left = left.join(found.select("pid"), "pid", "left_anti")
-    return out
+        return best(points.join(F.broadcast(places)).withColumn("dist_m", away))
+    x, y, z = _on_sphere(F.col("qlon"), F.col("qlat"))
+    spots = stored(places.groupBy("qlon", "qlat").agg(F.min("qid").alias("qid")).select("*", x.alias("x"), y.alias("y"), z.alias("z")), "spots")
+    levels = _levels(spots.count())
+    at = F.explode(F.array(*(F.lit(n) for n in levels)))
+    own = _key(*(_cell(F.col(c), _size(F.col("level"))) for c in "xyz"))
+    celled = stored(spots.withColumn("level", at).withColumn("cell", own), "cells")
+    ends = [f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
+    pyramid = stored(celled.groupBy("level", "cell").agg(*(F.min_by(c, "qid").alias(c) for c in ("qlon", "qlat")), *ends), "pyramid")
+    # A first place for each point.
+    px, py, pz = _on_sphere(F.col("plon"), F.col("plat"))
+    asked = points.select("*", px.alias("x"), py.alias("y"), pz.alias("z")).withColumn("level", at).withColumn("cell", own)
+    met = asked.join(small(pyramid.select("level", "cell", "qlon", "qlat")), ["level", "cell"])
+    first = met.groupBy("pid", "plon", "plat", "x", "y", "z").agg(F.max_by(F.struct("qlon", "qlat"), "level").alias("q"))
+    reach = _chord(great_circle_m(F.col("plon"), F.col("plat"), F.col("q.qlon"), F.col("q.qlat")))
+    wide = F.greatest(*(F.when(F.lit(SIDE / 2**n) >= 2 * F.col("reach"), F.lit(n)).otherwise(F.lit(0)) for n in levels))
+    first = stored(first.select("pid", "plon", "plat", "x", "y", "z", reach.alias("reach")).withColumn("level", wide), "reach")
+    # The cells that its circle touches.
+    near = first.where("level > 0")
+    for c in "xyz":
+        lo, hi = (_cell(F.col(c) + sign * F.col("reach"), _size(F.col("level"))) for sign in (-1, 1))
+        last = F.pow(F.lit(2.0), F.col("level")).cast("long") - 1
+        near = near.withColumn(f"c{c}", F.explode(F.sequence(F.greatest(lo, F.lit(0)), F.least(hi, last))))
+    near = near.withColumn("cell", _key(F.col("cx"), F.col("cy"), F.col("cz"))).select("pid", "plon", "plat", "level", "cell")
+    # Far points: the outlines of few cells, from the deepest level that has no more than `rows`.
+    counts = dict(pyramid.groupBy("level").count().collect())
+    coarse = max(n for n in levels if n == 0 or counts[n] <= max(rows, 1))
+    outlines = pyramid.where(F.col("level") == coarse).select("cell", "qlon", "qlat", *(f"{n}_{c}" for c in "xyz" for n in ("lo", "hi")))
+    gap = lambda c: F.greatest(F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}"), F.lit(0.0))
+    least = F.sqrt(sum((gap(c) * gap(c) for c in "yz"), gap("x") * gap("x"))) - 1e-9
+    far = first.where("level = 0").join(F.broadcast(outlines)).select("pid", "plon", "plat", F.struct("cell", least.alias("least")).alias("c"), _chord(away).alias("most"))
+    far = far.groupBy("pid", "plon", "plat").agg(F.collect_list("c").alias("cells"), F.min("most").alias("most"))
+    far = far.select("pid", "plon", "plat", F.lit(coarse).alias("level"), F.explode(F.filter("cells", lambda c: c["least"] <= F.col("most"))).alias("c")).select("pid", "plon", "plat", "level", "c.cell")
+    pairs = near.unionByName(far).join(celled.select("level", "cell", "qid", "qlon", "qlat"), ["level", "cell"])
+    return best(pairs.withColumn("dist_m", away))
+
+
+# ------------------------------------------------------------------ corroboration
 
 
 def corroborate(events: DataFrame, radius_m: float, seconds: int) -> DataFrame:

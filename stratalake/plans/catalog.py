@@ -134,6 +134,20 @@ def nearest_place(spark, d):
     return out.select("pid", "qid", "n_name", F.round(F.col("dist_m") / 1000, 3).alias("dist_km"))
 
 
+_MANY = """
+p AS (SELECT c_custkey AS pid, (c_custkey * 37 % 36000) / 100.0 - 180 AS plon, (c_custkey * 53 % 18000) / 100.0 - 90 AS plat FROM customer),
+q AS (SELECT p_partkey AS qid, (p_partkey * 7919 % 36000) / 100.0 - 180 AS qlon, (p_partkey * 6007 % 18000) / 100.0 - 90 AS qlat FROM part),
+x AS (SELECT *, 2 * 6371008.8 * asin(sqrt(least(1.0, power(sin((radians(qlat) - radians(plat)) / 2), 2) + cos(radians(plat)) * cos(radians(qlat)) * power(sin(radians(qlon - plon) / 2), 2)))) AS dist FROM p CROSS JOIN q)"""
+
+
+@query(f"WITH {_MANY} SELECT pid, round(min(dist) / 1000, 3) AS dist_km FROM x GROUP BY pid")
+def nearest_of_many_places(spark, d):
+    """Every part is a place, so from scale 0.01 on there are more than are broadcast."""
+    p = load(spark, d, "customer").select(F.col("c_custkey").alias("pid"), ((F.col("c_custkey") * 37 % 36000) / 100.0 - 180).alias("plon"), ((F.col("c_custkey") * 53 % 18000) / 100.0 - 90).alias("plat"))
+    q = load(spark, d, "part").select(F.col("p_partkey").alias("qid"), ((F.col("p_partkey") * 7919 % 36000) / 100.0 - 180).alias("qlon"), ((F.col("p_partkey") * 6007 % 18000) / 100.0 - 90).alias("qlat"))
+    return spatial.nearest(p, q).select("pid", F.round(F.col("dist_m") / 1000, 3).alias("dist_km"))
+
+
 @query(f"WITH {_POINTS} SELECT q.qid, q.n_name, count(x.pid) AS n, round(min(x.dist) / 1000, 3) AS least_km FROM q LEFT JOIN (SELECT * FROM x WHERE dist <= 500000) x ON x.qid = q.qid GROUP BY q.qid, q.n_name")
 def range_join_radius(spark, d):
     p, q = _points(spark, d)
@@ -157,6 +171,19 @@ def fuzzy_nearest_string(spark, d):
     return lookups.most_alike(read, "s_suppkey", F.col("t"), refs, F.col("k"), F.col("v"), limit=9)
 
 
+@query("""
+WITH a AS (SELECT c_custkey, replace(replace(lower(c_name), '1', 'l'), '7', '') AS t FROM customer),
+c AS (SELECT a.c_custkey, b.c_custkey AS v, levenshtein(a.t, substring(lower(b.c_name), 1, length(a.t))) AS dist FROM a CROSS JOIN customer b),
+m AS (SELECT c_custkey, min(dist) AS dist FROM c GROUP BY c_custkey),
+f AS (SELECT c.c_custkey, count(*) AS n, min(v) AS v FROM c JOIN m ON c.c_custkey = m.c_custkey AND c.dist = m.dist WHERE c.dist <= 3 GROUP BY c.c_custkey)
+SELECT s.c_custkey, CASE WHEN f.n = 1 THEN f.v END AS value FROM customer s LEFT JOIN f ON s.c_custkey = f.c_custkey""")
+def fuzzy_among_many(spark, d):
+    """Every customer is a reference, so from scale 0.01 on there are more than are broadcast."""
+    c = load(spark, d, "customer")
+    read = c.select("c_custkey", F.regexp_replace(F.regexp_replace("c_name", "1", "l"), "7", "").alias("t"))
+    return lookups.most_alike(read, "c_custkey", F.col("t"), c.select(F.col("c_name").alias("k"), F.col("c_custkey").alias("v")), F.col("k"), F.col("v"), limit=3)
+
+
 @query("""
 WITH t AS (SELECT DISTINCT p_type FROM part), r AS (SELECT p_partkey, substring(p_type, 1, 3 + p_partkey % 12) AS pre FROM part),
 f AS (SELECT p_partkey, CASE WHEN min(t.p_type) = max(t.p_type) THEN max(t.p_type) END AS value FROM r JOIN t ON starts_with(lower(trim(t.p_type)), lower(trim(r.pre))) GROUP BY p_partkey)

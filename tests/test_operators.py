@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,37 @@ def test_nearest(globe, rows):
     assert all(abs(got[k][0] - want[k][0]) < 1e-3 for k in want)
 
 
+def test_nearest_of_many(spark):
+    # 100,000 points and 10,000 places in towns, at a pole, across the date line and on one spot, with far points, against all distances.
+    rng = np.random.default_rng(6)
+
+    def somewhere(n):
+        towns = np.stack([rng.uniform(-180, 180, 12), rng.uniform(-80, 80, 12)], 1)
+        near = towns[rng.integers(0, 12, n)] + rng.normal(0, 0.3, (n, 2))
+        near[: n // 10] = np.stack([rng.uniform(-180, 180, n // 10), 90 - np.abs(rng.normal(0, 0.5, n // 10))], 1)
+        near[n // 10 : n // 5] = np.stack([180 + rng.normal(0, 0.2, n // 10), rng.normal(-17, 0.2, n // 10)], 1)
+        near[-50:] = near[-1]
+        return np.stack([(near[:, 0] + 180) % 360 - 180, np.clip(near[:, 1], -90, 90)], 1)
+
+    p, q = somewhere(100_000), somewhere(10_000)
+    frame = lambda a, names: spark.createDataFrame(pd.DataFrame({names[0]: np.arange(len(a)), names[1]: a[:, 0], names[2]: a[:, 1]}))
+    df = spatial.nearest(frame(p, ("pid", "plon", "plat")), frame(q, ("qid", "qlon", "qlat")))
+    got = df.toPandas().sort_values("pid")
+    assert got["pid"].tolist() == list(range(len(p)))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 4
+
+    def sphere(a):
+        lon, lat = np.radians(a[:, 0]), np.radians(a[:, 1])
+        return np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], 1)
+
+    u, v = sphere(p), sphere(q)
+    for lo in range(0, len(u), 5000):
+        gap = np.linalg.norm(u[lo : lo + 5000] - v[(u[lo : lo + 5000] @ v.T).argmax(1)], axis=1)
+        own = np.linalg.norm(u[lo : lo + 5000] - v[got["qid"].to_numpy()[lo : lo + 5000]], axis=1)
+        assert np.all(own <= gap + 1e-9)
+
+
 def test_corroborate_is_pairwise(spark):
     at = lambda s: f"2024-11-25 10:{s // 60:02d}:{s % 60:02d}" if s < 3600 else f"2024-11-25 11:{(s - 3600) // 60:02d}:{(s - 3600) % 60:02d}"
     deg = 1 / 111195.08
@@ -66,6 +99,65 @@ def test_contained_longest(spark, rows):
     assert got == {1: "p", 2: "b", 3: None, 4: None}
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, above = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+def alike_by_hand(read, refs, limit):
+    out = {}
+    for i, t, c in read:
+        near = sorted((edits(t, k[: len(t)]), v) for k, v in set(refs) if not c or k.endswith(c)) if t else []
+        near = [x for x in near if x[0] <= limit]
+        out[i] = near[0][1] if near and sum(d == near[0][0] for d, _ in near) == 1 else None
+    return out
+
+
+@pytest.mark.parametrize(("limit", "letters"), [(0, "abc"), (2, "abc"), (3, "abcdefgh"), (9, "ab"), (5, "abcdefghijklmnop")])
+def test_most_alike_equals_brute_force(spark, limit, letters):
+    r = random.Random(limit)
+    word = lambda n: "".join(r.choice(letters) for _ in range(n))
+    refs = [(word(r.randint(1, 24)) + r.choice(["", "xy"]), i % 90) for i in range(120)]
+    read = []
+    for i in range(160):
+        t = list(r.choice(refs)[0] if r.random() < 0.8 else word(r.randint(0, 20)))
+        for _ in range(r.randint(0, limit)):
+            at = r.randint(0, len(t))
+            t[at : at + r.randint(0, 1)] = r.choice(["", "z", r.choice(letters)])
+        read.append((i, "".join(t)[: r.randint(1, 24)], r.choice([None, None, "", "xy"])))
+    df, known = spark.createDataFrame(read, "id int, t string, c string"), spark.createDataFrame(refs, "k string, v int")
+    got = {x.id: x.value for x in lookups.most_alike(df, "id", F.col("t"), known, F.col("k"), F.col("v"), limit, F.col("c"), rows=0).collect()}
+    assert got == alike_by_hand(read, refs, limit)
+
+
+def test_few_of_all_pairs_are_candidates(spark):
+    # Names that differ in few letters, read with many wrong ones, as in the catalogue: 9 edits of 18 letters are allowed.
+    names = spark.range(1000).select(F.format_string("supplier#%09d", F.col("id")).alias("_s"))
+    texts = names.select(F.regexp_replace("_s", "0", "o").alias("_t"), F.lit(None).cast("string").alias("_c"))
+    index, counts = lookups.piece_index(names)
+    plan = lookups.piece_plan(texts, counts, 9)
+    assert plan.where("spent < 6").count() == 0 and plan.count() == 1000
+    assert lookups.candidates(plan, index, 0, 9).count() < 0.05 * 1000 * 1000
+
+
+def test_prefixes_meet_one_row_each(spark):
+    r = random.Random(5)
+    keys = ["".join(r.choice("ab") for _ in range(r.randint(1, 8))) for _ in range(200)]
+    refs = [(k, i % 50) for i, k in enumerate(keys)]
+    read = [(i, "".join(r.choice("ab") for _ in range(r.randint(1, 4))), r.choice([None, "", "a", "ba"])) for i in range(300)]
+    df, known = spark.createDataFrame(read, "id int, t string, c string"), spark.createDataFrame(refs, "k string, v int")
+    got = {x.id: x.value for x in lookups.prefix_unique(df, "id", F.col("t"), known, F.col("k"), F.col("v"), F.col("c")).collect()}
+    want = {}
+    for i, t, c in read:
+        met = {v for k, v in refs if k.startswith(t) and (not c or k.endswith(c))}
+        want[i] = met.pop() if len(met) == 1 else None
+    assert got == want
+
+
 def test_prefix_unique(spark):
     refs = spark.createDataFrame([("1", "Pel C Ap/1"), ("2", "Pel Com/1"), ("3", "Pel Com/2"), ("4", "1a Cia/2")], "v string, k string")
     read = spark.createDataFrame([(1, "Pel C", "1"), (2, "Pel Com", "1"), (3, "1ª Cia", None), (4, "Pel Com", None), (5, None, None)], "id int, t string, c string")
