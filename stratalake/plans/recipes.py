@@ -354,7 +354,11 @@ def columns_of(recipe: Recipe, model) -> list[dict]:
 # ------------------------------------------------------------------ running
 
 
-def create_tables(spark: SparkSession, store: TableStore, model) -> None:
+BUCKETS = 16  # of the event tables
+
+
+def create_tables(spark: SparkSession, store: TableStore, model, buckets: int = BUCKETS) -> None:
+    """Creates the model's tables; those by event have buckets, so that a run of a recipe writes only those buckets anew in which its events lie."""
     comments = getattr(model, "COMMENTS", {})
     for name, columns in model.TABLES.items():
         schema = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in columns.items())).schema
@@ -362,7 +366,7 @@ def create_tables(spark: SparkSession, store: TableStore, model) -> None:
         for f in schema:
             if f.name in known:
                 f.metadata = {"comment": known[f.name]}
-        store.create(name, schema, known.get("", ""))
+        store.create(name, schema, known.get("", ""), ["event_id"] if next(iter(columns)) == "event_id" else None, buckets)
 
 
 def run(spark: SparkSession, store: TableStore, name: str, model) -> dict:
@@ -378,10 +382,8 @@ def run(spark: SparkSession, store: TableStore, name: str, model) -> dict:
         gone = keyed.pending(mine.join(produced.select("receipt_id").distinct(), "receipt_id", "left_semi").select("event_id"), events, ["event_id"])
         n_gone = gone.count()
         if recipe.extension:
-            kept = store.read(recipe.extension).join(gone, "event_id", "left_anti")
-            store.overwrite(recipe.extension, keyed.upsert(kept, produced.select(*model.TABLES[recipe.extension]), ["event_id"]), f"upsert {name}")
-        kept = store.read("event").join(gone, "event_id", "left_anti")
-        store.overwrite("event", keyed.upsert(kept, events, ["event_id"]), f"upsert {name}")
+            store.upsert(recipe.extension, produced.select(*model.TABLES[recipe.extension]), ["event_id"], gone, f"upsert {name}")
+        store.upsert("event", events, ["event_id"], gone, f"upsert {name}")
         checked = [t for t, r in recipe.rules.items() if r["do"] == "vocabulary"]
         counts = produced.agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in checked]).first().asDict()
         return {"events": counts.pop("n"), "obsolete": n_gone, "unmatched": counts}

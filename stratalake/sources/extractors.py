@@ -2,6 +2,10 @@
 
 The engine never calls a service: a reader is a function from bytes to JSON text that a deployment brings along, or the replay of recorded
 outputs. Each file stands for itself: a reading that fails, or that isn't JSON, is a row with status FAILED, and the next run tries it again.
+
+A run is a stream: what is pending is written as a queue of small files by the executors, and read as micro-batches of so many files each until there are no
+more. The stream's checkpoint remembers which batches are done, so a run that breaks off is taken up where it stood by the next call; a batch that
+was cut short is read again and takes the place of what it had left.
 """
 
 from __future__ import annotations
@@ -34,7 +38,8 @@ def replay(recorded: dict[str, str]) -> Reader:
     return read
 
 
-BATCH = 1000  # inputs read and appended at a time
+BATCH = 1000  # inputs in a file of the queue
+FILES = 16  # of the queue in a micro-batch
 READ = "extraction_id string, file_id string, receipt_id string, origin_extraction_id string, output_json string, seconds double, status_code string, run_at timestamp"
 
 
@@ -57,44 +62,53 @@ def _read(reader: Reader, tool: str):
     return run
 
 
-def _batches(rows: DataFrame, size: int):
-    """Lists of at most `size` rows, which come to the driver a partition at a time."""
-    held = []
-    for r in rows.toLocalIterator():
-        held.append(r)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
+def _queue(store: TableStore, key: str, todo: DataFrame, batch: int) -> str | None:
+    """The folder of the run to go on with: one that has broken off, else a new one with a queue of what is pending; None if nothing is."""
+    runs = store.folders("_runs", key)
+    if runs and store.has("_runs", key, runs[-1], "queue", "_SUCCESS") and not store.has("_runs", key, runs[-1], "done"):
+        return f"_runs/{key}/{runs[-1]}"
+    if todo.isEmpty():
+        return None
+    name = f"_runs/{key}/{len(runs):06d}"
+    todo.write.mode("overwrite").option("maxRecordsPerFile", batch).parquet(f"{store.root}/{name}/queue")
+    return name
 
 
 def extract(
-    spark: SparkSession, store: TableStore, modality: str, reader: Reader, tool: str, setting: str, model_name: str | None = None, parameters: str = "{}", prompt: str = "", partitions: int | None = None, of: str = "files", of_setting: str | None = None, batch: int = BATCH
+    spark: SparkSession, store: TableStore, modality: str, reader: Reader, tool: str, setting: str, model_name: str | None = None, parameters: str = "{}", prompt: str = "", partitions: int | None = None, of: str = "files", of_setting: str | None = None, batch: int = BATCH, files: int = FILES
 ) -> dict[str, int]:
     """Reads what this setting hasn't read, on the executors, and appends a row for each; returns how many are OK and FAILED.
 
     Inputs are the files of a modality (of="files"), the texts of its receipts ("receipts"), or the outputs of another setting on its files ("readings", of_setting): a
-    reading of a reading, which names its origin. They are read and appended `batch` at a time, so a run that breaks off keeps what is done. The setting is locked
-    first: the same code with other parameters or prompt is refused."""
+    reading of a reading, which names its origin. A micro-batch has `files` files of the queue, of `batch` inputs each at most; of these the driver gets the addresses of
+    files to read, which any scan plans with, and neither contents nor outputs. The setting is locked first: the same code with other parameters or prompt is refused."""
     digest, new = lock_setting(store.read("extraction_setting"), setting, tool, parameters, prompt)
     if new:
         row = spark.createDataFrame([(setting, tool, parameters, prompt, digest, datetime.now(timezone.utc).replace(tzinfo=None))], store.read("extraction_setting").schema)
         store.append("extraction_setting", row)
     counts = {"OK": 0, "FAILED": 0}
     todo = pending_extractions(store, modality, setting, of, of_setting)
-    for rows in _batches(todo, batch):
-        own = spark.createDataFrame(rows, todo.schema)
+    run = _queue(store, hashlib.sha256(f"{setting}|{modality}|{of}|{of_setting}".encode()).hexdigest()[:16], todo, batch)
+    if run is None:
+        return counts
+
+    def step(own: DataFrame, number: int) -> None:
         if of == "files":
-            files = spark.read.format("binaryFile").load([r["uri"] for r in rows]).select(F.col("path").alias("uri"), F.col("content").alias("found"))
-            own = own.join(files, "uri").withColumn("content", F.col("found"))
+            uris = [r.uri for r in own.select("uri").distinct().collect()]
+            found = own.sparkSession.read.format("binaryFile").load(uris).select(F.col("path").alias("uri"), F.col("content").alias("found"))
+            own = own.join(found, "uri").withColumn("content", F.col("found"))
         own = own.select("file_id", "receipt_id", "origin_extraction_id", F.col("content").cast("binary").alias("content"))
         read = (own.repartition(partitions) if partitions else own).mapInPandas(_read(reader, tool), READ)
         out = read.select("extraction_id", "file_id", "receipt_id", "origin_extraction_id", F.lit("Y" if model_name else "N").alias("is_inferred"), F.lit(tool).alias("tool_name"), F.lit(model_name).cast("string").alias("model_name"), F.lit(setting).alias("setting_code"), "output_json", "seconds", "status_code", "run_at")
-        version = store.append("extraction", out)
-        part = store.manifest("extraction", version)["parts"][-1]
-        for r in spark.read.parquet(f"{store.root}/extraction/{part}").groupBy("status_code").count().collect():
+        part = f"part-{run.replace('/', '-')}-{number:06d}"
+        store.append("extraction", out, part)
+        for r in store.read_part("extraction", part).groupBy("status_code").count().collect():
             counts[r["status_code"]] = counts.get(r["status_code"], 0) + r["count"]
+
+    queue = spark.readStream.schema(todo.schema).option("maxFilesPerTrigger", files).parquet(f"{store.root}/{run}/queue")
+    stream = queue.writeStream.foreachBatch(step).option("checkpointLocation", f"{store.root}/{run}/checkpoint").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    store.mark(run, "done")
     return counts
 
 

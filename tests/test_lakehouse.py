@@ -209,6 +209,26 @@ def test_store_versions(spark, tmp_path):
     assert s.read("x").count() == 3
 
 
+def test_upsert_writes_touched_buckets_only(spark, tmp_path):
+    s = TableStore(spark, f"file://{tmp_path}/t")
+    schema = spark.createDataFrame([], "k string, v int").schema
+    s.create("x", schema, "", ["k"], 16)
+    s.append("x", spark.createDataFrame([(f"k{i}", i) for i in range(400)], schema))
+    names = lambda: {f for f in s.read("x").inputFiles()}
+    before, version = names(), s.manifest("x")["version"]
+    s.upsert("x", spark.createDataFrame([("k7", -7), ("new", 1)], schema), ["k"], spark.createDataFrame([("k9",)], "k string"))
+    kept = names() & before
+    touched = {r[0] for r in spark.createDataFrame([("k7",), ("k9",), ("new",)], "k string").select(s._bucket(s.manifest("x")["buckets"])).collect()}
+    assert len(kept) == 16 - len(touched) and all(f"_bucket={b}/" not in f for b in touched for f in kept)
+    rows = {r.k: r.v for r in s.read("x").collect()}
+    assert rows == {f"k{i}": i for i in range(400) if i not in (7, 9)} | {"k7": -7, "new": 1}
+    assert {r.k for r in s.read("x", version).collect()} == {f"k{i}" for i in range(400)}
+    assert s.expire("x", 1) and s.remove_orphans("x") == len(touched) and s.read("x").count() == 400
+    with pytest.raises(ValueError, match="null"):
+        s.upsert("x", spark.createDataFrame([(None, 1)], schema), ["k"])
+    assert not s.compact("x") and s.upsert("x", spark.createDataFrame([], schema), ["k"]) and s.read("x").count() == 400
+
+
 def test_comments_stay(spark, tmp_path):
     s = TableStore(spark, f"file://{tmp_path}/t")
     recipes.create_tables(spark, s, model)
