@@ -9,8 +9,7 @@ from stratalake.operators.sized import small
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key, the first by `order`, which must be total. The rows of a key are aggregated before they are shuffled where all
-    order columns ascend or descend as plain comparisons can; otherwise a window ranks them."""
+    """One row for each key, the first by `order`, which must be total: a window ranks a key's rows. latest_by does without one where plain comparisons suffice."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
@@ -69,9 +68,17 @@ def stack(blocks: list[DataFrame]) -> DataFrame:
     return out
 
 
+def descending(column: Column) -> Column:
+    """A number or a count of microseconds, so that what is greatest comes first in an ascending order, and null last."""
+    return F.coalesce(-column, F.lit((1 << 63) - 1))
+
+
 def same_sets(df: DataFrame, keys: list[str], ids: str, order: list[Column]) -> DataFrame:
-    """One row for each distinct set of ids within its keys, the first by `order`."""
-    return latest(df.withColumn("_set", F.array_sort(ids)), [*keys, "_set"], order).drop("_set")
+    """One row for each distinct set of ids within its keys, that with the least `order` (ascending columns, see descending): an aggregate, so a set that very many rows
+    have is reduced before rows meet."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys, F.array_sort(ids).alias("_set")).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_best"))
+    return best.select(*keys, *[F.col("_best")[c].alias(c) for c in rest]).select(*df.columns)
 
 
 def timeline(at: Column, item: Column, by: str = "; ") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalake.functions import geo, text, times
-from stratalake.operators import keyed, lookups, quality, series, spatial
+from stratalake.operators import keyed, lookups, quality, series, spatial, summaries
 from stratalake.operators.sized import small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,7 +95,7 @@ WITH s AS (SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)),
 SELECT user_id, types, n FROM (SELECT *, row_number() OVER (PARTITION BY types ORDER BY n DESC, t DESC, user_id) r FROM s) WHERE r = 1""")
 def set_identity_dedupe(spark, d):
     s = load(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("types"), F.max("ts").alias("t"), F.count("*").alias("n"))
-    out = series.same_sets(s, [], "types", [F.desc("n"), F.desc("t"), F.col("user_id")])
+    out = series.same_sets(s, [], "types", [series.descending(F.col("n")), series.descending(F.unix_micros(F.col("t").cast("timestamp"))), F.col("user_id")])
     return out.select("user_id", F.array_join(F.array_sort("types"), "|").alias("types"), "n")
 
 
@@ -337,7 +337,7 @@ def agg_basic(spark, d):
 
 @query("SELECT user_id, count(DISTINCT event_type) AS n_types, count(DISTINCT CAST(ts AS DATE)) AS n_days, count(DISTINCT hour(ts)) AS n_hours FROM events GROUP BY user_id")
 def count_distinct_multi(spark, d):
-    return load(spark, d, "events").groupBy("user_id").agg(F.countDistinct("event_type").alias("n_types"), F.countDistinct(F.to_date("ts")).alias("n_days"), F.countDistinct(F.hour("ts")).alias("n_hours"))
+    return summaries.distinct_counts(load(spark, d, "events"), ["user_id"], {"n_types": F.col("event_type"), "n_days": F.to_date("ts"), "n_hours": F.hour("ts")})
 
 
 @query("SELECT user_id, string_agg(event_type, '; ' ORDER BY ts, event_type) AS timeline FROM events GROUP BY user_id")
@@ -368,6 +368,21 @@ def percentile_latency(spark, d):
     return load(spark, d, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"))
 
 
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
+def percentile_by_ranks(spark, d):
+    """As percentile_latency, without a buffer of a group's values."""
+    found = summaries.exact_quantiles(load(spark, d, "events"), ["event_type"], "value", [0.5, 0.9, 0.99])
+    return found.groupBy("event_type").agg(*(F.round(F.max(F.when(F.col("q") == q, F.col("quantile"))), 6).alias(n) for q, n in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))))
+
+
+def percentile_sketch(spark, d):
+    """(event_type, q, quantile), within a thousandth of the group's ranks; SQL has no such bound, so tests hold it against the ranks."""
+    return summaries.sketched_quantiles(load(spark, d, "events"), ["event_type"], "value", [0.5, 0.9, 0.99], 1000)
+
+
+QUERIES["percentile_sketch"] = percentile_sketch
+
+
 # ------------------------------------------------------------------ predicates
 
 

@@ -107,10 +107,10 @@ def profile(store: TableStore, table: str, rows: int = 50) -> tuple[DataFrame, D
     return df.select(*plain).summary("count", "min", "max", "mean"), df.limit(rows)
 
 
-def lineage_event(recipe_name: str, model, inputs: list[str], outputs: list[str], at: datetime | None = None) -> str:
-    """A JSON lineage event of a recipe's run: inputs, outputs, and for each column what it is made from."""
+def lineage_event(recipe_name: str, model, inputs: list[str], outputs: list[str], at: datetime | None = None, store: TableStore | None = None) -> str:
+    """A JSON lineage event of a recipe's run: inputs, outputs, and for each column what it is made from; with a store also the fingerprint of the recipe."""
     recipe = recipes.validate(model)[recipe_name]
     return json.dumps({
         "event_type": "COMPLETE", "event_time": (at or datetime.now(timezone.utc)).isoformat(), "run_id": str(uuid.uuid4()), "job": recipe_name, "inputs": inputs, "outputs": outputs,
-        "columns": recipes.columns_of(recipe, model), "recipe_hash": recipes.fingerprint(recipe, model.VOCABULARIES),
+        "columns": recipes.columns_of(recipe, model), "recipe_hash": recipes.fingerprint(store, recipe, model) if store else None,
     }, ensure_ascii=False)

@@ -104,11 +104,45 @@ def validate(model) -> dict[str, Recipe]:
     return out
 
 
-def fingerprint(recipe: Recipe, vocabularies: dict) -> str:
-    """Digest of what decides a recipe's results: the recipe without its revision, and the vocabularies it uses."""
-    used = {r["vocabulary"]: vocabularies[r["vocabulary"]] for r in recipe.rules.values() if "vocabulary" in r}
-    spec = {k: v for k, v in vars(recipe).items() if k != "revision"}
-    return hashlib.sha256(json.dumps({"recipe": spec, "vocabularies": used}, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+NOTES = {"note", "description", "remark"}  # what describes a rule and decides nothing
+
+
+def _without_notes(value):
+    if isinstance(value, dict):
+        return {k: _without_notes(v) for k, v in value.items() if k not in NOTES}
+    return [_without_notes(v) for v in value] if isinstance(value, list) else value
+
+
+def content_digest(df: DataFrame) -> str:
+    """Of a table's rows, in whatever order they lie: their number and the sum of their hashes."""
+    r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64(F.lit(1), *df.columns).cast("decimal(38,0)")).alias("g")).first()
+    return f"{r.n}:{r.h}:{r.g}"
+
+
+def references(recipe: Recipe) -> list[str]:
+    """The reference tables whose contents decide a recipe's results."""
+    by_kind = {"gazetteer": "ref_place", "abbreviation": "ref_abbreviation", "decametric": "ref_operation"}
+    return sorted({r["to"] if r["do"] == "reference" else by_kind[r["do"]] for r in recipe.rules.values() if r["do"] == "reference" or r["do"] in by_kind})
+
+
+def expressions(recipe: Recipe, model) -> dict[str, str]:
+    """The compiled expression of each rule, without the numbers that differ from one compilation to the next."""
+    kinds = model.TABLES["event"] | (model.TABLES[recipe.extension] if recipe.extension else {})
+    looked_up = {"reference", "gazetteer", "abbreviation", "decametric", "derived"}
+    found = {}
+    for target, rule in recipe.rules.items():
+        raw = value_of(rule, recipe.spellings)
+        column = raw if rule["do"] in looked_up else simple(rule, raw, kinds.get(target, "string"), model.VOCABULARIES, recipe.spellings)
+        found[target] = re.sub(r"_\d+|#\d+", "", str(column))
+    return found
+
+
+def fingerprint(store: TableStore, recipe: Recipe, model) -> str:
+    """Digest of what decides a recipe's results: the recipe without its revision and notes, its compiled expressions (which hold the vocabularies), and the contents of the
+    reference tables that it looks up."""
+    spec = {k: _without_notes(v) for k, v in vars(recipe).items() if k != "revision"}
+    tables = {t: content_digest(store.read(t)) for t in references(recipe)}
+    return hashlib.sha256(json.dumps({"recipe": spec, "expressions": expressions(recipe, model), "references": tables}, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
 def check_revision(recipe: Recipe, digest: str, events: DataFrame) -> None:
@@ -214,7 +248,9 @@ def origin(store: TableStore, recipe: Recipe) -> DataFrame:
         other = store.read("raw_receipt").where((F.col("source_code") == recipe.source) & (F.col("modality_code") == "SHEET")).select("content_hash").distinct()
         twins = receipts.join(other, "content_hash", "left_semi").select("receipt_id")
         of_kind = of_kind.join(twins, "receipt_id", "left_anti")
-    by_file = done.where("file_id is not null").withColumn("n", F.row_number().over(newest("file_id"))).where("n = 1").drop("n", "receipt_id")
+    # Direct readings of a file and readings of readings age apart: a newer transcription doesn't make an interpretation old.
+    read_by = F.col("origin_extraction_id").isNotNull() if recipe.origin == "fields" else F.col("origin_extraction_id").isNull()
+    by_file = done.where(F.col("file_id").isNotNull() & read_by).withColumn("n", F.row_number().over(newest("file_id"))).where("n = 1").drop("n", "receipt_id")
     last = of_kind.join(by_file, "file_id")
     if recipe.origin == "fields":
         # A reading of a reading: the model that heard and the one that interpreted.
@@ -275,7 +311,7 @@ def simple(rule: dict, raw: Column, kind: str, vocabularies: dict, spellings: di
     raise SpecError(f"no column for {do}")
 
 
-def compiled(store: TableStore, recipe: Recipe, model) -> DataFrame:
+def compiled(store: TableStore, recipe: Recipe, model, digest: str | None = None) -> DataFrame:
     """All columns of event, and of the extension where there is one, for each row of the recipe's origin."""
     kinds = model.TABLES["event"] | (model.TABLES[recipe.extension] if recipe.extension else {})
     df = origin(store, recipe)
@@ -318,7 +354,7 @@ def compiled(store: TableStore, recipe: Recipe, model) -> DataFrame:
     stamp = F.date_format(times.local(F.col("occurred_at"), "UTC"), "yyyy-MM-dd HH:mm:ss") if "occurred_at" in df.columns else F.lit(None).cast("string")
     df = df.withColumns({
         "source_code": F.lit(recipe.source), "modality_code": F.lit(recipe.modality), "arrived_at": F.col("received_at"),
-        "recipe_hash": F.lit(fingerprint(recipe, model.VOCABULARIES)), "revision_code": F.lit(f"{recipe.name}@{recipe.revision}"), "event_id": text.event_id(F.lit(recipe.source), F.col("source_record_code"), stamp),
+        "recipe_hash": F.lit(digest or fingerprint(store, recipe, model)), "revision_code": F.lit(f"{recipe.name}@{recipe.revision}"), "event_id": text.event_id(F.lit(recipe.source), F.col("source_record_code"), stamp),
     })
     if "occurred_at" in df.columns:
         df = df.withColumn("latency_seconds", F.timestamp_diff("SECOND", F.col("occurred_at"), F.col("arrived_at")).cast("double"))
@@ -372,9 +408,9 @@ def create_tables(spark: SparkSession, store: TableStore, model, buckets: int =
 def run(spark: SparkSession, store: TableStore, name: str, model) -> dict:
     """Runs a recipe: removes events of its receipts that are no longer produced, then upserts events and extension. Returns counts and, for each vocabulary column, its nulls."""
     recipe = validate(model)[name]
-    digest = fingerprint(recipe, model.VOCABULARIES)
+    digest = fingerprint(store, recipe, model)
     check_revision(recipe, digest, store.read("event"))
-    produced = compiled(store, recipe, model).persist()
+    produced = compiled(store, recipe, model, digest).persist()
     try:
         keyed.check_keys(produced, ["event_id"])
         events = produced.select(*model.TABLES["event"])
@@ -392,16 +428,21 @@ def run(spark: SparkSession, store: TableStore, name: str, model) -> dict:
 
 
 def pending(store: TableStore, name: str, model) -> dict[str, int]:
-    """Work that a run of the recipe would do: receipts without an event, events not on the newest extraction, events of other rules."""
+    """Work that a run of the recipe would do, counted over the very rows that a run takes in: inputs without an event (a scan that also came as a sheet, or a message that
+    no model has interpreted yet, is none), events older than the first interpretation of their input, events not on its newest extraction, and events of other rules."""
     recipe = validate(model)[name]
-    receipts = store.read("raw_receipt").where((F.col("source_code") == recipe.source) & F.col("origin_uri").contains(recipe.folder) & ((F.col("modality_code") == recipe.modality) | F.lit(recipe.origin == "payload")))
     events = store.read("event").where(F.col("revision_code").startswith(recipe.name + "@"))
-    newest = origin(store, recipe).select("receipt_id", "extraction_id").distinct()
-    stale = events.join(newest.withColumnRenamed("extraction_id", "newest"), "receipt_id").where(~F.col("extraction_id").eqNullSafe(F.col("newest")))
+    inputs = origin(store, recipe).select("receipt_id", F.col("extraction_id").alias("newest")).distinct()
+    met = events.join(inputs, "receipt_id").agg(
+        F.count_if(F.col("extraction_id").isNull() & F.col("newest").isNotNull()).alias("before"),
+        F.count_if(F.col("extraction_id").isNotNull() & ~F.col("extraction_id").eqNullSafe(F.col("newest"))).alias("older"),
+    )
+    r = met.first()
     return {
-        "without_event": keyed.pending(receipts.select("receipt_id"), events, ["receipt_id"]).count(),
-        "older_extraction": stale.count(),
-        "other_rules": events.where(F.col("recipe_hash") != fingerprint(recipe, model.VOCABULARIES)).count(),
+        "without_event": keyed.pending(inputs.select("receipt_id").distinct(), events, ["receipt_id"]).count(),
+        "older_than_interpretation": r.before,
+        "older_extraction": r.older,
+        "other_rules": events.where(~F.col("recipe_hash").eqNullSafe(F.lit(fingerprint(store, recipe, model)))).count(),
     }
 
 

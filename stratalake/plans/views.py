@@ -233,7 +233,7 @@ class Views:
     def threat_groups(self) -> DataFrame:
         """The threat rows, one for each set of corroborating events; the pairwise relation makes no chains."""
         gold = self.store.read("view_terrain_threat").where("phase = 3")
-        once = series.same_sets(gold, ["operation_code"], "event_ids", [F.desc("n_sources"), F.desc("begins_at"), F.get("event_ids", F.lit(0))])
+        once = series.same_sets(gold, ["operation_code"], "event_ids", [series.descending(F.col("n_sources")), series.descending(F.unix_micros("begins_at")), F.get("event_ids", F.lit(0))])
         return once.withColumn("record_id", F.sha2(F.array_join(F.array_sort("event_ids"), "|"), 256))
 
     def current_picture(self) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stratalake.operators import keyed, lookups, quality, series, spatial
+from stratalake.operators import keyed, lookups, quality, series, spatial, summaries
 
 
 def metres(a, b):
@@ -214,3 +214,37 @@ def test_no_pairs_of_all_beyond_the_limit(spark):
         assert "CartesianProduct" not in plan
         # A nested loop may only meet the few lengths that references have, or the beginnings that the alphabet bounds.
         assert plan.count("BroadcastNestedLoopJoin") <= 2
+
+
+def test_quantiles(spark):
+    r = random.Random(3)
+    rows = [(k, None if r.random() < 0.05 else float(r.choice([r.gauss(0, 10), round(r.gauss(0, 2))]))) for k in ["a"] * 5000 + ["b"] * 37 + [None] * 400 for _ in [0]] + [("c", 2.5), ("d", None)]
+    df, qs = spark.createDataFrame(rows, "k string, v double").repartition(5), [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
+    exact = {(x.k, x.q): x.quantile for x in summaries.exact_quantiles(df, ["k"], "v", qs, 100).collect()}
+    near = {(x.k, x.q): x.quantile for x in summaries.sketched_quantiles(df, ["k"], "v", qs, 100).collect()}
+    assert {k for k, _ in exact} == {k for k, _ in near} == {"a", "b", "c", None}
+    for k in ("a", "b", "c", None):
+        own = sorted(v for x, v in rows if x == k and v is not None)
+        for q in qs:
+            assert abs(exact[k, q] - float(np.quantile(own, q))) < 1e-9
+            ranks = [i for i, v in enumerate(own) if v == near[k, q]]
+            assert min(ranks) - 1 - len(own) / 100 <= q * (len(own) - 1) <= max(ranks) + 1 + len(own) / 100
+    plan = summaries.exact_quantiles(df, ["k"], "v", qs)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan and "collect_list" not in plan
+
+
+def test_distinct_counts_shuffle_once(spark):
+    df = spark.createDataFrame([("x", i % 3, i % 5, i) for i in range(4000)] + [("y", None, 1, 1)], "k string, a int, b int, c int")
+    found = summaries.distinct_counts(df, ["k"], {"a": F.col("a"), "b": F.col("b")}, {"c": F.col("c")})
+    got = {r.k: (r.a, r.b, r.c) for r in found.collect()}
+    assert got["x"][:2] == (3, 5) and abs(got["x"][2] - 4000) < 200 and got["y"] == (0, 1, 1)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Expand" not in plan and found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_same_sets_without_a_window(spark):
+    rows = [(1, ["b", "a"], 3, 5), (2, ["a", "b"], 3, 9), (3, ["a", "b"], 4, None), (4, ["c"], 1, 1), (5, [], 1, 1)]
+    df = spark.createDataFrame(rows, "i int, s array<string>, n int, t long")
+    once = series.same_sets(df, [], "s", [series.descending(F.col("n")), series.descending(F.col("t")), F.col("i")])
+    assert sorted(r.i for r in once.collect()) == [3, 4, 5]
+    assert "Window" not in once._jdf.queryExecution().executedPlan().toString()
