@@ -230,11 +230,10 @@ def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, plan: Plan =
         _presence(lines, sales, plan),
         _asked(sales, plan),
     ]
-    steps = parts[0]
-    for p in parts[1:]:
-        steps = steps.unionByName(p)
+    # Each part is a job of its own, which reports its own metrics only: what tasks report of a plan of all parts grows to megabytes with their number.
     tile = F.floor(F.col("time") / F.when(F.col("hot"), F.lit(HOUR)).otherwise(F.lit(plan.tile_days * DAY)))
-    steps = written(steps.withColumn("tile", tile).drop("hot"), "steps")
+    parts = [written(p.withColumn("tile", tile).drop("hot"), "steps") for p in parts]
+    steps = sales.sparkSession.read.schema(parts[0].schema).parquet(*(p._stored_at for p in parts))
     rows = steps.unionByName(_carried(steps, [EVENT, *(2 << i for i in range(len(plan.windows)))]))
     run, schema = _answers(plan)
     answers = rows.repartition("client", "tile").sortWithinPartitions("client", "tile", "time", "kind").mapInArrow(run, schema)
