@@ -54,8 +54,9 @@ def wilson(hits: Column, total: Column, z: float = 1.96) -> Column:
 
 
 def word_errors(read: Column, truth: Column) -> Column:
-    """Edits by word from one text to another: each distinct word becomes one letter, and the letters are compared."""
+    """Edits by word from one text to another: each distinct word becomes one letter (over a million of them, those for surrogates left out), and the letters are compared."""
     words = lambda t: F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
     known = F.array_distinct(F.concat(words(read), words(truth)))
-    letters = lambda t: F.array_join(F.transform(words(t), lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x3400), 4, "0")), "UTF-16BE")), "")
+    code = lambda w: F.array_position(known, w) + F.when(F.array_position(known, w) < 0xD800 - 0x3400, 0x3400).otherwise(0x3C00)
+    letters = lambda t: F.array_join(F.transform(words(t), lambda w: F.decode(F.unhex(F.lpad(F.hex(code(w)), 8, "0")), "UTF-32")), "")
     return F.levenshtein(letters(read), letters(truth))

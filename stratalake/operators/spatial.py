@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalake.functions.geo import EARTH_M, great_circle_m
@@ -18,20 +18,40 @@ def _around(cell: Column, count: int = 1) -> Column:
     return F.sequence(cell - count, cell + count)
 
 
+class Grid:
+    """Cells that a circle of radius_m around a point of one can't leave by more than one.
+
+    They are bands of latitude of radius height; within a band, longitudes are cut into equal cells no narrower than the radius is one band
+    further towards the pole, and not at all near the poles. They divide the whole circle, so they wrap around."""
+
+    def __init__(self, radius_m: float):
+        self.height = radius_m / DEGREE_M
+
+    def band(self, lat: Column) -> Column:
+        return F.floor(lat / self.height).cast("long")
+
+    def _turns(self, b: Column) -> Column:
+        edge = F.greatest(F.abs(b - 1), F.abs(b + 2)) * self.height
+        return F.when(edge >= 85, F.lit(1)).otherwise(F.greatest(F.floor(360.0 * F.cos(F.radians(F.least(edge, F.lit(85.0)))) / (self.height * 1.0001)), F.lit(1))).cast("long")
+
+    def column(self, lon: Column, b: Column) -> Column:
+        return F.pmod(F.floor((lon + 180.0) * self._turns(b) / 360.0).cast("long"), self._turns(b))
+
+    def placed(self, df: DataFrame, lon: str, lat: str) -> DataFrame:
+        """df with the cell of each point."""
+        return df.withColumn("_band", self.band(F.col(lat))).withColumn("_column", self.column(F.col(lon), F.col("_band")))
+
+    def spread(self, df: DataFrame, lon: str, lat: str) -> DataFrame:
+        """df with a row for each cell that the circle of a point can touch."""
+        out = df.withColumn("_band", F.explode(_around(self.band(F.col(lat)))))
+        return out.withColumn("_column", F.explode(F.array_distinct(F.transform(_around(self.column(F.col(lon), F.col("_band"))), lambda c: F.pmod(c, self._turns(F.col("_band")))))))
+
+
 def within(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
-    """Pairs of points (pid, plon, plat) and places (qid, qlon, qlat) at most radius_m apart, with dist_m.
-
-    Cells are bands of latitude of radius height; within a band, longitudes are cut into equal cells no narrower than the radius is one band
-    further towards the pole, and not at all near the poles. Each place is spread over the cells that its circle can touch, and points meet it by
-    equality of cells."""
-    height = radius_m / DEGREE_M
-    band = lambda lat: F.floor(lat / height).cast("long")
-    edge = lambda b: F.greatest(F.abs(b - 1), F.abs(b + 2)) * height
-    turns = lambda b: F.when(edge(b) >= 85, F.lit(1)).otherwise(F.greatest(F.floor(360.0 * F.cos(F.radians(F.least(edge(b), F.lit(85.0)))) / (height * 1.0001)), F.lit(1))).cast("long")
-    # Cells divide the whole circle, so they wrap around.
-    column = lambda lon, b: F.pmod(F.floor((lon + 180.0) * turns(b) / 360.0).cast("long"), turns(b))
-    left = points.withColumn("_band", band(F.col("plat"))).withColumn("_column", column(F.col("plon"), F.col("_band")))
-    right = places.withColumn("_band", F.explode(_around(band(F.col("qlat"))))).withColumn("_column", F.explode(F.array_distinct(F.transform(_around(column(F.col("qlon"), F.col("_band"))), lambda c: F.pmod(c, turns(F.col("_band")))))))
+    """Pairs of points (pid, plon, plat) and places (qid, qlon, qlat) at most radius_m apart, with dist_m: each place is spread over the cells that its circle can touch,
+    and points meet it by equality of cells."""
+    grid = Grid(radius_m)
+    left, right = grid.placed(points, "plon", "plat"), grid.spread(places, "qlon", "qlat")
     pairs = left.join(right, ["_band", "_column"]).withColumn("dist_m", great_circle_m(F.col("plon"), F.col("plat"), F.col("qlon"), F.col("qlat")))
     return pairs.where(F.col("dist_m") <= radius_m).drop("_band", "_column")
 
@@ -121,22 +141,66 @@ def nearest(points: DataFrame, places: DataFrame, rows: int = THETA_ROWS) -> Dat
 # ------------------------------------------------------------------ corroboration
 
 
+def _observed(events: DataFrame) -> DataFrame:
+    """The events that can corroborate or be corroborated, with their time in microseconds."""
+    return events.where("lon is not null and lat is not null and at is not null").withColumn("us", F.unix_micros(F.col("at").cast("timestamp")))
+
+
+def _witnesses(asked: DataFrame, seen: DataFrame, radius_m: float, seconds: int, on: list[str]) -> DataFrame:
+    """Pairs of asked (a..., plon, plat, a_us) and seen (b..., qlon, qlat, b_us) within radius and seconds, by equal cells of time and space and equality of `on`."""
+    grid, span = Grid(radius_m), max(1, seconds) * 1_000_000
+    left = grid.placed(asked, "plon", "plat").withColumn("_tick", F.explode(_around(F.floor(F.col("a_us") / span).cast("long"))))
+    right = grid.spread(seen, "qlon", "qlat").withColumn("_tick", F.floor(F.col("b_us") / span).cast("long"))
+    pairs = left.join(right, ["_tick", "_band", "_column", *on]).where(F.abs(F.col("a_us") - F.col("b_us")) <= seconds * 1_000_000)
+    return pairs.where(great_circle_m(F.col("plon"), F.col("plat"), F.col("qlon"), F.col("qlat")) <= radius_m)
+
+
 def corroborate(events: DataFrame, radius_m: float, seconds: int) -> DataFrame:
     """For each event (id, source, modality, at, lon, lat) the events of other sources within radius_m and seconds of it: id, others (sorted ids),
-    sources and modalities (sorted, distinct). Pairs are found by equal windows of time and cells of space; the relation is pairwise."""
-    tick = F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / max(1, seconds)).cast("long")
-    placed = events.where("lon is not null and lat is not null and at is not null")
-    left = placed.select(F.col("id").alias("a"), F.col("source").alias("a_source"), F.col("at").alias("a_at"), F.col("lon").alias("plon"), F.col("lat").alias("plat"), F.explode(_around(tick)).alias("_tick"))
-    right = placed.select(F.col("id").alias("b"), F.col("source").alias("b_source"), F.col("modality").alias("b_modality"), F.col("at").alias("b_at"), F.col("lon").alias("qlon"), F.col("lat").alias("qlat"), tick.alias("_tick"))
-    height = radius_m / DEGREE_M
-    band = lambda lat: F.floor(lat / height).cast("long")
-    left = left.withColumn("_band", F.explode(_around(band(F.col("plat")))))
-    right = right.withColumn("_band", band(F.col("qlat")))
-    pairs = left.join(right, ["_tick", "_band"]).where((F.col("a_source") != F.col("b_source")) & (F.abs(F.unix_micros(F.col("a_at").cast("timestamp")) - F.unix_micros(F.col("b_at").cast("timestamp"))) <= seconds * 1_000_000))
-    pairs = pairs.where(great_circle_m(F.col("plon"), F.col("plat"), F.col("qlon"), F.col("qlat")) <= radius_m)
+    sources and modalities (sorted, distinct). The relation is pairwise, and `others` is a list of pairs; corroborating_kinds does without them."""
+    seen = _observed(events)
+    left = seen.select(F.col("id").alias("a"), F.col("source").alias("a_source"), F.col("us").alias("a_us"), F.col("lon").alias("plon"), F.col("lat").alias("plat"))
+    right = seen.select(F.col("id").alias("b"), F.col("source").alias("b_source"), F.col("modality").alias("b_modality"), F.col("us").alias("b_us"), F.col("lon").alias("qlon"), F.col("lat").alias("qlat"))
+    pairs = _witnesses(left, right, radius_m, seconds, []).where("a_source <> b_source")
     return pairs.groupBy(F.col("a").alias("id")).agg(F.array_sort(F.collect_list("b")).alias("others"), F.array_sort(F.collect_set("b_source")).alias("sources"), F.array_sort(F.collect_set("b_modality")).alias("modalities"))
 
 
+KINDS = 256
+
+
+def corroborating_kinds(events: DataFrame, radius_m: float, seconds: int) -> DataFrame:
+    """id, sources and modalities as corroborate has them, without a list of pairs: of each kind (source and modality; few, at most KINDS) one witness is enough.
+
+    Cells of half the radius hold no two events farther apart than it, so within a cell the events of a kind that are next in time, before and after, decide:
+    running extremes over the sorted cell give them. Only kinds without such a witness are sought among the neighbours, so a dense cell makes no pairs."""
+    seen = _observed(events).where("source is not null")
+    kinds = sorted(((r.source, r.modality) for r in seen.select("source", "modality").distinct().limit(KINDS + 1).collect()), key=repr)
+    if len(kinds) > KINDS:
+        raise ValueError(f"more than {KINDS} kinds")
+    empty = events.select("id").limit(0).withColumn("sources", F.lit(None).cast("array<string>")).withColumn("modalities", F.lit(None).cast("array<string>"))
+    if not kinds:
+        return empty
+    known = F.array(*(F.struct(F.lit(s).cast("string").alias("source"), F.lit(m).cast("string").alias("modality")) for s, m in kinds))
+    kind = F.array_position(known, F.struct(F.col("source").cast("string").alias("source"), F.col("modality").cast("string").alias("modality"))).cast("int") - 1
+    side = radius_m / 2 / DEGREE_M * 0.999
+    band = F.floor(F.col("lat") / side).cast("long")
+    width = F.greatest(F.ceil(360.0 * F.cos(F.radians(F.least(F.when(band >= 0, band).otherwise(-band - 1) * side, F.lit(90.0)))) / side), F.lit(1)).cast("long")
+    span = seconds * 1_000_000
+    rows = seen.withColumn("kind", kind).withColumn("_b", band).withColumn("_c", F.pmod(F.floor((F.col("lon") + 180.0) * width / 360.0).cast("long"), width)).withColumn("_t", F.floor(F.col("us") / (64 * max(1, span))))
+    cell = Window.partitionBy("_b", "_c", "_t")
+    for name, order, extreme in (("before", F.col("us"), F.max), ("after", F.desc("us"), F.min)):
+        rows = rows.withColumn(name, F.array(*(extreme(F.when(F.col("kind") == j, F.col("us"))).over(cell.orderBy(order)) for j in range(len(kinds)))))
+    near = lambda j: (F.col("us") - F.get(F.col("before"), j) <= span) | (F.get(F.col("after"), j) - F.col("us") <= span)
+    other = F.filter(F.sequence(F.lit(0), F.lit(len(kinds) - 1)), lambda j: F.get(known, j)["source"] != F.col("source").cast("string"))
+    rows = stored(rows.select("id", "us", "lon", "lat", "kind", F.filter(other, lambda j: F.coalesce(near(j), F.lit(False))).alias("met"), F.filter(other, lambda j: ~F.coalesce(near(j), F.lit(False))).alias("left")), "kinds")
+    asked = rows.select(F.col("id").alias("a"), F.col("us").alias("a_us"), F.col("lon").alias("plon"), F.col("lat").alias("plat"), F.explode("left").alias("kind"))
+    there = rows.select("kind", F.col("us").alias("b_us"), F.col("lon").alias("qlon"), F.col("lat").alias("qlat")).distinct()
+    found = _witnesses(asked, there, radius_m, seconds, ["kind"]).select(F.col("a").alias("id"), "kind").distinct()
+    found = found.unionByName(rows.select("id", F.explode("met").alias("kind")))
+    of = lambda name: F.array_sort(F.collect_set(F.get(known, F.col("kind"))[name]))
+    return found.groupBy("id").agg(of("source").alias("sources"), of("modality").alias("modalities"))
+
+
 def band_pairs(df: DataFrame, key: str, at: Column, seconds: int) -> tuple[DataFrame, DataFrame]:
     """(left, right) for a band self-join on `at` (in seconds): both have _tick; rows of left stand in three windows, and pairs within
     `seconds` share one."""

@@ -115,6 +115,18 @@ def corroboration_band_join(spark, d):
     return met.groupBy("event_id").agg(F.count("*").alias("n"), F.countDistinct("b_type").alias("n_types"), F.array_join(F.array_sort(F.collect_list("b_id")), ",").alias("others"))
 
 
+@query("""
+WITH e AS (SELECT event_id, event_type AS source, CASE WHEN event_id % 3 = 0 THEN 'TEXT' ELSE 'JSON' END AS modality, epoch_us(ts) AS us, (user_id % 100) / 100.0 AS lon, (user_id * 7 % 100) / 100.0 AS lat FROM events),
+p AS (SELECT a.event_id, b.source, b.modality FROM e a JOIN e b ON a.source <> b.source AND abs(a.us - b.us) <= 600000000
+WHERE 2 * 6371008.8 * asin(sqrt(least(1.0, power(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))) <= 30000)
+SELECT event_id, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, array_to_string(list_sort(list(DISTINCT modality)), ',') AS modalities FROM p GROUP BY event_id""")
+def corroborating_kinds(spark, d):
+    """Which other kinds of events an event has near it in time and space; no list of pairs is made."""
+    e = load(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("source"), F.when(F.col("event_id") % 3 == 0, "TEXT").otherwise("JSON").alias("modality"), F.col("ts").alias("at"), (F.col("user_id") % 100 / 100.0).alias("lon"), (F.col("user_id") * 7 % 100 / 100.0).alias("lat"))
+    met = spatial.corroborating_kinds(e, 30_000, 600)
+    return met.select(F.col("id").alias("event_id"), F.array_join("sources", ",").alias("sources"), F.array_join("modalities", ",").alias("modalities"))
+
+
 _POINTS = """
 p AS (SELECT c_custkey AS pid, (c_custkey * 37 % 36000) / 100.0 - 180 AS plon, (c_custkey * 53 % 12000) / 100.0 - 60 AS plat FROM customer),
 q AS (SELECT n_nationkey AS qid, n_name, (n_nationkey * 1440 % 36000) / 100.0 - 180 AS qlon, (n_nationkey * 977 % 12000) / 100.0 - 60 AS qlat FROM nation),
@@ -389,8 +401,8 @@ QUERIES["percentile_sketch"] = percentile_sketch
 @query("SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOURS")
 def relative_time_window(spark, d):
     ev = load(spark, d, "events")
-    # The greatest time is one row, whatever the table.
-    return ev.join(F.broadcast(ev.agg(F.max("ts").alias("last")))).where("ts >= last - interval 24 hours").select("event_id", "user_id")
+    last = ev.agg(F.max("ts")).first()[0]
+    return (ev.where(F.col("ts") >= F.lit(last).cast("timestamp_ntz") - F.expr("interval 24 hours")) if last else ev.limit(0)).select("event_id", "user_id")
 
 
 @query("SELECT event_id, CASE WHEN hour(ts) < 6 THEN 'NIGHT' WHEN hour(ts) < 12 THEN 'MORNING' WHEN hour(ts) < 18 THEN 'AFTERNOON' WHEN hour(ts) < 24 THEN 'EVENING' END AS period FROM events")
@@ -594,7 +606,10 @@ def q1_latest_position(spark, d):
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 4 HOURS GROUP BY event_type")
 def q2_recent_window(spark, d):
     ev = load(spark, d, "events")
-    return ev.join(F.broadcast(ev.agg(F.max("ts").alias("last")))).where("ts >= last - interval 4 hours").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users"))
+    # The end is one value, and as a literal it reaches the scan, which then skips what is older.
+    last = ev.agg(F.max("ts")).first()[0]
+    recent = ev.where(F.col("ts") >= F.lit(last).cast("timestamp_ntz") - F.expr("interval 4 hours")) if last else ev.limit(0)
+    return recent.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users"))
 
 
 ORACLE_SQL["q3_fusion"] = ORACLE_SQL["three_source_hourly_fusion"]

@@ -189,6 +189,20 @@ def test_word_errors_and_wilson(spark):
     assert abs(w["lo"] - 0.7218) < 1e-3 and abs(w["hi"] - 0.9747) < 1e-3
 
 
+def test_word_errors_of_very_many_words(spark):
+    n = 43_000
+    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(n)), " ".join(f"w{i}" for i in range(n - 2000)) + " x")], "r string, t string")
+    codes = df.select(F.transform(F.sequence(F.lit(41_900), F.lit(42_100)), lambda p: F.decode(F.unhex(F.lpad(F.hex(p + F.when(p < 0xD800 - 0x3400, 0x3400).otherwise(0x3C00)), 8, "0")), "UTF-32")).alias("c")).first().c
+    assert len(set(codes)) == 201 and all(len(c) == 1 and "\ufffd" != c for c in codes)
+
+
+def test_small_counts_bytes(spark):
+    from stratalake.operators.sized import is_small
+
+    wide = spark.range(100).select("id", F.repeat(F.lit("x"), 100_000).alias("t"), F.array("id").alias("a"))
+    assert is_small(wide) and not is_small(wide, most=1 << 20) and not is_small(wide, rows=99) and is_small(wide.limit(0))
+
+
 def test_block_refuses_unknown_columns(spark):
     with pytest.raises(ValueError, match="zz"):
         series.block(spark.range(1), [("a", "int")], zz=F.lit(1))
@@ -248,3 +262,39 @@ def test_same_sets_without_a_window(spark):
     once = series.same_sets(df, [], "s", [series.descending(F.col("n")), series.descending(F.col("t")), F.col("i")])
     assert sorted(r.i for r in once.collect()) == [3, 4, 5]
     assert "Window" not in once._jdf.queryExecution().executedPlan().toString()
+
+
+def observations(n, spread, seed):
+    r = random.Random(seed)
+    centre = [(0.0, 0.0), (179.999, 60.0), (20.0, 89.99), (-45.0, -22.0)]
+    rows = []
+    for i in range(n):
+        x, y = r.choice(centre)
+        lon = (x + r.gauss(0, spread) / max(0.02, math.cos(math.radians(y))) + 180) % 360 - 180
+        rows.append((i, r.choice("ABC") if i % 17 else None, r.choice(["JSON", "TEXT", None]), r.randint(0, 20_000), lon, min(90.0, y + r.gauss(0, spread))))
+    return [*rows, (n, "A", "JSON", None, 0.0, 0.0), (n + 1, "B", "JSON", 5, None, None), (n + 2, *rows[0][1:])]
+
+
+SEEN = "id long, source string, modality string, s long, lon double, lat double"
+
+
+def test_corroboration_equals_brute_force(spark):
+    rows = observations(260, 0.02, 2)
+    df = spark.createDataFrame(rows, SEEN).withColumn("at", F.timestamp_seconds("s"))
+    want = {}
+    for a in rows:
+        met = [b for b in rows if None not in (a[1], b[1], a[3], b[3], a[4], b[4]) and a[1] != b[1] and abs(a[3] - b[3]) <= 1800 and metres(a[4:], b[4:]) <= 2000]
+        if met:
+            want[a[0]] = (sorted(b[0] for b in met), sorted({b[1] for b in met}), sorted({b[2] for b in met} - {None}))
+    got = {r.id: (r.others, r.sources, r.modalities) for r in spatial.corroborate(df, 2000, 1800).collect()}
+    assert got == want and len(want) > 100
+    kinds = {r.id: (r.sources, r.modalities) for r in spatial.corroborating_kinds(df, 2000, 1800).collect()}
+    assert kinds == {k: v[1:] for k, v in want.items()}
+    assert spatial.corroborating_kinds(df.where("id < 0"), 2000, 1800).collect() == []
+
+
+def test_a_dense_cell_makes_no_pairs(spark):
+    # 100,000 events of six kinds within a kilometre and an hour: ten billion pairs.
+    df = spark.range(100_000).select("id", F.element_at(F.lit(["A", "B", "C"]), (F.col("id") % 3 + 1).cast("int")).alias("source"), F.when(F.col("id") % 2 == 0, "JSON").otherwise("TEXT").alias("modality"), F.timestamp_seconds(F.col("id") * 7919 % 3600).alias("at"), (F.col("id") * 104729 % 1000 / 1e5).alias("lon"), (F.col("id") * 15485863 % 1000 / 1e5).alias("lat"))
+    got = spatial.corroborating_kinds(df, 2000, 3600).groupBy("sources", "modalities").count().collect()
+    assert sorted((r.sources, r.modalities) for r in got) == [(s, ["JSON", "TEXT"]) for s in (["A", "B"], ["A", "C"], ["B", "C"])] and sum(r["count"] for r in got) == 100_000
