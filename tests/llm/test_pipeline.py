@@ -30,5 +30,5 @@ def test_empty(spark, frame, folder):
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert set(registry.QUERIES) | {"pipeline"} <= names and {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert set(registry.QUERIES) | {"pipeline"} <= names and {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(__spark_entry__.oracle_sql()) <= names
