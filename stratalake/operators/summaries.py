@@ -22,8 +22,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float],
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
     slack = 2.0 / accuracy
     ends = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_x", [max(0.0, q - slack) for q in qs], accuracy).alias("_lo"), F.percentile_approx("_x", [min(1.0, q + slack) for q in qs], accuracy).alias("_hi"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
-    # Where the bracket would reach beyond the group it is open.
-    lo, hi = (F.transform(c, lambda v, i: F.when(F.get(F.lit([edge(q) for q in qs]), i), end).otherwise(v)) for c, edge, end in (("_lo", lambda q: q <= slack, F.col("_least")), ("_hi", lambda q: q >= 1 - slack, F.col("_most"))))
+    # Where the bracket would reach beyond the group it is open, and so it is in groups so small that it would hold less than some rows.
+    little = F.col("_n") <= 4 * accuracy
+    lo, hi = (F.transform(c, lambda v, i: F.when(little | F.get(F.lit([edge(q) for q in qs]), i), end).otherwise(v)) for c, edge, end in (("_lo", lambda q: q <= slack, F.col("_least")), ("_hi", lambda q: q >= 1 - slack, F.col("_most"))))
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     on = same[0] if same else F.lit(True)
     for c in same[1:]:

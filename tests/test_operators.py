@@ -243,6 +243,10 @@ def test_quantiles(spark):
             assert abs(exact[k, q] - float(np.quantile(own, q))) < 1e-9
             ranks = [i for i, v in enumerate(own) if v == near[k, q]]
             assert min(ranks) - 1 - len(own) / 100 <= q * (len(own) - 1) <= max(ranks) + 1 + len(own) / 100
+    for n in (150, 190, 205, 401, 999):
+        own = [float(i * 7919 % 1009) for i in range(n)]
+        found = summaries.exact_quantiles(spark.createDataFrame([(x,) for x in own], "v double"), [], "v", qs, 100).collect()
+        assert all(abs(x.quantile - float(np.quantile(own, x.q))) < 1e-9 for x in found) and len(found) == len(qs)
     plan = summaries.exact_quantiles(df, ["k"], "v", qs)._jdf.queryExecution().executedPlan().toString()
     assert "percentile(" not in plan and "collect_list" not in plan
 
