@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stratalake.functions import geo, text, times
 from stratalake.operators import keyed, lookups, quality, series, spatial, summaries
 from stratalake.operators.sized import small
+from stratalake.sources import arrays
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -436,6 +437,15 @@ def json_extract(spark, d):
     return load(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
+@query("SELECT event_id, user_id, event_type, props FROM events")
+def json_array_records(spark, d):
+    """The events as files of one JSON array each (50,000 consecutive event_ids), whose records are then cut apart."""
+    rows = load(spark, d, "events").select("event_id", "user_id", "event_type", "props")
+    made = arrays.whole_arrays(rows, F.to_json(F.struct(*rows.columns)), F.coalesce(F.floor(F.col("event_id") / 50_000), F.lit(-1)), "arrays")
+    found = arrays.objects(arrays.records(arrays.pieces(spark, made, glob="*.txt")))
+    return found.select(F.from_json("text", rows.schema).alias("r")).select("r.*")
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, len(json_keys(props)) AS n_keys FROM events")
 def json_to_map(spark, d):
     m = text.payload_map(F.col("props"))
