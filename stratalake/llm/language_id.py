@@ -25,6 +25,7 @@ from stratalake.llm.common import U64, bounded, held_out, mix64, shielded, table
 N_BUCKETS = 1 << 15
 LANGUAGE_ROWS = 5_000  # bound on the labelled rows of a language that the classifier is fitted on
 BLOCK_LANGUAGES = 256  # of a broadcast matrix: 64 MB of doubles at most
+TAKEN = 1 << 21  # log probabilities taken from the matrix at once: 16 MB, whatever the number of languages
 PIECE = 1 << 18  # code points scored at a time
 NGRAMS = (1, 2, 3)
 
@@ -153,9 +154,12 @@ def totals_of(texts: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for buckets, rows in grams(texts, len(logp)):
         if buckets is None:
             return total, many, rows
+        step = max(1, TAKEN // max(1, logp.shape[1]))
+        for lo in range(0, len(rows), step):
+            of, own = buckets[lo : lo + step], rows[lo : lo + step]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            total[own[first]] += np.add.reduceat(logp.take(of, axis=0), first, axis=0)
         if len(rows):
-            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            total[rows[first]] += np.add.reduceat(logp.take(buckets, axis=0), first, axis=0)
             many += np.bincount(rows, minlength=len(texts))
     raise AssertionError
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,9 @@ LEAST_BITS, MOST_BITS = 8, 16  # of a row's number, for each feature: 21 MB of w
 TOKENS_PER_ROW = 32
 TASK_TOKENS = 1 << 23  # training tokens of a task, about
 PARTS = 64  # pieces in which the tasks' updates are averaged
+FAN = 256  # updates that are summed in one group
+MOVED = "part int, task int, moved binary, squares binary, summed boolean"
+MOVED_NAMES = ["part", "task", "moved", "squares", "summed"]
 ROUNDS, RATE = 2, 0.3
 N_FEATURES = 5
 ONES = np.ones(BRANCH, np.float32)
@@ -210,21 +214,41 @@ def _train_task(shared):
         if squares.any():
             pieces = [x.astype(np.float16).tobytes() for x in np.array_split(moved.reshape(-1, BRANCH), PARTS)]
             weigh = [x.tobytes() for x in np.array_split(squares.ravel(), PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(pieces, pa.binary()), pa.array(weigh, pa.binary())], names=["part", "moved", "squares"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([TaskContext.get().partitionId()] * PARTS, pa.int32()), pa.array(pieces, pa.binary()), pa.array(weigh, pa.binary()), pa.array([False] * PARTS)], names=MOVED_NAMES)
 
     return run
 
 
-def _mean(group: pa.Table) -> pa.Table:
-    """The mean of the tasks' updates of one part, each row's weighted by the squared gradients that they saw there."""
+def _summed(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of one part: the sum of the tasks' updates, each row's weighted by the squared gradients that they saw there, and the sum of the weights."""
     total, weight = 0.0, 1e-20
-    for x, w in zip(group.column("moved"), group.column("squares"), strict=True):
+    for x, w, summed in zip(group.column("moved"), group.column("squares"), group.column("summed"), strict=True):
         w = np.frombuffer(w.as_buffer(), np.float32)
-        total = total + np.frombuffer(x.as_buffer(), np.float16).astype(np.float32).reshape(-1, BRANCH) * w[:, None]
+        x = np.frombuffer(x.as_buffer(), np.float32 if summed.as_py() else np.float16).astype(np.float32).reshape(-1, BRANCH)
+        total = total + (x if summed.as_py() else x * w[:, None])
         weight = weight + w
+    return total, weight
+
+
+def _sum(group: pa.Table) -> pa.Table:
+    total, weight = _summed(group)
+    first = lambda c: group.column(c).slice(0, 1).combine_chunks()
+    return pa.table([first("part"), first("task"), pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([weight.astype(np.float32).tobytes()], pa.binary()), pa.array([True])], names=MOVED_NAMES)
+
+
+def _mean(group: pa.Table) -> pa.Table:
+    total, weight = _summed(group)
     return pa.table([pa.array([group.column("part")[0].as_py()], pa.int32()), pa.array([(total / weight[:, None]).astype(np.float32).tobytes()], pa.binary())], names=["part", "moved"])
 
 
+def averaged(moved: DataFrame, tasks: int, fan: int = FAN) -> DataFrame:
+    """(part, moved): the mean of the updates of up to `tasks` tasks. No group holds more than `fan` of them: sums of so many are summed again."""
+    while tasks > fan:
+        moved = moved.withColumn("task", F.floor(F.col("task") / fan).cast("int")).groupBy("part", "task").applyInArrow(_sum, MOVED)
+        tasks = -(-tasks // fan)
+    return moved.groupBy("part").applyInArrow(_mean, "part int, moved binary")
+
+
 def fit(training: DataFrame, counts: DataFrame) -> tuple[Model, int, int, tuple[np.ndarray, np.ndarray]]:
     """(model, N, V, (hashes, counts) of the common tokens by hash). counts must be written: it is read several times."""
     spark = training.sparkSession
@@ -247,8 +271,8 @@ def fit(training: DataFrame, counts: DataFrame) -> tuple[Model, int, int, tuple[
     for turn in range(ROUNDS if n else 0):
         shared = spark.sparkContext.broadcast(vars(model))
         texts = training.select("text").where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn).coalesce(tasks)
-        moved = texts.mapInArrow(_train_task(shared), "part int, moved binary, squares binary")
-        got = sorted(moved.groupBy("part").applyInArrow(_mean, "part int, moved binary").collect(), key=lambda r: r["part"])
+        moved = texts.mapInArrow(_train_task(shared), MOVED)
+        got = sorted(averaged(moved, tasks).collect(), key=lambda r: r["part"])
         shared.unpersist()
         if got:
             model.weights = model.weights + np.frombuffer(b"".join(bytes(r["moved"]) for r in got), np.float32).reshape(model.weights.shape)

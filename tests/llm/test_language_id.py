@@ -120,3 +120,14 @@ def test_stage_keeps_columns(spark, frame):
     assert out.columns == docs.columns
     got = {r.doc_id: r for r in out.collect()}
     assert 900 not in got and 902 not in got and got[901].lang == "en" and len(got) == 241 and got[5].component == "y" and got[5].score == 0.5
+
+
+def test_scores_do_not_depend_on_how_many_values_are_taken_at_once(monkeypatch):
+    rng = np.random.default_rng(1)
+    logp = np.log(rng.random((language_id.N_BUCKETS, 7)))
+    texts = ["", "a", "one two three " * 300, "x", "4711", "many words of one text"] * 3
+    want = language_id.totals_of(texts, logp)
+    for taken in (7, 70, 3000):
+        monkeypatch.setattr(language_id, "TAKEN", taken)
+        got = language_id.totals_of(texts, logp)
+        assert np.allclose(got[0], want[0]) and (got[1] == want[1]).all() and (got[2] == want[2]).all()

@@ -126,3 +126,18 @@ def test_what_is_broadcast_needs_no_package():
     assert b"stratalake" not in state
     toks, rows = M.tokens(pa.array(["a b c"]))
     assert np.array_equal(M.restored(pickle.loads(state)).logs(toks, rows, 0, 4)[0], model.logs(toks, rows, 0, 4)[0])
+
+
+def test_updates_are_averaged_in_groups_of_bounded_size(spark):
+    """Means over any fan equal the weighted mean of all tasks, and no group of a step holds more than fan updates of a part."""
+    rng = np.random.default_rng(3)
+    tasks, rows = 23, 4
+    moved = rng.normal(size=(tasks, 2, rows, M.BRANCH)).astype(np.float16)
+    squares = rng.random((tasks, 2, rows)).astype(np.float32)
+    squares[:, 1, 2] = 0
+    made = [(p, t, bytearray(moved[t, p].tobytes()), bytearray(squares[t, p].tobytes()), False) for t in range(tasks) for p in range(2)]
+    frame = spark.createDataFrame(made, M.MOVED).repartition(5)
+    want = (moved.astype(np.float64) * squares[..., None]).sum(0) / (squares.sum(0) + 1e-20)[..., None]
+    for fan in (2, 5, 22, 23, 100):
+        got = {r.part: np.frombuffer(bytes(r.moved), np.float32).reshape(rows, -1) for r in M.averaged(frame, tasks, fan).collect()}
+        assert all(np.allclose(got[p], want[p], atol=1e-4) for p in range(2)), fan
