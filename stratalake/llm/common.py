@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,7 +41,8 @@ def scratch(spark: SparkSession) -> str:
     return "file://" + made
 
 
-def _run_folder(spark: SparkSession) -> str:
+def run_folder(spark: SparkSession) -> str:
+    """Where this application's intermediates lie; clear_scratch() deletes it."""
     return f"{scratch(spark)}/stratalake/{spark.sparkContext.applicationId}"
 
 
@@ -52,7 +54,7 @@ def _delete(spark: SparkSession, path: str) -> bool:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet under scratch() and reads it back: lineage ends there, lost executors cost nothing before it."""
     spark = df.sparkSession
-    path = f"{_run_folder(spark)}/{uuid.uuid4().hex}-{name}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -70,7 +72,7 @@ def discard(*frames: DataFrame) -> None:
 
 def clear_scratch(spark: SparkSession) -> bool:
     """Deletes all intermediates of this application, once no frame made from them is needed any more; whether there were any."""
-    return _delete(spark, _run_folder(spark))
+    return _delete(spark, run_folder(spark))
 
 
 def bounded(entry):
@@ -94,8 +96,13 @@ def held_out(doc_id, modulus: int, remainder: int = 2):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def many_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def whole_numbers(docs: DataFrame, column: str = "doc_id") -> bool:
+    return isinstance(docs.schema[column].dataType, IntegralType)
+
+
+def partitions_for(spark: SparkSession, rows: int | None, each: int) -> int:
+    """The session's number of shuffle partitions, or more where each would get over `each` of so many rows (or bytes)."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // each))
 
 
 # ------------------------------------------------------------------ batches

@@ -9,7 +9,7 @@ the bucket. Links between sets already connected can't change a component, so wh
 still hold several components, and in these all pairs across components are compared, in blocks of BLOCK x BLOCK within tasks, full
 sets included; only links leave a task. No pair of a bucket that could join two components is left out.
 
-Sets have ids of their own, so rows that share a doc_id but not a text are told apart.
+Sets have ids of their own, so rows that share a doc_id but not a text are told apart, and a doc_id may be of any type that has an order.
 
 Defined cases: null or empty texts, and those without words, have no shingle, link with nothing and are their own component; a text with
 fewer words than a shingle has its whole sequence as its one shingle; repeated rows and copies share a component; a row with a
@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import U64, bounded, components, many_partitions, mix64, shingles, table, text_slices, word_hashes, written
+from stratalake.llm.common import U64, bounded, components, mix64, partitions_for, shingles, table, text_slices, whole_numbers, word_hashes, written
 
 BLOCK = 256
-BROADCAST_IDS = 500_000  # ids are broadcast up to this number (8 MB), joined by a shuffle beyond
+BROADCAST_IDS = 500_000  # ids are broadcast up to this number (8 MB)
+BROADCAST_BYTES = 16_000_000  # and these bytes as text, joined by a shuffle beyond either
+CROSS_ROWS = 20_000  # rows with full sets that a task compares, about
 
 
 @dataclass(frozen=True)
@@ -183,14 +185,16 @@ def _sets(width: int):
 def with_ids(docs: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
     """docs joined (left_semi or left_anti) with the column `id` of ids, which is broadcast where it is small enough."""
     ids = ids.select(F.col("id").alias("_with_id"))
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    n, size = ids.limit(BROADCAST_IDS + 1).agg(F.count("*"), F.sum(F.octet_length(F.col("_with_id").cast("string")))).first()
+    few = n <= BROADCAST_IDS and (size or 0) <= BROADCAST_BYTES
     return docs.join(F.broadcast(ids) if few else ids, F.col(column) == F.col("_with_id"), how)
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, unique: DataFrame, plan: Plan, name: str) -> DataFrame:
     """(id, values) of the sets with the given ids, made again from the texts of the documents that carry them."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
     involved = written(ids.join(unique.select("id", "doc", "fp1", "fp2"), "id"), name + "-involved")
-    sets = with_ids(docs.select("doc_id", "text"), "doc_id", involved.select(F.col("doc").alias("id")).distinct(), "left_semi").mapInArrow(_sets(plan.width), "doc_id long, fp1 long, fp2 long, values binary")
+    sets = with_ids(docs.select("doc_id", "text"), "doc_id", involved.select(F.col("doc").alias("id")).distinct(), "left_semi").mapInArrow(_sets(plan.width), f"doc_id {id_type}, fp1 long, fp2 long, values binary")
     sets = sets.withColumnRenamed("doc_id", "doc").join(involved, ["doc", "fp1", "fp2"]).select("id", "values")
     return written(sets.dropDuplicates(["id"]), name + "-sets")
 
@@ -264,9 +268,9 @@ def _cross(plan: Plan):
 
 def classes(docs: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
     """doc_id, n (size of its shingle set), fp1, fp2 (digest of the set) and component (least doc_id reachable) of every row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = many_partitions(docs.sparkSession)
-    features = written(docs.mapInArrow(_features(plan), "doc_id long, n long, fp1 long, fp2 long, sig binary"), "features")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id") if whole_numbers(docs) else "doc_id", "text")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    features = written(docs.mapInArrow(_features(plan), f"doc_id {id_type}, n long, fp1 long, fp2 long, sig binary"), "features")
     unique = written(features.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id()), "unique")
     bands = written(unique.select("id", "sig").mapInArrow(_bands(plan), "key long, id long"), "bands")
     buckets = bands.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b < most").select("key", "b")
@@ -285,6 +289,7 @@ def classes(docs: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
         spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         spread = spread.select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         sets = full_sets(members.join(mixed, "key", "left_semi").select("id").distinct(), docs, unique, plan, "rest")
+        n = partitions_for(docs.sparkSession, mixed.agg(F.sum(F.col("size") * F.ceil(F.col("size") / BLOCK))).first()[0], CROSS_ROWS)
         spread = spread.join(sigs.join(sets, "id"), "id").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
         rest = written(spread.mapInArrow(_cross(plan), "a long, b long").distinct(), "rest")
         if not rest.isEmpty():

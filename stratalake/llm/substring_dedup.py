@@ -20,6 +20,8 @@ similarity of PERCENT or more. An exact repeat always agrees on all functions; a
 probability 1 - (1 - s)^6 - 6 s (1 - s)^5: 0.16 % are missed at s = 0.8. What the least document of its keys lacks is found if it agrees on two functions in turn: 1.9 %
 of passages of the least length are missed at s = 0.8, 0.25 % at 0.9; longer ones agree in several places.
 
+A doc_id may be of any type that has an order.
+
 Defined cases: null, empty and short texts have no window and no row; repeats within one document, and rows with a null doc_id, are left
 alone; rows that repeat a doc_id with the same text count once; a passage stays in the least document that holds it; an empty table gives an empty result;
 columns other than doc_id and text are ignored by repeats() and kept by cut().
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import U64, bounded, discard, many_partitions, mix64, raw_bytes, runs, shielded, shingles, table, text_slices, word_bounds, word_hashes, written
+from stratalake.llm.common import U64, bounded, discard, mix64, partitions_for, raw_bytes, runs, shielded, shingles, table, text_slices, whole_numbers, word_bounds, word_hashes, written
 from stratalake.llm.near_dedup import with_ids
 
 WIDTH = 5
@@ -41,6 +43,8 @@ PERCENT = 80
 FUNCTIONS = 6  # at most 8: a key's last three bits say its function
 ENOUGH = 2
 BLOCK = 4096
+BUCKET_BYTES = 1 << 28  # of texts whose keys one task sorts for the bitmap (about 40 MB of keys)
+TASK_WINDOWS = 2_000_000  # windows that a task sorts, about
 MOST_BITS = 1 << 28  # of the bitmap that spares most windows of one document: 32 MB at most
 LEAST = LEAST_WORDS - WIDTH + 1  # shingles in the shortest passage
 REACH = 2 * LEAST - 1  # shingles in the longest that can't be halved
@@ -198,7 +202,7 @@ def _live(group: pa.Table) -> pa.Table:
 def live_bitmap(docs: DataFrame) -> tuple[np.ndarray, int, int]:
     """(bits in bytes, bits of a bucket, buckets): the keys that windows of several texts have, eight bits for each, MOST_BITS at most. It lets
     all of these pass, and others by chance, which the join by key leaves out: it spares work and decides nothing."""
-    buckets = many_partitions(docs.sparkSession)
+    buckets = partitions_for(docs.sparkSession, docs.agg(F.sum(F.octet_length("text"))).first()[0], BUCKET_BYTES)
     live = written(docs.mapInArrow(_slots(buckets), "bucket int, once binary, more binary").groupBy("bucket").applyInArrow(_live, "bucket int, n long, slots binary"), "live")
     total = live.agg(F.sum("n")).first()[0] or 0
     width = max(64, min(MOST_BITS // buckets, -(-8 * total // buckets)) // 64 * 64)
@@ -719,16 +723,29 @@ def confirm(regions: DataFrame, docs: DataFrame, name: str) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """A row for each passage of document a that the lesser document b holds as well: words start to stop of a, b_start to b_stop of b,
-    similarity of their shingle sets."""
+    similarity of their shingle sets. Documents whose doc_ids aren't whole numbers are numbered in the order of these."""
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    if whole_numbers(docs):
+        return _repeats(docs.select(F.col("doc_id").cast("long").alias("id"), "text"))
+    # Numbers grow along sorted partitions, so no task sees all ids.
+    names = written(docs.select("doc_id").distinct().sort("doc_id").select("doc_id", F.monotonically_increasing_id().alias("id")), "numbers")
+    links = _repeats(written(docs.join(names, "doc_id").select("id", "text"), "numbered"))
+    columns = links.columns
+    for c in ("a", "b"):
+        links = links.join(names.select(F.col("id").alias(c), F.col("doc_id").alias("_" + c)), c).drop(c).withColumnRenamed("_" + c, c)
+    return links.select(*columns)
+
+
+def _repeats(docs: DataFrame) -> DataFrame:
+    """repeats() of rows of id (long) and text."""
     spark = docs.sparkSession
-    n = many_partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     # Windows are made twice, first as keys alone: most keys belong to one document, and their places would fill disks for nothing.
     bitmap = spark.sparkContext.broadcast(live_bitmap(docs))
     windows = written(docs.mapInArrow(_windows(bitmap), WINDOW), "windows")
     roots = written(windows.groupBy("key").agg(F.min("id").alias("root"), F.max("id").alias("most"), F.min_by("place", "id").alias("other")).where("root < most").select("key", "root", "other"), "roots")
     shared = written(windows.join(roots, "key"), "shared")
     discard(windows, roots)
+    n = partitions_for(spark, shared.count(), TASK_WINDOWS)
     stars = shared.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"), "key", "place", "other")
     regions = stars.repartition(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(_regions, REGION)
     links = confirm(written(regions, "regions"), docs, "star")
@@ -747,16 +764,17 @@ def repeats(docs: DataFrame) -> DataFrame:
         several = joint.groupBy("key").agg(F.min("id").alias("least"), F.max(F.when(F.col("open"), F.col("id"))).alias("most"), F.count("*").alias("size")).where("least < most")
         several = written(several.select("key", "most", "size"), "several")
         found = written(joint.join(several, "key").where("id <= most").drop("most"), "found")
-        discard(shared, joint, several)
+        discard(shared, joint)
         arrays = arrays_of(written(found.select("id").distinct(), "open-ids"), docs, "open", np.uint16)
         parts = F.ceil(F.col("size") / BLOCK).cast("int")
         at, until = F.greatest(left, last - (REACH - 1)), F.least(right, first + (REACH - 1))
         spread = found.join(arrays, "id").select("key", "id", "open", "place", "centre", at.alias("at"), _slice(F.col("values"), at, until, 2).alias("near"), parts.alias("parts"))
         spread = spread.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         spread = spread.drop("parts").withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+        n = partitions_for(spark, several.agg(F.sum(F.col("size") * parts)).first()[0], TASK_WINDOWS // 4)
         crossed = spread.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross, REGION)
         crossed = written(crossed.groupBy("a", "b").agg(*(f(c).alias(c) for f, c in ((F.min, "l"), (F.max, "r"), (F.min, "b_l"), (F.max, "b_r")))), "crossed")
-        discard(found, arrays)
+        discard(several, found, arrays)
         links = links.unionByName(confirm(crossed, docs, "cross"))
     else:
         discard(shared)

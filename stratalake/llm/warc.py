@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import bounded, scratch, table, written
+from stratalake.llm.common import bounded, run_folder, table, written
 
 VERSION = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -301,7 +301,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 @bounded
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch(spark)}/stratalake/{uuid.uuid4().hex}-warc"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}-warc"
     write_archives(table(spark, sf_dir, "pages"), path)
     found = read_archives(spark, path)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

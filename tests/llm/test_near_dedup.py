@@ -103,3 +103,19 @@ def test_pruning_bounds():
         assert len(near_dedup.alike(a, b, least, plan.step)) >= 19_995
         assert len(near_dedup.alike(a, np.where(r.random(a.shape) < 0.3, a, a ^ np.uint32(1)), least, plan.step)) < 20
         assert (1 - (plan.percent / 100) ** plan.rows) ** plan.bands < 1e-4
+
+
+def test_text_ids(spark):
+    rows = [(None if i is None else f"d{i:09d}", t, lang) for i, t, lang in corpus()]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    got = sorted((r.doc_id or "", r.component or "") for r in near_dedup.classes(docs, near_dedup.CONTRACT).collect())
+    assert got == sorted((r[0] or "", c or "") for r, c in zip(rows, brute(rows, 3, 85)[0], strict=True))
+    kept = near_dedup.stage(spark, docs, "").collect()
+    assert {r.doc_id for r in kept} == {c for c in brute(rows, 5, 80)[0]}
+
+
+def test_long_ids_are_not_broadcast_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BROADCAST_BYTES", 1000)
+    docs = spark.createDataFrame([("x" * 400 + str(i),) for i in range(9)], "doc_id string")
+    out = near_dedup.with_ids(docs, "doc_id", docs.limit(4).withColumnRenamed("doc_id", "id"), "left_semi")
+    assert "ResolvedHint (strategy=broadcast)" not in out._jdf.queryExecution().analyzed().toString() and out.count() == 4

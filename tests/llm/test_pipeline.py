@@ -23,6 +23,16 @@ def test_stages_in_order(spark, frame, folder):
     assert set(out) == set(left) and all(len(r.ids) == r.n_tokens for r in out.values())
 
 
+def test_text_ids_and_clashing_columns(spark, folder):
+    passage, item = prose(900, 70), prose(901, 30)
+    rows = [(f"d{i:03d}", prose(i, 80), "en", i, "x") for i in range(30)]
+    rows += [("d100", rows[3][1], "en", 1, "x"), ("d101", prose(70, 40) + " " + passage, "en", 2, "x"), ("d102", prose(71, 40) + " " + passage, "en", 3, "x"), ("d103", prose(73, 50) + " " + item, "en", 4, "x"), (None, prose(950, 60), "en", 5, "x")]
+    docs = spark.createDataFrame(rows + rows[5:6], "doc_id string, text string, lang string, id long, component string")
+    sf = folder(documents=docs, benchmark=spark.createDataFrame([("q", item)], "item_id string, text string"))
+    out = [r.doc_id for r in corpus_pipeline.run(spark, sf).collect()]
+    assert sorted(out, key=str) == sorted([None, "d101", "d102", *(f"d{i:03d}" for i in range(30))], key=str)
+
+
 def test_empty(spark, frame, folder):
     sf = folder(documents=frame([]), benchmark=spark.createDataFrame([], "item_id long, text string"))
     assert corpus_pipeline.run(spark, sf).count() == 0

@@ -268,3 +268,18 @@ def test_keys_of_the_least_near_passage():
         one, two = (set(S.windows_of(x, np.array([0, len(x)]))[0].tolist()) for x in (a, b))
         shared += len(one & two) >= S.ENOUGH
     assert shared >= 0.985 * 600
+
+
+def test_text_ids(spark):
+    rows = [(None if i is None else f"d{i:09d}", t, lang) for i, t, lang in corpus()]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    got = S.repeats(docs).collect()
+    assert {r.a for r in got} == repeated(rows) and all(r.a > r.b for r in got)
+    left = S.stage(spark, docs, "")
+    assert left.columns == docs.columns and not S.repeats(left).where("similarity = 1").count()
+
+
+def test_tasks_grow_with_rows(spark, frame, folder, monkeypatch):
+    monkeypatch.setattr(S, "TASK_WINDOWS", 40)
+    monkeypatch.setattr(S, "BUCKET_BYTES", 10_000)
+    assert {r.doc_id for r in S.query(spark, folder(documents=frame(corpus()))).collect()} == repeated(corpus())
