@@ -66,6 +66,10 @@ def contained_longest(read: DataFrame, id_: str, text: Column, refs: DataFrame,
 
 
 GRAM = 4  # letters of the longest piece
+BEYOND = 3  # edits beyond those that are spent, up to which a tree of beginnings is searched
+FANOUT = 16  # by which the nodes of that tree may grow from one depth to the next
+TASK_ROWS = 20_000
+MASKS = 1024  # patterns of spent letters that get tables of their own
 
 
 def _grams(text: str, longest: int = GRAM) -> Column:
@@ -127,14 +131,14 @@ def _least(near: DataFrame) -> DataFrame:
     return by.groupBy("_t", "_c").agg(F.min_by(F.struct("d", "n", "_v"), "d").alias("b")).select("_t", "_c", "b.*")
 
 
-def _by_pieces(texts: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
+def _by_pieces(texts: DataFrame, entries: DataFrame, limit: int, budgets: set[int]) -> list[DataFrame]:
     """(_t, _c, d, n, _v) as of _least, over all stored texts, in rounds of growing budgets: a text is settled once the least distance that it has met is within its budget."""
-    index, counts = piece_index(entries.select("_s").distinct())
+    index, counts = piece_index(entries.select("_s"))
     left = stored(piece_plan(texts, counts, limit), "asked")
     found, n = [], left.count()
-    for extra in sorted({min(b, limit) for b in (0, 1, 2, limit)}):
+    for extra in sorted(budgets):
         near = candidates(left, index, extra, limit).withColumn("d", _edits(limit)).where("d between 0 and edits").drop("edits").distinct()
-        settled = stored(_least(near.join(entries, "_s").withColumn("_w", F.lit(1))), f"settled-{extra}")
+        settled = stored(_least(near.join(entries, "_s")), f"settled-{extra}")
         found.append(settled)
         n -= settled.count()
         if not n:
@@ -148,13 +152,132 @@ def _by_pieces(texts: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
         if not tiny.isEmpty():
             ends = entries.withColumn("_e", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_s"), F.lit(1))), lambda i: F.substring(F.col("_s"), i, F.length("_s")))))
             columns = ["_t", "_c", "_s", "_v", "_w"]
-            met = tiny.where(named).join(ends, F.col("_c") == F.col("_e")).withColumn("_w", F.lit(1)).select(*columns)
-            starts = entries.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(limit)))).groupBy("_n", F.substring(F.col("_s"), F.lit(1), F.col("_n")).alias("_s")).agg(F.min("_v").alias("_v"), F.count("*").cast("int").alias("_w"))
+            met = tiny.where(named).join(ends, F.col("_c") == F.col("_e")).select(*columns)
+            starts = entries.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(limit)))).groupBy("_n", F.substring(F.col("_s"), F.lit(1), F.col("_n")).alias("_s")).agg(F.min("_v").alias("_v"), F.sum("_w").alias("_w"))
             met = met.unionByName(tiny.where(~named).join(small(starts), F.length("_t") == F.col("_n")).select(*columns))
             found.append(_least(met.withColumn("d", _edits(limit)).where("d >= 0")))
-    out = found[0]
+    return found
+
+
+def _dealt(df: DataFrame, by: str) -> DataFrame:
+    """df, written, dealt to tasks of at most TASK_ROWS rows: rows are short, and each is worked on for long."""
+    df = stored(df, "dealt")
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS)), by)
+
+
+def spent_letters(texts: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
+    """texts (_t, _c) with lost: the places of the letters that no stored text has anywhere near, each of which costs an edit whatever the stored text. Texts that
+    lose more than the limit are left out."""
+    letters = entries.select(F.explode(_grams("_s", 1)).alias("p")).select("p.x", "p.at").distinct()
+    near = letters.select("x", F.explode(F.sequence(F.col("at") - limit // 2, F.col("at") + limit)).alias("i"))
+    # One row: the letters that can be kept at each place.
+    reach = near.groupBy("i").agg(F.array_join(F.collect_set("x"), "").alias("xs")).agg(F.map_from_entries(F.collect_list(F.struct("i", "xs"))).alias("reach"))
+    kept = lambda i: F.coalesce(F.contains(F.try_element_at("reach", i), F.substring(F.col("_t"), i + 1, F.lit(1))), F.lit(False))
+    lost = F.filter(F.sequence(F.lit(0), F.length("_t") - 1), lambda i: ~kept(i))
+    return texts.crossJoin(F.broadcast(reach)).select("_t", "_c", lost.alias("lost")).where(F.size("lost") <= limit)
+
+
+def _by_masks(asked: DataFrame, entries: DataFrame, numbers: dict[tuple, int]) -> DataFrame:
+    """(_t, _c, d, n, _v) as of _least of the texts that some stored text, none of which is shorter, equals but for the lost letters: with the edits that are spent
+    anyway, nothing can be put in or left out, so equality outside of the lost places decides.
+
+    `numbers` has the masks (length, lost places) by number, with all their beginnings. The table of a mask is made from that of the mask with one place
+    less, so it shrinks as places are added."""
+    spark = asked.sparkSession
+    summed = (F.sum("_w").alias("_w"), F.min("_v").alias("_v"))
+    whole = F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.lit(m[0]).alias("n")) for m, i in numbers.items() if not m[1])))
+    level = stored(entries.select("_w", "_v", "_s", whole.alias("m")).groupBy("m.mask", F.substring(F.col("_s"), F.lit(1), F.col("m.n")).alias("key")).agg(*summed), "mask-0")
+    tables = level
+    for size in range(1, max(len(m[1]) for m in numbers) + 1):
+        more = spark.createDataFrame([(numbers[m[0], m[1][:-1]], i, m[1][-1] + 1) for m, i in numbers.items() if len(m[1]) == size], "mask int, deeper int, at int")
+        level = level.join(F.broadcast(more), "mask").groupBy(F.col("deeper").alias("mask"), F.overlay("key", F.lit(" "), F.col("at"), F.lit(1)).alias("key")).agg(*summed)
+        level = stored(level, f"mask-{size}")
+        tables = tables.unionByName(level)
+    key = F.aggregate("lost", F.col("_t"), lambda t, i: F.overlay(t, F.lit(" "), i + 1, F.lit(1)))
+    met = asked.withColumn("key", key).join(tables, ["mask", "key"])
+    return met.select("_t", "_c", F.size("lost").alias("d"), F.col("_w").alias("n"), "_v")
+
+
+def beginnings(entries: DataFrame, longest: int) -> tuple[list[int], DataFrame]:
+    """(depths, tree): the beginnings of stored texts at some depths (whole texts where they are shorter), each below its own beginning at the depth before:
+    k, up, node, how many entries it has (_w), and the least of their values."""
+    counts = [1, *entries.agg(*(F.approx_count_distinct(F.substring("_s", 1, d)) for d in range(1, longest + 1))).first()]
+    depths = [0]
+    while depths[-1] < longest:
+        at = depths[-1]
+        depths.append(max((d for d in range(at + 1, longest + 1) if counts[d] <= FANOUT * counts[at]), default=at + 1))
+    steps = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(up).alias("up"), F.lit(to).alias("to")) for k, (up, to) in enumerate(zip(depths[:-1], depths[1:], strict=True)))))
+    start = lambda n: F.substring(F.col("_s"), F.lit(1), F.col(n))
+    tree = entries.select("_s", "_w", "_v", steps.alias("p")).groupBy("p.k", start("p.up").alias("up"), start("p.to").alias("below")).agg(F.sum("_w").alias("_w"), F.min("_v").alias("_v"))
+    return depths[1:], stored(tree, "tree")
+
+
+def descend(texts: DataFrame, depths: list[int], tree: DataFrame, extra: int, limit: int) -> DataFrame:
+    """(_t, _c, d, _v, _w): of each beginning as long as the text that is within spent + extra (and the limit) edits of it.
+
+    From depth to depth, a beginning stays if some beginning of the text is so near that the letters lost in the rest fit into the budget. A lost letter costs an
+    edit that puts none in, so no more than `extra` letters are put in."""
+    states = texts.select("_t", "_c", "lost", F.least(F.size("lost") + extra, F.lit(limit)).alias("edits"), F.lit("").alias("node"))
+    found = None
+    for k, depth in enumerate(depths):
+        met = states.join(small(tree.where(F.col("k") == k).drop("k")), F.col("node") == F.col("up")).drop("node", "up")
+        own = F.levenshtein(F.col("_t"), F.substring(F.col("below"), F.lit(1), F.length("_t")), limit)
+        met = met.withColumn("d", F.when(F.length("_t") <= depth, own))
+        reached = F.sequence(F.greatest(F.length("below") - extra, F.lit(0)), F.greatest(F.least(F.length("_t"), F.length("below") + limit), F.length("below") - extra, F.lit(0)))
+        rest = lambda j: F.size(F.filter("lost", lambda i: i >= j))
+        open_ = F.exists(reached, lambda j: F.levenshtein(F.substring(F.col("_t"), F.lit(1), j), F.col("below"), limit).between(0, F.col("edits") - rest(j)))
+        met = stored(met.where(F.when(F.col("d").isNotNull(), F.col("d").between(0, F.col("edits"))).otherwise(open_)), f"depth-{depth}")
+        ended = met.where("d is not null").select("_t", "_c", "d", "_v", "_w")
+        found = ended if found is None else found.unionByName(ended)
+        states = met.where("d is null").select("_t", "_c", "lost", "edits", F.col("below").alias("node"))
+        if states.isEmpty():
+            break
+    return found
+
+
+def _without_context(texts: DataFrame, entries: DataFrame, limit: int) -> list[DataFrame]:
+    """(_t, _c, d, n, _v) as of _least, of texts without a context. First what is met by the spent edits alone, by tables of masks or else down a tree; then, in rounds
+    of growing budgets, what is met down the tree; the rest by pieces."""
+    left = stored(spent_letters(texts, entries, limit), "spent")
+    sizes = entries.agg(F.min(F.length("_s"))).first()
+    masks = left.where(F.length("_t") <= F.lit(sizes[0])).groupBy(F.length("_t").alias("n"), "lost").count().orderBy(F.desc("count"), "n", "lost").limit(MASKS).collect()
+    masks = [(r.n, tuple(r.lost)) for r in masks]
+    found, tree = [], None
+    if masks:
+        numbers = {m: i for i, m in enumerate(sorted({(n, lost[:k]) for n, lost in masks for k in range(len(lost) + 1)}))}
+        asked = texts.sparkSession.createDataFrame([(n, list(lost), numbers[n, lost]) for n, lost in masks], "n int, lost array<int>, mask int")
+        left = left.withColumn("n", F.length("_t")).join(F.broadcast(asked), ["n", "lost"], "left").drop("n")
+        found.append(stored(_by_masks(left.where("mask is not null"), entries, numbers), "masked"))
+        left = stored(left.join(found[-1].select("_t", "_c").toDF("_t2", "_c2"), _same(), "left_anti"), "left")
+    else:
+        left = left.withColumn("mask", F.lit(None).cast("int"))
+    for extra in sorted({min(b, limit) for b in (0, 1, 2, limit)}):
+        if extra > BEYOND and left.isEmpty():
+            break
+        if extra > BEYOND:
+            return [*found, *_by_pieces(left.select("_t", "_c"), entries, limit, {extra})]
+        now = left if extra else left.where("mask is null")
+        if now.isEmpty():
+            continue
+        tree = tree or beginnings(entries, left.agg(F.max(F.length("_t"))).first()[0])
+        settled = stored(_least(descend(now, *tree, extra, limit)), f"settled-{extra}")
+        found.append(settled)
+        left = stored(left.join(settled.select("_t", "_c").toDF("_t2", "_c2"), _same(), "left_anti"), f"left-{extra}")
+    return found
+
+
+def _nearest(texts: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
+    """(_t, _c, d, n, _v) as of _least, over all stored texts, without joining all with all."""
+    entries = stored(_dealt(entries.groupBy("_s").agg(F.count("*").alias("_w"), F.min("_v").alias("_v")), "_s"), "entries")
+    texts = _dealt(texts, "_t")
+    named = F.coalesce("_c", F.lit("")) != ""
+    found = _without_context(texts.where(~named), entries, limit)
+    if not (rest := texts.where(named)).isEmpty():
+        found += _by_pieces(rest, entries, limit, {min(b, limit) for b in (0, 1, 2, limit)})
+    columns = ["_t", "_c", "d", "n", "_v"]
+    out = _least(entries.limit(0).select(F.lit("").alias("_t"), F.lit("").alias("_c"), F.lit(0).alias("d"), "_w", "_v")) if not found else found[0].select(*columns)
     for f in found[1:]:
-        out = out.unionByName(f)
+        out = out.unionByName(f.select(*columns))
     return out
 
 
@@ -162,8 +285,9 @@ def most_alike(read: DataFrame, id_: str, text: Column, refs: DataFrame, key: Co
     """(id, value): the value of the reference whose beginning, as long as the text, is fewest edits away; null beyond `limit`, or if two
     are equally near, or for an empty text.
 
-    Few references are broadcast. Otherwise each distinct text seeks the references that share one of its rarest pieces, with a budget of edits that grows in
-    rounds, and only for texts that have found nothing within it; letters that no reference has near their place are spent beforehand."""
+    Few references are broadcast. Otherwise letters that no reference has near their place are spent beforehand, and each distinct text is met by equality of the
+    others; texts that find nothing so go down a tree of the references' beginnings, with a budget of edits that grows in rounds; those that need many edits, or have
+    a context, seek the references that share one of their rarest pieces."""
     entries = refs.select(folded(key).alias("_s"), value.alias("_v")).where("_s is not null and _v is not null").distinct()
     asked = read.select(F.col(id_), folded(text).alias("_t"), (folded(context) if context is not None else F.lit(None).cast("string")).alias("_c")).where("_t <> ''")
     texts = asked.select("_t", "_c").distinct()
@@ -171,7 +295,7 @@ def most_alike(read: DataFrame, id_: str, text: Column, refs: DataFrame, key: Co
         met = texts.join(F.broadcast(entries), _suits(F.col("_c"), F.col("_s"))).withColumn("_w", F.lit(1))
         least = _least(met.withColumn("d", _edits(limit)).where("d >= 0"))
     else:
-        least = _by_pieces(texts, stored(entries, "entries"), limit)
+        least = _nearest(texts, entries, limit)
     found = least.where("n = 1").select(F.col("_t").alias("_t2"), F.col("_c").alias("_c2"), F.col("_v").alias("value"))
     found = asked.join(found, _same()).select(id_, "value")
     return read.select(id_).join(found, id_, "left")

@@ -134,6 +134,17 @@ def test_most_alike_equals_brute_force(spark, limit, letters):
     assert got == alike_by_hand(read, refs, limit)
 
 
+def test_dense_names_make_no_pairs(spark, monkeypatch):
+    # Every number is a name, so texts with wrong letters are as near to many of them; no name is compared with a text for sharing a piece.
+    monkeypatch.setattr(lookups, "candidates", None)
+    refs = [(f"n#{i:04d}", v) for i in range(300) for v in ([i, i + 1000] if i % 50 == 3 else [i])]
+    read = [(i, f"n#{i:04d}".replace("1", "l").replace("7", ""), None) for i in range(0, 1000, 3)]
+    df, known = spark.createDataFrame(read, "id int, t string, c string"), spark.createDataFrame(refs, "k string, v int")
+    got = {x.id: x.value for x in lookups.most_alike(df, "id", F.col("t"), known, F.col("k"), F.col("v"), 3, None, rows=0).collect()}
+    assert got == alike_by_hand(read, refs, 3)
+    assert {None} < set(got.values())
+
+
 def test_few_of_all_pairs_are_candidates(spark):
     # Names that differ in few letters, read with many wrong ones, as in the catalogue: 9 edits of 18 letters are allowed.
     names = spark.range(1000).select(F.format_string("supplier#%09d", F.col("id")).alias("_s"))
