@@ -93,7 +93,7 @@ def _chord(metres: Column) -> Column:
 def nearest(points: DataFrame, places: DataFrame, rows: int = THETA_ROWS) -> DataFrame:
     """For each pid of points (pid, plon, plat) the nearest of places (qid, qlon, qlat), of equally near ones the least qid: pid, qid, dist_m.
 
-    Few places are broadcast. Otherwise a pyramid of cells holds one place for each occupied cell of each level. A point's own deepest occupied cell gives a place, and so a
+    Few places are broadcast as one row. Otherwise a pyramid of cells holds one place for each occupied cell of each level. A point's own deepest occupied cell gives a place, and so a
     radius within which the nearest one must lie; cells twice as wide as that radius leave eight that it can touch, whose places the point meets by
     equality. Points so far from all places that only the whole Earth is wide enough meet the outlines of at most `rows` cells first, and then the places of those
     cells that may hold something nearer than what any other cell has for certain."""
@@ -101,7 +101,11 @@ def nearest(points: DataFrame, places: DataFrame, rows: int = THETA_ROWS) -> Dat
     best = lambda pairs: pairs.groupBy("pid").agg(F.min(F.struct("dist_m", "qid")).alias("_b")).select("pid", F.col("_b.qid").alias("qid"), F.col("_b.dist_m").alias("dist_m"))
     away = great_circle_m(F.col("plon"), F.col("plat"), F.col("qlon"), F.col("qlat"))
     if is_small(places, rows):
-        return best(points.join(F.broadcast(places)).withColumn("dist_m", away))
+        # All places stand beside each point, in one row, so a point makes no row for each of them, and its own task holds no more rows than it has points.
+        held = places.agg(F.collect_list(F.struct("qid", "qlon", "qlat")).alias("_q"))
+        each = F.array_min(F.transform("_q", lambda q: F.struct(great_circle_m(F.col("plon"), F.col("plat"), q["qlon"], q["qlat"]).alias("dist_m"), q["qid"].alias("qid"))))
+        met = points.repartition("pid").crossJoin(F.broadcast(held)).where(F.size("_q") > 0).select("pid", each.alias("_b"))
+        return best(met.select("pid", "_b.*"))
     x, y, z = _on_sphere(F.col("qlon"), F.col("qlat"))
     spots = stored(places.groupBy("qlon", "qlat").agg(F.min("qid").alias("qid")).select("*", x.alias("x"), y.alias("y"), z.alias("z")), "spots")
     levels = _levels(spots.count())

@@ -74,6 +74,24 @@ def test_nearest_of_many(spark):
         assert np.all(own <= gap + 1e-9)
 
 
+def test_few_places_make_no_rows_of_points(spark):
+    p = spark.range(2000).select(F.col("id").alias("pid"), (F.col("id") % 360 - 180.0).alias("plon"), (F.col("id") % 120 - 60.0).alias("plat"))
+    q = spark.range(25).select(F.col("id").alias("qid"), (F.col("id") * 14 - 180.0).alias("qlon"), (F.col("id") * 4 - 50.0).alias("qlat"))
+    df = spatial.nearest(p, q)
+    assert len(df.collect()) == 2000
+    made, open_ = [], [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        name = node.getClass().getSimpleName()
+        if "NestedLoopJoin" in name:
+            made.append(node.metrics().apply("numOutputRows").value())
+        inner = node.executedPlan() if name == "AdaptiveSparkPlanExec" else node.plan() if name.endswith("QueryStageExec") else None
+        below = node.children()
+        open_ += [inner] if inner is not None else [below.apply(i) for i in range(below.size())]
+    assert made
+    assert max(made) <= 2000
+
+
 def test_corroborate_is_pairwise(spark):
     at = lambda s: f"2024-11-25 10:{s // 60:02d}:{s % 60:02d}" if s < 3600 else f"2024-11-25 11:{(s - 3600) // 60:02d}:{(s - 3600) % 60:02d}"
     deg = 1 / 111195.08
