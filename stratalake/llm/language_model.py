@@ -148,9 +148,9 @@ class Model:
             total[edge] = np.where(np.arange(BRANCH) < digits[edge][:, None], total[edge], np.float32(-1e9))
         return total
 
-    def logs(self, toks: np.ndarray, rows: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the probability of the leaves of tokens lo to hi, and whether these are in the vocabulary."""
-        leaves, known = self.leaves(toks[lo:hi])
+    def logs(self, toks: np.ndarray, rows: np.ndarray, lo: int, hi: int, found: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the probability of the leaves of tokens lo to hi, and whether these are in the vocabulary. found: leaves() of them, if it is known."""
+        leaves, known = self.leaves(toks[lo:hi]) if found is None else found
         token, digit, at, digits = self._paths(leaves, features(toks, rows, lo, hi))
         scores = self._scores(at, digits)
         own = scores.ravel().take(np.arange(len(token)) * BRANCH + digit)
@@ -169,8 +169,14 @@ class Model:
                 order = np.argsort(r, kind="stable")
                 ranked = r[order]
                 first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-                # Two gradients are added at a time, as parts of a complex number.
-                total = np.add.reduceat(grad.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
+                # Most rows are met once, and their gradients taken as they are. Of the others, two are added at a time, as parts of a complex number.
+                size = np.diff(first, append=len(order))
+                total = grad.take(order.take(first), axis=0)
+                many = np.flatnonzero(size > 1)
+                if len(many):
+                    met = order[np.repeat(size > 1, size)]
+                    start = np.cumsum(size[many]) - size[many]
+                    total[many] = np.add.reduceat(grad.take(met, axis=0).view(np.complex64), start, axis=0).view(np.float32)
                 own = ranked[first].astype(np.int64)
                 held = sums.take(own) + np.einsum("ij,ij->i", total, total) / np.float32(BRANCH)
                 sums[own] = held
@@ -282,13 +288,15 @@ def fit(training: DataFrame, counts: DataFrame) -> tuple[Model, int, int, tuple[
 def score(docs: DataFrame, model: Model, counts: DataFrame, n: int, v: int, head: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
     """The columns `keep` of docs with n_tokens, n_known, base_score and score (log10 probabilities)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vars(model), *head, float(np.log10(n + v + 1))))
+    # All words of the vocabulary are common, so the place of a token among the common ones tells its leaf too.
+    leaf, inside = model.leaves(head[0].view(U64))
+    shared = spark.sparkContext.broadcast((vars(model) | {"vocab": np.zeros(0, U64)}, *head, np.where(inside, leaf, -1).astype(np.int32), float(np.log10(n + v + 1))))
     kept = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], "text")
     fields = ", ".join(f"k{i} {kept.schema[i].dataType.simpleString()}" for i in range(len(keep)))
     names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches):
-        state, hashes, freqs, log_all = shared.value
+        state, hashes, freqs, leaf, log_all = shared.value
         model = restored(state)
         log_form = np.log10(model.form_totals)
         for batch in batches:
@@ -299,9 +307,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, n: int, v: int, head
                 for lo in range(0, len(toks), STEP):
                     hi = min(len(toks), lo + STEP)
                     signed, row = toks[lo:hi].view(np.int64), np.searchsorted(rows, np.arange(lo, hi), side="right") - 1
-                    logs, inside = model.logs(toks, rows, lo, hi)
                     at = np.minimum(np.searchsorted(hashes, signed), max(0, len(hashes) - 1))
                     known = hashes[at] == signed if len(hashes) else np.zeros(hi - lo, bool)
+                    inside = known & (leaf[at] >= 0) if len(hashes) else known
+                    leaves = np.where(inside, leaf[at], signed & 15) if len(hashes) else signed & 15
+                    logs, _ = model.logs(toks, rows, lo, hi, (leaves, inside))
                     gain = np.where(known, np.log10(freqs[at] + 1.0), 0.0) if len(hashes) else np.zeros(hi - lo)
                     # log10(c + 1) of the tokens beyond the head is added after the join.
                     logs += np.where(inside, 0.0, gain - log_form[signed & 15])

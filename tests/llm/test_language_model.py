@@ -141,3 +141,43 @@ def test_updates_are_averaged_in_groups_of_bounded_size(spark):
     for fan in (2, 5, 22, 23, 100):
         got = {r.part: np.frombuffer(bytes(r.moved), np.float32).reshape(rows, -1) for r in M.averaged(frame, tasks, fan).collect()}
         assert all(np.allclose(got[p], want[p], atol=1e-4) for p in range(2)), fan
+
+
+def test_training_sums_no_row_that_is_met_once(monkeypatch):
+    """Gradients of rows met once are taken as they are; the weights are those of sums over all of them."""
+    r = np.random.default_rng(3)
+    toks = (r.integers(0, 1 << 60, 500, dtype=np.uint64) << np.uint64(4))[r.zipf(1.4, 9000) % 500]
+    rows = np.array([0, 4000, 9000])
+    values, counts = np.unique(toks, return_counts=True)
+    model = M.Model(values, counts, np.full(M.FORMS, 2.0), 14)
+    plain = M.Model(values, counts, np.full(M.FORMS, 2.0), 14)
+    squares, other = (np.zeros(model.weights.shape[:2], np.float32) for _ in range(2))
+    for lo in range(0, len(toks), M.STEP):
+        hi = min(len(toks), lo + M.STEP)
+        token, digit, at, digits = plain._paths(plain.leaves(toks[lo:hi])[0], M.features(toks, rows, lo, hi))
+        share = np.exp(plain._scores(at, digits))
+        grad = -share / share.sum(1, keepdims=True)
+        grad[np.arange(len(token)), digit] += 1
+        for table, sums, x in zip(plain.weights, other, at, strict=True):
+            total = np.zeros((1 << 14, M.BRANCH))
+            np.add.at(total, x, grad)
+            sums += (total**2).mean(1)
+            table += M.RATE * total / np.sqrt(sums + 1)[:, None]
+    given = []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        class add:
+            reduce = np.add.reduce
+
+            @staticmethod
+            def reduceat(values, starts, axis):
+                given.append(np.diff(starts, append=len(values)).min())
+                return np.add.reduceat(values, starts, axis)
+
+    monkeypatch.setattr(M, "np", Counted())
+    model.train(toks, rows, squares)
+    assert min(given) >= 2
+    assert np.allclose(model.weights, plain.weights, atol=1e-3)
