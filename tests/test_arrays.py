@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,31 @@ def test_no_large_files(spark, tmp_path):
     (tmp_path / "op" / "c2b").mkdir(parents=True)
     (tmp_path / "op" / "c2b" / "empty.json").write_bytes(b"")
     assert arrays.records(arrays.pieces(spark, f"file://{tmp_path}")).collect() == []
+
+
+def test_records_stay_in_the_block_that_holds_them(spark, tmp_path, monkeypatch):
+    rng, kept, real = random.Random(6), [], arrays.stored
+    rows = [record(i, rng) for i in range(15_000)]
+    rows[7000] = {"long": 'x}{"' * 500_000}  # over several blocks
+    (tmp_path / "big.json").write_text(json.dumps(rows, ensure_ascii=False))
+    monkeypatch.setattr(arrays, "stored", lambda df, name: kept.append(real(df, name)) or kept[-1])
+    found = {r.record: json.loads(bytes(r.text).lstrip(b" ,[\n")) for r in arrays.records(arrays.pieces(spark, f"file://{tmp_path}")).where("is_closed").collect()}
+    assert [found[i] for i in range(len(rows))] == rows and len(found) == len(rows)
+    assert sum(k.count() for k in kept) < 100  # not a row for each piece of a text
+
+
+def test_blocks_add_up(monkeypatch):
+    raw = json.dumps([record(i, random.Random(i)) for i in range(300)], ensure_ascii=False).encode()
+    cut = raw.split(b"}")
+    columns = lambda lo, hi: [["f"] * (hi - lo), [0] * (hi - lo), list(range(lo, hi)), [len(raw)] * (hi - lo), cut[lo:hi]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in columns(lo, min(lo + 7, len(cut)))], names=["path", "start", "at", "size", "piece"]) for lo in range(0, len(cut), 7)]
+    (whole,) = [b.to_pylist()[0] for b in arrays._blocks(iter(batches))]
+    monkeypatch.setattr(arrays, "BLOCK_BYTES", 400)
+    blocks = [b.to_pylist()[0] for b in arrays._blocks(iter(batches))]
+    assert len(blocks) > 20 and b"".join(b["text"] for b in blocks) == whole["text"] == raw + b"}"
+    assert sum(b["quotes"] for b in blocks) == whole["quotes"]
+    depth, inside, ends = 0, 0, []
+    for b in blocks:
+        ends += [depth + d for d in b[f"d{inside}"]]
+        depth, inside = depth + b[f"t{inside}"], (inside + b["quotes"]) % 2
+    assert ends == whole["d0"] and depth == whole["t0"]
