@@ -104,3 +104,63 @@ def test_names_are_windows():
     windows = [tuple(toks[i : i + 4]) for i in range(7)]
     assert all((names[i] == names[j]) == (windows[i] == windows[j]) for i in range(7) for j in range(7))
     assert html.unescape("&amp") == "&" and len(H.names_at_depth(toks[:3], 4)) == 0
+
+
+def test_repeated_regions_go_inside_marked_articles(spark, folder):
+    squash = lambda x: " ".join(x.split())
+    call, card = "get every one of these long stories in your own letter box each and every day", prose(50, 20)
+    page = lambda i: f"<article><p>{prose(i, 30)}</p><div class='cta-strip'>{call}</div><section id=part-{i}>{prose(700 + i, 30)}</section></article><article class=card>{card}</article>"
+    rows = [(i, f"http://host/{i}", page(i)) for i in range(5)]
+    rows += [(10 + i, f"http://two/{i}", page(10 + i)) for i in range(2)]  # too few pages to tell
+    rows += [(20 + i, f"http://copies/{i}", f"<nav>{prose(60, 12)}</nav><main><p>{prose(61, 40)}</p></main><footer>{i} of these</footer>") for i in range(6)]  # nothing else would be left
+    got = {r.page_id: r.text.split("\n\n") for r in H.query(spark, folder(pages=spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()}
+    for i in range(5):
+        assert got[i] == [squash(prose(i, 30)), squash(prose(700 + i, 30))]
+    assert all(len(got[10 + i]) == 4 for i in range(2))
+    assert all(got[20 + i] == [squash(prose(61, 40))] for i in range(6))
+
+
+@pytest.mark.parametrize("chunk", [1, 300, 1 << 20])
+def test_region_shares_equal_brute_force(monkeypatch, chunk):
+    from collections import Counter, defaultdict
+
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(H, "CHUNK", chunk)
+    monkeypatch.setattr(H, "text_slices", lambda batch, column: ((batch.slice(i, 1), batch.column(column).slice(i, 1)) for i in range(batch.num_rows)))
+    rng = random.Random(5)
+    lines = [prose(4000 + k, rng.randint(9, 16)) for k in range(6)]
+    html_of = lambda i: f"<nav>{rng.choice(lines)}</nav><article><p>{prose(i, 20)}</p><p>{rng.choice(lines)}</p><p class=by>{rng.choice(lines)}</p></article>" if i % 3 else "".join(f"<div class=c{k}>{rng.choice(lines)}</div>" for k in range(4))
+    pages = [(i % 2 + 1, html_of(i)) for i in range(18)]
+    pages += pages[:2] * 3  # copies count as one page, but weigh in the sums
+    seen, asked = defaultdict(set), set()
+    total, repeated = Counter(), Counter()
+    windows = []
+    for host, h in pages:
+        tokens = [(w, said, inside, region) for text, said, inside, region in H.read(h) for w in text.lower().split()]
+        text = tuple(t[0] for t in tokens)
+        for k in range(len(tokens) - 7):
+            _, said, inside, region = tokens[k]
+            windows.append((host, region, (host, inside and said == H.SETTLED, text[k : k + 8]), "<article" not in h))
+            seen[windows[-1][2]].add(text)
+    for host, region, name, ask in windows:
+        total[host, H.region_id(region)] += 1
+        repeated[host, H.region_id(region)] += len(seen[name]) >= H.MANY
+        if ask and len(seen[name]) >= 2:
+            asked.add(name)
+    parts, cells = {1: 3}, 5
+    batch = pa.RecordBatch.from_arrays([pa.array([p[0] for p in pages], pa.int64()), pa.array([p[1] for p in pages])], names=["host", "html"])
+    got_total, got_repeated, names = Counter(), Counter(), set()
+    for turn in range(H.ROUNDS):
+        packed = pa.Table.from_batches(H._pack([batch], parts, cells, turn))
+        for cell in set(packed.column("cell").to_pylist()):
+            assert cell % H.ROUNDS == turn
+            for r in H._repeats(packed.filter(pa.array(np.array(packed.column("cell")) == cell))).to_pylist():
+                if r["name"] is None:
+                    got_total[r["host"], r["region"]] += r["total"]
+                    got_repeated[r["host"], r["region"]] += r["repeated"]
+                else:
+                    names.add((r["cell"], r["name"]))
+    assert got_total == total and got_repeated == repeated and any(0 < repeated[k] < total[k] for k in total)
+    assert len(names) == len(asked) > 0
